@@ -145,9 +145,8 @@ def mask_artifacts(fields: DataFrame, phrases: DataFrame, tagger: Tagger | None
     return masked, audit
 
 
-def ngrams(text: Column, n: int) -> Column:
-    """struct(pos, gram) of each n tokens in a row."""
-    toks = tokens(text)
+def ngrams(toks: Column, n: int) -> Column:
+    """struct(pos, gram) of each n tokens in a row. toks should be a column, not a computation: each gram reads it."""
     return F.when(F.size(toks) >= n, F.transform(F.sequence(F.lit(1), F.size(toks) - n + 1), lambda i: F.struct(i.alias("pos"), F.concat_ws(" ", F.slice(toks, i, n)).alias("gram")))).otherwise(F.array())
 
 
@@ -156,8 +155,9 @@ def leakage_spans(texts: DataFrame, profiles: DataFrame, n: int = 5) -> DataFram
     texts(text_id, text), profiles(profile_id, text). Grams of a profile are made distinct before the join."""
     from pyspark.sql.window import Window
 
-    a = texts.select("text_id", F.explode(ngrams(F.col("text"), n)).alias("g")).select("text_id", "g.pos", F.xxhash64("g.gram").alias("h"), "g.gram")
-    b = profiles.select("profile_id", F.explode(F.transform(ngrams(F.col("text"), n), lambda g: g["gram"])).alias("gram")).distinct()
+    a, b = (df.withColumn("_toks", tokens(F.col("text"))) for df in (texts, profiles))
+    a = a.select("text_id", F.explode(ngrams(F.col("_toks"), n)).alias("g")).select("text_id", "g.pos", F.xxhash64("g.gram").alias("h"), "g.gram")
+    b = b.select("profile_id", F.explode(ngrams(F.col("_toks"), n)).alias("g")).select("profile_id", "g.gram").distinct()
     hits = a.join(b.withColumn("h", F.xxhash64("gram")), ["h", "gram"]).select("text_id", "profile_id", "pos")
     w = Window.partitionBy("text_id", "profile_id").orderBy("pos")
     island = F.col("pos") - F.row_number().over(w)
