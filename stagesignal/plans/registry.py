@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
-MODULES = ("decisions", "profiles", "texts", "candidates")
+MODULES = ("decisions", "profiles", "texts", "candidates", "events", "files")
 
 
 def _counted(sql: str) -> str:
