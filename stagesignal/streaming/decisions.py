@@ -25,7 +25,8 @@ def model_tokens(stream: DataFrame, watermark: str, time_col: str = "ts") -> Dat
 
 
 def _pair(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """State of a call: (started, ended, failed, has result). It is emitted when it ends, or as incomplete when time is up."""
+    """State of a call: (started, ended, failed, has result, latest event in ms). It is emitted when it ends, or as
+    incomplete once the watermark has passed its latest event."""
     run, call = key
     if state.hasTimedOut:
         started, *_ = state.get
@@ -33,27 +34,29 @@ def _pair(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Ite
         if started:
             yield pd.DataFrame([(run, call, "failed", "trace_incomplete_tool_call")], columns=["report_run", "call_id", "status", "failure_code"])
         return
-    started, ended, failed, result = state.get if state.exists else (False, False, False, False)
+    started, ended, failed, result, latest = state.get if state.exists else (False, False, False, False, 0)
     for batch in batches:
         kinds = set(batch["event"])
         started, failed = started or "tool_start" in kinds, failed or "tool_error" in kinds
         ended = ended or "tool_end" in kinds
+        latest = max(latest, int(batch["_time"].max().timestamp() * 1000))
         result = result or bool(batch.loc[batch["event"] == "tool_end", "result"].notna().any())
     if started and (ended or failed):
         state.remove()
         code = "tool_execution_error" if failed else None if result else "trace_missing_query_result"
         yield pd.DataFrame([(run, call, "failed" if code else "ok", code)], columns=["report_run", "call_id", "status", "failure_code"])
     else:
-        state.update((started, ended, failed, result))
-        state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + 1)
+        state.update((started, ended, failed, result, latest))
+        state.setTimeoutTimestamp(max(latest, state.getCurrentWatermarkMs()) + 1)
 
 
 def stream_tool_calls(events: DataFrame, late: str = "10 minutes", time_col: str = "ts") -> DataFrame:
     """Tool calls of an event stream (report_run, call_id, event, result, time) paired by call; a start without an end is
     closed as incomplete once the watermark passes it."""
     schema = "report_run string, call_id string, status string, failure_code string"
-    return events.withWatermark(time_col, late).groupBy("report_run", "call_id").applyInPandasWithState(
-        _pair, schema, "started boolean, ended boolean, failed boolean, result boolean", "append", GroupStateTimeout.EventTimeTimeout)
+    rows = events.select("report_run", "call_id", "event", "result", F.col(time_col).alias("_time"))
+    return rows.withWatermark("_time", late).groupBy("report_run", "call_id").applyInPandasWithState(
+        _pair, schema, "started boolean, ended boolean, failed boolean, result boolean, latest long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def ledger_upsert(path: str):
