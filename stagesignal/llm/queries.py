@@ -39,8 +39,7 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     held = langid.held_out("doc_id", 3, 1)
-    labelled = docs.select("doc_id", "text").where(~held).join(labels.select("doc_id", "toxic").where(~held), "doc_id")
-    model = toxicity.fit(labelled)
+    model = toxicity.fit(docs.where(~held), labels=labels.where(~held))
     rows = docs.select("doc_id", held.alias("held_out"), toxicity.scorer(model, docs)(F.col("text")).alias("score"))
     return rows.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
 

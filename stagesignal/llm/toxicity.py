@@ -8,7 +8,7 @@ labelled sample the terms that say most about the label are kept (by a signed ch
 over those present is trained by AdaGrad on the logistic loss: a pair such as insult and group mention has a weight
 of its own, beyond the sum of the two. Scores are calibrated by a slope and offset fitted on rows held out of the sample.
 
-Bounds (parameters): at most about `per_label` rows of each label, none over `most_chars` characters; every row is
+Bounds (parameters): about `per_label` rows of each label, of those the ones of at most `most_chars` characters; every row is
 scored from its whole text.
 
 Defined cases: null and empty texts score as a text without known terms; repeated rows and copies score equally; rows
@@ -155,24 +155,29 @@ def train(texts: list[str | None], labels: list[int], *, prior: float | None = N
     return model
 
 
-def sample(labelled: DataFrame, text_col: str, label_col: str, id_col: str, *, per_label: int = 3000, most_chars: int = 20_000) -> tuple[pd.DataFrame, float | None]:
-    """A bounded sample of labelled rows by a hash of the id, and the share of label 1 among all."""
-    usable = labelled.where(F.col(label_col).isin(0, 1) & (F.length(F.coalesce(text_col, F.lit(""))) <= most_chars))
+def draw(labels: DataFrame, label_col: str, id_col: str, per_label: int) -> tuple[DataFrame, float | None]:
+    """A bounded sample of rows labelled 0 or 1, about per_label of each by a hash of the id, and the share of label 1
+    among all of them."""
+    usable = labels.where(F.col(label_col).isin(0, 1))
     counts = {r[0]: r["count"] for r in usable.groupBy(label_col).count().collect()}
     share = F.lit(-1.0)
     for label, n in counts.items():
         share = F.when(F.col(label_col) == label, F.lit(min(1.0, per_label / n))).otherwise(share)
     drawn = (F.pmod(F.xxhash64(F.lit("toxicity"), id_col), F.lit(1 << 30)) / (1 << 30)) < share
-    rows = usable.where(drawn).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("label"))
-    got = rows.limit(4 * per_label).toPandas().sort_values(["id", "text"], ignore_index=True)
-    # Interleaved anew, so that the rows held out for calibration are a fair part.
-    got = got.sample(frac=1.0, random_state=11, ignore_index=True)
-    return got, counts.get(1, 0) / sum(counts.values()) if counts else None
-
-
-def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", id_col: str = "doc_id", **bounds: int) -> Model:
-    rows, prior = sample(labelled, text_col, label_col, id_col, **bounds)
-    return train(rows["text"].tolist(), rows["label"].tolist(), prior=prior)
+    return usable.where(drawn).limit(4 * per_label), counts.get(1, 0) / sum(counts.values()) if counts else None
+
+
+def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", id_col: str = "doc_id", *, labels: DataFrame | None = None, per_label: int = 3000, most_chars: int = 20_000) -> Model:
+    """Learns from labelled texts; with labels, from the texts of labelled whose ids labels has. The sample is drawn from
+    the labels alone, so that only its ids (a bounded number) meet the texts, by broadcast."""
+    rows, prior = draw(labelled if labels is None else labels, label_col, id_col, per_label)
+    if labels is not None:
+        rows = labelled.select(id_col, text_col).join(F.broadcast(rows.select(id_col, label_col)), id_col)
+    rows = rows.where(F.length(F.coalesce(text_col, F.lit(""))) <= most_chars)
+    got = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("label")).toPandas()
+    # Put in order and interleaved anew, so that the rows held out for calibration are a fair part.
+    got = got.sort_values(["id", "text"], ignore_index=True).sample(frac=1.0, random_state=11, ignore_index=True)
+    return train(got["text"].tolist(), got["label"].tolist(), prior=prior)
 
 
 def scorer(model: Model, df: DataFrame):
