@@ -61,7 +61,7 @@ def bounded(counts: np.ndarray, owner: np.ndarray, shards: int) -> list[tuple[in
     return out
 
 
-def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shards: int = 16, nodes: int = 128, part_rows: int = 10_000) -> DataFrame:
+def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shards: int = 16, nodes: int = 128, part_rows: int = 1_000) -> DataFrame:
     """Per row: id, size, text_crc32, law ("rows"), shard, slot, grown_shard (null), and home_shard (by the plain ring)."""
     spark = docs.sparkSession
     points, owner = ring(shards, nodes)
