@@ -5,14 +5,30 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The word lists of the token profiles.
-ACTIONABLE_STOP = "a an and are as at be but by for from has have he her his i in is it its my not of on or our she that the their them they this to was we were will with you your".split()
-ITEM_STOP = "a an and for in of on or the to with".split()
-# Stock phrases of a generic query, host rules in order, certainty wording.
-GENERIC_PHRASES = ("best practices", "how to", "overview", "guide", "tips", "introduction", "comparison", "latest trends", "what is", "top 10")
-URL_RULES = (("academic", (".edu", "arxiv", "scholar", "doi.org")), ("government", (".gov",)), ("encyclopedia", ("wikipedia",)), ("video", ("youtube", "vimeo")), ("forum", ("reddit", "quora", "forum")),
-             ("social", ("facebook", "twitter", "linkedin")), ("news", ("news", "times", "bbc")), ("commerce", ("shop", "amazon", "store")), ("blog", ("blog", "medium")))
-STRONG, HEDGED = "clearly|strongly|definitely|obviously|unambiguous", "might|may|possibly|perhaps|unclear|ambiguous|somewhat"
+# The stop words of the token profiles.
+ACTIONABLE_STOP = (
+    "a an the and or of in to for is are was were he she they his her their it this that with on at by from as has have had not but also been "
+    "which who when where what how its be do does did"
+).split()
+ITEM_STOP = "a an the and or of in to for is are was were he she they his her their it this that".split()
+SEARCH_STOP = ACTIONABLE_STOP + "i my me we our you your can will would should may into than then so if about more most other".split()
+
+# Phrases of a generic query, parts of hosts by category in order, and certainty wording.
+GENERIC_PHRASES = (
+    "best books", "best practices", "how to", "what is", "overview of", "introduction to", "top 10", "isbn", "pdf", "course", "tutorial", "guide to",
+    "list of", "vs ", "versus", "review of", "definition of", "examples of", "methods for", "strategies for", "techniques for", "workbook", "textbook", "syllabus",
+)
+URL_RULES = (
+    ("retail_books", ("amazon", "dangdang", "book", "goodreads", "isbn")), ("video", ("youtube", "bilibili", "vimeo")), ("encyclopedia", ("wikipedia", "wiki")),
+    ("academic", ("edu", "ac.", "arxiv", "springer", "ieee", "acm.org", "nih.gov", "pubmed")), ("forum", ("reddit", "zhihu", "quora", "stackoverflow")),
+    ("course_platform", ("coursera", "udemy", "edx", "skillshare", "khan")), ("gov", ("gov", "who.int", "cdc.gov")), ("blog", ("medium.com", "blog", "substack")),
+)
+STRONG = (
+    "only|perfectly|clearly|unambiguously|definitively|strongest|aligns perfectly|no other|exclusive|unmistakably|obviously|most closely|best match|sole|decisively"
+)
+HEDGED = (
+    "might|could|possibly|perhaps|unclear|ambiguous|either|both|somewhat|partially|suggests?|appears?|seems?|less clear|harder to|not definitive|no single"
+)
 CAPS = {"plan": 4000, "search": 3500, "compress": 6000, "write": 8000}
 
 RUN_ID = r"^(?:pilot|ablation_([A-Za-z0-9_]+?))_task([0-9]+)_([A-Za-z0-9]+)_seed([0-9]+)$"
@@ -32,14 +48,15 @@ def canonical_run_id(c: Column) -> Column:
 
 
 def tokens(c: Column, profile: str = "plain") -> Column:
-    """Lower-case [a-z0-9]+ tokens. `actionable`: without stop words and of three letters or more; `item`: without a
-    short stop list; `words`: with inner apostrophes and hyphens."""
+    """Lower-case [a-z0-9]+ tokens. `actionable` and `search`: without stop words (a longer list for search) and of three
+    letters or more; `item`: without a short stop list; `words`: with inner apostrophes and hyphens."""
     low = F.lower(F.coalesce(c, F.lit("")))
     if profile == "words":
         return F.regexp_extract_all(low, F.lit(r"([a-z0-9]+(?:['-][a-z0-9]+)*)"), 1)
     found = F.regexp_extract_all(low, F.lit("([a-z0-9]+)"), 1)
-    if profile == "actionable":
-        return F.filter(found, lambda t: (F.length(t) > 2) & ~t.isin(ACTIONABLE_STOP))
+    if profile in ("actionable", "search"):
+        stop = ACTIONABLE_STOP if profile == "actionable" else SEARCH_STOP
+        return F.filter(found, lambda t: (F.length(t) > 2) & ~t.isin(stop))
     if profile == "item":
         return F.filter(found, lambda t: ~t.isin(ITEM_STOP))
     return found
@@ -92,14 +109,14 @@ def url_host(c: Column) -> Column:
 
 
 def url_category(host: Column) -> Column:
-    """The first rule whose part the host contains; other."""
-    out = F.lit("other")
+    """The first rule whose part the host contains; other_web, or unknown without a host."""
+    out = F.lit("other_web")
     for name, parts in reversed(URL_RULES):
         hit = F.lit(False)
         for p in parts:
             hit = hit | host.contains(p)
         out = F.when(hit, name).otherwise(out)
-    return out
+    return F.when(F.coalesce(host, F.lit("")) == "", "unknown").otherwise(out)
 
 
 def is_generic(query: Column) -> Column:
@@ -109,11 +126,11 @@ def is_generic(query: Column) -> Column:
     return out
 
 
-def certainty_proxy(reasoning: Column, candidate: str = r"\bUser[0-9]+\b") -> Column:
-    """struct(strong, hedged, named, score): score = strong - hedged / 2, plus 1/2 when one candidate at most is named."""
+def certainty_proxy(reasoning: Column, candidate: str = r"(?i)Candidate\s+[ABC]") -> Column:
+    """struct(strong, hedged, named, has_strong, has_hedge, score): score = strong - hedged / 2, plus 1/2 when one candidate at most is named."""
     strong, hedged = (F.regexp_count(reasoning, F.lit(rf"(?i)\b(?:{p})\b")) for p in (STRONG, HEDGED))
     named = F.size(F.array_distinct(F.regexp_extract_all(reasoning, F.lit(candidate), 0)))
-    return F.struct(strong.alias("strong"), hedged.alias("hedged"), named.alias("named"), (strong - 0.5 * hedged + F.when(named <= 1, 0.5).otherwise(0.0)).alias("score"))
+    return F.struct(strong.alias("strong"), hedged.alias("hedged"), named.alias("named"), (strong > 0).alias("has_strong"), (hedged > 0).alias("has_hedge"), (strong - 0.5 * hedged + F.when(named <= 1, 0.5).otherwise(0.0)).alias("score"))
 
 
 def text_metrics(c: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stagesignal.functions.scalars import is_generic, normalize_query, normalize_url, tokens, url_category, url_host
+from stagesignal.functions.scalars import URL_RULES, is_generic, normalize_query, normalize_url, tokens, url_category, url_host
 from stagesignal.operators.stats import cluster_bootstrap_means
 
 
@@ -14,11 +14,11 @@ def search_mechanism_rows(trace: DataFrame) -> DataFrame:
     type-token ratio of the query tokens, generic share, hosts, shares of link categories."""
     host = url_host(normalize_url(F.col("link")))
     rows = trace.where("attempted").select("run", "query", normalize_query(F.col("query")).alias("q"), host.alias("host"), url_category(host).alias("category"))
-    shares = [F.round(F.avg((F.col("category") == c).cast("int")), 6).alias(f"share_{c}") for c in ("commerce", "news", "other")]
+    shares = [F.round(F.avg((F.col("category") == c).cast("int")), 6).alias(f"share_{c}") for c in (*(n for n, _ in URL_RULES), "other_web", "unknown")]
     out = rows.groupBy("run").agg(
         F.count("*").alias("queries"), F.round(F.count_distinct("q") / F.count("*"), 6).alias("unique_ratio"), F.sum(F.length("query")).alias("chars"),
         F.round(F.avg(is_generic(F.col("query")).cast("int")), 6).alias("generic_rate"), F.count_distinct("host").alias("hosts"), *shares)
-    counts = rows.select("run", F.explode(tokens(F.col("query"), "actionable")).alias("t")).groupBy("run", "t").agg(F.count("*").alias("n"))
+    counts = rows.select("run", F.explode(tokens(F.col("query"), "search")).alias("t")).groupBy("run", "t").agg(F.count("*").alias("n"))
     # Entropy in bits from the counts: log2 of the total less the mean of log2 n, weighted by n.
     total = F.sum("n")
     words = counts.groupBy("run").agg(F.round(F.log2(total) - F.sum(F.col("n") * F.log2("n")) / total, 5).alias("entropy"), F.round(F.count("*") / total, 6).alias("type_token_ratio"))

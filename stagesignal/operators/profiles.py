@@ -14,7 +14,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 # Leaf names that identify a person.
-IDENTITY_KEYS = ("Name", "Age", "Gender", "Occupation", "Nationality", "Nation", "Location", "Education", "Email", "Phone")
+IDENTITY_KEYS = (
+    "Name", "Age", "Gender", "Permanent Residence", "Hometown", "Educational Background", "Occupation", "Family Members and Relationships", "Pets",
+    "Parental Expectations", "Environmental Influence", "Living Environment", "Hometown Memories",
+)
 
 
 def _walk(value, path: tuple[str, ...], skip: frozenset[str], lists_are_leaves: bool) -> Iterator[tuple[list[str], str, str]]:

@@ -57,19 +57,23 @@ def estimate_prompts(decisions: DataFrame, profiles: DataFrame, fixed: int = 120
     return per.groupBy("stage").agg(F.count("*").alias("calls"), F.sum("chars").alias("chars"), F.max("chars").alias("longest"))
 
 
-SPLIT_FIELDS = ("Occupation", "Location", "Nationality", "Education", "Interests", "Hobbies")
-SHORT_FIELDS = ("Name", "Age", "Location", "Nationality")
+# Fields whose values are lists, fields that one word may mask, fields that are no clauses.
+SPLIT_FIELDS = ("Name", "Age", "Gender", "Occupation", "Permanent Residence", "Hometown")
+SHORT_FIELDS = ("Name", "Age", "Gender", "Permanent Residence", "Hometown")
+PLAIN_FIELDS = ("Name", "Age", "Gender")
 
 
 def identity_phrases(leaves: DataFrame, sets: DataFrame) -> DataFrame:
-    """Per candidate set (set_id, userid): its masking phrases, longest first, then by lower case.
-    A phrase is a whole value, a part of it in list-like fields, a word of a name, an occupation without article or a clause."""
+    """Per candidate set (set_id, userid) and identity leaves: its masking phrases, longest first, then by lower case.
+    A phrase is a whole value, a part of it in list-like fields, a word of a name, an occupation without article or a
+    clause of a narrative field; ends are trimmed of white space and .,;: and short ones are left out."""
+    none = F.array().cast("array<string>")
     v = F.trim(F.regexp_replace("value", r"\s+", " "))
     variants = F.flatten(F.array(
-        F.array(v), F.when(F.col("key").isin(*SPLIT_FIELDS), F.split(v, r"\s*[,;/|]\s*")).otherwise(F.array()),
-        F.when(F.col("key") == "Name", F.split(v, " ")).otherwise(F.array()),
-        F.when(F.col("key") == "Occupation", F.array(F.regexp_replace(v, r"(?i)^(?:an?|the)\s+", ""))).otherwise(F.array()), F.split(v, r"\s*[.;]\s*")))
-    rows = leaves.select("userid", "key", F.explode(variants).alias("p")).withColumn("p", F.trim("p"))
+        F.array(v), F.when(F.col("key").isin(*SPLIT_FIELDS), F.split(v, "[,;/|]")).otherwise(none), F.when(F.col("key") == "Name", F.split(v, " ")).otherwise(none),
+        F.when(F.col("key") == "Occupation", F.array(F.regexp_replace(v, r"(?i)^(?:an?|the)\s+", ""))).otherwise(none),
+        F.when(F.col("key").isin(*PLAIN_FIELDS), none).otherwise(F.split(v, "[.;]"))))
+    rows = leaves.select("userid", "key", F.explode(variants).alias("p")).withColumn("p", F.regexp_replace("p", r"^[ \t\r\n.,;:]+|[ \t\r\n.,;:]+$", ""))
     rows = rows.where((F.length("p") >= 3) & ((F.size(F.split("p", " ")) >= 2) | F.col("key").isin(*SHORT_FIELDS)))
     per = rows.join(sets, "userid").groupBy("set_id", F.lower("p").alias("low")).agg(F.min("p").alias("p"))
     ordered = F.array_sort(F.collect_list(F.struct((-F.length("p")).alias("n"), F.col("low"), F.col("p"))))

@@ -10,6 +10,7 @@ from stagesignal.operators import candidates, matchers, overlap
 from stagesignal.plans import views
 from stagesignal.plans.decisions import M
 from stagesignal.plans.registry import query
+from stagesignal.plans.texts import _CATEGORY
 from stagesignal.plans.views import duck, matches
 
 RUNS = duck(views.RUNS)
@@ -204,12 +205,12 @@ TRACE = duck(views.TRACE)
 _Q = "nullif(trim(regexp_replace(lower(query), '\\s+', ' ', 'g')), '')"
 _U = "regexp_replace(lower(regexp_extract(link, '^([^:]+://[^/]*)', 1)) || regexp_extract(link, '^[^:]+://[^/]*([^#]*)', 1), '/+$', '')"
 _HOSTS = "lower(regexp_extract(link, '^[^:]+://([^/]*)', 1))"
-_CAT = "CASE WHEN contains(h, 'shop') THEN 'commerce' ELSE 'other' END"
+_SHARES = ", ".join(f"round(avg(CAST({_CATEGORY} = '{c}' AS INT)), 6) AS share_{c}" for c in (*(n for n, _ in S.URL_RULES), "other_web", "unknown"))
 _GEN = " OR ".join(f"contains(lower(query), '{p}')" for p in S.GENERIC_PHRASES)
-_STOPS = ", ".join(f"'{w}'" for w in S.ACTIONABLE_STOP)
+_STOPS = ", ".join(f"'{w}'" for w in S.SEARCH_STOP)
 _MECH = f"""WITH x AS (SELECT run, query, {_Q} AS q, {_HOSTS} AS h FROM ({TRACE}) WHERE attempted), t AS (SELECT run, unnest(regexp_extract_all(lower(query), '[a-z0-9]+')) AS w FROM x), c AS (SELECT run, w, count(*) AS n FROM t WHERE length(w) > 2 AND w NOT IN ({_STOPS}) GROUP BY ALL),
 s AS (SELECT run, sum(n) AS m, count(*) AS k FROM c GROUP BY run), e AS (SELECT run, round(-sum(n / m * log2(n / m)), 5) + 0.0 AS entropy, round(any_value(k) / any_value(m), 6) AS ttr FROM c JOIN s USING (run) GROUP BY run)
-SELECT x.run, count(*) AS queries, round(count(DISTINCT q) / count(*), 6) AS unique_ratio, CAST(sum(length(query)) AS BIGINT) AS chars, round(avg(CAST({_GEN} AS INT)), 6) AS generic_rate, count(DISTINCT h) AS hosts, round(avg(CAST(contains(h, 'shop') AS INT)), 6) AS share_commerce, 0.0 AS share_news, round(avg(CAST(NOT contains(h, 'shop') AS INT)), 6) AS share_other,
+SELECT x.run, count(*) AS queries, round(count(DISTINCT q) / count(*), 6) AS unique_ratio, CAST(sum(length(query)) AS BIGINT) AS chars, round(avg(CAST({_GEN} AS INT)), 6) AS generic_rate, count(DISTINCT h) AS hosts, {_SHARES},
  coalesce(any_value(entropy), 0.0) AS entropy, coalesce(any_value(ttr), 0.0) AS type_token_ratio FROM x LEFT JOIN e USING (run) GROUP BY x.run"""
 
 

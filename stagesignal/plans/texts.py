@@ -187,7 +187,7 @@ def r036_normalize_url(spark: SparkSession, d: str) -> DataFrame:
 
 
 _HOST = "lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)', 1))"
-_CATEGORY = "CASE " + " ".join(f"WHEN {' OR '.join(f'contains(h, {chr(39)}{p}{chr(39)})' for p in parts)} THEN '{n}'" for n, parts in S.URL_RULES) + " ELSE 'other' END"
+_CATEGORY = "CASE WHEN h = '' THEN 'unknown' " + " ".join(f"WHEN {' OR '.join(f'contains(h, {chr(39)}{p}{chr(39)})' for p in parts)} THEN '{n}'" for n, parts in S.URL_RULES) + " ELSE 'other_web' END"
 
 
 @query(f"SELECT category, count(*) AS pages, round(count(*) / sum(count(*)) OVER (), 6) AS fraction FROM (SELECT {_CATEGORY} AS category FROM (SELECT {_HOST} AS h FROM pages)) GROUP BY category")
@@ -204,13 +204,13 @@ def r038_generic_hit_rate(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{d}/conversations.parquet").groupBy("role").agg(F.round(F.avg(S.is_generic(text).cast("int")), 6).alias("generic"))
 
 
-_REASON = "SELECT conv_id, turn, left(text, 60) || CASE turn % 3 WHEN 0 THEN ' Clearly User1, strongly.' WHEN 1 THEN ' Perhaps User1 or User22; may be User1.' ELSE '' END AS x FROM conversations"
+_REASON = "SELECT conv_id, turn, left(text, 60) || CASE turn % 3 WHEN 0 THEN ' Clearly Candidate A, only it.' WHEN 1 THEN ' Perhaps Candidate A or candidate B; might be Candidate A.' ELSE '' END AS x FROM conversations"
 _N = lambda p: f"len(regexp_extract_all(x, '(?i)\\b(?:{p})\\b'))"
 
 
-@query(f"WITH r AS (SELECT conv_id, turn, {_N(S.STRONG)} AS strong, {_N(S.HEDGED)} AS hedged, len(list_distinct(regexp_extract_all(x, '\\bUser[0-9]+\\b'))) AS named FROM ({_REASON})) SELECT conv_id, turn, CAST(strong AS INTEGER) AS strong, CAST(hedged AS INTEGER) AS hedged, CAST(named AS INTEGER) AS named, CAST(strong - 0.5 * hedged + CASE WHEN named <= 1 THEN 0.5 ELSE 0 END AS DOUBLE) AS score FROM r")
+@query(f"WITH r AS (SELECT conv_id, turn, {_N(S.STRONG)} AS strong, {_N(S.HEDGED)} AS hedged, len(list_distinct(regexp_extract_all(x, '(?i)Candidate\\s+[ABC]'))) AS named FROM ({_REASON})) SELECT conv_id, turn, CAST(strong AS INTEGER) AS strong, CAST(hedged AS INTEGER) AS hedged, CAST(named AS INTEGER) AS named, strong > 0 AS has_strong, hedged > 0 AS has_hedge, CAST(strong - 0.5 * hedged + CASE WHEN named <= 1 THEN 0.5 ELSE 0 END AS DOUBLE) AS score FROM r")
 def r039_certainty_proxy(spark: SparkSession, d: str) -> DataFrame:
-    more = F.when(F.col("turn") % 3 == 0, " Clearly User1, strongly.").when(F.col("turn") % 3 == 1, " Perhaps User1 or User22; may be User1.").otherwise("")
+    more = F.when(F.col("turn") % 3 == 0, " Clearly Candidate A, only it.").when(F.col("turn") % 3 == 1, " Perhaps Candidate A or candidate B; might be Candidate A.").otherwise("")
     rows = spark.read.parquet(f"{d}/conversations.parquet")
     out = rows.select("conv_id", "turn", S.certainty_proxy(F.concat(F.substring("text", 1, 60), more)).alias("c")).select("conv_id", "turn", "c.*")
     return out.withColumn("score", F.col("score").cast("double"))
