@@ -8,8 +8,9 @@ labelled sample the terms that say most about the label are kept (by a signed ch
 over those present is trained by AdaGrad on the logistic loss: a pair such as insult and group mention has a weight
 of its own, beyond the sum of the two. Scores are calibrated by a slope and offset fitted on rows held out of the sample.
 
-Bounds (parameters): about `per_label` rows of each label, of those the ones of at most `most_chars` characters; every row is
-scored from its whole text.
+Bounds (parameters): about `per_label` rows of each label, of those the ones of at most `most_chars` characters, long ones
+too: a long text meets many terms by chance, which short ones alone would not teach. Executors hash the sampled texts and
+only their terms reach the driver. Every row is scored from its whole text.
 
 Defined cases: null and empty texts score as a text without known terms; repeated rows and copies score equally; rows
 without a label are scored, not learned from; without rows of both labels all scores are the share of label 1 (0.0
@@ -105,15 +106,18 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def train(texts: list[str | None], labels: list[int], *, prior: float | None = None, steps: int = 80_000, rate: float = 0.1, decay: float = 1e-4, seed: int = 3) -> Model:
-    """prior: the share of label 1 among all labelled rows; rows are weighted to it."""
+def train(texts: list[str | None], labels: list[int], **settings: float) -> Model:
+    return learned([terms(t) for t in texts], labels, **settings)
+
+
+def learned(found: list[np.ndarray], labels: list[int], *, prior: float | None = None, steps: int = 80_000, rate: float = 0.1, decay: float = 1e-4, seed: int = 3) -> Model:
+    """From the terms of each text. prior: the share of label 1 among all labelled rows; rows are weighted to it."""
     y = np.array(labels, dtype=np.float64)
     share = float(y.mean()) if len(y) else 0.0
     prior = share if prior is None else prior
     nothing = Model(np.zeros(0, dtype=np.uint32), -30.0 if not share else float(np.log(share / max(1 - share, 1e-9))), np.zeros(0), np.zeros((0, FACTORS)))
     if share in (0.0, 1.0):
         return nothing
-    found = [terms(t) for t in texts]
     held = np.arange(len(y)) % 6 == 5
     learn = np.flatnonzero(~held) if len(y) >= 60 else np.arange(len(y))
     check = np.flatnonzero(held) if len(y) >= 60 else learn
@@ -167,17 +171,22 @@ def draw(labels: DataFrame, label_col: str, id_col: str, per_label: int) -> tupl
     return usable.where(drawn).limit(4 * per_label), counts.get(1, 0) / sum(counts.values()) if counts else None
 
 
-def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", id_col: str = "doc_id", *, labels: DataFrame | None = None, per_label: int = 3000, most_chars: int = 20_000) -> Model:
+def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", id_col: str = "doc_id", *, labels: DataFrame | None = None, per_label: int = 3000, most_chars: int = 200_000) -> Model:
     """Learns from labelled texts; with labels, from the texts of labelled whose ids labels has. The sample is drawn from
     the labels alone, so that only its ids (a bounded number) meet the texts, by broadcast."""
     rows, prior = draw(labelled if labels is None else labels, label_col, id_col, per_label)
     if labels is not None:
         rows = labelled.select(id_col, text_col).join(F.broadcast(rows.select(id_col, label_col)), id_col)
     rows = rows.where(F.length(F.coalesce(text_col, F.lit(""))) <= most_chars)
-    got = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("label")).toPandas()
+    got = rows.select(F.col(id_col).alias("id"), _packed(F.col(text_col)).alias("terms"), F.col(label_col).cast("int").alias("label")).toPandas()
     # Put in order and interleaved anew, so that the rows held out for calibration are a fair part.
-    got = got.sort_values(["id", "text"], ignore_index=True).sample(frac=1.0, random_state=11, ignore_index=True)
-    return train(got["text"].tolist(), got["label"].tolist(), prior=prior)
+    got = got.sort_values(["id", "terms"], ignore_index=True).sample(frac=1.0, random_state=11, ignore_index=True)
+    return learned([np.frombuffer(t, dtype=np.uint32) for t in got["terms"]], got["label"].tolist(), prior=prior)
+
+
+@F.pandas_udf(T.BinaryType())
+def _packed(texts: pd.Series) -> pd.Series:
+    return pd.Series([terms(t).tobytes() for t in texts], index=texts.index, dtype=object)
 
 
 def scorer(model: Model, df: DataFrame):
