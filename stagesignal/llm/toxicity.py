@@ -171,7 +171,7 @@ def draw(labels: DataFrame, label_col: str, id_col: str, per_label: int) -> tupl
     return usable.where(drawn).limit(4 * per_label), counts.get(1, 0) / sum(counts.values()) if counts else None
 
 
-def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", id_col: str = "doc_id", *, labels: DataFrame | None = None, per_label: int = 3000, most_chars: int = 200_000) -> Model:
+def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", id_col: str = "doc_id", *, labels: DataFrame | None = None, per_label: int = 6000, most_chars: int = 200_000) -> Model:
     """Learns from labelled texts; with labels, from the texts of labelled whose ids labels has. The sample is drawn from
     the labels alone, so that only its ids (a bounded number) meet the texts, by broadcast."""
     rows, prior = draw(labelled if labels is None else labels, label_col, id_col, per_label)
