@@ -34,6 +34,8 @@ BATCH_BYTES = 1 << 20
 #: Rows of a tile, and of a block at least; there are never more than MOST_BLOCKS blocks, so their ranges of
 #: population counts (16 bytes each) may visit the driver.
 TILE, BLOCK, MOST_BLOCKS = 256, 8192, 1024
+#: Tile pairs whose bounds a task holds at once.
+MOST_GAPS = 1 << 22
 #: Constants of the XXH64 hash (fixed values).
 P1, P2, P3, P4, P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
 LOW_BITS = np.uint64(0x0101010101010101)
@@ -188,6 +190,15 @@ def _gap(lo_a: np.ndarray, hi_a: np.ndarray, lo_b: np.ndarray, hi_b: np.ndarray)
     return out
 
 
+def _near(ends: list[np.ndarray], radius: int) -> Iterator[tuple[int, int]]:
+    """Tile pairs that may hold a link, some rows of tiles at a time, so that memory stays bounded for any block."""
+    lo_a, hi_a, lo_b, hi_b = ends
+    step = max(1, MOST_GAPS // max(1, len(lo_b)))
+    for k in range(0, len(lo_a), step):
+        i, j = np.nonzero(_gap(lo_a[k : k + step], hi_a[k : k + step], lo_b, hi_b) <= radius)
+        yield from zip(i + k, j)
+
+
 def linked(a: np.ndarray, b: np.ndarray | None, radius: int = RADIUS) -> list[tuple[int, int]]:
     """A spanning forest of the links within a (b is None) or between a and b."""
     same = b is None
@@ -199,7 +210,8 @@ def linked(a: np.ndarray, b: np.ndarray | None, radius: int = RADIUS) -> list[tu
     ca, cb = _counts(a).astype(np.int16), _counts(b).astype(np.int16)
     ends = [np.minimum.reduceat(ca, tiles_a), np.maximum.reduceat(ca, tiles_a), np.minimum.reduceat(cb, tiles_b), np.maximum.reduceat(cb, tiles_b)]
     forest: list[tuple[int, int]] = []
-    for i, j in zip(*np.nonzero(_gap(*ends) <= radius)):
+    members: dict[int, list[int]] = {}
+    for i, j in _near(ends, radius):
         if same and j < i:
             continue
         x, y = a[tiles_a[i] : tiles_a[i] + TILE], b[tiles_b[j] : tiles_b[j] + TILE]
@@ -212,7 +224,11 @@ def linked(a: np.ndarray, b: np.ndarray | None, radius: int = RADIUS) -> list[tu
                 u, v = root[r[k]], root[c[k]]
                 if u != v:
                     forest.append((int(names[r[k]].astype(np.int64)), int(names[c[k]].astype(np.int64))))
-                    root[root == max(u, v)] = min(u, v)
+                    few, many = sorted((members.pop(u, [u]), members.pop(v, [v])), key=len)
+                    name = root[many[0]]
+                    root[few] = name
+                    many.extend(few)
+                    members[name] = many
     return forest
 
 
