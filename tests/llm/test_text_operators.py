@@ -165,7 +165,9 @@ def test_simhash_components(spark):
     assert {r["doc_id"] for r in simhash.distinct_rows(docs(spark, rows)).collect()} == {find(i) for i in prints}
 
 
-def test_tiles_lose_no_link():
+@pytest.mark.parametrize("gaps", [1, 1 << 22])
+def test_tiles_lose_no_link(monkeypatch, gaps):
+    monkeypatch.setattr(simhash, "MOST_GAPS", gaps)
     rng = np.random.default_rng(0)
     a = rng.integers(0, 2**64, 1500, dtype=np.uint64)
     for _ in range(3):
@@ -245,6 +247,14 @@ def test_toxicity_learns_an_interaction():
     assert (got == np.array(labels[2000:], dtype=bool)).mean() > 0.97
 
 
+def test_toxicity_learns_as_well_from_terms_hashed_in_tasks(spark):
+    rows = [(i, f"{'vile insult' if i % 4 == 0 else 'kind word'} number {i % 7} of many", int(i % 4 == 0)) for i in range(200)]
+    rows += [(200, None, 0), (201, "", 0), (202, "kind " * 50_000, 0), (203, "vile insult", None)]
+    model = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string, toxic int"))
+    assert model.score("a vile insult") > 0.7
+    assert max(model.score(t) for t in (None, "", "a kind word", "kind " * 60_000)) < 0.7
+
+
 def test_toxicity_held_out(spark):
     df = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
     rows = df.join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"), "doc_id")
