@@ -4,7 +4,8 @@ Vectors become integers. A bounded number of pivots is drawn; each query belongs
 summary is its radius s. For a data vector p and a group with pivot c, every query's score lies within
 c.p - s|p| and c.p + s|p|. The (k+1)-th largest lower bound over different ids is the group's bound; data whose upper
 bound is below it cannot be among any of its queries' k best and is not sent there. Each group's data is dealt into
-slices of bounded size, each slice is solved locally with numpy, and the slices' best are merged.
+slices and its queries into parts, both of bounded size (a group may hold a third of all queries); each slice is solved
+locally with numpy for each part, and the slices' best are merged.
 
 Defined cases: vectors that are null, empty or hold null or non-finite components take no part, nor do those whose
 length is not the commonest one (the longer of two as common); a query's own id never answers it; other rows that
@@ -25,11 +26,11 @@ from pyspark.sql.window import Window
 
 from stagesignal.llm.common import cut
 
-#: Data rows that travel together, and rows of a slice.
-CHUNK, SLICE = 1024, 65_536
+#: Data rows that travel together, rows of a slice, and queries of a part.
+CHUNK, SLICE, PART = 1024, 65_536, 65_536
 VECTORS = pa.schema([("id", pa.int64()), ("v", pa.binary())])
 BOUNDS = pa.schema([("g", pa.int32()), ("id", pa.int64()), ("least", pa.float64())])
-NEEDED = pa.schema([("g", pa.int32()), ("s", pa.int32()), ("ids", pa.binary()), ("vs", pa.binary())])
+NEEDED = pa.schema([("g", pa.int32()), ("s", pa.int32()), ("r", pa.int32()), ("ids", pa.binary()), ("vs", pa.binary())])
 BEST = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
 
@@ -92,8 +93,8 @@ class _Bounds:
         rows = [(int(self.groups[g]), i, x) for g, held in enumerate(best) for i, x in held.items()]
         yield _batch(BOUNDS, *(zip(*rows) if rows else ((), (), ())))
 
-    def needed(self, slices: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Chunks of the data that each group needs, dealt to its slices in turn."""
+    def needed(self, slices: int, parts: list[int], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Chunks of the data that each group needs, dealt to its slices in turn, once for each part of its queries."""
         turn = TaskContext.get().partitionId()
         for batch in batches:
             if not batch.num_rows:
@@ -105,7 +106,8 @@ class _Bounds:
                 for k in range(0, len(on), CHUNK):
                     rows = on[k : k + CHUNK]
                     turn += 1
-                    yield _batch(NEEDED, [int(group)], [turn % slices], [ids[rows].tobytes()], [v[rows].tobytes()])
+                    n = parts[g]
+                    yield _batch(NEEDED, [int(group)] * n, [turn % slices] * n, range(n), [ids[rows].tobytes()] * n, [v[rows].tobytes()] * n)
 
 
 def _solve(k: int, width: int, data: pa.Table, queries: pa.Table) -> pa.Table:
@@ -128,7 +130,7 @@ def _solve(k: int, width: int, data: pa.Table, queries: pa.Table) -> pa.Table:
 
 
 def top_k(vectors: DataFrame, asked: Column, id_col: str = "vec_id", vec_col: str = "embedding", *, k: int = 10,
-          scale: float = 1024.0, pivots: int = 32) -> DataFrame:
+          scale: float = 1024.0, pivots: int = 32, part: int = PART) -> DataFrame:
     """For each row of vectors for which asked (a condition on id_col) holds: query_id, rank, vec_id, score of its k best."""
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v"), F.col(id_col))
@@ -151,7 +153,7 @@ def top_k(vectors: DataFrame, asked: Column, id_col: str = "vec_id", vec_col: st
                 yield pa.RecordBatch.from_arrays([batch["id"], batch["v"], pa.array(g, pa.int32()), pa.array(far)], names=["id", "v", "g", "far"])
 
     queries = cut(queries.mapInArrow(grouped, "id long, v binary, g int, far double"))
-    found = queries.groupBy("g").agg(F.max("far").alias("far")).orderBy("g").toPandas()  # a row per pivot at most
+    found = queries.groupBy("g").agg(F.max("far").alias("far"), F.count("*").alias("n")).orderBy("g").toPandas()  # a row per pivot at most
     if found.empty:
         return empty
     bounds = _Bounds(found["g"].to_numpy(), centres[found["g"].to_numpy()], found["far"].to_numpy() * (1 + 1e-9) + 1e-3)
@@ -162,9 +164,11 @@ def top_k(vectors: DataFrame, asked: Column, id_col: str = "vec_id", vec_col: st
     least = {r["g"]: r["least"] if r["n"] == k + 1 else -np.inf for r in kept}
     bounds.bound = np.array([least.get(int(g), -np.inf) for g in bounds.groups])
     slices = max(1, -(-data.count() // SLICE))
-    needed = data.mapInArrow(lambda it: bounds.needed(slices, it), "g int, s int, ids binary, vs binary")
-    sent = queries.select("g", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("s"), "id", "v")
-    best = needed.groupBy("g", "s").cogroup(sent.groupBy("g", "s")).applyInArrow(
+    parts = [-(-n // part) for n in found["n"].tolist()]
+    needed = data.mapInArrow(lambda it: bounds.needed(slices, parts, it), "g int, s int, r int, ids binary, vs binary")
+    of_group = F.create_map(*[F.lit(int(x)) for e in zip(found["g"], parts) for x in e])
+    sent = queries.select("g", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("s"), F.pmod(F.xxhash64("id"), of_group[F.col("g")]).cast("int").alias("r"), "id", "v")
+    best = needed.groupBy("g", "s", "r").cogroup(sent.groupBy("g", "s", "r")).applyInArrow(
         lambda a, b: _solve(k, width, a, b), "query_id long, vec_id long, score long")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return best.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -31,6 +31,8 @@ def test_top_k_is_exact(spark, monkeypatch):
     df = spark.createDataFrame([(i, v, 0) for i, v in rows], COLUMNS)
     got = {tuple(r) for r in knn.top_k(df, F.col("vec_id") % 100 == 0).collect()}
     assert got == brute(rows)
+    dealt = knn.top_k(df, F.col("vec_id") % 100 == 0, pivots=2, part=1)  # each group's queries in several parts
+    assert {tuple(r) for r in dealt.collect()} == got and dealt.count() == len(got)
 
 
 def test_top_k_small_and_empty(spark):
