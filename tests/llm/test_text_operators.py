@@ -262,7 +262,7 @@ def test_toxicity_held_out(spark):
     model = toxicity.fit(rows.where(~held))
     got = rows.where(held).select("toxic", toxicity.scorer(model, rows)(F.col("text")).alias("s")).collect()
     y, p = np.array([r["toxic"] for r in got]) == 1, np.array([r["s"] for r in got]) >= 0.7
-    assert (y & p).sum() / p.sum() > 0.95 and (y & p).sum() / y.sum() > 0.75  # of 270 labelled toxic rows to learn from
+    assert (y & p).sum() / p.sum() > 0.97 and (y & p).sum() / y.sum() > 0.85  # of 305 labelled toxic rows to learn from
 
 
 def test_terms_are_words_wherever_they_stand():
@@ -271,6 +271,11 @@ def test_terms_are_words_wherever_they_stand():
     assert set(a) <= set(b) and len(a) == 6  # four words, and the heads of the longer one
 
 
+def test_terms_count_beginnings():
+    once, often = (toxicity.terms(" ".join("nastyfier nastyfied nastyfull".split()[:n])) for n in (1, 3))
+    assert len(once) == 3 and len(often) == 3 + 2 + 2 * 2  # words, two heads, and for each head "2 times" and "3 times"
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body><nav><ul><li><a href="/x">Menu</a></ul></nav>
 <div class="cookie-notice">We use cookies</div><div class=ad>Buy</div><div class="c%d"><article><h1>Head &amp; more</h1><p>First <b>bold</b>
  text.<p>Second&nbsp;one<br>here<script>var t="</p>"</script></p><!-- no --><form><p>Name</p></form></article></div>
