@@ -4,7 +4,9 @@ Subwords are the 1- to 3-byte grams of a lower-cased text in which everything bu
 a row of an embedding table; a text is the average of its rows, and a linear layer with softmax gives the languages.
 Embeddings and layer are trained together by stochastic gradient descent in numpy, on a bounded sample of labelled
 rows. Scores are calibrated by a temperature fitted on rows held out of that sample, and a text is rejected when its
-score, or the share of its subwords that training has seen, is below what nearly all held-out texts reach. At prediction the two linear maps are multiplied into one table.
+score, or the share of its 3-byte grams that training has seen, is below what nearly all held-out texts of its length
+reach: both bounds come from the sample's texts and windows of them alone, one pair for each power of two of the length.
+At prediction the two linear maps are multiplied into one table.
 
 Bounds (parameters): at most `per_lang` rows for each of the `most_langs` commonest labels, none over `most_chars`
 characters; whole texts otherwise, and always whole texts at prediction.
@@ -17,7 +19,7 @@ an empty table gives an empty result. Other columns are kept by `accepted_rows`
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -27,15 +29,23 @@ from pyspark.sql import types as T
 
 UNKNOWN = "und"
 GRAMS, BUCKETS, DIM = 3, 1 << 14, 16
+#: Hash table of the 3-byte grams seen, large enough that few unseen ones share a place with a seen one.
+TRIGRAMS = 1 << 20
+#: Windows of held-out texts scored for each length, about; shares of seen grams are taken from 16 times as many.
+WINDOWS = 4000
 PIECE = 1 << 20
 #: ASCII letters in lower case, other bytes of letters as they are, all else a space.
 LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
-def subwords(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of a text's subwords and how often each occurs. Runs of spaces count as one."""
+def letters(text: str) -> bytes:
+    """Lower-cased letters of a text. Runs of spaces count as one."""
+    return b" " + b" ".join(text.lower().encode("utf-8", "replace").translate(LETTERS).split()) + b" "
+
+
+def subwords(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the subwords of letters and how often each occurs."""
     counts = np.zeros(BUCKETS, dtype=np.int64)
-    raw = b" " + b" ".join(text.lower().encode("utf-8", "replace").translate(LETTERS).split()) + b" "
     for at in range(0, len(raw), PIECE):
         b = np.frombuffer(raw[at : at + PIECE + GRAMS - 1], dtype=np.uint8).astype(np.uint32)
         code = np.zeros(len(b), dtype=np.uint32)
@@ -47,20 +57,34 @@ def subwords(text: str) -> tuple[np.ndarray, np.ndarray]:
     return on, counts[on]
 
 
+def trigrams(raw: bytes) -> Iterator[np.ndarray]:
+    """Places of all 3-byte grams of letters in a table of TRIGRAMS, some at a time."""
+    for at in range(0, len(raw) - 2, PIECE):
+        b = np.frombuffer(raw[at : at + PIECE + 2], dtype=np.uint8).astype(np.uint32)
+        code = (b[:-2] << np.uint32(16)) | (b[1:-1] << np.uint32(8)) | b[2:]
+        yield (code * np.uint32(2654435761)) >> np.uint32(12)
+
+
+def band(raw: bytes) -> int:
+    """The power of two of the number of 3-byte grams."""
+    return max(1, len(raw) - 2).bit_length() - 1
+
+
 @dataclass
 class Model:
     langs: list[str]
     table: np.ndarray  # BUCKETS x langs: embeddings times layer
     bias: np.ndarray
     temperature: float
-    seen: np.ndarray  # BUCKETS: whether training had such subwords
-    least: float = 0.0  # scores below it are rejected
-    familiar: float = 0.0  # and shares of seen subwords below it
+    seen: np.ndarray  # TRIGRAMS: whether training had such 3-byte grams
+    least: np.ndarray = field(default_factory=lambda: np.zeros(1))  # by band of length: scores below it are rejected
+    familiar: np.ndarray = field(default_factory=lambda: np.zeros(1))  # and shares of seen 3-byte grams below it
 
-    def logits(self, text: str) -> tuple[np.ndarray, float]:
-        on, n = subwords(text)
+    def logits(self, raw: bytes) -> tuple[np.ndarray, float]:
+        on, n = subwords(raw)
         n = n / n.sum()
-        return n @ self.table[on] + self.bias, float(n[self.seen[on]].sum())
+        known = sum(int(self.seen[t].sum()) for t in trigrams(raw))
+        return n @ self.table[on] + self.bias, known / max(1, len(raw) - 2)
 
     def predict(self, texts: pd.Series) -> pd.DataFrame:
         rows = []
@@ -68,11 +92,13 @@ class Model:
             if not self.langs or not isinstance(text, str) or not any(c.isalpha() for c in text):
                 rows.append((UNKNOWN, 0.0, False))
                 continue
-            x, known = self.logits(text)
+            raw = letters(text)
+            x, known = self.logits(raw)
             p = np.exp((x - x.max()) / self.temperature)
             k = int(p.argmax())
             score = float(p[k] / p.sum())
-            rows.append((self.langs[k], score, score >= self.least and known >= self.familiar))
+            at = min(band(raw), len(self.least) - 1)
+            rows.append((self.langs[k], score, score >= self.least[at] and known >= self.familiar[at]))
         return pd.DataFrame(rows, columns=["lang", "score", "accepted"]).astype({"score": "float64", "accepted": "bool"})
 
 
@@ -81,13 +107,33 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
+def spans(n: int, each: int) -> Iterator[tuple[int, np.ndarray, int]]:
+    """(band, starts, length) of a text of n 3-byte grams: windows for every lower band, and the whole of it."""
+    top = max(1, n).bit_length() - 1
+    for k in range(top):
+        size = 1 << k
+        yield k, np.linspace(0, n - size, min(each, n >> k)).astype(int), size
+    yield top, np.zeros(1, dtype=int), n
+
+
+def bounds(values: list[list[float]], rejected: float) -> np.ndarray:
+    """What all but the rejected share reaches in each band. A band with too few values to tell takes the bound of the
+    one below, and none is stricter than a longer one: short texts are hard, not foreign."""
+    told = [k for k, v in enumerate(values) if len(v) * rejected >= 1]
+    if not told:
+        return np.full(1, min((x for v in values for x in v), default=0.0))
+    out = np.array([np.quantile(values[k], rejected) if k in told else np.inf for k in range(told[-1] + 1)])
+    return np.minimum.accumulate(out[::-1])[::-1]
+
+
 def train(texts: list[str], labels: list[str], *, epochs: int = 12, rate: float = 4.0, batch: int = 32, seed: int = 5, rejected: float = 0.001) -> Model:
     """Stochastic gradient descent on embeddings and layer; every eighth text is held out for calibration."""
     langs = sorted(set(labels))
     if not langs:
         return Model([], np.zeros((BUCKETS, 0)), np.zeros(0), 1.0, np.zeros(BUCKETS, dtype=bool))
     rng = np.random.default_rng(seed)
-    grams = [subwords(t) for t in texts]
+    raws = [letters(t) for t in texts]
+    grams = [subwords(t) for t in raws]
     y = np.array([langs.index(x) for x in labels])
     emb = rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32)
     layer, bias = rng.normal(0, 0.1, (DIM, len(langs))).astype(np.float32), np.zeros(len(langs), dtype=np.float32)
@@ -117,18 +163,26 @@ def train(texts: list[str], labels: list[str], *, epochs: int = 12, rate: float
             on = np.flatnonzero(x.any(axis=0))
             emb[on] -= x[:, on].T @ back
             step += 1
-    times = np.zeros(BUCKETS, dtype=np.int64)
-    for r in learn:
-        times[grams[r][0]] += 1
+    codes = [np.concatenate([np.zeros(0, dtype=np.uint32), *trigrams(raw)]) for raw in raws]
+    times = np.zeros(TRIGRAMS, dtype=np.int64)
+    for c in codes:
+        times[np.unique(c)] += 1
     model = Model(langs, (emb @ layer).astype(np.float64), bias.astype(np.float64), 1.0, times >= 2)
     check = np.flatnonzero(held) if held.any() else learn
-    z, known = (np.array(x) for x in zip(*[model.logits(texts[r]) for r in check]))
+    z = np.array([model.logits(raws[r])[0] for r in check])
     losses = {t: -np.log(np.maximum(_softmax(z / t)[np.arange(len(check)), y[check]], 1e-12)).mean() for t in np.geomspace(0.1, 4, 25)}
     model.temperature = float(min(losses, key=lambda t: (losses[t], t)))
-    p = _softmax(z / model.temperature)
-    # Bounded from above: texts of a few letters are hard, not foreign.
-    model.least = min(float(np.quantile(p.max(axis=1), rejected)), 1.5 / len(langs)) if len(langs) > 1 else 0.0
-    model.familiar = min(float(np.quantile(known, rejected)), 0.7)
+    scores, shares = ([[] for _ in range(64)] for _ in range(2))
+    for r in check:
+        for k, starts, size in spans(len(codes[r]), -(-WINDOWS // len(check))):
+            z = np.array([model.logits(raws[r][i : i + size + 2])[0] for i in starts])
+            scores[k].extend(_softmax(z / model.temperature).max(axis=1))
+    for c in codes:
+        # Seen in two texts besides its own, so that every text is as one held out.
+        upto = np.concatenate([[0], np.cumsum(times[c] >= 3)])
+        for k, starts, size in spans(len(c), -(-16 * WINDOWS // len(codes))):
+            shares[k].extend((upto[starts + size] - upto[starts]) / max(1, size))
+    model.least, model.familiar = bounds(scores, rejected), bounds(shares, rejected)
     return model
 
 

@@ -3,6 +3,7 @@ import re
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -233,6 +234,31 @@ def test_language_held_out_accuracy(spark):
     assert not any(r["p"]["accepted"] for r in strange.select(langid.identify(strange, model).alias("p")).collect())
 
 
+def test_language_rejects_unlearned_latin_languages_and_noise(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    held = langid.held_out("doc_id", 5, 0)
+    model = langid.fit(df.where(~held))
+    strange = {
+        "pl": "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem",
+        "tr": "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar. Akıl ve vicdana sahiptirler ve birbirlerine karşı",
+        "sw": "Watu wote wamezaliwa huru, hadhi na haki zao ni sawa. Wote wamejaliwa akili na dhamiri, hivyo yapasa watendeane kindugu",
+        "fi": "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto",
+        "noise": "qwkj zxcvb plmokn wsxedc rfvtgb yhnujm ikolp qazwsx jhgfd mnbvc xzlkj hgfdsa poiuy trewq lkjhg",
+    }
+    texts = {(k, n): " ".join([t] * 3)[:n] for k, t in strange.items() for n in (40, 80, 300)}
+    got = dict(zip(texts, model.predict(pd.Series(list(texts.values())))["accepted"]))
+    assert not [k for k, ok in got.items() if ok]
+    rows = [" ".join(r["text"].split()[:n]) for r in df.where(held).where("text is not null").collect() for n in (1, 3, 10, 30)]
+    assert model.predict(pd.Series([t for t in rows if any(c.isalpha() for c in t)]))["accepted"].mean() > 0.98
+
+
+def test_language_bounds_need_enough_texts():
+    few, many = [0.9] * 10, [0.5] + [0.8] * 1999
+    assert langid.bounds([many, few], 0.001).tolist() == pytest.approx([0.8])
+    assert langid.bounds([[0.9] * 1000, many], 0.001).tolist() == pytest.approx([0.8, 0.8])
+    assert langid.bounds([few, []], 0.001).tolist() == [0.9] and langid.bounds([[]], 0.001).tolist() == [0.0]
+
+
 def test_toxicity_learns_an_interaction():
     rng = np.random.default_rng(4)
     texts, labels = [], []
