@@ -9,7 +9,8 @@ of the links that it finds, never all pairs of a group, and components follow by
 
 Defined cases: a null text is an empty one; a text without words has fingerprint 0 and is linked like any other; a
 text of fewer than four words is one shingle; copies and repeated rows share a fingerprint; a null id is never the
-smallest unless all are null; an empty table gives an empty result. Other columns are kept by `distinct_rows` only.
+smallest unless all are null; an empty table gives an empty result. Rows are told apart by id and text, so two texts
+under one id, or any under null ids, are decided each on its own. Other columns are kept by `distinct_rows` only.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -264,23 +265,45 @@ def links(prints: DataFrame) -> DataFrame:
     return work.mapInArrow(_compare, "a long, b long")
 
 
-def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, fingerprint (16 hex digits) and component_id (the smallest id reachable)."""
-    base = cut(docs.select(F.col(id_col).cast("long").alias("_id"), fingerprint(F.col(text_col)).alias("_print")))
-    prints = cut(base.groupBy("_print").agg(F.min("_id").alias("_least")))
+def _prints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Per row: _id, _sha (of the text) and _print."""
+    text = F.col(text_col)
+    return cut(docs.select(F.col(id_col).cast("long").alias("_id"), F.sha2(F.coalesce(text, F.lit("")), 256).alias("_sha"), fingerprint(text).alias("_print")))
+
+
+def _order() -> Column:
+    """Order of the rows of a component: null ids last, then by id, fingerprint and text."""
+    return F.struct(F.col("_id").isNull().alias("_none"), "_id", "_print", "_sha")
+
+
+def _components(base: DataFrame) -> DataFrame:
+    """_p, _first: each different fingerprint and the first row of its component."""
+    prints = cut(base.groupBy("_print").agg(F.min(_order()).alias("_least")))
     nodes = components(links(prints.select("_print")))
     members = nodes.join(prints, F.col("node") == F.col("_print")).select("node", "root", "_least")
     least = members.groupBy("root").agg(F.min("_least").alias("_group"))
     joined = members.join(least, "root").select("node", "_group")
     known = prints.join(joined, F.col("_print") == F.col("node"), "left")
-    known = known.select(F.col("_print").alias("_p"), F.coalesce("_group", "_least").alias("_component"))
-    return base.join(known, F.col("_print") == F.col("_p")).select(
-        F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("_print"), 16, "0")).alias("fingerprint"), F.col("_component").alias("component_id")
+    return known.select(F.col("_print").alias("_p"), F.coalesce("_group", "_least").alias("_first"))
+
+
+def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: id, fingerprint (16 hex digits) and component_id (the smallest id reachable)."""
+    base = _prints(docs, id_col, text_col)
+    return base.join(_components(base), F.col("_print") == F.col("_p")).select(
+        F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("_print"), 16, "0")).alias("fingerprint"), F.col("_first._id").alias("component_id")
     )
 
 
 def distinct_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows whose id is the smallest of their component, with all columns. Rows of a null id stay."""
-    gone = groups(docs, id_col, text_col).where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone"))
-    held = docs.select(F.struct("*").alias("_row"), F.col(id_col).cast("long").alias("_i"))
-    return held.join(gone, F.col("_i") == F.col("_gone"), "left_anti").select("_row.*")
+    """One row of each component, with all columns: the first by id (nulls last), fingerprint and text. Of rows equal in id
+    and text one stays."""
+    base = _prints(docs, id_col, text_col)
+    rows = cut(base.groupBy("_id", "_sha", "_print").agg(F.count("*").alias("_n")).join(_components(base), F.col("_print") == F.col("_p")))
+    first = _order().eqNullSafe(F.col("_first"))
+    gone = rows.where(~first).select(F.col("_id").alias("_gone"), F.col("_sha").alias("_gone_sha"))
+    held = docs.select(F.struct("*").alias("_row"), F.col(id_col).cast("long").alias("_i"), F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("_h"))
+    held = held.join(gone, F.col("_i").eqNullSafe(F.col("_gone")) & (F.col("_h") == F.col("_gone_sha")), "left_anti")
+    if rows.where("_n > 1").where(first).limit(1).count():
+        held = held.dropDuplicates(["_i", "_h"])
+    return held.select("_row.*")

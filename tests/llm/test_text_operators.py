@@ -166,6 +166,23 @@ def test_simhash_components(spark):
     assert {r["doc_id"] for r in simhash.distinct_rows(docs(spark, rows)).collect()} == {find(i) for i in prints}
 
 
+def test_near_dedup_decides_by_id_and_text(spark):
+    rng = np.random.default_rng(4)
+
+    def text():
+        return " ".join("".join(rng.choice(list("abcdefgh"), 6)) for _ in range(400))
+
+    a, b, c, d, e = (text() for _ in range(5))
+    rows = [
+        (1, a, "s"), (2, a + " x", "s"), (2, b, "s"),  # 2 has a near copy of 1 and a text of its own
+        (3, c, "s"), (3, c + " x", "s"), (3, c, "s"),  # near copies and a copy under one id
+        (None, d, "s"), (None, d + " x", "s"), (None, d, "s"), (None, e, "s"), (9, e + " x", "s"),
+        (None, None, "s"), (None, "", "s"),
+    ]
+    got = sorted((r["doc_id"] or 0, (r["text"] or "").removesuffix(" x")) for r in simhash.distinct_rows(docs(spark, rows)).collect())
+    assert got == sorted([(1, a), (2, b), (3, c), (0, d), (9, e), (0, "")])
+
+
 @pytest.mark.parametrize("gaps", [1, 1 << 22])
 def test_tiles_lose_no_link(monkeypatch, gaps):
     monkeypatch.setattr(simhash, "MOST_GAPS", gaps)
