@@ -1,7 +1,7 @@
 """Main text of web pages by consensus host paths.
 
 A page's containers are scored by the share of its text (menus, adverts and the like left out, links counted
-against it) that they hold, deeper ones first; each votes for its generalised tag-class path from the root. Votes
+against it) that they hold, deeper ones first, those within an article or main as one; each votes for its generalised tag-class path from the root. Votes
 are added up per host in Spark, and every page is then extracted anew from the containers on its host's winning
 path. A page without that path uses its own best container.
 
@@ -127,13 +127,23 @@ def blocks(page: str | None) -> list[tuple[str, str, int]]:
     return out
 
 
+def whole(path: str) -> str:
+    """The outermost article that a container lies in, or else the outermost main, or else the container itself."""
+    steps = path.split("/")
+    tags = [s.partition(".")[0] for s in steps]
+    tag = next((t for t in ("article", "main") if t in tags), None)
+    return "/".join(steps[: tags.index(tag) + 1]) if tag else path
+
+
 def votes(page: str | None) -> dict[str, int]:
-    """Votes of a page for container paths: up to 1000 for all of its text, more for each level of depth."""
+    """Votes of a page for container paths: up to 1000 for all of its text, more for each level of depth. Containers
+    within an article or main stand for all of it, so that no part of it is lost to a deeper one."""
     score: dict[str, float] = defaultdict(float)
     total = 0.0
     for path, text, linked in blocks(page):
         weight = float(len(text) - linked) + 0.1 * linked
         total += weight
+        path = whole(path)
         while True:
             score[path] += weight
             if not path:

@@ -333,6 +333,17 @@ def test_html(spark):
     assert sorted(got) == sorted([(i, t, len(t)) for i, t in [(1, text), (1, text), (2, text), (3, ""), (4, "loose <text>"), (5, ""), (6, "only this")]])
 
 
+@pytest.mark.parametrize("tag", ["article", "main", "article class='post'"])
+def test_html_keeps_title_and_lead_beside_a_nested_body(spark, tag):
+    end = tag.split()[0]
+    body = "".join(f"<p>Paragraph {k} of a long body of text.</p>" for k in range(60))
+    page = f"<html><body><nav>Menu</nav><{tag}><h1>Title</h1><p>The lead.</p><div class=body>{body}</div></{end}><footer>Foot</footer></body></html>"
+    rows = spark.createDataFrame([(k, "http://a.example/%d" % k, page) for k in range(3)], "page_id long, url string, html string")
+    wanted = "\n".join(["Title", "The lead.", *[f"Paragraph {k} of a long body of text." for k in range(60)]])
+    got = html.main_text(rows).collect()
+    assert [r["text"] for r in got] == [wanted] * 3 and {r["host_path"].split("/")[-1] for r in got} == {"article.post" if "class" in tag else end}
+
+
 def test_html_agrees_with_the_article(spark):
     import html as lib
 
