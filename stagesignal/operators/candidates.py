@@ -58,8 +58,7 @@ def pick_members(groups: DataFrame, group: str, member: str, k: int, seed: int)
 def complete_groups(rows: DataFrame, group: str, key: str, size: int, total: int) -> DataFrame:
     """Whole groups of exactly size, in order, while they fit into total; then single rows of other groups fill up."""
     counts = rows.groupBy(group).agg(F.count("*").alias("_n"))
-    upto = F.sum("_n").over(Window.partitionBy(F.lit(1)).orderBy(group))
-    whole = counts.where(F.col("_n") == size).withColumn("_upto", upto).where(F.col("_upto") <= total).select(group)
+    whole = counts.where(F.col("_n") == size).orderBy(group).limit(max(0, total // size)).select(group)
     taken = rows.join(whole, group, "left_semi")
     rest = rows.join(whole, group, "left_anti").orderBy(group, key).limit(max(0, total - taken.count()))
     return taken.union(rest)

@@ -52,9 +52,10 @@ def r003_read_profile_items(spark: SparkSession, d: str) -> DataFrame:
 
 def _arrays(rows: DataFrame, folder: str) -> str:
     """Files that hold JSON arrays, one per hundred rows or so, as the logs do."""
-    part = F.pmod(F.xxhash64(*rows.columns[:2]), F.lit(8))
+    parts = max(1, -(-rows.count() // 100))
+    part = F.pmod(F.xxhash64(*rows.columns[:2]), F.lit(parts))
     packed = rows.groupBy(part.alias("part")).agg(F.to_json(F.collect_list(F.struct(*rows.columns))).alias("value"))
-    packed.select("value").repartition(8).write.text(folder)
+    packed.select("value").write.option("maxRecordsPerFile", 1).text(folder)
     return folder
 
 

@@ -308,3 +308,23 @@ def test_percentile_rules(spark):
     df = spark.createDataFrame([(float(x),) for x in range(100)], "v double")
     got = {(r, q): one(stats.percentile_rank(df, "v", q, r))["value"] for r in ("floor", "inner", "nearest") for q in (0.025, 0.975)}
     assert got == {("floor", 0.025): 2.0, ("floor", 0.975): 97.0, ("inner", 0.025): 2.0, ("inner", 0.975): 97.0, ("nearest", 0.025): 2.0, ("nearest", 0.975): 97.0}
+
+
+def test_arrays_in_files_stay_small_and_groups_need_no_single_window(spark, tmp_path):
+    import contextlib
+    import io as text
+    import json
+
+    from stagesignal.operators import candidates
+    from stagesignal.plans import files
+
+    folder = files._arrays(spark.range(3000).selectExpr("id", "cast(id as string) as name"), str(tmp_path / "arrays"))
+    found = [json.loads(p.read_text()) for p in (tmp_path / "arrays").glob("part-*") if p.stat().st_size]
+    assert sorted(r["id"] for a in found for r in a) == list(range(3000)) and max(map(len, found)) < 200
+    assert spark.read.schema("id long, name string").json(folder, multiLine=True).count() == 3000
+    rows = spark.createDataFrame([(g, k) for g in range(6) for k in range(3 if g % 2 else 2)], "g long, k long")
+    out = candidates.complete_groups(rows, "g", "k", 3, 7)
+    assert sorted(map(tuple, out.collect())) == [(0, 0), *[(g, k) for g in (1, 3) for k in range(3)]]
+    with contextlib.redirect_stdout(text.StringIO()) as plan:
+        out.explain()
+    assert "Window" not in plan.getvalue()
