@@ -1,28 +1,37 @@
 """Main text of web pages by consensus host paths.
 
-A page's containers are scored by the share of its text (menus, adverts and the like left out, links counted
-against it) that they hold, deeper ones first, those within an article or main as one; each votes for its generalised tag-class path from the root. Votes
-are added up per host in Spark, and every page is then extracted anew from the containers on its host's winning
-path. A page without that path uses its own best container.
+A page's blocks of text (menus, adverts and the like left out) are weighed, links counting little, and its containers
+scored: what the page itself marks as article or main, if that holds most of the text, with a headline above it; or else
+the smallest container beside which there are only links. A page votes for the generalised tag-class paths of these.
+Votes are added up per host in Spark, and every page is then extracted anew by its host's winning paths: the first one
+that holds all that the page marks as its article, or most of the text of a page that marks none. A page without such
+a path uses its own.
+
+A part whose class or id has the name of boilerplate is left out, unless it holds most of the page's text (a wrapper; comments: all of it),
+or its name is a vague one, it lies within the article and it is no list of links. Paragraphs and headings are not
+left out by vague names.
 
 Defined cases: null html is empty and gives an empty text; pages with a null or odd url share the host ""; unclosed
-and stray tags are tolerated; text outside any tag belongs to the root; repeated rows are extracted alike, each
-counted in the vote; an empty table gives an empty result. Other columns are ignored.
+and stray tags are tolerated; text outside any tag belongs to the root; containers nested more than DEEPEST deep share
+the path of the one at that depth; repeated rows are extracted alike, each counted in the vote; an empty table gives an
+empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
-from stagesignal.llm.common import cut, small
+from stagesignal.llm.common import cut
 
 #: Comments, declarations, elements whose content is no markup, and tags.
 TOKEN = re.compile(
@@ -31,38 +40,80 @@ TOKEN = re.compile(
     re.IGNORECASE | re.DOTALL,
 )
 ATTR = re.compile(r"""([a-z-]+)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.IGNORECASE)
+CLOSED = re.compile(r"(?:^|[\s\"'])/$")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rb rt rp s samp small span strike strong sub sup time tt u var wbr img".split())
 CONTAINERS = frozenset("html body main article section div td center".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Opening one of these closes an open one of the same set.
 CLOSES = {t: frozenset(group.split()) for group in ("p h1 h2 h3 h4 h5 h6", "li", "dt dd", "tr", "td th", "option") for t in group.split()}
 BLOCKS_CLOSE_P = frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 #: Parts of a page that are no article.
 NOT_TEXT = frozenset("head nav footer aside form button select option dialog menu object audio video canvas map".split())
 NOT_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
-NOT_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|nav|navbar|navigation|menu|breadcrumbs?|sidebar|side|footer|header|masthead"
-    r"|comments?|commentlist|disqus|replies|respond|share|sharing|social|related|recommended|subscribe|newsletter|popup|modal|overlay|pagination|pager|widget|toolbar)(?:$|[\s_-])",
-    re.IGNORECASE,
+
+
+def _names(words: str) -> re.Pattern:
+    return re.compile(rf"(?:^|[\s_-])(?:{words})(?:$|[\s_-])", re.IGNORECASE)
+
+
+#: Names of parts that are no article: reader comments, plain names of boilerplate, and names that articles use as well.
+COMMENTS, PLAIN, VAGUE = 3, 2, 1
+NAMES = (
+    (COMMENTS, _names(r"comments?|commentlist|disqus|replies|respond")),
+    (PLAIN, _names(r"ads?|advert\w*|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|nav|navbar|navigation|breadcrumbs?|sidebar|share|sharing|social|subscribe|newsletter|popup|modal|pagination|pager")),
+    (VAGUE, _names(r"banner|menu|side|footer|header|masthead|related|recommended|overlay|widget|toolbar")),
 )
+#: Containers in a path, and parts with names of boilerplate within each other, at most.
+DEEPEST, NESTED = 64, 8
+#: Winning paths kept per host, parts that a large table of hosts is salted into, and hosts whose paths may be broadcast.
+WINNERS, SALTS, MOST_HOSTS = 8, 32, 50_000
+
+
+@dataclass
+class Part:
+    """An element whose name is that of boilerplate."""
+
+    kind: int
+    inside: bool  # lies in an article or main
+    size: int = 0
+    linked: int = 0
+
+    def stays(self, total: int) -> bool:
+        if self.kind == COMMENTS:
+            return self.size == total
+        return 2 * self.size >= total or self.kind == VAGUE and self.inside and 2 * self.linked < self.size
 
 
 def _attrs(text: str) -> dict[str, str]:
-    return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTR.finditer(text)} if text and "=" in text or " hidden" in text else {}
+    return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTR.finditer(text)} if text and ("=" in text or "hidden" in text) else {}
 
 
 def _step(tag: str, attrs: dict[str, str]) -> str:
     """tag.class of a container, digits generalised."""
-    names = sorted(set(re.sub(r"\d+", "#", attrs.get("class", "")).lower().split()))
+    names = sorted(set(re.sub(r"\d+", "#", attrs.get("class", "")).lower().replace("/", "_").split()))
     return ".".join([tag, *names])
 
 
+def _named(tag: str, attrs: dict[str, str]) -> int:
+    """The kind of boilerplate that an element's class and id name, or 0."""
+    if not ("class" in attrs or "id" in attrs) or tag in ("html", "body", "article", "main"):
+        return 0
+    names = f"{attrs.get('class', '')} {attrs.get('id', '')}"
+    kind = next((k for k, pattern in NAMES if pattern.search(names)), 0)
+    text = tag in HEADINGS or tag in INLINE or tag in ("p", "li", "dt", "dd", "blockquote", "pre", "figure", "figcaption", "tr")
+    return 0 if tag in HEADINGS and kind == PLAIN or text and kind == VAGUE else kind
+
+
 def blocks(page: str | None) -> list[tuple[str, str, int]]:
     """(container path, text, characters of it in links) of each block of text, in page order, without boilerplate."""
     page = page or ""
-    out: list[tuple[str, str, int]] = []
-    stack: list[tuple[str, str, bool, bool]] = []  # tag, container path, left out, in a link
-    path, skip, link = "", False, False
+    raw: list[tuple[str, str, int, tuple[int, ...]]] = []
+    parts: list[Part] = []
+    stack: list[tuple] = []  # tag, and what it is in: path, depth, whether left out, whether a link, named parts
+    open_: Counter[str] = Counter()
+    top = ("", 0, False, False, ())
+    path, depth, skip, link, names = top
     held: list[str] = []
     linked = at = 0
 
@@ -71,16 +122,18 @@ def blocks(page: str | None) -> list[tuple[str, str, int]]:
         if held:
             text = " ".join(html.unescape("".join(held)).split())
             if text:
-                out.append((path, text, min(linked, len(text))))
+                raw.append((path, text, min(linked, len(text)), names))
             held.clear()
         linked = 0
 
     def pop(to: int) -> None:
-        nonlocal path, skip, link
+        nonlocal path, depth, skip, link, names
         if any(t[0] not in INLINE for t in stack[to:]):
             flush()
+        for t in stack[to:]:
+            open_[t[0]] -= 1
         del stack[to:]
-        _, path, skip, link = stack[-1] if stack else ("", "", False, False)
+        path, depth, skip, link, names = stack[-1][1:] if stack else top
 
     for m in TOKEN.finditer(page):
         if m.start() > at and not skip:
@@ -92,9 +145,8 @@ def blocks(page: str | None) -> list[tuple[str, str, int]]:
         if not tag:
             continue
         if m["end"]:
-            k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), None)
-            if k is not None:
-                pop(k)
+            if open_[tag]:
+                pop(next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag))
             continue
         if tag in VOID:
             if tag in ("br", "hr") and not skip:
@@ -103,64 +155,141 @@ def blocks(page: str | None) -> list[tuple[str, str, int]]:
                     flush()
             continue
         same = CLOSES.get(tag)
-        for k in range(len(stack) - 1, -1, -1):
-            if same and stack[k][0] in same or stack[k][0] == "p" and tag in BLOCKS_CLOSE_P:
-                pop(k)
-                break
-            if stack[k][0] in CONTAINERS or stack[k][0] in ("ul", "ol", "table", "dl"):
-                break
+        if same or tag in BLOCKS_CLOSE_P:
+            for k in range(len(stack) - 1, -1, -1):
+                if same and stack[k][0] in same or stack[k][0] == "p" and tag in BLOCKS_CLOSE_P:
+                    pop(k)
+                    break
+                if stack[k][0] in CONTAINERS or stack[k][0] in ("ul", "ol", "table", "dl"):
+                    break
         if tag not in INLINE:
             flush()
         attrs = _attrs(m["attrs"])
+        inside = "/article" in path or "/main" in path
+        now = (path, depth, skip, link, names)
         if not skip:
-            skip = tag in NOT_TEXT or tag == "header" and "article" not in path and "main" not in path
+            skip = tag in NOT_TEXT or tag == "header" and not inside
             if attrs and tag not in ("html", "body", "article", "main"):
-                skip = skip or "hidden" in attrs or attrs.get("role", "").lower() in NOT_ROLES or bool(NOT_NAMES.search(f"{attrs.get('class', '')} {attrs.get('id', '')}"))
-        if tag in CONTAINERS:
-            path = f"{path}/{_step(tag, attrs)}"
+                skip = skip or "hidden" in attrs or attrs.get("role", "").lower() in NOT_ROLES
+                kind = 0 if skip else _named(tag, attrs)
+                if kind and tag in INLINE:
+                    skip = True
+                elif kind and len(names) < NESTED:
+                    flush()
+                    names = (*names, len(parts))
+                    parts.append(Part(kind, inside))
+        if (tag in CONTAINERS or tag == "h1") and depth < DEEPEST:
+            path, depth = f"{path}/{_step(tag, attrs)}", depth + 1
         link = link or tag == "a"
-        if not m["attrs"].endswith("/") or tag in CONTAINERS:
-            stack.append((tag, path, skip, link))
+        # Other inline elements change nothing, so they need not be kept open; <a/> opens nothing, <div/> does.
+        if tag in INLINE and (CLOSED.search(m["attrs"]) or (path, depth, skip, link, names) == now):
+            path, depth, skip, link, names = now
+        else:
+            stack.append((tag, path, depth, skip, link, names))
+            open_[tag] += 1
     if not skip:
         held.append(page[at:])
     flush()
-    return out
+    for _, text, n, within in raw:
+        for k in within:
+            parts[k].size += len(text)
+            parts[k].linked += n
+    total = sum(len(text) for _, text, _, _ in raw)
+    out = [not p.stays(total) for p in parts]
+    return [(p, text, n) for p, text, n, within in raw if not any(out[k] for k in within)]
+
+
+Blocks = list[tuple[str, str, int]]
 
 
-def whole(path: str) -> str:
-    """The outermost article that a container lies in, or else the outermost main, or else the container itself."""
+def _weight(found: Blocks) -> float:
+    return sum(len(text) - 0.9 * linked for _, text, linked in found)
+
+
+def _links_only(found: Blocks) -> bool:
+    return all(2 * linked >= len(text) for _, text, linked in found)
+
+
+def _outer(path: str, tag: str) -> str | None:
+    """The outermost container of that tag that path lies in."""
     steps = path.split("/")
-    tags = [s.partition(".")[0] for s in steps]
-    tag = next((t for t in ("article", "main") if t in tags), None)
-    return "/".join(steps[: tags.index(tag) + 1]) if tag else path
+    k = next((k for k, s in enumerate(steps) if s.partition(".")[0] == tag), None)
+    return None if k is None else "/".join(steps[: k + 1])
+
+
+def _under(path: str, container: str) -> bool:
+    return path == container or path.startswith(container + "/") or not container
+
+
+def _marked(found: Blocks, tag: str) -> list[str]:
+    """The outermost containers of that tag, those that hold nothing but links left out if others do not."""
+    by: dict[str, Blocks] = defaultdict(list)
+    for b in found:
+        if p := _outer(b[0], tag):
+            by[p].append(b)
+    return sorted(p for p in by if not _links_only(by[p])) or sorted(by)
+
+
+def chosen(found: Blocks) -> tuple[list[str], bool]:
+    """The containers that hold a page's article by the page alone, and whether the page marks them as such."""
+    total = _weight(found)
+    if not total:
+        return [""], False
+    in_ = lambda paths: [b for b in found if any(_under(b[0], p) for p in paths)]
+    for tag in ("main", "article"):
+        paths = _marked(found, tag)
+        held = in_(paths) if paths else []
+        if not paths or 2 * _weight(held) < total:
+            continue
+        if tag == "main":
+            articles = _marked(held, "article")
+            if articles and _links_only([b for b in held if not any(_under(b[0], p) for p in articles)]):
+                return articles, True
+            return paths, True
+        if not any(_outer(b[0], "h1") for b in held):  # a headline above the article
+            paths = paths + sorted({h for b in found if (h := _outer(b[0], "h1"))})
+        return paths, True
+    node = at = ""
+    under = found
+    while True:
+        inner: dict[str, Blocks] = defaultdict(list)
+        rest = []
+        for b in under:
+            step = b[0][len(at) + 1 :].partition("/")[0] if b[0] != at else ""
+            (inner[f"{at}/{step}"] if step else rest).append(b)
+        if not inner:
+            return [node], False
+        at = max(inner, key=lambda p: (_weight(inner[p]), p))
+        rest += [b for p, bs in inner.items() if p != at for b in bs]
+        if not _links_only(rest):
+            return [node], False
+        node, under = at if rest else node, inner[at]
 
 
 def votes(page: str | None) -> dict[str, int]:
-    """Votes of a page for container paths: up to 1000 for all of its text, more for each level of depth. Containers
-    within an article or main stand for all of it, so that no part of it is lost to a deeper one."""
-    score: dict[str, float] = defaultdict(float)
-    total = 0.0
-    for path, text, linked in blocks(page):
-        weight = float(len(text) - linked) + 0.1 * linked
-        total += weight
-        path = whole(path)
-        while True:
-            score[path] += weight
-            if not path:
-                break
-            path = path.rpartition("/")[0]
-    return {p: round(1000 * s / total * (1 + 0.15 * p.count("/"))) for p, s in score.items() if total and s / total >= 0.2}
-
-
-def extract(page: str | None, winner: str | None) -> str:
-    """The page's text under the winning path, or under its own best path where it lacks that one."""
+    """Votes of a page for container paths, 1000 in all: for those that hold its article, by their share of its text."""
+    found = blocks(page)
+    own, _ = chosen(found)
+    held = {p: _weight([b for b in found if _under(b[0], p)]) for p in own}
+    total = sum(held.values())
+    return {p: round(1000 * w / total) for p, w in held.items()} if total else {}
+
+
+def extract(page: str | None, winners: list[str]) -> str:
+    """The page's text by the first winning path that holds its article, or by its own paths where none does."""
     found = blocks(page)
-    under = [t for p, t, _ in found if winner is not None and (p == winner or p.startswith(winner + "/"))]
-    if not under and found:
-        own = votes(page)
-        best = max(own, key=lambda p: (own[p], p)) if own else ""
-        under = [t for p, t, _ in found if p == best or p.startswith(best + "/")]
-    return "\n".join(under)
+    own, marked = chosen(found)
+    heads = [p for p in own if p.rpartition("/")[2].partition(".")[0] == "h1"]
+    total, use = _weight(found), own
+    for w in winners:
+        if marked:
+            fits = (_outer(w, "article") or _outer(w, "main")) and all(_under(p, w) for p in own if p not in heads)
+        else:
+            fits = 2 * _weight([b for b in found if _under(b[0], w)]) >= total
+        if fits:
+            use = [w, *heads]
+            break
+    return "\n".join(text for path, text, _ in found if any(_under(path, p) for p in use))
 
 
 def host(url: Column) -> Column:
@@ -177,22 +306,31 @@ def _vote(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def winners(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """host, path: the container path that the pages of a host agree on."""
+    """host, paths: the WINNERS container paths that the pages of a host vote for most, in that order."""
     rows = pages.select(host(F.col(url_col)).alias("host"), F.col(html_col).alias("html"))
     sums = rows.mapInPandas(_vote, "host string, path string, n long").groupBy("host", "path").agg(F.sum("n").alias("n"))
-    return sums.groupBy("host").agg(F.max(F.struct("n", "path")).alias("best")).select("host", F.col("best.path").alias("path"))
+    place = F.row_number().over(Window.partitionBy("host").orderBy(F.desc("n"), "path"))
+    best = sums.withColumn("k", place).where(F.col("k") <= WINNERS)
+    return best.groupBy("host").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "path"))), lambda x: x["path"]).alias("paths"))
 
 
 @F.pandas_udf(T.StringType())
 def _extracted(pages: pd.Series, paths: pd.Series) -> pd.Series:
-    return pd.Series([extract(h, p if isinstance(p, str) else None) for h, p in zip(pages, paths)], index=pages.index, dtype=object)
+    return pd.Series([extract(h, p.tolist() if p is not None else []) for h, p in zip(pages, paths)], index=pages.index, dtype=object)
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Per page: id, url, text, n_chars, and the host_path it came from. Pages are read twice rather than shuffled."""
-    best = cut(winners(pages, url_col, html_col))
+    """Per page: id, url, text, n_chars, and host_path, its host's first path. Pages are read twice rather than shuffled
+    while the hosts are few; beyond that, the pages of a host are dealt over SALTS parts."""
+    best = cut(winners(pages, url_col, html_col)).select(F.col("host").alias("_h"), F.col("paths").alias("_paths"))
     rows = pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"), F.col(html_col).alias("_html"), host(F.col(url_col)).alias("_host"))
-    best = small(best.select(F.col("host").alias("_h"), F.col("path").alias("_path")), best.count(), 50_000)
-    rows = rows.join(best, F.col("_host") == F.col("_h"), "left").withColumn("_text", _extracted("_html", "_path"))
+    on = F.col("_host") == F.col("_h")
+    if best.count() <= MOST_HOSTS:
+        best = F.broadcast(best)
+    else:
+        rows = rows.withColumn("_salt", F.pmod(F.xxhash64("_id", "_url"), F.lit(SALTS)))
+        best = best.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        on = on & (F.col("_salt") == F.col("_s"))
+    rows = rows.join(best, on, "left").withColumn("_text", _extracted("_html", "_paths"))
     return rows.select(F.col("_id").alias(id_col), F.col("_url").alias(url_col), F.col("_text").alias("text"),
-                       F.length("_text").cast("long").alias("n_chars"), F.col("_path").alias("host_path"))
+                       F.length("_text").cast("long").alias("n_chars"), F.get("_paths", F.lit(0)).alias("host_path"))
