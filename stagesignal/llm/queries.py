@@ -65,7 +65,7 @@ QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_preference_format, op3_e
 ORACLE = {
     "op2_preference_format": r"""
 WITH t AS (SELECT conv_id, list(struct_pack(turn := turn, role := role, text := text) ORDER BY turn, role, text) AS ts FROM conversations GROUP BY conv_id),
-g AS (SELECT xor(conv_id, 1) AS to_id, arg_max(text, turn) AS last_text, true AS given FROM conversations WHERE role = 'assistant' GROUP BY conv_id),
+g AS (SELECT xor(conv_id, 1) AS to_id, arg_max_null(text, struct_pack(turn := turn, text := coalesce('1' || text, '0'))) AS last_text, true AS given FROM conversations WHERE role = 'assistant' GROUP BY conv_id),
 p AS (SELECT t.conv_id, list_transform(ts, lambda x: struct_pack(role := x.role, text := x.text)) AS a, last_text, coalesce(given, false) AS given,
       coalesce(list_max(list_filter(range(1, len(ts) + 1), lambda i: ts[i].role = 'assistant')), 0) AS spot
       FROM t LEFT JOIN g ON g.to_id = t.conv_id),
@@ -87,10 +87,10 @@ SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
   row_number() OVER (PARTITION BY t ORDER BY doc_id NULLS LAST) = 1 AS kept, sha256(t) AS text_sha256
 FROM n WINDOW w AS (PARTITION BY t)""",
     "op9_top_k": """
-WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS e FROM embeddings
-  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
-  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+WITH v AS (SELECT vec_id, row_number() OVER () AS n, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, q.n, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.n <> c.n WHERE q.vec_id % 100 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY n ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 10""",
 }

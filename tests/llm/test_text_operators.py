@@ -112,7 +112,7 @@ def test_exact_duplicates(spark):
 
 
 def test_directory_splits_and_doubles():
-    counts = np.zeros(1 << exact.MOST_DEPTH, dtype=np.int64)
+    counts = np.zeros(1 << 16, dtype=np.int64)
     counts[:64] = 10
     counts[40_000] = 5
     owner = exact.directory(counts, 100)
@@ -120,7 +120,19 @@ def test_directory_splits_and_doubles():
     width = len(counts) // len(owner)
     load = np.bincount(owner, counts.reshape(-1, width).sum(axis=1))
     assert load.max() <= 100 and load.sum() == counts.sum()
-    assert len(exact.directory(np.zeros(1 << exact.MOST_DEPTH, dtype=np.int64), 1)) == 1
+    assert len(exact.directory(np.zeros(1 << 16, dtype=np.int64), 1)) == 1
+
+
+def test_exact_duplicates_with_a_hot_text_and_text_ids(spark, monkeypatch):
+    monkeypatch.setattr("stagesignal.llm.common.HOT_ROWS", 5)
+    rows = [(f"id{i:04d}", "hot  text" if i % 3 == 0 else f"text {i % 500}", "a") for i in range(900)] + [(None, "hot text", "a")]
+    df = spark.createDataFrame(rows, "doc_id string, text string, source string")
+    got = {(r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in exact.duplicates(df, capacity=8).collect()}
+    groups = {}
+    for i, t, _ in rows:
+        groups.setdefault(" ".join(t.split()), []).append(i)
+    wanted = {(i, least, len(ids), i == least) for ids in groups.values() for least in [min(x for x in ids if x)] for i in ids}
+    assert got == wanted and exact.unique_rows(df, capacity=8).count() == len(groups)
 
 
 def brute_print(text, n=4):
@@ -305,7 +317,7 @@ def test_toxicity_held_out(spark):
     model = toxicity.fit(rows.where(~held))
     got = rows.where(held).select("toxic", toxicity.scorer(model, rows)(F.col("text")).alias("s")).collect()
     y, p = np.array([r["toxic"] for r in got]) == 1, np.array([r["s"] for r in got]) >= 0.7
-    assert (y & p).sum() / p.sum() > 0.97 and (y & p).sum() / y.sum() > 0.85  # of 305 labelled toxic rows to learn from
+    assert (y & p).sum() / p.sum() > 0.97 and (y & p).sum() / y.sum() >= 0.9  # of 305 labelled toxic rows to learn from
 
 
 def test_terms_are_words_wherever_they_stand():
@@ -319,6 +331,33 @@ def test_terms_count_beginnings():
     assert len(once) == 3 and len(often) == 3 + 2 + 2 * 2  # words, two heads, and for each head "2 times" and "3 times"
 
 
+def test_terms_do_not_depend_on_pieces(monkeypatch):
+    rng = np.random.default_rng(0)
+    words = ["".join(rng.choice(list("abcdefé"), rng.integers(1, 12))) for _ in range(2000)]
+    text = " ".join([*words, "z" * 700, "nastyfier nastyfied nastyfull"])
+    whole = toxicity.terms(text).tolist()
+    for piece in (64, 333, 5000):
+        monkeypatch.setattr(toxicity, "PIECE", piece)
+        assert toxicity.terms(text).tolist() == whole
+
+
+def test_toxicity_terms_chosen_in_spark_are_those_chosen_at_hand(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, " ".join(["vile"] * (i % 4 == 0 and rng.random() < 0.9) + ["word%d" % x for x in rng.integers(0, 40, 12)]), int(i % 4 == 0)) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    held = {r["doc_id"] for r in df.select("doc_id", F.pmod(F.xxhash64(F.lit("calibration"), "doc_id"), F.lit(toxicity.CHECK)).alias("n")).where(F.col("n") == toxicity.CHECK - 1).collect()}
+    learn = [(t, y) for i, t, y in rows if i not in held]
+    n = {}
+    for t, y in learn:
+        for h in toxicity.terms(t).tolist():
+            n.setdefault(h, [0, 0])[y] += 1
+    p1 = sum(y for _, y in learn)
+    p0 = len(learn) - p1
+    chi = {h: ((b - (a + b) * p1 / len(learn)) ** 2) / max(1e-9, (a + b) * p1 / len(learn) * p0 / len(learn) * (1 - (a + b) / (len(learn) + 1))) for h, (a, b) in n.items()}
+    wanted = sorted(h for h, (a, b) in n.items() if a + b >= toxicity.LEAST_TEXTS and chi[h] > toxicity.LEAST_CHI)
+    assert toxicity.fit(df).known.tolist() == wanted and wanted
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body><nav><ul><li><a href="/x">Menu</a></ul></nav>
 <div class="cookie-notice">We use cookies</div><div class=ad>Buy</div><div class="c%d"><article><h1>Head &amp; more</h1><p>First <b>bold</b>
  text.<p>Second&nbsp;one<br>here<script>var t="</p>"</script></p><!-- no --><form><p>Name</p></form></article></div>
