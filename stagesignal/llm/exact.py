@@ -7,8 +7,13 @@ chains the different texts of one key and compares their bytes. The index (key,
 copies) is written to the shared checkpoint folder, and rows look themselves up in it. Copies within an input
 partition are folded before the shuffle, so a text with a third of all rows costs an owner one entry per partition.
 
-Defined cases: a null text counts as empty; a null id sorts after all others; of rows that repeat both id and text
-one stays; an empty table gives an empty result. Other columns are ignored by `duplicates` and kept by `unique_rows`.
+The directory's depth follows the number of distinct keys, up to 2 ** MOST_DEPTH entries; from then on buckets hold more
+keys, which lengthens an owner's walk, not its memory. A row finds its entry of the index by a join in which the rows of
+frequent texts stay where they are.
+
+Defined cases: a null text counts as empty; ids are of any type that has an order, a null id sorts after all others; of
+rows that repeat both id and text one stays; an empty table gives an empty result. Other columns are ignored by
+`duplicates` and kept by `unique_rows`.
 """
 
 from __future__ import annotations
@@ -22,14 +27,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stagesignal.llm.common import SPACES, cut
+from stagesignal.llm.common import SPACES, cut, group_join
 
 #: The directory never has more than 2 ** MOST_DEPTH entries, so it may be broadcast.
-MOST_DEPTH = 16
+MOST_DEPTH = 20
 #: Bytes of text that a task holds while it folds the copies of its input partition.
 FOLD_BYTES = 24_000_000
-ENTRY = pa.schema([("_key", pa.int64()), ("_text", pa.string()), ("_least", pa.int64()), ("_n", pa.int64())])
-INDEX = pa.schema([("_key", pa.int64()), ("_chain", pa.int32()), ("_sha", pa.string()), ("_least", pa.int64()), ("_copies", pa.int64())])
 
 
 def folded(text: Column) -> Column:
@@ -38,7 +41,7 @@ def folded(text: Column) -> Column:
 
 
 def directory(counts: np.ndarray, capacity: int) -> np.ndarray:
-    """Bucket number of each directory entry, from the distinct keys under each prefix of MOST_DEPTH bits.
+    """Bucket number of each directory entry, from the distinct keys under each prefix of the deepest directory.
     A bucket at full depth may exceed its capacity: its owner then has a longer walk, nothing is dropped."""
     sums = np.concatenate([[0], np.cumsum(counts)])
     full, depth = len(counts), 0
@@ -58,16 +61,21 @@ def directory(counts: np.ndarray, capacity: int) -> np.ndarray:
     return np.unique(entries[:, 0], return_inverse=True)[1]
 
 
+def _entries(schema: list[tuple[str, pa.DataType]], columns: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, schema)], schema=pa.schema(schema))
+
+
 def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Copies within a partition as one entry; flushed when the texts held grow large."""
     held: dict[str, list] = {}
-    size = 0
+    size, kind = 0, pa.null()
 
     def out() -> pa.RecordBatch:
         columns = [[e[0] for e in held.values()], list(held), [e[1] for e in held.values()], [e[2] for e in held.values()]]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, ENTRY.types)], schema=ENTRY)
+        return _entries([("_key", pa.int64()), ("_text", pa.string()), ("_least", kind), ("_n", pa.int64())], columns)
 
     for batch in batches:
+        kind = batch.schema.field("_id").type
         for key, text, i in zip(batch["_key"].to_pylist(), batch["_text"].to_pylist(), batch["_id"].to_pylist()):
             if (e := held.get(text)) is None:
                 held[text] = [key, i, 1]
@@ -87,18 +95,18 @@ def _least(a: int | None, b: int | None) -> int | None:
 
 def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Walks entries in key order; the chain of a key holds its different texts."""
-    now, chain = None, []
+    now, chain, kind = None, [], pa.null()
 
     def rows() -> list[tuple]:
         return [(now, k, hashlib.sha256(text).hexdigest(), least, n) for k, (text, least, n) in enumerate(chain)]
 
     def out(done: list[tuple]) -> pa.RecordBatch:
-        columns = list(zip(*done)) or [()] * 5
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, INDEX.types)], schema=INDEX)
+        return _entries([("_key", pa.int64()), ("_chain", pa.int32()), ("_sha", pa.string()), ("_least", kind), ("_copies", pa.int64())], list(zip(*done)) or [()] * 5)
 
     for batch in batches:
+        kind = batch.schema.field("_least").type
         done: list[tuple] = []
-        for key, text, least, n in zip(*[batch[c].to_pylist() for c in ENTRY.names]):
+        for key, text, least, n in zip(*[batch[c].to_pylist() for c in ("_key", "_text", "_least", "_n")]):
             if key != now:
                 done += rows()
                 now, chain = key, []
@@ -110,41 +118,44 @@ def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             else:
                 chain.append([raw, least, n])
         yield out(done)
-    yield out(rows())
+    if chain:
+        yield out(rows())
 
 
 def index(docs: DataFrame, keys: DataFrame, id_col: str, text_col: str, capacity: int) -> DataFrame:
     """The index of all texts of docs; keys has the key of every row."""
     spark = docs.sparkSession
-    prefix = F.shiftrightunsigned(F.col("_key"), 64 - MOST_DEPTH)
-    counts = np.zeros(1 << MOST_DEPTH, dtype=np.int64)
-    for r in keys.select("_key").distinct().groupBy(prefix.alias("p")).count().collect():  # 2 ** MOST_DEPTH rows at most
-        counts[r["p"]] = r["count"]
-    owner = directory(counts, capacity)
+    about = keys.agg(F.approx_count_distinct("_key")).first()[0]
+    bits = min(MOST_DEPTH, (about // capacity).bit_length() + 4)
+    counts = np.zeros(1 << bits, dtype=np.int64)
+    prefix = F.shiftrightunsigned(F.col("_key"), 64 - bits)
+    under = keys.select("_key").distinct().groupBy(prefix.alias("p")).count().toPandas()  # 2 ** MOST_DEPTH rows at most
+    counts[under["p"].to_numpy()] = under["count"]
+    owner = directory(counts, max(capacity, 2 * about >> bits))
     depth = len(owner).bit_length() - 1
     entries = spark.createDataFrame(pd.DataFrame({"_entry": np.arange(len(owner)), "_bucket": owner}), "_entry long, _bucket long")
-    text = folded(F.col(text_col))
-    local = docs.select(F.col(id_col).cast("long").alias("_id"), text.alias("_text")).withColumn("_key", F.xxhash64("_text"))
-    local = local.mapInArrow(_fold, "_key long, _text string, _least long, _n long")
+    kind = docs.schema[id_col].dataType.simpleString()
+    local = docs.select(F.col(id_col).alias("_id"), folded(F.col(text_col)).alias("_text")).withColumn("_key", F.xxhash64("_text"))
+    local = local.mapInArrow(_fold, f"_key long, _text string, _least {kind}, _n long")
     entry = F.shiftrightunsigned(F.col("_key"), 64 - depth) if depth else F.lit(0).cast("long")
     owned = (
         local.withColumn("_entry", entry).join(F.broadcast(entries), "_entry")
         .repartition("_bucket").sortWithinPartitions("_bucket", "_key")
     )
-    return cut(owned.select("_key", "_text", "_least", "_n").mapInArrow(_own, "_key long, _chain int, _sha string, _least long, _copies long"))
+    return cut(owned.select("_key", "_text", "_least", "_n").mapInArrow(_own, f"_key long, _chain int, _sha string, _least {kind}, _copies long"))
 
 
 def _keys(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), folded(F.col(text_col)).alias("_text"))
+    rows = docs.select(F.col(id_col).alias("_id"), folded(F.col(text_col)).alias("_text"))
     return rows.select("_id", F.xxhash64("_text").alias("_key"), F.sha2("_text", 256).alias("_sha"))
 
 
 def _decided(docs: DataFrame, id_col: str, text_col: str, capacity: int) -> DataFrame:
     """One row per different (id, text): how often it is there, its group's smallest id and size."""
     keys = cut(_keys(docs, id_col, text_col))
-    found = index(docs, keys, id_col, text_col, capacity).withColumnRenamed("_key", "_k").withColumnRenamed("_sha", "_s")
-    rows = keys.groupBy("_id", "_key", "_sha").agg(F.count("*").alias("_n"))
-    return rows.join(found, (F.col("_key") == F.col("_k")) & (F.col("_sha") == F.col("_s"))).drop("_k", "_s")
+    found = index(docs, keys, id_col, text_col, capacity)
+    rows = cut(keys.groupBy("_id", "_key", "_sha").agg(F.count("*").alias("_n")))
+    return group_join(rows, found, ["_key", "_sha"], "_copies", found.agg(F.sum("_copies")).first()[0] or 0)
 
 
 def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, capacity: int = 512) -> DataFrame:
@@ -163,7 +174,7 @@ def unique_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = cut(_decided(docs, id_col, text_col, capacity))
     gone = rows.where(~F.col("_id").eqNullSafe(F.col("_least"))).select("_id", "_sha")
     sha = F.sha2(folded(F.col(text_col)), 256)
-    held = docs.select(F.struct("*").alias("_row"), F.col(id_col).cast("long").alias("_i"), sha.alias("_h"))
+    held = docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("_i"), sha.alias("_h"))
     held = held.join(gone, F.col("_i").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_sha")), "left_anti")
     if rows.where("_n > 1").where(F.col("_id").eqNullSafe(F.col("_least"))).limit(1).count():
         held = held.dropDuplicates(["_i", "_h"])
