@@ -10,7 +10,8 @@ of the links that it finds, never all pairs of a group, and components follow by
 Defined cases: a null text is an empty one; a text without words has fingerprint 0 and is linked like any other; a
 text of fewer than four words is one shingle; copies and repeated rows share a fingerprint; a null id is never the
 smallest unless all are null; an empty table gives an empty result. Rows are told apart by id and text, so two texts
-under one id, or any under null ids, are decided each on its own. Other columns are kept by `distinct_rows` only.
+under one id, or any under null ids, are decided each on its own. Ids are of any type that has an order. Other columns are
+kept by `distinct_rows` only.
 """
 
 from __future__ import annotations
@@ -26,21 +27,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stagesignal.llm.common import cut
+from stagesignal.llm.common import cut, group_join
 from stagesignal.llm.components import components
 
 WORDS, RADIUS, SEED = 4, 4, 42
 #: Bytes of text hashed at once.
 BATCH_BYTES = 1 << 20
-#: Rows of a tile, and of a block at least; there are never more than MOST_BLOCKS blocks, so their ranges of
-#: population counts (16 bytes each) may visit the driver.
-TILE, BLOCK, MOST_BLOCKS = 256, 8192, 1024
+#: Rows of a tile and of a block. The driver sees a block's ranges of population counts: 16 bytes for 8,192 fingerprints.
+TILE, BLOCK = 256, 8192
+#: Block pairs of a task, and tasks at most.
+PAIRS, MOST_TASKS = 4, 50_000
 #: Tile pairs whose bounds a task holds at once.
 MOST_GAPS = 1 << 22
 #: Constants of the XXH64 hash (fixed values).
 P1, P2, P3, P4, P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
 LOW_BITS = np.uint64(0x0101010101010101)
 LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+PAIR = pa.schema([("i", pa.int64()), ("j", pa.int64())])
 BLOCKS = pa.schema([("block", pa.int64()), ("lo", pa.binary()), ("hi", pa.binary()), ("prints", pa.binary())])
 
 
@@ -164,7 +167,7 @@ def _counts(prints: np.ndarray) -> np.ndarray:
     return np.bitwise_count(np.ascontiguousarray(prints).view(np.uint8).reshape(-1, 8))
 
 
-def _pack(rows: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     part, seq, held, n = TaskContext.get().partitionId(), 0, [], 0
 
     def out(x: np.ndarray) -> pa.RecordBatch:
@@ -175,10 +178,10 @@ def _pack(rows: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
     for batch in batches:
         held.append(batch["_print"].to_numpy(zero_copy_only=False).view(np.uint64))
         n += len(held[-1])
-        while n >= rows:
+        while n >= BLOCK:
             x = np.concatenate(held)
-            yield out(x[:rows])
-            held, n, seq = [x[rows:]], n - rows, seq + 1
+            yield out(x[:BLOCK])
+            held, n, seq = [x[BLOCK:]], n - BLOCK, seq + 1
     if n:
         yield out(np.concatenate(held))
 
@@ -241,34 +244,46 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*found) if found else ((), ()))], schema=LINKS)
 
 
+class _Ends:
+    """The ranges of population counts of all blocks, and each block's partners: those that its own range may link to."""
+
+    def __init__(self, ids: np.ndarray, lo: np.ndarray, hi: np.ndarray):
+        self.ids, self.lo, self.hi = ids, lo, hi
+
+    def pairs(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in batch["id"].to_pylist():
+                j = k + np.flatnonzero(_gap(self.lo[k : k + 1], self.hi[k : k + 1], self.lo[k:], self.hi[k:])[0] <= RADIUS)
+                i = np.full(len(j), k)
+                i, j = np.where((i + j) % 2, j, i), np.where((i + j) % 2, i, j)  # so that each block has its share of pairs on either side
+                yield pa.RecordBatch.from_arrays([pa.array(self.ids[i]), pa.array(self.ids[j])], schema=PAIR)
+
+
 def links(prints: DataFrame) -> DataFrame:
     """prints(_print): different fingerprints -> a, b: a spanning forest of each pair of blocks."""
     spark = prints.sparkSession
     order = sum((F.shiftleft(F.bit_count(F.col("_print").bitwiseAND(F.lit((0xFF << 8 * k) - (1 << 64) * (k == 7)).cast("long"))).cast("long"), 4 * k) for k in range(8)), F.lit(0))
     ranged = prints.withColumn("_order", order)
-    rows = max(BLOCK, -(-prints.count() // MOST_BLOCKS))
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4)
     ranged = ranged.repartitionByRange(parts, "_order", "_print").sortWithinPartitions("_order", "_print").select("_print")
-    blocks = cut(ranged.mapInArrow(lambda it: _pack(rows, it), "block long, lo binary, hi binary, prints binary"))
-    ends = blocks.select("block", "lo", "hi").toPandas()  # about MOST_BLOCKS rows at most
+    blocks = cut(ranged.mapInArrow(_pack, "block long, lo binary, hi binary, prints binary"))
+    ends = blocks.select("block", "lo", "hi").toPandas()
     if ends.empty:
         return spark.createDataFrame([], "a long, b long")
-    ids = ends["block"].to_numpy()
-    lo, hi = (np.frombuffer(b"".join(ends[c]), dtype=np.uint8).reshape(-1, 8).astype(np.int16) for c in ("lo", "hi"))
-    i, j = np.nonzero(np.triu(_gap(lo, hi, lo, hi) <= RADIUS))
-    i, j = np.where((i + j) % 2, j, i), np.where((i + j) % 2, i, j)  # so that each block has its share of pairs on either side
-    pairs = spark.createDataFrame(pd.DataFrame({"i": ids[i], "j": ids[j]}), "i long, j long")
+    shared = spark.sparkContext.broadcast(_Ends(ends["block"].to_numpy(), *(np.frombuffer(b"".join(ends[c]), dtype=np.uint8).reshape(-1, 8).astype(np.int16) for c in ("lo", "hi"))))
+    pairs = cut(spark.range(len(ends)).mapInArrow(lambda it: shared.value.pairs(it), "i long, j long"))
+    tasks = min(MOST_TASKS, -(-pairs.count() // PAIRS))
     work = (
         pairs.join(blocks.select(F.col("block").alias("i"), F.col("prints").alias("pa")), "i")
         .join(blocks.select(F.col("block").alias("j"), F.col("prints").alias("pb")), "j")
     )
-    return work.mapInArrow(_compare, "a long, b long")
+    return work.repartition(tasks, "i", "j").mapInArrow(_compare, "a long, b long")
 
 
 def _prints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Per row: _id, _sha (of the text) and _print."""
     text = F.col(text_col)
-    return cut(docs.select(F.col(id_col).cast("long").alias("_id"), F.sha2(F.coalesce(text, F.lit("")), 256).alias("_sha"), fingerprint(text).alias("_print")))
+    return cut(docs.select(F.col(id_col).alias("_id"), F.sha2(F.coalesce(text, F.lit("")), 256).alias("_sha"), fingerprint(text).alias("_print")))
 
 
 def _order() -> Column:
@@ -276,21 +291,22 @@ def _order() -> Column:
     return F.struct(F.col("_id").isNull().alias("_none"), "_id", "_print", "_sha")
 
 
-def _components(base: DataFrame) -> DataFrame:
-    """_p, _first: each different fingerprint and the first row of its component."""
-    prints = cut(base.groupBy("_print").agg(F.min(_order()).alias("_least")))
+def _components(base: DataFrame) -> tuple[DataFrame, int]:
+    """_print, _first, _rows: each different fingerprint, the first row of its component and its own rows; and all rows."""
+    prints = cut(base.groupBy("_print").agg(F.min(_order()).alias("_least"), F.count("*").alias("_rows")))
     nodes = components(links(prints.select("_print")))
-    members = nodes.join(prints, F.col("node") == F.col("_print")).select("node", "root", "_least")
-    least = members.groupBy("root").agg(F.min("_least").alias("_group"))
-    joined = members.join(least, "root").select("node", "_group")
-    known = prints.join(joined, F.col("_print") == F.col("node"), "left")
-    return known.select(F.col("_print").alias("_p"), F.coalesce("_group", "_least").alias("_first"))
+    members = cut(nodes.join(prints, F.col("node") == F.col("_print")).select("_print", "root", "_least"))
+    least = cut(members.groupBy("root").agg(F.min("_least").alias("_group"), F.count("*").alias("_n")))
+    joined = group_join(members.select("_print", "root"), least, ["root"], "_n", members.count()).select("_print", "_group")
+    known = prints.join(joined, "_print", "left").select("_print", F.coalesce("_group", "_least").alias("_first"), "_rows")
+    return cut(known), base.count()
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, fingerprint (16 hex digits) and component_id (the smallest id reachable)."""
     base = _prints(docs, id_col, text_col)
-    return base.join(_components(base), F.col("_print") == F.col("_p")).select(
+    found, n = _components(base)
+    return group_join(base.select("_id", "_print"), found, ["_print"], "_rows", n).select(
         F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("_print"), 16, "0")).alias("fingerprint"), F.col("_first._id").alias("component_id")
     )
 
@@ -299,10 +315,11 @@ def distinct_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """One row of each component, with all columns: the first by id (nulls last), fingerprint and text. Of rows equal in id
     and text one stays."""
     base = _prints(docs, id_col, text_col)
-    rows = cut(base.groupBy("_id", "_sha", "_print").agg(F.count("*").alias("_n")).join(_components(base), F.col("_print") == F.col("_p")))
+    found, n = _components(base)
+    rows = cut(group_join(cut(base.groupBy("_id", "_sha", "_print").agg(F.count("*").alias("_n"))), found, ["_print"], "_rows", n))
     first = _order().eqNullSafe(F.col("_first"))
     gone = rows.where(~first).select(F.col("_id").alias("_gone"), F.col("_sha").alias("_gone_sha"))
-    held = docs.select(F.struct("*").alias("_row"), F.col(id_col).cast("long").alias("_i"), F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("_h"))
+    held = docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("_i"), F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("_h"))
     held = held.join(gone, F.col("_i").eqNullSafe(F.col("_gone")) & (F.col("_h") == F.col("_gone_sha")), "left_anti")
     if rows.where("_n > 1").where(first).limit(1).count():
         held = held.dropDuplicates(["_i", "_h"])
