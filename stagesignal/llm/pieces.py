@@ -11,7 +11,7 @@ and the two are compared (parity). Models without that property are encoded and
 
 Defined cases: a null text has null ids and no tokens, and null parity and round trip; an empty text has no tokens;
 round_trip is whether decoding gives the normalised text back, marker characters in the text being read as spaces;
-copies and repeated rows encode alike; an empty table gives an empty result. Other columns are ignored.
+copies and repeated rows encode alike; ids are of any type; an empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,7 +37,8 @@ UNIGRAM, BPE = 1, 2
 WORDS, BATCH_BYTES = 400_000, 1 << 21
 #: Words per string handed to a library, and threads of a worker.
 GROUP, THREADS = 400, 2
-OUT = pa.schema([("_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("n_tokens", pa.int64()), ("parity", pa.bool_()), ("round_trip", pa.bool_())])
+#: What an unknown piece decodes to (fixed value).
+UNKNOWN_TEXT = " ⁇ "
 
 
 def fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -119,7 +120,7 @@ def merges(pieces: list[tuple[str, float, int]]) -> list[tuple[str, str]]:
 def normaliser(model: Model) -> normalizers.Normalizer:
     steps: list = [normalizers.Precompiled(model.charsmap)] if model.charsmap else []
     if model.squeeze:
-        steps += [normalizers.Strip(), normalizers.Replace(Regex(" {2,}"), " ")]
+        steps += [normalizers.Replace(Regex(r"\A +| +\z"), ""), normalizers.Replace(Regex(" {2,}"), " ")]
     if model.escape:
         steps.append(normalizers.Replace(" ", MARK))
     if model.dummy_prefix:
@@ -128,15 +129,17 @@ def normaliser(model: Model) -> normalizers.Normalizer:
 
 
 def backend(model: Model) -> Tokenizer:
+    """The tokenizer. A unigram model holds the pieces that texts may match alone (place 0 is unknown text): control and
+    byte pieces are no text, whatever a text spells. Its unknown text becomes bytes in `Coder.unigram`."""
     if model.kind == UNIGRAM:
-        core = models.Unigram([(p, s) for p, s, _ in model.pieces], unk_id=model.unknown, byte_fallback=model.byte_fallback)
+        core = models.Unigram([("", 0.0), *((p, s) for p, s, kind in model.pieces if kind in (NORMAL, USER))], unk_id=0, byte_fallback=False)
     elif model.kind == BPE:
         core = models.BPE({p: i for i, (p, _, _) in enumerate(model.pieces)}, merges(model.pieces), unk_token=model.pieces[model.unknown][0], fuse_unk=True, byte_fallback=model.byte_fallback)
     else:
         raise ValueError(f"model type {model.kind} is neither unigram nor BPE")
     out = Tokenizer(core)
     out.normalizer = normaliser(model)
-    if by_word(model):
+    if model.kind == BPE and by_word(model):
         out.pre_tokenizer = pre_tokenizers.Split(Regex(f"{MARK}*[^{MARK}]+|{MARK}+$"), "isolated")
     out.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse(), decoders.Strip(" ", 1, 0)])
     return out
@@ -155,12 +158,14 @@ class Coder:
         self.other = sentencepiece.SentencePieceProcessor(model_proto=raw)
         self.normal = self.backend.normalizer
         self.plain = not self.model.charsmap and not self.model.squeeze and self.model.escape and self.model.dummy_prefix
-        self.split = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+$") if self.plain and by_word(self.model) else None
+        self.split = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+$") if self.plain and self.model.kind == BPE and by_word(self.model) else None
         self.core = Tokenizer(self.backend.model)  # without normaliser: for words that are normalised already
         self.nul = self.core.token_to_id("<0x00>") if self.model.byte_fallback else None
+        self.own = [self.model.unknown, *(k for k, (_, _, kind) in enumerate(self.model.pieces) if kind in (NORMAL, USER))]
+        self.byte_ids = {int(p[3:5], 16): k for k, (p, _, kind) in enumerate(self.model.pieces) if kind == BYTE} if self.model.byte_fallback else {}
         self.known: dict[str, bytes] = {}
         self.odd: set[str] = set()  # known words for which the libraries differ
-        self.bytes = [bytes([int(p[3:5], 16)]) if kind == BYTE else b"" if kind == CONTROL else p.replace(MARK, " ").encode() for p, _, kind in self.model.pieces]
+        self.bytes = [bytes([int(p[3:5], 16)]) if kind == BYTE else b"" if kind == CONTROL else UNKNOWN_TEXT.encode() if kind == UNKNOWN else p.replace(MARK, " ").encode() for p, _, kind in self.model.pieces]
 
     def words(self, text: str) -> list[str]:
         """The words of a text, each without its first marker."""
@@ -196,10 +201,21 @@ class Coder:
             if self.known[w] != np.array(b if w else [self.other.piece_to_id(MARK)], dtype=np.int32).tobytes():
                 self.odd.add(w)
 
+    def unigram(self, texts: list[str]) -> list[list[int]]:
+        """The ids of whole texts by a unigram model; unknown text becomes bytes where the model has those."""
+        normal = [self.normal.normalize_str(t) if t else "" for t in texts]
+        out = []
+        for text, e in zip(normal, self.core.encode_batch(normal, add_special_tokens=False)):
+            ids: list[int] = []
+            for i, (a, b) in zip(e.ids, e.offsets):
+                ids += [self.byte_ids[x] for x in text[a:b].encode()] if i == 0 and self.byte_ids else [self.own[i]]
+            out.append(ids)
+        return out
+
     def encode(self, texts: list[str]) -> tuple[list[bytes], list[bool]]:
         """Token ids of each text, and whether the sentencepiece library agrees."""
         if self.split is None:
-            ids = [e.ids if t else [] for e, t in zip(self.backend.encode_batch_fast(texts, add_special_tokens=False), texts)]
+            ids = self.unigram(texts) if self.model.kind == UNIGRAM else [e.ids if t else [] for e, t in zip(self.backend.encode_batch_fast(texts, add_special_tokens=False), texts)]
             return [np.array(x, dtype=np.int32).tobytes() for x in ids], [a == b for a, b in zip(ids, self.other.encode(texts))]
         if len(self.known) > WORDS:
             self.known.clear()
@@ -239,8 +255,8 @@ def encode(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: s
                     yield _coded(coder, batch["_id"][start : k + 1], texts[start : k + 1])
                     start, size = k + 1, 0
 
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-    out = rows.mapInArrow(coded, "_id long, ids array<int>, n_tokens long, parity boolean, round_trip boolean")
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    out = rows.mapInArrow(coded, f"_id {docs.schema[id_col].dataType.simpleString()}, ids array<int>, n_tokens long, parity boolean, round_trip boolean")
     return out.withColumnRenamed("_id", id_col)
 
 
@@ -257,4 +273,4 @@ def _coded(coder: Coder, row_ids: pa.Array, texts: list[str | None]) -> pa.Recor
     parity, trip = np.zeros(len(texts), dtype=bool), np.zeros(len(texts), dtype=bool)
     parity[there], trip[there] = same, [coder.returns(texts[k], np.frombuffer(x, dtype=np.int32).tolist()) for k, x in zip(there, ids)]
     flags = [pa.array(x, mask=null) for x in (parity, trip)]
-    return pa.RecordBatch.from_arrays([row_ids.cast(pa.int64()), lists, pa.array(n), *flags], schema=OUT)
+    return pa.RecordBatch.from_arrays([row_ids, lists, pa.array(n), *flags], names=["_id", "ids", "n_tokens", "parity", "round_trip"])
