@@ -1,6 +1,6 @@
 """Language identification: averaged hashed subword embeddings under a linear softmax.
 
-Subwords are the 1- to 3-byte grams of a lower-cased text in which everything but letters is a space. Each hashes to
+Subwords are the 1- to 3-byte grams of a lower-cased text in which ASCII other than letters is a space. Each hashes to
 a row of an embedding table; a text is the average of its rows, and a linear layer with softmax gives the languages.
 Embeddings and layer are trained together by stochastic gradient descent in numpy, on a bounded sample of labelled
 rows. Scores are calibrated by a temperature fitted on rows held out of that sample, and a text is rejected when its
@@ -8,8 +8,8 @@ score, or the share of its 3-byte grams that training has seen, is below what ne
 reach: both bounds come from the sample's texts and windows of them alone, one pair for each power of two of the length.
 At prediction the two linear maps are multiplied into one table.
 
-Bounds (parameters): at most `per_lang` rows for each of the `most_langs` commonest labels, none over `most_chars`
-characters; whole texts otherwise, and always whole texts at prediction.
+Bounds (parameters): about `per_lang` rows for each of the `most_langs` commonest labels, none over `most_chars`
+characters and about `all_chars` in all; whole texts otherwise, and always whole texts at prediction.
 
 Defined cases: a text that is null or has no letter is `und` with score 0 and is rejected; a text of any length is
 predicted from all of it; copies and repeated rows get equal predictions; without labelled rows every text is `und`;
@@ -34,7 +34,7 @@ TRIGRAMS = 1 << 20
 #: Windows of held-out texts scored for each length, about; shares of seen grams are taken from 16 times as many.
 WINDOWS = 4000
 PIECE = 1 << 20
-#: ASCII letters in lower case, other bytes of letters as they are, all else a space.
+#: ASCII letters in lower case, bytes of other characters as they are, all else a space.
 LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
@@ -186,15 +186,15 @@ def train(texts: list[str], labels: list[str], *, epochs: int = 12, rate: float
     return model
 
 
-def sample(labelled: DataFrame, text_col: str, lang_col: str, id_col: str, *, per_lang: int = 600, most_langs: int = 100, most_chars: int = 20_000) -> pd.DataFrame:
+def sample(labelled: DataFrame, text_col: str, lang_col: str, id_col: str, *, per_lang: int = 600, most_langs: int = 100, most_chars: int = 20_000, all_chars: int = 40_000_000) -> pd.DataFrame:
     """A bounded sample of labelled rows, about per_lang of each language, by a hash of the id."""
     usable = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.length(text_col) <= most_chars))
-    counts = usable.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(most_langs).collect()
+    counts = usable.groupBy(lang_col).agg(F.count("*").alias("count"), F.sum(F.length(text_col)).alias("chars")).orderBy(F.desc("count"), lang_col).limit(most_langs).collect()
     if not counts:
         return pd.DataFrame({"id": [], "text": [], "lang": []})
     share = F.lit(-1.0)
     for r in counts:
-        share = F.when(F.col(lang_col) == r[0], F.lit(min(1.0, per_lang / r["count"]))).otherwise(share)
+        share = F.when(F.col(lang_col) == r[0], F.lit(min(1.0, per_lang / r["count"], all_chars / len(counts) / max(1, r["chars"])))).otherwise(share)
     drawn = (F.pmod(F.xxhash64(F.lit("langid"), id_col), F.lit(1 << 30)) / (1 << 30)) < share
     rows = usable.where(drawn).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     return rows.limit(2 * per_lang * len(counts)).toPandas().sort_values(["id", "text"], ignore_index=True)
