@@ -144,11 +144,16 @@ def recovery_summary(matches: DataFrame) -> DataFrame:
         rate(F.sum("write"), F.count("*")).alias("recovery_rate"))
 
 
-def recovery_profile(matches: DataFrame) -> DataFrame:
-    """Of runs with a right plan and a wrong search, those recovered at write and those not, per domain."""
+def recovery_runs(matches: DataFrame) -> DataFrame:
+    """The runs with a right plan and a wrong search, one row each: domain, recovered at write, right at compress."""
     runs = pivoted(matches, ("run_id", "domain")).where((F.col("plan") == 1) & (F.col("search") == 0))
-    return runs.groupBy((F.col("write") == 1).alias("recovered"), "domain").agg(
-        F.count("*").alias("runs"), F.round(F.avg("compress"), 6).alias("compress_accuracy"), F.min("run_id").alias("first_run"))
+    return runs.select("run_id", F.coalesce("domain", F.lit("unknown")).alias("domain"), F.coalesce(F.col("write") == 1, F.lit(False)).alias("recovered"), F.coalesce("compress", F.lit(0)).alias("compress"))
+
+
+def recovery_profile(matches: DataFrame) -> DataFrame:
+    """Of those, the recovered and the others: runs and accuracy at compress, per domain and over all."""
+    rows = recovery_runs(matches).select("recovered", F.explode(F.array("domain", F.lit("all"))).alias("domain"), "compress")
+    return rows.groupBy("recovered", "domain").agg(F.count("*").alias("runs"), F.round(F.avg("compress"), 6).alias("compress_accuracy"))
 
 
 def outcome_pattern(matches: DataFrame) -> DataFrame:
@@ -164,15 +169,42 @@ def prior_adjusted(matches: DataFrame, prior: DataFrame) -> DataFrame:
     return joined.select(subset.alias("subset"), "stage", hit().alias("h")).groupBy("subset", "stage").agg(F.count("*").alias("n"), rate(F.sum("h"), F.count("*")).alias("accuracy"))
 
 
-def donor_following(matches: DataFrame, donors: DataFrame) -> DataFrame:
-    """Per stage: predictions of the donor, of the shell and of others; donors has run_id and donor."""
-    from stagesignal.operators.stats import mcnemar_exact
+def prior_trajectory(matches: DataFrame, prior: DataFrame, reps: int = 5000, seed: int = 0) -> DataFrame:
+    """The whole trajectory with intervals over the same three subsets of runs."""
+    from stagesignal.operators.trajectory import trajectory_with_ci
+
+    subset = F.explode(F.array(F.lit("all"), F.when(F.col("prior_correct"), "prior_right").otherwise("prior_wrong"))).alias("subset")
+    joined = matches.join(prior, ["taskid", "gt_userid"]).select("run_id", "taskid", "stage", "correct", subset)
+    return trajectory_with_ci(joined, reps, seed, ["subset"])
 
-    kind = F.when(F.col("predicted_userid") == F.col("donor"), "d").when(F.col("predicted_userid") == F.col("gt_userid"), "s").otherwise("o")
-    per = matches.join(donors, "run_id").withColumn("k", kind).groupBy("stage").agg(
+
+def donor_following(matches: DataFrame, donors: DataFrame, strict: DataFrame | None = None, cluster: str = "taskid", reps: int = 5000, seed: int = 0) -> DataFrame:
+    """Per subset (all runs, and those of strict quality: run_id) and stage: predictions of the donor, of the shell and of
+    others, their difference with the interval of unweighted task means, exact p. donors has run_id and donor. A donor or
+    shell that is no candidate is an error."""
+    from stagesignal.operators.stats import cluster_bootstrap_means, mcnemar_exact
+
+    there = F.array_contains("candidate_userids", F.col("donor")) & F.array_contains("candidate_userids", F.col("gt_userid"))
+    kind = F.when(~there, F.raise_error(F.concat(F.lit("shell or donor is no candidate: "), "run_id")).cast("string")).when(F.col("predicted_userid") == F.col("donor"), "d").when(F.col("predicted_userid") == F.col("gt_userid"), "s").otherwise("o")
+    rows = matches.join(donors, "run_id").withColumn("k", kind).withColumn("subsets", F.array(F.lit("all")))
+    if strict is not None:
+        rows = rows.join(strict.select("run_id", F.lit("strict").alias("_s")).distinct(), "run_id", "left").withColumn("subsets", F.array_compact(F.array(F.lit("all"), F.col("_s"))))
+    rows = rows.select(F.explode("subsets").alias("subset"), "stage", cluster, "k")
+    per = rows.groupBy("subset", "stage").agg(
         *[F.count_if(F.col("k") == k).alias(n) for k, n in (("d", "donor"), ("s", "shell"), ("o", "other"))], F.count("*").alias("n"))
-    return per.select("*", rate(F.col("donor"), F.col("n")).alias("p_donor"), rate(F.col("donor") - F.col("shell"), F.col("n")).alias("difference"),
-                      F.round(mcnemar_exact(F.col("donor"), F.col("shell")), 6).alias("p"))
+    per = per.select("*", rate(F.col("donor"), F.col("n")).alias("p_donor"), rate(F.col("shell"), F.col("n")).alias("p_shell"), rate(F.col("donor") - F.col("shell"), F.col("n")).alias("difference"),
+                     F.round(mcnemar_exact(F.col("donor"), F.col("shell")), 6).alias("p"))
+    value = (F.col("k") == "d").cast("int") - (F.col("k") == "s").cast("int")
+    ends = cluster_bootstrap_means(rows, cluster, value, ["subset", "stage"], reps, seed).select("subset", "stage", "ci_low", "ci_high")
+    return per.join(ends, ["subset", "stage"])
+
+
+def order_mismatches(matches: DataFrame, method: str = "hash_sort", seed: int = 0) -> DataFrame:
+    """Decisions whose stored shuffled_order is not the one that run, stage and seed give."""
+    from stagesignal.operators.candidates import candidate_order
+
+    again = candidate_order(matches.withColumnRenamed("shuffled_order", "stored_order"), method, seed)
+    return again.where(~F.col("stored_order").eqNullSafe(F.col("shuffled_order"))).select("run_id", "stage", "stored_order", F.col("shuffled_order").alias("expected_order"))
 
 
 def agreement(left: DataFrame, right: DataFrame) -> DataFrame:

@@ -2,35 +2,82 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stagesignal.functions.scalars import URL_RULES, is_generic, normalize_query, normalize_url, tokens, url_category, url_host
+from stagesignal.functions.scalars import URL_RULES, certainty_proxy, is_generic, normalize_query, normalize_url, tokens, url_category, url_host
 from stagesignal.operators.stats import cluster_bootstrap_means
 
 
 def search_mechanism_rows(trace: DataFrame) -> DataFrame:
     """One wide row per run of trace(run, query, link, attempted): query counts, unique share, characters, entropy and
-    type-token ratio of the query tokens, generic share, hosts, shares of link categories."""
+    type-token ratio of the query tokens, generic share, hosts, shares of link categories and their entropy. What is
+    counted once is made distinct in narrow tables of its own."""
     host = url_host(normalize_url(F.col("link")))
     rows = trace.where("attempted").select("run", "query", normalize_query(F.col("query")).alias("q"), host.alias("host"), url_category(host).alias("category"))
-    shares = [F.round(F.avg((F.col("category") == c).cast("int")), 6).alias(f"share_{c}") for c in (*(n for n, _ in URL_RULES), "other_web", "unknown")]
+    names = (*(n for n, _ in URL_RULES), "other_web", "unknown")
     out = rows.groupBy("run").agg(
-        F.count("*").alias("queries"), F.round(F.count_distinct("q") / F.count("*"), 6).alias("unique_ratio"), F.sum(F.length("query")).alias("chars"),
-        F.round(F.avg(is_generic(F.col("query")).cast("int")), 6).alias("generic_rate"), F.count_distinct("host").alias("hosts"), *shares)
+        F.count("*").alias("queries"), F.sum(F.length("query")).alias("chars"), F.round(F.avg(F.length("query")), 6).alias("mean_query_chars"),
+        F.round(F.avg(is_generic(F.col("query")).cast("int")), 6).alias("generic_rate"), *[F.round(F.avg((F.col("category") == c).cast("int")), 6).alias(f"share_{c}") for c in names])
+    once = lambda c, name: rows.groupBy("run", c).agg(F.lit(1)).groupBy("run").agg(F.count(c).alias(name))
     counts = rows.select("run", F.explode(tokens(F.col("query"), "search")).alias("t")).groupBy("run", "t").agg(F.count("*").alias("n"))
     # Entropy in bits from the counts: log2 of the total less the mean of log2 n, weighted by n.
     total = F.sum("n")
-    words = counts.groupBy("run").agg(F.round(F.log2(total) - F.sum(F.col("n") * F.log2("n")) / total, 5).alias("entropy"), F.round(F.count("*") / total, 6).alias("type_token_ratio"))
-    return out.join(words, "run", "left").na.fill(0.0, ["entropy", "type_token_ratio"])
+    words = counts.groupBy("run").agg(F.round(F.log2(total) - F.sum(F.col("n") * F.log2("n")) / total, 5).alias("entropy"), F.round(F.count("*") / total, 6).alias("type_token_ratio"), F.count("*").alias("unique_tokens"), total.alias("token_count"))
+    # The same of the category shares, each as a whole per cent, one at least where there is any.
+    share = lambda c: F.when(F.col(f"share_{c}") > 0, F.greatest(F.lit(1.0), F.round(100 * F.col(f"share_{c}"))))
+    parts = F.array_compact(F.array(*[share(c) for c in names]))
+    whole = F.aggregate(parts, F.lit(0.0), lambda s, x: s + x)
+    spread = F.round(F.log2(whole) - F.aggregate(parts, F.lit(0.0), lambda s, x: s + x * F.log2(x)) / whole, 5).alias("category_entropy")
+    joined = out.select("*", spread).join(once("q", "unique_queries"), "run").join(once("host", "hosts"), "run").join(words, "run", "left")
+    joined = joined.withColumn("unique_ratio", F.round(F.col("unique_queries") / F.col("queries"), 6))
+    return joined.na.fill(0.0, ["entropy", "type_token_ratio"]).na.fill(0, ["unique_tokens", "token_count"])
+
+
+def bucket_retention(queries: DataFrame, briefs: DataFrame, buckets: DataFrame) -> DataFrame:
+    """Per run and profile bucket: the share of the bucket's tokens that the brief has, that the queries have, and what is
+    lost between the two. queries(run, query), briefs(run, text), buckets(run, bucket, tokens: a set)."""
+    wanted = buckets.select("run", "bucket", F.explode(F.array_distinct("tokens")).alias("t")).groupBy("run", "bucket", "t").agg(F.lit(1))
+    held = lambda df, text, name: df.select("run", F.explode(tokens(F.col(text), "search")).alias("t")).groupBy("run", "t").agg(F.lit(1).alias(name))
+    found = wanted.join(held(briefs, "text", "in_brief"), ["run", "t"], "left").join(held(queries, "query", "in_query"), ["run", "t"], "left")
+    per = found.groupBy("run", "bucket").agg(F.count("*").alias("tokens"), F.count("in_brief").alias("b"), F.count("in_query").alias("q"))
+    return per.select("run", "bucket", "tokens", F.round(F.col("b") / F.col("tokens"), 6).alias("brief"), F.round(F.col("q") / F.col("tokens"), 6).alias("query"), F.round((F.col("b") - F.col("q")) / F.col("tokens"), 6).alias("lost"))
+
+
+def bucket_summary(retention: DataFrame, correct: DataFrame) -> DataFrame:
+    """Mean retention per bucket, over all runs and those with a right and a wrong search. correct(run, search_correct)."""
+    rows = retention.join(correct, "run").select(_outcome(), "bucket", "brief", "query", "lost")
+    return rows.groupBy("scope", "bucket").agg(F.count("*").alias("runs"), *[F.round(F.avg(c), 4).alias(c) for c in ("brief", "query", "lost")])
+
+
+def certainty_by_stage(matches: DataFrame) -> DataFrame:
+    """Mean certainty of the matcher's reasoning per stage, and accuracy. matches(stage, reasoning, correct)."""
+    rows = matches.select("stage", F.col("correct").cast("int").alias("h"), certainty_proxy(F.coalesce("reasoning", F.lit(""))).alias("c"))
+    mean = lambda c, name: F.round(F.avg(c), 6).alias(name)
+    return rows.groupBy("stage").agg(F.count("*").alias("n"), mean("c.score", "certainty"), mean(F.col("c.has_strong").cast("int"), "has_strong"), mean(F.col("c.has_hedge").cast("int"), "has_hedge"), mean("c.named", "named"), mean("h", "accuracy"))
+
+
+def _outcome() -> Column:
+    return F.explode(F.array(F.lit("all"), F.when(F.col("search_correct"), "search_correct").otherwise("search_wrong"))).alias("scope")
+
+
+SUMMED = ("queries", "unique_queries", "unique_ratio", "mean_query_chars", "unique_tokens", "entropy", "type_token_ratio", "generic_rate", "hosts", "share_retail_books", "share_academic", "share_course_platform")
 
 
 def search_mechanism_summary(rows: DataFrame, correct: DataFrame) -> DataFrame:
-    """Means over all runs, and over those with a right and a wrong search. correct(run, search_correct)."""
+    """Means over all runs, over those with a right and a wrong search, and right less wrong. correct(run, search_correct)."""
     joined = rows.join(correct, "run")
-    scope = F.explode(F.array(F.lit("all"), F.when(F.col("search_correct"), "search_correct").otherwise("search_wrong")))
-    names = ("queries", "unique_ratio", "chars", "entropy", "type_token_ratio", "generic_rate", "hosts")
-    return joined.withColumn("scope", scope).groupBy("scope").agg(F.count("*").alias("runs"), *[F.round(F.avg(c), 4).alias(c) for c in names])
+    means = joined.select(_outcome(), *SUMMED).groupBy("scope").agg(F.count("*").alias("runs"), *[F.round(F.avg(c), 4).alias(c) for c in SUMMED])
+    part = lambda ok, c: F.avg(F.when(F.col("search_correct") == ok, F.col(c)))
+    return means.union(joined.agg(F.lit("right_less_wrong").alias("scope"), F.count("*").alias("runs"), *[F.round(part(True, c) - part(False, c), 4).alias(c) for c in SUMMED]))
+
+
+def recovery_cases(rows: DataFrame, retention: DataFrame, outcomes: DataFrame, bucket: str, n: int = 5) -> DataFrame:
+    """The report of the n runs right at plan and write and wrong at search that were most generic, then lost most of a
+    bucket, then asked longest; ties by run. outcomes(run, plan, search, write) are 0 or 1."""
+    lost = retention.where(F.col("bucket") == bucket).select("run", "lost")
+    found = outcomes.where("plan = 1 and search = 0 and write = 1").join(rows, "run").join(lost, "run", "left").na.fill(0.0, ["lost"])
+    return found.select("run", "generic_rate", "lost", "mean_query_chars").orderBy(F.desc("generic_rate"), F.desc("lost"), F.desc("mean_query_chars"), "run").limit(n)
 
 
 def top_cases(rows: DataFrame, by: str, n: int = 5) -> DataFrame:
@@ -68,10 +115,13 @@ def stability_interval(per_task: DataFrame, reps: int = 1000) -> DataFrame:
 
 
 def source_diversity(trace: DataFrame) -> DataFrame:
-    """Per task: members, union of URLs, URLs of one member only and of all, their share, mean URLs per member."""
+    """Per task: members, union of URLs, URLs of one member only and of all, their share, mean URLs per member, and the mean
+    over pairs of members of the URLs that both have, as a share of the mean per member (null for one member)."""
     items = trace.where("attempted").select("taskid", "userid", normalize_url(F.col("link")).alias("url")).distinct()
     members = items.groupBy("taskid").agg(F.count_distinct("userid").alias("members"), F.count("*").alias("total"))
     urls = items.groupBy("taskid", "url").agg(F.count("*").alias("k")).join(members, "taskid")
     out = urls.groupBy("taskid", "members", "total").agg(F.count("*").alias("union"), F.count_if(F.col("k") == 1).alias("single"), F.count_if(F.col("k") == F.col("members")).alias("common"),
                                                          F.sum(F.col("k") * (F.col("k") - 1) / 2).cast("long").alias("pairwise_shared"))
-    return out.withColumn("unique_fraction", F.round(F.col("single") / F.col("union"), 6)).withColumn("mean_per_member", F.round(F.col("total") / F.col("members"), 6)).drop("total")
+    overlap = F.try_divide(2 * F.col("pairwise_shared"), (F.col("members") - 1) * F.col("total"))
+    return out.select("*", F.round(F.col("single") / F.col("union"), 6).alias("unique_fraction"), F.round(F.col("total") / F.col("members"), 6).alias("mean_per_member"),
+                      F.round(overlap, 6).alias("mean_overlap"), F.round(1 - overlap, 6).alias("mean_apart")).drop("total")

@@ -18,10 +18,23 @@ def _counts(a: str = "a", b: str = "b") -> list[Column]:
 
 
 def _tested(counts: DataFrame) -> DataFrame:
-    return counts.withColumn("difference", rate(F.col("left_correct") - F.col("right_correct"), F.col("n"))).withColumn("p", F.round(mcnemar_exact(F.col("left_only"), F.col("right_only")), 6))
+    n, p = F.col("n"), F.round(mcnemar_exact(F.col("left_only"), F.col("right_only")), 6)
+    return counts.withColumns({"left_accuracy": rate(F.col("left_correct"), n), "right_accuracy": rate(F.col("right_correct"), n),
+                               "difference": rate(F.col("left_correct") - F.col("right_correct"), n), "p": p})
 
 
-def paired_stages(matches: DataFrame, reps: int = 200, seed: int = 0) -> DataFrame:
+def _compared(rows: DataFrame, keys: list[str], cluster: str, reps: int, seed: int) -> DataFrame:
+    """Counts, exact p and the cluster interval of a - b, per keys."""
+    ends = cluster_bootstrap(rows, cluster, F.col("a") - F.col("b"), keys, reps, seed).select(*keys, "ci_low", "ci_high")
+    return _tested(rows.groupBy(*keys).agg(*_counts())).join(ends, keys)
+
+
+def _scoped(scope: str) -> Column:
+    """Each value of scope, and all."""
+    return F.explode(F.array(F.concat(F.lit(scope), F.col(scope).cast("string")), F.lit("all"))).alias("scope")
+
+
+def paired_stages(matches: DataFrame, reps: int = 5000, seed: int = 0) -> DataFrame:
     """Adjacent stages and search to write within each run: change, discordant counts, exact p, cluster interval."""
     pairs = (*ADJACENT, ("search", "write"))
     runs = pivoted(matches, ("run_id", "taskid"))
@@ -39,44 +52,56 @@ def unpaired(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFram
     return a.union(right.select(*keys).join(left.select(*keys), list(keys), "left_anti").withColumn("side", F.lit("right")))
 
 
-def paired_conditions(left: DataFrame, right: DataFrame, keys: Sequence[str] = ("run_id", "stage"), how: str = "common", scope: str = "seed") -> DataFrame:
-    """Per stage and scope (each seed, and all): both accuracies, their difference, discordant counts and exact p.
-    how `strict`: an unpaired key is an error."""
+def paired_conditions(left: DataFrame, right: DataFrame, keys: Sequence[str] = ("run_id", "stage"), how: str = "common", scope: str = "seed", cluster: str = "taskid", reps: int = 5000, seed: int = 0) -> DataFrame:
+    """Per stage and scope (each seed, and all): both accuracies, their difference with its cluster interval, discordant
+    counts and exact p. how `strict`: an unpaired key is an error."""
     if how == "strict" and unpaired(left, right, keys).limit(1).count():
         raise ValueError("unpaired keys")
     b = right.select(*keys, hit().alias("b"))
-    joined = left.select(*keys, scope, hit().alias("a")).join(b, list(keys))
-    rows = joined.select("stage", F.explode(F.array(F.concat(F.lit(scope), F.col(scope).cast("string")), F.lit("all"))).alias("scope"), "a", "b")
-    return _tested(rows.groupBy("scope", "stage").agg(*_counts()))
+    joined = left.select(*dict.fromkeys((*keys, "stage", scope, cluster)), hit().alias("a")).join(b, list(keys))
+    return _compared(joined.select("stage", cluster, _scoped(scope), "a", "b"), ["scope", "stage"], cluster, reps, seed)
 
 
-def paired_methods(primary: DataFrame, others: dict[str, DataFrame]) -> DataFrame:
-    """primary against each other method; one join for all of them."""
+def paired_methods(primary: DataFrame, others: dict[str, DataFrame], scope: str = "seed", cluster: str = "taskid", reps: int = 5000, seed: int = 0) -> DataFrame:
+    """primary against each other method, per scope (each seed, and all) and stage; one join for all of them."""
     rest = None
     for name, df in others.items():
         part = df.select("run_id", "stage", F.lit(name).alias("method"), hit().alias("b"))
         rest = part if rest is None else rest.union(part)
-    joined = primary.select("run_id", "stage", hit().alias("a")).join(rest, ["run_id", "stage"])
-    return _tested(joined.groupBy("method", "stage").agg(*_counts()))
+    joined = primary.select("run_id", "stage", scope, cluster, hit().alias("a")).join(rest, ["run_id", "stage"])
+    return _compared(joined.select("method", "stage", cluster, _scoped(scope), "a", "b"), ["method", "scope", "stage"], cluster, reps, seed)
 
 
-def paired_seeds(matches: DataFrame, low: int = 0, high: int = 1) -> DataFrame:
+def paired_seeds(matches: DataFrame, low: int = 0, high: int = 1, cluster: str = "taskid", reps: int = 5000, seed: int = 0) -> DataFrame:
     """Seed high against seed low on the base run, by conditional aggregation instead of a self-join."""
     base = F.regexp_replace("run_id", "_seed[0-9]+$", "")
-    per = matches.where(F.col("seed").isin(low, high)).groupBy(base.alias("base"), "stage").agg(
+    per = matches.where(F.col("seed").isin(low, high)).groupBy(base.alias("base"), "stage", cluster).agg(
         F.max(F.when(F.col("seed") == high, hit())).alias("a"), F.max(F.when(F.col("seed") == low, hit())).alias("b"))
-    return _tested(per.where(F.col("a").isNotNull() & F.col("b").isNotNull()).groupBy("stage").agg(*_counts()))
+    return _compared(per.where(F.col("a").isNotNull() & F.col("b").isNotNull()), ["stage"], cluster, reps, seed)
 
 
-def paired_regeneration(source: DataFrame, regenerated: DataFrame, short: int = 2000) -> DataFrame:
-    """Write stage of source and regenerated runs (with report_chars), paired on the canonical run id, by short report."""
+def _regenerated(source: DataFrame, regenerated: DataFrame, short: int) -> DataFrame:
+    """Write stage of source (a) and regenerated (b) runs, paired on the canonical run id, with what the source run got
+    right before and whether the new report is short."""
     from stagesignal.functions.scalars import canonical_run_id
 
-    a = source.where(F.col("stage") == "write").select(canonical_run_id(F.col("run_id")).alias("id"), hit().alias("a"))
+    a = pivoted(source, ("run_id", "taskid")).select(canonical_run_id(F.col("run_id")).alias("id"), "taskid", "plan", "search", F.col("write").alias("a"))
     b = regenerated.where(F.col("stage") == "write").select(canonical_run_id(F.col("run_id")).alias("id"), hit().alias("b"), (F.col("report_chars") < short).alias("short"))
-    rows = a.join(b, "id")
-    return rows.groupBy("short").agg(*_counts(), F.min(F.when((F.col("a") == 1) & (F.col("b") == 0), F.col("id"))).alias("first_lost"),
-                                     F.min(F.when((F.col("a") == 0) & (F.col("b") == 1), F.col("id"))).alias("first_gained"))
+    return a.where("a is not null").join(b, "id").withColumn("lost_at_search", F.coalesce((F.col("plan") == 1) & (F.col("search") == 0), F.lit(False)))
+
+
+def paired_regeneration(source: DataFrame, regenerated: DataFrame, short: int = 2000, reps: int = 5000, seed: int = 0) -> DataFrame:
+    """Source against regenerated write stage (with report_chars), over all pairs, those with a short new report, and those
+    whose source run had a right plan and a wrong search."""
+    kinds = F.array_compact(F.array(F.lit("all"), F.when(F.col("short"), F.lit("short_report")), F.when(F.col("lost_at_search"), F.lit("plan_ok_search_wrong"))))
+    rows = _regenerated(source, regenerated, short).select(F.explode(kinds).alias("subset"), "taskid", "a", "b")
+    return _compared(rows, ["subset"], "taskid", reps, seed)
+
+
+def regeneration_changes(source: DataFrame, regenerated: DataFrame, short: int = 2000) -> DataFrame:
+    """The runs that regeneration lost or gained, one row each."""
+    rows = _regenerated(source, regenerated, short).where(F.col("a") != F.col("b"))
+    return rows.select("id", F.when(F.col("a") == 1, "lost").otherwise("gained").alias("change"), "short", "lost_at_search")
 
 
 def comparability(left: DataFrame, right: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ counter-based (a hash of seed, resample and position), so results do not depend
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -24,12 +25,12 @@ def draw(seed: int, rep: Column, i: Column, n: Column) -> Column:
 
 def resamples(sums: DataFrame, cluster: str, parts: Sequence[str], by: Sequence[str] = (), reps: int = 1000, seed: int = 0) -> DataFrame:
     """by, _rep and the sums of parts in each resample. sums has one row per by and cluster."""
-    window = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
-    indexed = sums.select(*by, *parts, (F.row_number().over(window.orderBy(cluster)) - 1).alias("_at"))
-    counts = sums.groupBy(*by).agg(F.count("*").alias("_n"))
-    draws = counts.withColumn("_rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))).withColumn("_i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))
-    draws = draws.select(*by, "_rep", draw(seed, F.col("_rep"), F.col("_i"), F.col("_n")).alias("_at"))
-    return draws.join(indexed, [*by, "_at"]).groupBy(*by, "_rep").agg(*[F.sum(p).alias(p) for p in parts])
+    window = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))  # clusters, not rows
+    indexed = sums.select(*by, *parts, (F.row_number().over(window.orderBy(cluster)) - 1).alias("_at"), F.count("*").over(window).alias("_n"))
+    # Draws depend on the number of clusters alone, so groups with as many share them.
+    draws = indexed.select("_n").distinct().withColumn("_rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))).withColumn("_i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))
+    draws = draws.select("_n", "_rep", draw(seed, F.col("_rep"), F.col("_i"), F.col("_n")).alias("_at")).groupBy("_n", "_rep", "_at").agg(F.count("*").alias("_times"))
+    return draws.join(indexed, ["_n", "_at"]).groupBy(*by, "_rep").agg(*[F.sum(F.col(p) * F.col("_times")).alias(p) for p in parts])
 
 
 def interval(df: DataFrame, value: Column, by: Sequence[str] = (), level: float = 0.95) -> DataFrame:
@@ -62,15 +63,25 @@ def cluster_bootstrap_contrast(df: DataFrame, cluster: str, value: Column, group
     return point.crossJoin(interval(resamples(sums, cluster, ["_s1", "_n1", "_s0", "_n0"], (), reps, seed), diff))
 
 
-def percentile_rank(df: DataFrame, value: str, q: float, rule: str) -> DataFrame:
+def percentile_rank(df: DataFrame, value: str, q: float, rule: str, buckets: int = 4096) -> DataFrame:
     """An order statistic: rule `floor` takes floor(q*n), `nearest` round(q*(n-1)), `inner` floor for q < 1/2 and ceil - 1 above.
-    Values are ranked per distinct value, so no task holds all of them in order."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(value).count()
-    n = F.sum("count").over(Window.partitionBy(F.lit(1)))
-    upto = F.sum("count").over(Window.partitionBy(F.lit(1)).orderBy(value))
-    at = {"floor": F.floor(q * n), "nearest": F.round(q * (n - 1)), "inner": F.floor(q * n) if q < 0.5 else F.ceil(q * n) - 1}[rule]
-    at = F.least(F.greatest(at, F.lit(0)), n - 1)
-    return counts.withColumn("_at", at).withColumn("_upto", upto).where(F.col("_upto") > F.col("_at")).agg(F.min(value).alias("value"))
+
+    Rows are never put in order: each pass counts the numbers of one range in equal parts of it, and the next one looks
+    into the part that holds the wanted place, until it holds one number only. Null without numbers."""
+    rows = df.select(F.col(value).cast("double").alias("v")).where("v is not null")
+    n, low, high = rows.agg(F.count("*"), F.min("v"), F.max("v")).first()
+    if n:
+        at = {"floor": math.floor(q * n), "nearest": math.floor(q * (n - 1) + 0.5), "inner": math.floor(q * n) if q < 0.5 else math.ceil(q * n) - 1}[rule]
+        at = min(max(at, 0), n - 1)
+    while n and low < high:
+        part = F.least(F.floor((F.col("v") - low) / (high - low) * buckets), F.lit(buckets - 1))
+        found = rows.where(F.col("v").between(low, high)).groupBy(part.alias("b")).agg(F.count("*").alias("c"), F.min("v").alias("low"), F.max("v").alias("high"))
+        for r in sorted(found.collect()):  # a row per part at most
+            low, high = r["low"], r["high"]
+            if at < r["c"]:
+                break
+            at -= r["c"]
+    return df.sparkSession.createDataFrame([(low,)], "value double").select(F.col("value").cast(df.schema[value].dataType).alias("value"))
 
 
 def _mcnemar(b: int, c: int) -> float:

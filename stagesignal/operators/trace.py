@@ -9,6 +9,8 @@ from pyspark.sql.window import Window
 from stagesignal.functions.scalars import normalize_query, normalize_url
 
 UNMAPPED = "topic_unmapped"
+#: Arrivals of a block.
+BLOCK = 4096
 
 
 def assign_topics(events: DataFrame) -> DataFrame:
@@ -51,45 +53,136 @@ def capture_latest(events: DataFrame, error_prefix: str = "Error") -> DataFrame:
     return events.where(good).groupBy("report_run", "slot").agg(F.max_by("text", order).alias("text"))
 
 
-def _queries(keep) -> Column:
-    return F.filter("search_trace", keep)
+def _sources() -> Column:
+    return F.flatten(F.transform(_listed("search_trace"), lambda q: F.coalesce(q["sources"], F.array())))
 
 
-def _sources() -> Column:
-    return F.flatten(F.transform("search_trace", lambda q: F.coalesce(q["sources"], F.array())))
+TERMINAL = ("ok", "success", "failure", "failed")
+# The version of the artifact format, its service tiers, and how reports of a failed run begin.
+SCHEMA_VERSION = "dra_trace_v2"
+SERVICE_TIERS = ("flex", "default")
+ERROR_REPORTS = ("Error generating final report:", "Error synthesizing research report:")
+COUNTERS = ("input_tokens", "output_tokens", "total_tokens", "token_usage_events", "queries_requested", "queries_attempted", "queries_successful", "queries_failed", "queries_rejected", "sources_selected", "unique_sources")
+COUNTED = COUNTERS[4:]
+
+
+def _ok(q: Column) -> Column:
+    return F.coalesce(q["status"].isin("ok", "success"), F.lit(False))
+
+
+def _attempted(q: Column) -> Column:
+    return F.coalesce(q["attempted"], F.lit(False))
+
+
+def _blank(c: Column) -> Column:
+    return F.trim(F.coalesce(c, F.lit(""))) == ""
+
+
+def _listed(name: str) -> Column:
+    return F.coalesce(F.col(name), F.array())
+
+
+def _found() -> dict[str, Column]:
+    """The counters that an artifact's trace gives."""
+    n = lambda keep: F.size(F.filter(_listed("search_trace"), keep)).cast("long")
+    links = F.filter(F.transform(_sources(), lambda s: s["link"]), lambda x: F.coalesce(x, F.lit("")) != "")
+    return {"queries_requested": F.size(_listed("search_trace")).cast("long"), "queries_attempted": n(_attempted), "queries_successful": n(_ok), "queries_failed": n(lambda q: _attempted(q) & ~_ok(q)),
+            "queries_rejected": n(lambda q: ~_attempted(q)), "sources_selected": F.size(_sources()).cast("long"), "unique_sources": F.size(F.array_distinct(links)).cast("long")}
+
+
+def _topics() -> Column:
+    return F.transform(_listed("research_topics"), lambda t: t["topic_id"])
+
+
+def _sourced() -> Column:
+    """Topics with a successful query that has a source."""
+    good = F.filter(_listed("search_trace"), lambda q: _ok(q) & (F.size(F.coalesce(q["sources"], F.array())) > 0))
+    return F.array_distinct(F.transform(good, lambda q: q["topic_id"]))
+
+
+def _reported() -> Column:
+    return ~_blank(F.col("final_report")) & ~F.greatest(*[F.col("final_report").startswith(p) for p in ERROR_REPORTS])
+
+
+def trace_ledger(artifacts: DataFrame, log: DataFrame | None = None, usage: DataFrame | None = None) -> DataFrame:
+    """Counters of an artifact's trace, its model usage, whether its parts are complete, and whether the search log agrees.
+
+    usage(run_id, input_tokens, output_tokens, token_usage_events) and log(run_id and the counters of COUNTED but for
+    rejected ones) have a row per run; without a log its counts are taken to agree. Nothing else leaves the row."""
+    topics, compressed = _topics(), F.transform(_listed("compressed_research"), lambda c: c["topic_id"])
+    terminal = (F.size(_listed("search_trace")) > 0) & F.forall(_listed("search_trace"), lambda q: F.coalesce(q["status"].isin(*TERMINAL), F.lit(False)))
+    flags = {"has_brief": ~_blank(F.col("research_brief")), "has_topics": F.size(topics) > 0,
+             "has_query_and_source": terminal & (F.size(topics) > 0) & (F.size(F.array_except(topics, _sourced())) == 0),
+             "has_compressed_per_topic": (F.size(topics) > 0) & (F.array_sort(F.array_distinct(topics)) == F.array_sort(F.array_distinct(compressed))),
+             "has_report": F.coalesce(_reported(), F.lit(False))}
+    out = artifacts.select("run_id", *[c.alias(n) for n, c in _found().items()], *[c.alias(n) for n, c in flags.items()])
+    out = out.withColumn("complete", F.least(*map(F.col, flags)))
+    if usage is not None:
+        names = ("input_tokens", "output_tokens", "token_usage_events")
+        out = out.join(usage.select("run_id", *names), "run_id", "left").na.fill(0, list(names)).withColumn("total_tokens", F.col("input_tokens") + F.col("output_tokens"))
+    same = lambda names: F.coalesce(F.least(*[F.col(c) == F.col("_" + c) for c in names]), F.lit(False))
+    queries, sources = COUNTED[:4], COUNTED[5:]
+    if log is None:
+        return out.withColumns({"query_ledger_consistent": F.lit(True), "source_ledger_consistent": F.lit(True)})
+    joined = out.join(log.select("run_id", *[F.col(c).alias("_" + c) for c in (*queries, *sources)]), "run_id", "left")
+    return joined.withColumns({"query_ledger_consistent": same(queries), "source_ledger_consistent": same(sources)}).drop(*["_" + c for c in (*queries, *sources)])
+
+
+def _numbered(items: Column, wrong, text: str) -> Column:
+    """"place: text" for each item (from 0) that is wrong."""
+    marked = F.transform(items, lambda x, i: F.when(F.coalesce(wrong(x, i), F.lit(True)), F.concat(i.cast("string"), F.lit(f": {text}"))))
+    return F.array_compact(marked)
 
 
-def trace_ledger(artifacts: DataFrame) -> DataFrame:
-    """Counters of an artifact's trace and whether its parts are complete; all inside the row, no shuffle."""
-    n = lambda c: F.size(c).cast("long")
-    ok = lambda q: q["status"].isin("ok", "success")
-    topics = F.array_distinct(F.transform("search_trace", lambda q: q["topic_id"]))
-    answered = F.array_distinct(F.transform(_queries(ok), lambda q: q["topic_id"]))
-    filled = lambda c: F.trim(F.coalesce(c, F.lit(""))) != ""
-    return artifacts.select(
-        "run_id", n("search_trace").alias("queries_requested"), n(_queries(lambda q: q["attempted"])).alias("queries_attempted"), n(_queries(ok)).alias("queries_successful"),
-        n(_queries(lambda q: ~ok(q))).alias("queries_failed"), n(_sources()).alias("sources_selected"), n(F.array_distinct(F.transform(_sources(), lambda s: s["link"]))).alias("unique_sources"),
-        n(topics).alias("topics"), filled("research_brief").alias("has_brief"), filled("final_report").alias("has_report"), (F.size("compressed_research") > 0).alias("has_compressed"),
-        (F.size(F.array_except(topics, answered)) == 0).alias("every_topic_answered"))
+def _messages(checks: dict[str, Column]) -> Column:
+    """The names of the checks that fail or cannot be told."""
+    return F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in checks.items()]))
 
 
 def validate_artifacts(artifacts: DataFrame) -> DataFrame:
-    """Arrays of schema and completeness errors per artifact and two flags, by higher-order functions only."""
-    topics = F.transform("search_trace", lambda q: q["topic_id"])
-    ids = F.transform("search_trace", lambda q: q["query_id"])
-    wanted = F.transform(F.sequence(F.lit(1), F.size(F.array_distinct(topics))), lambda i: F.concat(F.lit("topic_"), F.lpad(i.cast("string"), 3, "0")))
-    ok = F.array_distinct(F.transform(_queries(lambda q: q["status"].isin("ok", "success")), lambda q: q["topic_id"]))
-    compressed = F.transform("compressed_research", lambda c: c["topic_id"])
-    schema = F.array_compact(F.array(
-        F.when(F.col("research_brief").isNull(), "research_brief: missing"), F.when(F.col("final_report").isNull(), "final_report: missing"),
-        F.when(F.array_sort(F.array_distinct(topics)) != wanted, "topics: not contiguous"), F.when(F.size(F.array_distinct(ids)) < F.size(ids), "queries: id repeated"),
-        F.when(F.exists("search_trace", lambda q: ~q["status"].isin("ok", "success", "failed")), "queries: status not terminal"),
-        F.when(F.exists(_sources(), lambda s: s["link"].isNull() | s["title"].isNull()), "sources: key missing")))
+    """Arrays of schema, completeness and ledger errors per artifact and two flags, by higher-order functions only. A value
+    of the wrong type is read as null, which counts as missing. An artifact that lacks a part, or whose configuration is
+    wrong, is not looked into any further."""
+    config = lambda c: F.col(f"execution_config.{c}")
+    parts = _messages({
+        "schema_version: unsupported": F.col("schema_version") == SCHEMA_VERSION, "run_id: missing": ~_blank(F.col("run_id")),
+        **{f"{c}: missing": F.col(c).isNotNull() for c in ("research_brief", "research_topics", "search_trace", "compressed_research", "final_report", "execution_config", "token_ledger")},
+        "generation_seed: missing": config("generation_seed").isNotNull(), "models: missing": config("models").isNotNull(), "timeout_sec: not positive": config("timeout_sec") > 0,
+        "service_tier: unknown": config("service_tier").isin(*SERVICE_TIERS), **{f"{c}: no SHA-256": config(c).rlike("^[0-9a-f]{64}$") for c in ("manifest_sha256", "prompt_sha256")}})
+    topics, trace, compressed = _listed("research_topics"), _listed("search_trace"), _listed("compressed_research")
+    ids = F.transform(trace, lambda q: q["query_id"])
+    wanted = F.transform(topics, lambda t, i: F.concat(F.lit("topic_"), F.lpad((i + 1).cast("string"), 3, "0")))
+    source_ok = lambda s: (s["rank"] >= 1) & s["query"].isNotNull() & s["title"].isNotNull() & s["link"].isNotNull() & s["domain"].isNotNull() & s["snippet"].isNotNull()
+    inner = F.concat(
+        F.when(F.size(topics) == 0, F.array().cast("array<string>")).when(_topics() == wanted, F.array().cast("array<string>")).otherwise(F.array(F.lit("topics: not in order"))),
+        _numbered(topics, lambda t, i: _blank(t["topic_text"]), "topic without text"),
+        _numbered(trace, lambda q, i: F.array_position(ids, q["query_id"]) != i + 1, "query id missing or repeated"),
+        _numbered(trace, lambda q, i: ~F.array_contains(F.concat(_topics(), F.array(F.lit(UNMAPPED))), q["topic_id"]), "unknown topic"),
+        _numbered(trace, lambda q, i: F.coalesce(q["query"], F.lit("")) == "", "query without text"),
+        _numbered(trace, lambda q, i: q["attempted"].isNull(), "attempted: missing"),
+        _numbered(trace, lambda q, i: ~q["status"].isin(*TERMINAL), "status not terminal"),
+        _numbered(trace, lambda q, i: q["sources"].isNull(), "sources: missing"),
+        _numbered(trace, lambda q, i: F.exists(F.coalesce(q["sources"], F.array()), lambda s: ~F.coalesce(source_ok(s), F.lit(False))), "source incomplete"),
+        _numbered(compressed, lambda c, i: F.coalesce(c["compressed_research"], F.lit("")) == "", "compressed text empty"))
+    known = F.array_sort(F.array_distinct(F.filter(_topics(), lambda t: t.isNotNull())))
+    bare = F.array_except(known, _sourced())
     complete = F.concat(
-        F.transform(F.array_except(topics, ok), lambda t: F.concat(t, F.lit(": no successful source"))), F.transform(F.array_except(topics, compressed), lambda t: F.concat(t, F.lit(": not compressed"))),
-        F.transform(F.array_except(compressed, topics), lambda t: F.concat(t, F.lit(": unknown topic"))))
-    out = artifacts.select("run_id", schema.alias("schema_errors"), complete.alias("completeness_errors"))
-    return out.withColumn("schema_valid", F.size("schema_errors") == 0).withColumn("success_criteria_met", (F.size("schema_errors") == 0) & (F.size("completeness_errors") == 0))
+        _numbered(trace, lambda q, i: F.coalesce(q["topic_id"], F.lit("")) == UNMAPPED, "query of no topic"),
+        _messages({"research_brief: empty": F.col("research_brief") != "", "research_topics: empty": F.size(topics) > 0, "search_trace: empty": F.size(trace) > 0}),
+        F.when(F.size(bare) > 0, F.array(F.concat(F.lit("no successful source: "), F.concat_ws(", ", bare)))).otherwise(F.array().cast("array<string>")),
+        _messages({"compressed_research: not one to one": F.array_sort(F.transform(compressed, lambda c: c["topic_id"])) == F.array_sort(_topics()), "final_report: empty or failed": _reported()}))
+    stated = {c: F.col(f"token_ledger.{c}") for c in COUNTERS}
+    odd = _messages({f"{c}: missing or negative": stated[c] >= 0 for c in COUNTERS})
+    differ = F.array_compact(F.array(*[F.when(stated[c] != n, F.concat(F.lit(f"{c}: "), stated[c].cast("string"), F.lit(" stated, "), n.cast("string"), F.lit(" found"))) for c, n in _found().items()]))
+    sums = F.concat(differ, _messages({
+        "total_tokens: not the sum": stated["total_tokens"] == stated["input_tokens"] + stated["output_tokens"], "token_usage_events: none": stated["token_usage_events"] > 0,
+        "query ledger: differs from the log": F.col("token_ledger.query_ledger_consistent"), "source ledger: differs from the log": F.col("token_ledger.source_ledger_consistent")}))
+    ledger = F.when(F.size(odd) > 0, odd).otherwise(sums)
+    rows = artifacts.withColumn("_parts", parts)
+    fine, nothing = F.size("_parts") == 0, F.array().cast("array<string>")
+    out = rows.select("run_id", F.when(fine, inner).otherwise(F.col("_parts")).alias("schema_errors"), F.when(fine, complete).otherwise(nothing).alias("completeness_errors"), F.when(fine, ledger).otherwise(nothing).alias("ledger_errors"))
+    sizes = [F.size(c) == 0 for c in ("schema_errors", "completeness_errors", "ledger_errors")]
+    return out.withColumn("schema_valid", sizes[0]).withColumn("success_criteria_met", sizes[0] & sizes[1] & sizes[2])
 
 
 def select_sources(responses: DataFrame, per_query: int = 3, per_run: int = 15) -> DataFrame:
@@ -112,16 +205,24 @@ def query_outcomes(responses: DataFrame, selected: DataFrame) -> DataFrame:
 
 def admit_queries(requests: DataFrame, per_call: int = 5, per_run: int = 7, overall: int = 2400) -> DataFrame:
     """requests(ord, report_run, call_id, query): attempted or the cap that rejects it. Caps apply in arrival order: call,
-    run, then all runs. The last is a prefix sum in two passes: counts per block of arrivals, then within a block."""
-    valid = normalize_query(F.col("query")).isNotNull()
-    rows = requests.withColumn("valid", valid)
-    in_call = F.sum(F.col("valid").cast("int")).over(Window.partitionBy("report_run", "call_id").orderBy("ord"))
-    rows = rows.withColumn("fits", F.col("valid") & (in_call <= per_call))
-    in_run = F.sum(F.col("fits").cast("int")).over(Window.partitionBy("report_run").orderBy("ord"))
-    rows = rows.withColumn("wanted", F.col("fits") & (in_run <= per_run)).withColumn("block", F.floor(F.col("ord") / 4096))
-    blocks = rows.groupBy("block").agg(F.sum(F.col("wanted").cast("int")).alias("n"))
-    before = blocks.select("block", (F.sum("n").over(Window.partitionBy(F.lit(1)).orderBy("block")) - F.col("n")).alias("before"))  # a row per 4096 arrivals
-    rank = F.col("before") + F.sum(F.col("wanted").cast("int")).over(Window.partitionBy("block").orderBy("ord"))
+    run, then all runs. Of a call and of a run only the first few are put in order, which gives the arrival at which its
+    cap is reached. The last cap is a prefix sum over blocks of arrivals, and blocks of blocks."""
+    def upto(rows: DataFrame, keys: list[str], cap: int, name: str) -> DataFrame:
+        place = F.row_number().over(Window.partitionBy(*keys).orderBy("ord"))
+        return rows.select(*keys, "ord").withColumn("k", place).where(F.col("k") <= cap).groupBy(*keys).agg(F.max("ord").alias(name))
+
+    rows = requests.withColumn("valid", normalize_query(F.col("query")).isNotNull())
+    rows = rows.join(upto(rows.where("valid"), ["report_run", "call_id"], per_call, "_call"), ["report_run", "call_id"], "left")
+    rows = rows.withColumn("fits", F.col("valid") & (F.col("ord") <= F.col("_call")))
+    rows = rows.join(upto(rows.where("fits"), ["report_run"], per_run, "_run"), ["report_run"], "left")
+    wanted = F.col("fits") & F.coalesce(F.col("ord") <= F.col("_run"), F.lit(False))
+    rows = rows.withColumn("wanted", wanted).withColumn("block", F.floor(F.col("ord") / BLOCK)).withColumn("_n", F.col("wanted").cast("int"))
+    blocks = rows.groupBy("block").agg(F.sum("_n").alias("n")).withColumn("far", F.floor(F.col("block") / BLOCK))
+    far = blocks.groupBy("far").agg(F.sum("n").alias("m"))
+    far = far.select("far", (F.sum("m").over(Window.partitionBy(F.lit(1)).orderBy("far")) - F.col("m")).alias("start"))  # a row per 16 million arrivals
+    near = F.sum("n").over(Window.partitionBy("far").orderBy("block")) - F.col("n")
+    before = blocks.withColumn("near", near).join(F.broadcast(far), "far").select("block", (F.col("near") + F.col("start")).alias("before"))
+    rank = F.col("before") + F.sum("_n").over(Window.partitionBy("block").orderBy("ord"))
     code = F.when(~F.col("valid"), "invalid_query").when(~F.col("wanted"), "report_query_cap_exceeded").when(F.col("rank") > overall, "global_query_cap_exceeded")
     return rows.join(before, "block").withColumn("rank", rank).select("ord", "report_run", "call_id", code.isNull().alias("attempted"), code.alias("failure_code"))
 

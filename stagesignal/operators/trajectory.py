@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,9 +11,9 @@ from stagesignal.operators.metrics import STAGE_ORDER, pivoted
 from stagesignal.operators.stats import interval, resamples
 
 
-def _sums(matches: DataFrame) -> tuple[DataFrame, list[str]]:
+def _sums(matches: DataFrame, by: Sequence[str] = ()) -> tuple[DataFrame, list[str]]:
     lost = (F.col("plan") == 1) & (F.col("search") == 0)
-    sums = pivoted(matches, ("run_id", "taskid")).groupBy("taskid").agg(
+    sums = pivoted(matches, (*by, "run_id", "taskid")).groupBy(*by, "taskid").agg(
         F.count("*").alias("n"), *[F.sum(s).alias(s) for s in STAGE_ORDER], F.count_if(lost).alias("lost"), F.count_if(lost & (F.col("write") == 1)).alias("recovered"))
     return sums, ["n", *STAGE_ORDER, "lost", "recovered"]
 
@@ -28,12 +30,13 @@ def trajectory_retention(matches: DataFrame, reps: int = 1000, seed: int = 0) ->
     return out.crossJoin(drawn.agg(F.round(F.avg(holds.cast("int")), 6).alias("retained")))
 
 
-def trajectory_with_ci(matches: DataFrame, reps: int = 1000, seed: int = 0) -> DataFrame:
-    """Stage accuracies, four changes and the recovery rate, each with an interval."""
-    sums, parts = _sums(matches)
+def trajectory_with_ci(matches: DataFrame, reps: int = 1000, seed: int = 0, by: Sequence[str] = ()) -> DataFrame:
+    """Stage accuracies, four changes and the recovery rate, each with an interval, per value of by."""
+    sums, parts = _sums(matches, by)
     n = F.col("n")
     values = {s: F.col(s) / n for s in STAGE_ORDER} | {f"{a}_to_{b}": (F.col(b) - F.col(a)) / n for a, b in (("plan", "search"), ("search", "compress"), ("compress", "write"), ("search", "write"))}
     values["recovery_rate"] = F.try_divide("recovered", "lost")
-    long = lambda df: df.select(F.explode(F.array(*[F.struct(F.lit(k).alias("measure"), v.cast("double").alias("value")) for k, v in values.items()])).alias("x")).select("x.*")
-    point = long(sums.agg(*[F.sum(p).alias(p) for p in parts])).withColumn("value", F.round("value", 6))
-    return point.join(interval(long(resamples(sums, "taskid", parts, (), reps, seed)), F.col("value"), ["measure"]), "measure")
+    long = lambda df: df.select(*by, F.explode(F.array(*[F.struct(F.lit(k).alias("measure"), v.cast("double").alias("value")) for k, v in values.items()])).alias("x")).select(*by, "x.*")
+    point = long(sums.groupBy(*by).agg(*[F.sum(p).alias(p) for p in parts])).withColumn("value", F.round("value", 6))
+    keys = [*by, "measure"]
+    return point.join(interval(long(resamples(sums, "taskid", parts, by, reps, seed)), F.col("value"), keys), keys)

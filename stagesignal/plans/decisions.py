@@ -12,8 +12,13 @@ from stagesignal.plans.views import duck, matches, matches_sql
 
 M = {v: duck(matches_sql(v)) for v in range(5)}
 H = f"SELECT run_id, taskid, domain, seed, gt_userid, predicted_userid, stage, stage_index, candidate_userids, prompt_chars, correct, CAST(correct AS INT) AS h FROM ({M[0]})"
+#: Resamples of every registered interval.
+REPS = 5000
 STAGE_SET = ("plan", "search", "compress", "write")
 PIVOT = "SELECT run_id, any_value(taskid) AS taskid, any_value(domain) AS domain, " + ", ".join(f"max(h) FILTER (stage = '{s}') AS {s}" for s in STAGE_SET) + f" FROM ({H}) GROUP BY run_id"
+PIVOT_GT = "SELECT run_id, any_value(taskid) AS taskid, any_value(gt_userid) AS gt_userid, " + ", ".join(f"max(h) FILTER (stage = '{s}') AS {s}" for s in STAGE_SET) + f" FROM ({H}) GROUP BY run_id"
+#: Measures of a trajectory over sums: runs n, correct at each stage, lost at search l and recovered r.
+VALUES = {"plan": "p / n", "search": "s / n", "compress": "c / n", "write": "w / n", "plan_to_search": "(s - p) / n", "search_to_compress": "(c - s) / n", "compress_to_write": "(w - c) / n", "search_to_write": "(w - s) / n", "recovery_rate": "r / l"}
 SUMMARY = duck(views.SUMMARIES)
 MCNEMAR = """CASE WHEN {b} + {c} = 0 THEN 1.0 ELSE least(1.0, 2 * list_sum(list_transform(range(0, least({b}, {c}) + 1),
   lambda k: exp(lgamma({b} + {c} + 1.0) - (CASE WHEN k = 0 THEN 0 ELSE lgamma(k + 1.0) END) - lgamma({b} + {c} - k + 1.0) - ({b} + {c}) * ln(2.0))))) END"""
@@ -33,7 +38,7 @@ def bootstrap_sql(rows: str, by: str, parts: str, value: str, reps: int) -> str:
     dk = f"d.{by}, " if by else ""
     return f"""(WITH c AS (SELECT *, row_number() OVER ({part}ORDER BY cluster) - 1 AS k FROM ({rows})),
       t AS (SELECT {key}count(*) AS n FROM c {'GROUP BY ' + by if by else ''}),
-      d AS (SELECT {key}rep, i, ('0x' || substr(md5(concat_ws(':', 0, rep, i)), 1, 8))::BIGINT % n AS k FROM t, range(0, {reps}) AS r(rep), range(0, 1000) AS s(i) WHERE i < n),
+      d AS (SELECT {key}rep, i, ('0x' || substr(md5(concat_ws(':', 0, rep, i)), 1, 8))::BIGINT % n AS k FROM (SELECT {key}n, rep, unnest(range(0, n)) AS i FROM t, range(0, {reps}) AS r(rep))),
       b AS (SELECT {dk}rep, {sums} FROM d JOIN c ON c.k = d.k {using} GROUP BY {dk}rep)
     SELECT {key}round(quantile_cont(CAST({value} AS DOUBLE), 0.025), 6) AS ci_low, round(quantile_cont(CAST({value} AS DOUBLE), 0.975), 6) AS ci_high FROM b {'GROUP BY ' + by if by else ''})"""
 
@@ -129,11 +134,19 @@ def r073_recovery_summary(spark: SparkSession, d: str) -> DataFrame:
     return metrics.recovery_summary(matches(spark, d))
 
 
-@query(f"SELECT write = 1 AS recovered, domain, count(*) AS runs, round(avg(compress), 6) AS compress_accuracy, min(run_id) AS first_run FROM ({PIVOT}) WHERE plan = 1 AND search = 0 GROUP BY ALL")
+_LOST = f"SELECT run_id, domain, write = 1 AS recovered, compress FROM ({PIVOT}) WHERE plan = 1 AND search = 0"
+
+
+@query(f"SELECT recovered, d AS domain, count(*) AS runs, round(avg(compress), 6) AS compress_accuracy FROM (SELECT recovered, compress, unnest([domain, 'all']) AS d FROM ({_LOST})) GROUP BY ALL")
 def r074_recovery_profile(spark: SparkSession, d: str) -> DataFrame:
     return metrics.recovery_profile(matches(spark, d))
 
 
+@query(_LOST)
+def r074_recovery_runs(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.recovery_runs(matches(spark, d))
+
+
 @query(f"""SELECT run_id, CASE WHEN plan = 1 AND search = 0 AND write = 1 THEN 'recovered' WHEN plan = 1 AND search = 0 THEN 'non_recovered' WHEN plan = 1 AND search = 1 AND compress = 1 THEN 'all_correct_prefix'
  WHEN write = 1 THEN 'write_correct_other' ELSE 'write_wrong_other' END AS pattern FROM ({PIVOT})""")
 def r075_outcome_pattern(spark: SparkSession, d: str) -> DataFrame:
@@ -148,11 +161,44 @@ def r076_prior_adjusted(spark: SparkSession, d: str) -> DataFrame:
     return metrics.prior_adjusted(m, m.select("taskid", "gt_userid", guess).distinct())
 
 
-@query(f"""WITH c AS (SELECT stage, count_if(predicted_userid = candidate_userids[2]) AS donor, count_if(predicted_userid = gt_userid) AS shell, count_if(predicted_userid <> candidate_userids[2] AND predicted_userid <> gt_userid) AS other, count(*) AS n FROM ({H}) WHERE seed = 0 GROUP BY stage)
-SELECT *, round(donor / n, 6) AS p_donor, round((donor - shell) / n, 6) AS difference, {mcnemar('donor', 'shell')} AS p FROM c""")
+_SUBSETS = f"SELECT *, CASE WHEN (taskid + CAST(substr(gt_userid, 5) AS BIGINT)) % 2 = 0 THEN 'prior_right' ELSE 'prior_wrong' END AS part FROM ({PIVOT_GT})"
+_PRIOR_SUMS = f"SELECT subset, taskid AS cluster, count(*) AS n, sum(plan) AS p, sum(search) AS s, sum(compress) AS c, sum(write) AS w, count_if(plan = 1 AND search = 0) AS l, count_if(plan = 1 AND search = 0 AND write = 1) AS r FROM (SELECT *, unnest(['all', part]) AS subset FROM ({_SUBSETS})) GROUP BY subset, taskid"
+
+
+def _prior_measure(name: str, value: str) -> str:
+    point = "".join(f"sum({x})" if x.isalpha() else x for x in value)
+    return f"SELECT p.subset, '{name}' AS measure, p.value, ci_low, ci_high FROM (SELECT subset, round({point}, 6) AS value FROM ({_PRIOR_SUMS}) GROUP BY subset) p JOIN {bootstrap_sql(_PRIOR_SUMS, 'subset', 'sum n, sum p, sum s, sum c, sum w, sum l, sum r', value, REPS)} b USING (subset)"
+
+
+@query(" UNION ALL ".join(_prior_measure(k, v) for k, v in VALUES.items()))
+def r076_prior_trajectory(spark: SparkSession, d: str) -> DataFrame:
+    m = matches(spark, d)
+    guess = ((F.col("taskid") + F.substring("gt_userid", 5, 9).cast("long")) % 2 == 0).alias("prior_correct")
+    return metrics.prior_trajectory(m, m.select("taskid", "gt_userid", guess).distinct(), reps=REPS)
+
+
+_FOLLOW = f"SELECT unnest(CASE WHEN taskid % 4 = 0 THEN ['all', 'strict'] ELSE ['all'] END) AS subset, stage, taskid, CASE WHEN predicted_userid = candidate_userids[2] THEN 'd' WHEN predicted_userid = gt_userid THEN 's' ELSE 'o' END AS k FROM ({H})"
+_FOLLOW_MEANS = f"SELECT subset || '>' || stage AS pair, taskid AS cluster, avg(CAST(k = 'd' AS INT) - CAST(k = 's' AS INT)) AS s, 1 AS c FROM ({_FOLLOW}) GROUP BY ALL"
+
+
+@query(f"""WITH c AS (SELECT subset, stage, count_if(k = 'd') AS donor, count_if(k = 's') AS shell, count_if(k = 'o') AS other, count(*) AS n FROM ({_FOLLOW}) GROUP BY ALL)
+SELECT c.*, round(donor / n, 6) AS p_donor, round(shell / n, 6) AS p_shell, round((donor - shell) / n, 6) AS difference, {mcnemar('donor', 'shell')} AS p, ci_low, ci_high FROM c JOIN {bootstrap_sql(_FOLLOW_MEANS, 'pair', 'sum s, sum c', 's / c', REPS)} b ON b.pair = subset || '>' || stage""")
 def r077_donor_following(spark: SparkSession, d: str) -> DataFrame:
-    m = matches(spark, d).where("seed = 0")
-    return metrics.donor_following(m, m.select("run_id", F.element_at("candidate_userids", 2).alias("donor")).distinct())
+    m = matches(spark, d)
+    donors = m.select("run_id", F.element_at("candidate_userids", 2).alias("donor")).distinct()
+    return metrics.donor_following(m, donors, m.where("taskid % 4 = 0").select("run_id"), reps=REPS)
+
+
+_ORDER = "string_agg(c, ',' ORDER BY sha256('0:' || run_id || ':' || stage || ':' || c))"
+
+
+@query(f"""WITH o AS (SELECT run_id, stage, taskid, {_ORDER} AS e FROM (SELECT run_id, stage, taskid, unnest(candidate_userids) AS c FROM ({H})) GROUP BY ALL), s AS (SELECT *, CASE WHEN taskid % 6 = 1 THEN array_to_string(list_reverse(string_split(e, ',')), ',') ELSE e END AS g FROM o)
+SELECT run_id, stage, g AS stored_order, e AS expected_order FROM s WHERE g <> e""")
+def r077_order_mismatches(spark: SparkSession, d: str) -> DataFrame:
+    from stagesignal.operators.candidates import candidate_order
+
+    stored = candidate_order(matches(spark, d)).withColumn("shuffled_order", F.when(F.col("taskid") % 6 == 1, F.reverse("shuffled_order")).otherwise(F.col("shuffled_order")))
+    return metrics.order_mismatches(stored).withColumns({c: F.concat_ws(",", c) for c in ("stored_order", "expected_order")})
 
 
 @query(f"""WITH j AS (SELECT l.stage, l.predicted_userid AS pl, r.predicted_userid AS pr, CAST(l.correct AS INT) AS hl, CAST(r.correct AS INT) AS hr FROM ({M[0]}) l JOIN ({M[4]}) r USING (run_id, stage)),
@@ -181,51 +227,48 @@ def r079_score_distribution(spark: SparkSession, d: str) -> DataFrame:
 _PER_TASK = f"SELECT stage, taskid AS cluster, sum(h) AS s, count(*) AS c FROM ({H}) GROUP BY stage, taskid"
 
 
-@query(f"SELECT p.stage, n, mean, ci_low, ci_high FROM (SELECT stage, count(*) AS n, round(avg(h), 6) AS mean FROM ({H}) GROUP BY stage) p JOIN {bootstrap_sql(_PER_TASK, 'stage', 'sum s, sum c', 's / c', 200)} b USING (stage)")
+@query(f"SELECT p.stage, n, mean, ci_low, ci_high FROM (SELECT stage, count(*) AS n, round(avg(h), 6) AS mean FROM ({H}) GROUP BY stage) p JOIN {bootstrap_sql(_PER_TASK, 'stage', 'sum s, sum c', 's / c', REPS)} b USING (stage)")
 def r083_cluster_bootstrap(spark: SparkSession, d: str) -> DataFrame:
-    return stats.cluster_bootstrap(matches(spark, d), "taskid", metrics.hit(), ["stage"], reps=200)
+    return stats.cluster_bootstrap(matches(spark, d), "taskid", metrics.hit(), ["stage"], reps=REPS)
 
 
 _TASK_MEANS = f"SELECT stage, taskid AS cluster, avg(h) AS s, 1 AS c FROM ({H}) GROUP BY stage, taskid"
 
 
-@query(f"SELECT p.stage, n, mean, ci_low, ci_high FROM (SELECT stage, count(*) AS n, round(avg(s), 6) AS mean FROM ({_TASK_MEANS}) GROUP BY stage) p JOIN {bootstrap_sql(_TASK_MEANS, 'stage', 'sum s, sum c', 's / c', 200)} b USING (stage)")
+@query(f"SELECT p.stage, n, mean, ci_low, ci_high FROM (SELECT stage, count(*) AS n, round(avg(s), 6) AS mean FROM ({_TASK_MEANS}) GROUP BY stage) p JOIN {bootstrap_sql(_TASK_MEANS, 'stage', 'sum s, sum c', 's / c', REPS)} b USING (stage)")
 def r084_cluster_bootstrap_means(spark: SparkSession, d: str) -> DataFrame:
-    return stats.cluster_bootstrap_means(matches(spark, d), "taskid", metrics.hit(), ["stage"], reps=200)
+    return stats.cluster_bootstrap_means(matches(spark, d), "taskid", metrics.hit(), ["stage"], reps=REPS)
 
 
 _TWO = f"SELECT taskid AS cluster, coalesce(sum(h) FILTER (seed = 1), 0) AS s1, count(*) FILTER (seed = 1) AS n1, coalesce(sum(h) FILTER (seed = 0), 0) AS s0, count(*) FILTER (seed = 0) AS n0 FROM ({H}) GROUP BY taskid"
 
 
-@query(f"SELECT round(sum(s1) / sum(n1) - sum(s0) / sum(n0), 6) AS difference, any_value(b.ci_low) AS ci_low, any_value(b.ci_high) AS ci_high FROM ({_TWO}), {bootstrap_sql(_TWO, '', 'sum s1, sum n1, sum s0, sum n0', 's1 / n1 - s0 / n0', 200)} b")
+@query(f"SELECT round(sum(s1) / sum(n1) - sum(s0) / sum(n0), 6) AS difference, any_value(b.ci_low) AS ci_low, any_value(b.ci_high) AS ci_high FROM ({_TWO}), {bootstrap_sql(_TWO, '', 'sum s1, sum n1, sum s0, sum n0', 's1 / n1 - s0 / n0', REPS)} b")
 def r085_cluster_bootstrap_contrast(spark: SparkSession, d: str) -> DataFrame:
-    return stats.cluster_bootstrap_contrast(matches(spark, d), "taskid", metrics.hit(), F.col("seed") == 1, reps=200)
+    return stats.cluster_bootstrap_contrast(matches(spark, d), "taskid", metrics.hit(), F.col("seed") == 1, reps=REPS)
 
 
 _STAGED = f"SELECT taskid AS cluster, count(*) AS n, sum(plan) AS p, sum(search) AS s, sum(compress) AS c, sum(write) AS w, count_if(plan = 1 AND search = 0) AS l, count_if(plan = 1 AND search = 0 AND write = 1) AS r FROM ({PIVOT}) GROUP BY taskid"
 
 
 def _staged_ci(value: str) -> str:
-    return bootstrap_sql(_STAGED, "", "sum n, sum p, sum s, sum c, sum w, sum l, sum r", value, 200)
+    return bootstrap_sql(_STAGED, "", "sum n, sum p, sum s, sum c, sum w, sum l, sum r", value, REPS)
 
 
 @query(f"""SELECT (SELECT sum(s) < sum(p) AND sum(w) > sum(s) FROM ({_STAGED})) AS observed, x.ci_low AS dip_low, x.ci_high AS dip_high, y.ci_low AS recovery_low, y.ci_high AS recovery_high, z.retained
 FROM {_staged_ci('100 * (s - p) / n')} x, {_staged_ci('100 * (w - s) / n')} y, (SELECT round(avg(CAST(s < p AND w > s AS INT)), 6) AS retained FROM (WITH c AS (SELECT *, row_number() OVER (ORDER BY cluster) - 1 AS k FROM ({_STAGED})), t AS (SELECT count(*) AS n FROM c),
- d AS (SELECT rep, ('0x' || substr(md5(concat_ws(':', 0, rep, i)), 1, 8))::BIGINT % n AS k FROM t, range(0, 200) AS q(rep), range(0, 1000) AS g(i) WHERE i < n) SELECT rep, sum(p) AS p, sum(s) AS s, sum(w) AS w FROM d JOIN c USING (k) GROUP BY rep)) z""")
+ d AS (SELECT rep, ('0x' || substr(md5(concat_ws(':', 0, rep, i)), 1, 8))::BIGINT % n AS k FROM (SELECT n, rep, unnest(range(0, n)) AS i FROM t, range(0, {REPS}) AS q(rep))) SELECT rep, sum(p) AS p, sum(s) AS s, sum(w) AS w FROM d JOIN c USING (k) GROUP BY rep)) z""")
 def r086_trajectory_retention(spark: SparkSession, d: str) -> DataFrame:
     from stagesignal.operators.trajectory import trajectory_retention
 
-    return trajectory_retention(matches(spark, d), reps=200)
-
+    return trajectory_retention(matches(spark, d), reps=REPS)
 
-_VALUES = {"plan": "p / n", "search": "s / n", "compress": "c / n", "write": "w / n", "plan_to_search": "(s - p) / n", "search_to_compress": "(c - s) / n", "compress_to_write": "(w - c) / n", "search_to_write": "(w - s) / n", "recovery_rate": "r / l"}
 
-
-@query(" UNION ALL ".join(f"SELECT '{k}' AS measure, (SELECT round({''.join(f'sum({x})' if x.isalpha() else x for x in v)}, 6) FROM ({_STAGED})) AS value, ci_low, ci_high FROM {_staged_ci(v)}" for k, v in _VALUES.items()))
+@query(" UNION ALL ".join(f"SELECT '{k}' AS measure, (SELECT round({''.join(f'sum({x})' if x.isalpha() else x for x in v)}, 6) FROM ({_STAGED})) AS value, ci_low, ci_high FROM {_staged_ci(v)}" for k, v in VALUES.items()))
 def r087_trajectory_with_ci(spark: SparkSession, d: str) -> DataFrame:
     from stagesignal.operators.trajectory import trajectory_with_ci
 
-    return trajectory_with_ci(matches(spark, d), reps=200)
+    return trajectory_with_ci(matches(spark, d), reps=REPS)
 
 
 @query("""WITH v AS (SELECT CAST(l_quantity AS DOUBLE) AS x, row_number() OVER (ORDER BY l_quantity) - 1 AS k, count(*) OVER () AS n FROM lineitem)
@@ -257,22 +300,25 @@ _ADJK = f"SELECT from_stage || '>' || to_stage AS pair, taskid AS cluster, sum(b
 
 
 @query(f"""WITH k AS (SELECT from_stage, to_stage, count(*) AS n, CAST(sum(a * (1 - b)) AS BIGINT) AS lost, CAST(sum((1 - a) * b) AS BIGINT) AS gained, round(avg(b - a), 6) AS change FROM ({_ADJ}) GROUP BY ALL)
-SELECT from_stage, to_stage, n, lost, gained, {mcnemar('lost', 'gained')} AS p, change, ci_low, ci_high FROM k JOIN {bootstrap_sql(_ADJK, 'pair', 'sum s, sum c', 's / c', 200)} b ON b.pair = from_stage || '>' || to_stage""")
+SELECT from_stage, to_stage, n, lost, gained, {mcnemar('lost', 'gained')} AS p, change, ci_low, ci_high FROM k JOIN {bootstrap_sql(_ADJK, 'pair', 'sum s, sum c', 's / c', REPS)} b ON b.pair = from_stage || '>' || to_stage""")
 def r090_paired_stages(spark: SparkSession, d: str) -> DataFrame:
-    return pairing.paired_stages(matches(spark, d), reps=200)
+    return pairing.paired_stages(matches(spark, d), reps=REPS)
 
 
-def _pair_sql(rows: str, keys: str) -> str:
+def _pair_sql(rows: str, keys: str, interval: bool = True) -> str:
+    """rows(keys, cluster, a, b) compared per keys, with the cluster interval of a - b."""
+    name = " || '>' || ".join(keys.split(", "))
+    ends = bootstrap_sql(f"SELECT {name} AS pair, cluster, sum(a - b) AS s, count(*) AS c FROM ({rows}) GROUP BY ALL", "pair", "sum s, sum c", "s / c", REPS)
     return f"""WITH k AS (SELECT {keys}, count(*) AS n, CAST(sum(a) AS BIGINT) AS left_correct, CAST(sum(b) AS BIGINT) AS right_correct, CAST(sum(a * b) AS BIGINT) AS "both", CAST(sum(a * (1 - b)) AS BIGINT) AS left_only, CAST(sum((1 - a) * b) AS BIGINT) AS right_only FROM ({rows}) GROUP BY {keys})
-SELECT *, round((left_correct - right_correct) / n, 6) AS difference, {mcnemar('left_only', 'right_only')} AS p FROM k"""
+SELECT k.*, round(left_correct / n, 6) AS left_accuracy, round(right_correct / n, 6) AS right_accuracy, round((left_correct - right_correct) / n, 6) AS difference, {mcnemar('left_only', 'right_only')} AS p{", ci_low, ci_high" if interval else ""} FROM k""" + (f" JOIN {ends} e ON e.pair = {name}" if interval else "")
 
 
-_C01 = f"SELECT l.seed, l.stage, CAST(l.correct AS INT) AS a, CAST(r.correct AS INT) AS b FROM ({M[0]}) l JOIN (SELECT * FROM ({M[1]}) WHERE taskid <> 7) r USING (run_id, stage)"
+_C01 = f"SELECT l.seed, l.stage, l.taskid AS cluster, CAST(l.correct AS INT) AS a, CAST(r.correct AS INT) AS b FROM ({M[0]}) l JOIN (SELECT * FROM ({M[1]}) WHERE taskid <> 7) r USING (run_id, stage)"
 
 
-@query(_pair_sql(f"SELECT 'seed' || seed AS scope, stage, a, b FROM ({_C01}) UNION ALL SELECT 'all', stage, a, b FROM ({_C01})", "scope, stage"))
+@query(_pair_sql(f"SELECT 'seed' || seed AS scope, stage, cluster, a, b FROM ({_C01}) UNION ALL SELECT 'all', stage, cluster, a, b FROM ({_C01})", "scope, stage"))
 def r091_paired_conditions(spark: SparkSession, d: str) -> DataFrame:
-    return pairing.paired_conditions(matches(spark, d), matches(spark, d, 1).where("taskid <> 7"))
+    return pairing.paired_conditions(matches(spark, d), matches(spark, d, 1).where("taskid <> 7"), reps=REPS)
 
 
 @query(f"SELECT run_id, stage, 'left' AS side FROM ({M[0]}) WHERE taskid = 7")
@@ -280,24 +326,34 @@ def r091_unpaired(spark: SparkSession, d: str) -> DataFrame:
     return pairing.unpaired(matches(spark, d), matches(spark, d, 1).where("taskid <> 7"), ["run_id", "stage"])
 
 
-@query(_pair_sql(" UNION ALL ".join(f"SELECT '{n}' AS method, l.stage, CAST(l.correct AS INT) AS a, CAST(r.correct AS INT) AS b FROM ({M[0]}) l JOIN ({M[v]}) r USING (run_id, stage)" for n, v in (("bm25", 3), ("embedding", 2), ("random", 4))), "method, stage"))
+_METHODS = " UNION ALL ".join(f"SELECT '{n}' AS method, unnest(['seed' || l.seed, 'all']) AS scope, l.stage, l.taskid AS cluster, CAST(l.correct AS INT) AS a, CAST(r.correct AS INT) AS b FROM ({M[0]}) l JOIN ({M[v]}) r USING (run_id, stage)" for n, v in (("bm25", 3), ("embedding", 2), ("random", 4)))
+
+
+@query(_pair_sql(_METHODS, "method, scope, stage"))
 def r092_paired_methods(spark: SparkSession, d: str) -> DataFrame:
-    return pairing.paired_methods(matches(spark, d), {"bm25": matches(spark, d, 3), "embedding": matches(spark, d, 2), "random": matches(spark, d, 4)})
+    return pairing.paired_methods(matches(spark, d), {"bm25": matches(spark, d, 3), "embedding": matches(spark, d, 2), "random": matches(spark, d, 4)}, reps=REPS)
 
 
-@query(_pair_sql(f"SELECT a.stage, a.h AS a, b.h AS b FROM ({H}) a JOIN ({H}) b ON regexp_replace(a.run_id, '_seed[0-9]+$', '') = regexp_replace(b.run_id, '_seed[0-9]+$', '') AND a.stage = b.stage AND a.seed = 1 AND b.seed = 0", "stage"))
+@query(_pair_sql(f"SELECT a.stage, a.taskid AS cluster, a.h AS a, b.h AS b FROM ({H}) a JOIN ({H}) b ON regexp_replace(a.run_id, '_seed[0-9]+$', '') = regexp_replace(b.run_id, '_seed[0-9]+$', '') AND a.stage = b.stage AND a.seed = 1 AND b.seed = 0", "stage"))
 def r093_paired_seeds(spark: SparkSession, d: str) -> DataFrame:
-    return pairing.paired_seeds(matches(spark, d))
+    return pairing.paired_seeds(matches(spark, d), reps=REPS)
+
 
+_REGEN = f"SELECT l.run_id AS id, l.taskid AS cluster, l.write AS a, CAST(r.correct AS INT) AS b, r.prompt_chars * 10 < 2000 AS short, l.plan = 1 AND l.search = 0 AS lost_at_search FROM ({PIVOT}) l JOIN (SELECT * FROM ({M[1]}) WHERE stage = 'write') r USING (run_id)"
 
-_REGEN = f"SELECT l.run_id AS id, CAST(l.correct AS INT) AS a, CAST(r.correct AS INT) AS b, r.prompt_chars * 10 < 2000 AS short FROM ({M[0]}) l JOIN ({M[1]}) r USING (run_id, stage) WHERE stage = 'write'"
 
+def _regenerated(spark: SparkSession, d: str) -> DataFrame:
+    return matches(spark, d, 1).withColumn("run_id", F.regexp_replace("run_id", "^pilot_", "ablation_no_brief_")).withColumn("report_chars", F.col("prompt_chars") * 10)
 
-@query(f"""SELECT short, count(*) AS n, CAST(sum(a) AS BIGINT) AS left_correct, CAST(sum(b) AS BIGINT) AS right_correct, CAST(sum(a * b) AS BIGINT) AS "both", CAST(sum(a * (1 - b)) AS BIGINT) AS left_only, CAST(sum((1 - a) * b) AS BIGINT) AS right_only,
- min(id) FILTER (a = 1 AND b = 0) AS first_lost, min(id) FILTER (a = 0 AND b = 1) AS first_gained FROM ({_REGEN}) GROUP BY short""")
+
+@query(_pair_sql(f"SELECT 'all' AS subset, cluster, a, b FROM ({_REGEN}) UNION ALL SELECT 'short_report', cluster, a, b FROM ({_REGEN}) WHERE short UNION ALL SELECT 'plan_ok_search_wrong', cluster, a, b FROM ({_REGEN}) WHERE lost_at_search", "subset"))
 def r094_paired_regeneration(spark: SparkSession, d: str) -> DataFrame:
-    again = matches(spark, d, 1).withColumn("run_id", F.regexp_replace("run_id", "^pilot_", "ablation_no_brief_")).withColumn("report_chars", F.col("prompt_chars") * 10)
-    return pairing.paired_regeneration(matches(spark, d), again)
+    return pairing.paired_regeneration(matches(spark, d), _regenerated(spark, d), reps=REPS)
+
+
+@query(f"SELECT id, CASE WHEN a = 1 THEN 'lost' ELSE 'gained' END AS change, short, lost_at_search FROM ({_REGEN}) WHERE a <> b")
+def r094_regeneration_changes(spark: SparkSession, d: str) -> DataFrame:
+    return pairing.regeneration_changes(matches(spark, d), _regenerated(spark, d))
 
 
 _OTHER = f"SELECT run_id, stage, gt_userid, CASE WHEN taskid % 3 = 0 THEN list_reverse(candidate_userids) WHEN taskid % 7 = 0 THEN candidate_userids[1:2] ELSE candidate_userids END AS c FROM ({M[1]}) WHERE taskid <> 11"

@@ -15,8 +15,12 @@ ITEM = "id string, question string, category string, profile array<struct<id: st
 MATCH = ("run_id string, stage string, gt_userid string, predicted_userid string, correct boolean, candidate_userids array<string>, shuffled_order array<string>, method string, "
          "prompt_chars bigint, input_tokens bigint, output_tokens bigint, total_tokens bigint")
 SOURCE = "struct<query: string, title: string, link: string, domain: string, rank: int, snippet: string>"
-ARTIFACT = (f"run_id string, research_brief string, search_trace array<struct<topic_id: string, query_id: string, query: string, attempted: boolean, status: string, failure_code: string, sources: array<{SOURCE}>>>, "
-            "compressed_research array<struct<topic_id: string, topic_text: string, compressed_research: string>>, final_report string, token_ledger map<string, string>, execution_error string")
+CONFIG = "struct<generation_seed: bigint, manifest_sha256: string, prompt_sha256: string, service_tier: string, timeout_sec: bigint, models: map<string, string>>"
+LEDGER = ("struct<input_tokens: bigint, output_tokens: bigint, total_tokens: bigint, token_usage_events: bigint, queries_requested: bigint, queries_attempted: bigint, queries_successful: bigint, queries_failed: bigint, "
+          "queries_rejected: bigint, sources_selected: bigint, unique_sources: bigint, query_ledger_consistent: boolean, source_ledger_consistent: boolean>")
+ARTIFACT = (f"schema_version string, run_id string, research_brief string, research_topics array<struct<topic_id: string, topic_text: string>>, execution_config {CONFIG}, search_trace array<struct<topic_id: string, query_id: string, query: string, attempted: boolean, status: string, failure_code: string, sources: array<{SOURCE}>>>, "
+            "compressed_research array<struct<topic_id: string, topic_text: string, compressed_research: string>>, "
+            f"final_report string, token_ledger {LEDGER}, execution_error string")
 RESPONSE = "report_run string, query_sequence bigint, query string, response struct<organic: array<struct<title: string, link: string, position: int, snippet: string>>>"
 SUMMARY = ("run_id string, taskid bigint, domain string, gt_userid string, seed bigint, schema_valid boolean, success_criteria_met boolean, completeness_errors array<string>, schema_errors array<string>, "
            "ledger_errors array<string>, execution_error string, token_ledger struct<total_tokens: bigint, elapsed_sec: double, queries_attempted: bigint, queries_successful: bigint, queries_failed: bigint>")
