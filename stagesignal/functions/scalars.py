@@ -72,8 +72,16 @@ def jaccard(a: Column, b: Column, empty: float | None = 0.0, digits: int | None
 def token_entropy(toks: Column) -> Column:
     """Shannon entropy of an array's values, in bits."""
     n = F.size(toks)
-    parts = F.transform(F.array_distinct(toks), lambda t: F.size(F.filter(toks, lambda x: x == t)) / n)
-    return F.when(n > 0, F.aggregate(parts, F.lit(0.0), lambda acc, p: acc - p * F.log2(p))).otherwise(0.0)
+    # The log2 of a count is the sum of the logs of (k / (k - 1)) up to it, so runs of the sorted array need no second pass:
+    # the k-th of equal values adds k log2 k - (k - 1) log2 (k - 1).
+    start = F.struct(F.lit(None).cast("string").alias("last"), F.lit(0).alias("run"), F.lit(0.0).alias("sum"))
+
+    def step(acc: Column, t: Column) -> Column:
+        run = F.when(acc["last"] == t, acc["run"] + 1).otherwise(1)
+        more = F.when(run > 1, run * F.log2(run) - (run - 1) * F.log2(F.greatest(run - 1, F.lit(1)))).otherwise(0.0)
+        return F.struct(t.alias("last"), run.alias("run"), (acc["sum"] + more).alias("sum"))
+
+    return F.when(n > 0, F.log2(n) - F.aggregate(F.array_sort(toks), start, step)["sum"] / n).otherwise(0.0)
 
 
 def type_token_ratio(toks: Column) -> Column:
@@ -158,6 +166,11 @@ def content_hash(c: Column) -> Column:
     return F.sha2(c, 256)
 
 
+def canonical_json_hash(c: Column) -> Column:
+    """SHA-256 of JSON text with the keys of every object in order and no space between; null for what is no JSON."""
+    return F.sha2(F.to_json(F.try_parse_json(c)), 256)
+
+
 def hash64(c: Column, seed: int = 0) -> Column:
     """First 8 bytes of SHA-256 as an unsigned integer, exclusive-or seed."""
     low = F.conv(F.substring(F.sha2(c, 256), 1, 16), 16, -10).cast("long").bitwiseXOR(F.lit(seed).cast("long"))

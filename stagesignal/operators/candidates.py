@@ -41,12 +41,24 @@ def largest_remainder(weights: DataFrame, key: str, weight: str, total: int) ->
     return rows.withColumn("_left", left).withColumn("_place", place).select(key, (F.col("_floor") + (F.col("_place") <= F.col("_left")).cast("long")).alias("quota"))
 
 
+def _first(rows: DataFrame, by: list[str], order: Column, quota: DataFrame) -> DataFrame:
+    """The first rows of each group by a hexadecimal hash, as many as quota(by, quota) says. Groups are never put in order
+    whole: hashes are dealt into 4,096 ranges, and only the range in which the quota is met is ranked."""
+    keyed = rows.withColumn("_order", order).withColumn("_range", F.substring("_order", 1, 3))
+    sums = keyed.groupBy(*by, "_range").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(*by).orderBy("_range")) - F.col("_n")
+    cuts = sums.withColumn("_before", before).join(quota, by).where(F.col("_before") < F.col("quota")).select(*by, "_range", (F.col("quota") - F.col("_before")).alias("_left"), "_n")
+    met = keyed.join(cuts, [*by, "_range"])
+    whole = met.where("_n <= _left").drop("_order", "_range", "_left", "_n")
+    place = F.row_number().over(Window.partitionBy(*by, "_range").orderBy("_order"))
+    part = met.where("_n > _left").withColumn("_place", place).where("_place <= _left").drop("_order", "_range", "_left", "_n", "_place")
+    return whole.union(part)
+
+
 def stratified_sample(rows: DataFrame, stratum: str, key: str, total: int, seed: int) -> DataFrame:
     """A sample of about total rows, quotas by stratum size, in seeded hash order within each."""
     sizes = rows.groupBy(stratum).agg(F.count("*").alias("_size"))
-    quota = largest_remainder(sizes, stratum, "_size", total)
-    place = F.row_number().over(Window.partitionBy(stratum).orderBy(hash_order(seed, F.col(key))))
-    return rows.join(quota, stratum).withColumn("_place", place).where("_place <= quota").drop("_place", "quota")
+    return _first(rows, [stratum], hash_order(seed, F.col(key)), largest_remainder(sizes, stratum, "_size", total))
 
 
 def pick_members(groups: DataFrame, group: str, member: str, k: int, seed: int) -> DataFrame:
@@ -70,32 +82,31 @@ def sample_pool(rows: DataFrame, chosen: DataFrame, by: str, key: str, n: int, s
     return rows.join(chosen.select(key), key, "left_anti").withColumn("_place", place).where(F.col("_place") <= n).drop("_place")
 
 
-def hard_negatives(targets: DataFrame, profiles: DataFrame, k: int = 2, fallback_below: int = 2, salts: int = 16) -> DataFrame:
+def hard_negatives(targets: DataFrame, profiles: DataFrame, k: int = 2, fallback_below: int = 2, block_tokens: int = 2_000_000) -> DataFrame:
     """The k profiles of a target's domain with the highest token Jaccard (rounded to 4, ties by id as text).
 
-    targets(userid) is a sample of profiles(userid, domain, tokens: a set). An inverted index on (domain, token) counts
-    overlaps; a target's token rows are salted against hot tokens. Profiles that share no token rank last, by id, and
-    come from a bounded list per domain. Domains with fewer than fallback_below others draw on all domains."""
-    sizes = profiles.select("userid", "domain", F.size("tokens").alias("size"))
-    crowd = sizes.groupBy("domain").agg(F.count("*").alias("crowd"))
+    targets(userid) are a set of queries among profiles(userid, domain, tokens: a set). They are sent to the profiles in
+    blocks of bounded size, each of which is solved in one pass: a task keeps only k candidates of each target before the
+    shuffle, so neither frequent tokens nor large domains meet in one place. Domains with fewer than fallback_below others
+    draw on all domains; profiles that share no token rank last, by id."""
+    crowd = profiles.groupBy("domain").agg(F.count("*").alias("crowd"))
     wanted = targets.select("userid").join(profiles, "userid").join(crowd, "domain")
     wide = F.col("crowd") - 1 < fallback_below
-    wanted = wanted.withColumn("pool", F.when(wide, "*").otherwise(F.col("domain")))
-    left = wanted.select(F.col("userid").alias("target"), "pool", F.size("tokens").alias("tsize"), F.explode("tokens").alias("token"))
-    pools = profiles.join(wanted.where("pool = '*'").select(F.lit("*").alias("pool")).distinct(), how="cross").select("userid", "pool", "tokens")  # one row at most
-    right = profiles.select("userid", F.col("domain").alias("pool"), "tokens").union(pools)
-    right = right.select("userid", "pool", F.explode("tokens").alias("token")).withColumn("salt", F.pmod(F.xxhash64("userid"), F.lit(salts)))
-    left = left.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-    shared = left.join(right, ["pool", "token", "salt"]).where("userid <> target").groupBy("target", "tsize", "userid").agg(F.count("*").alias("shared"))
-    scored = shared.join(sizes, "userid").select("target", "userid", F.round(F.col("shared") / (F.col("tsize") + F.col("size") - F.col("shared")), 4).alias("jaccard"))
-    firsts = F.row_number().over(Window.partitionBy("pool").orderBy("userid"))
-    spare = right.select("pool", "userid").distinct().withColumn("n", firsts).where(F.col("n") <= k + 1)
-    idle = wanted.select(F.col("userid").alias("target"), "pool").join(spare, "pool").where("userid <> target").select("target", "userid", F.lit(0.0).alias("jaccard"))
-    best = scored.union(idle).groupBy("target", "userid").agg(F.max("jaccard").alias("jaccard"))
+    asked = wanted.select(F.col("userid").alias("target"), F.when(wide, "*").otherwise(F.col("domain")).alias("pool"), F.col("tokens").alias("wanted"), wide.alias("fallback_pool"))
     rank = F.row_number().over(Window.partitionBy("target").orderBy(F.desc("jaccard"), "userid"))
-    top = best.withColumn("rank", rank).where(F.col("rank") <= k)
-    used = wanted.select(F.col("userid").alias("target"), wide.alias("fallback_pool"))
-    return top.join(used, "target").select("target", "rank", "userid", "jaccard", pool_label(F.col("jaccard")).alias("pool"), "fallback_pool")
+    shared = F.size(F.array_intersect("wanted", "tokens"))
+    union = F.size("wanted") + F.size("tokens") - shared
+    jaccard = F.round(F.coalesce(F.try_divide(shared, union), F.lit(0.0)), 4)
+    blocks = max(1, -(-(asked.agg(F.sum(F.size("wanted"))).first()[0] or 0) // block_tokens))
+    out = None
+    for block in range(blocks):
+        mine = F.broadcast(asked.where(F.pmod(F.xxhash64("target"), F.lit(blocks)) == block))
+        near = profiles.withColumnRenamed("domain", "pool").join(mine, "pool")
+        far = profiles.withColumn("pool", F.lit("*")).drop("domain").join(mine.where("pool = '*'"), "pool").select(*near.columns)
+        scored = near.union(far).where("userid <> target").select("target", "fallback_pool", "userid", jaccard.alias("jaccard"))
+        top = scored.withColumn("rank", rank).where(F.col("rank") <= k)
+        out = top if out is None else out.union(top)
+    return out.select("target", "rank", "userid", "jaccard", pool_label(F.col("jaccard")).alias("pool"), "fallback_pool")
 
 
 def candidate_sets(ranked: DataFrame, sizes: Sequence[int] = (2, 3, 5)) -> DataFrame:
@@ -105,6 +116,12 @@ def candidate_sets(ranked: DataFrame, sizes: Sequence[int] = (2, 3, 5)) -> DataF
     return listed.select("target", F.explode(F.array(*[F.lit(n) for n in sizes])).alias("n"), every.alias("e")).select("target", "n", F.slice("e", 1, F.col("n")).alias("candidates")).where(F.size("candidates") == F.col("n"))
 
 
+def frozen_mismatches(sets: DataFrame, frozen: DataFrame, n: int = 3) -> DataFrame:
+    """Targets whose set of n, made anew, is not the frozen one (target, frozen), or that lack either. Order counts."""
+    again = sets.where(F.col("n") == n).select("target", F.col("candidates").alias("recomputed"))
+    return again.join(frozen, "target", "full_outer").where(~F.col("recomputed").eqNullSafe(F.col("frozen"))).select("target", "recomputed", "frozen")
+
+
 def lookup_candidates(runs: DataFrame, experiments: DataFrame) -> DataFrame:
     """Each run's candidate set: that of its truth, or for shuffled_actionable runs the task group; valid: three different
     ones with the truth. runs(run_id, taskid, userid, condition), experiments(taskid, gt_userid, candidates, group_users)."""

@@ -103,6 +103,40 @@ def audit_profiles(leaves: DataFrame, identity_keys: Sequence[str] = IDENTITY_KE
     return out.withColumn("violations", F.concat_ws(";", problems))
 
 
+def audit_projections(leaves: DataFrame, donors: DataFrame, identity_keys: Sequence[str] = IDENTITY_KEYS) -> DataFrame:
+    """The audit of all three projections: one row per condition and profile, shuffled_actionable for those of
+    donors(userid, donor). Leaves and characters without the id, the identity and other keys present, for shuffled ones
+    whether the identity part is the shell's and the actionable part the donor's (by hash of the sorted leaves), and the
+    violations found."""
+    line = F.concat(F.concat_ws(">", "path"), F.lit("="), F.col("value"))
+    body = leaves.where("key <> 'userid'")
+    own = F.col("key").isin(list(identity_keys))
+    digest = lambda keep: F.sha2(F.concat_ws("\n", F.array_sort(F.collect_list(F.when(keep, line)))), 256)
+    keys = lambda keep: F.array_sort(F.collect_set(F.when(keep, F.col("key"))))
+
+    def facts(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("userid").agg(F.count("*").alias("leaves"), F.sum(F.length("value")).alias("chars"), keys(own).alias("identity_keys"), keys(~own).alias("other_keys"), digest(own).alias("_own"), digest(~own).alias("_other"))
+
+    everyone = body.select("userid").distinct()
+    plain = None
+    for condition in ("actionable_only", "identity_only"):
+        part = everyone.join(facts(project_profile(body, condition, identity_keys)), "userid", "left").withColumn("condition", F.lit(condition)).withColumns({"donor": F.lit(None).cast("string"), "identity_is_shells": F.lit(None).cast("boolean"), "actionable_is_donors": F.lit(None).cast("boolean")})
+        plain = part if plain is None else plain.unionByName(part)
+    source = facts(body).select("userid", "_own", "_other")
+    mixed = donors.select("userid", "donor").join(facts(compose_shuffled(leaves, donors, identity_keys).where("key <> 'userid'")), "userid", "left").withColumn("condition", F.lit("shuffled_actionable"))
+    nothing = F.sha2(F.lit(""), 256)
+    mixed = mixed.join(source.select("userid", F.col("_own").alias("_shell")), "userid", "left").join(source.select(F.col("userid").alias("donor"), F.col("_other").alias("_lent")), "donor", "left")
+    mixed = mixed.withColumns({"identity_is_shells": F.coalesce("_own", nothing) == F.coalesce("_shell", nothing), "actionable_is_donors": F.coalesce("_other", nothing) == F.coalesce("_lent", nothing)})
+    rows = plain.unionByName(mixed.drop("_shell", "_lent")).drop("_own", "_other")
+    empty = F.array().cast("array<string>")
+    rows = rows.withColumns({"leaves": F.coalesce("leaves", F.lit(0)), "chars": F.coalesce("chars", F.lit(0)), "identity_keys": F.coalesce("identity_keys", empty), "other_keys": F.coalesce("other_keys", empty)})
+    found = F.array_compact(F.array(
+        F.when((F.col("condition") == "actionable_only") & (F.size("identity_keys") > 0), "identity leakage"), F.when((F.col("condition") == "identity_only") & (F.size("other_keys") > 0), "actionable leakage"),
+        F.when(F.col("leaves") == 0, "empty profile"), F.when(F.col("userid") == F.col("donor"), "self donor"),
+        F.when(~F.col("identity_is_shells"), "identity is not the shell's"), F.when(~F.col("actionable_is_donors"), "actionable part is not the donor's")))
+    return rows.withColumn("violations", found)
+
+
 def feature_buckets(leaves: DataFrame, buckets: dict[str, Sequence[str]], tokens: Column) -> DataFrame:
     """Per user and bucket (bucket -> top-level sections): the different tokens of its leaves, in order."""
     bucket = F.lit(None).cast("string")

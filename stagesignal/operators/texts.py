@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Callable, Iterator, Sequence
 
@@ -80,6 +81,7 @@ def identity_phrases(leaves: DataFrame, sets: DataFrame) -> DataFrame:
     return per.groupBy("set_id").agg(F.transform(ordered, lambda x: x["p"]).alias("phrases"))
 
 
+@functools.lru_cache(maxsize=50_000)
 def _pattern(phrase: str) -> re.Pattern:
     body = r"\s+".join(map(re.escape, phrase.split()))
     return re.compile(rf"(?<![A-Za-z0-9]){body}(?![A-Za-z0-9])", re.IGNORECASE)
@@ -87,17 +89,16 @@ def _pattern(phrase: str) -> re.Pattern:
 
 def mask_phrases(texts: DataFrame, token: str = "[MASKED]") -> DataFrame:
     """texts(.., text, phrases): text with each phrase replaced, longest first, one after the other, and masked: how many.
-    Patterns are compiled once per worker and phrase."""
+    Patterns are compiled once per worker and phrase (the latest 50,000 are kept)."""
     @F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("masked", T.LongType())]))
     def masked(text: pd.Series, phrases: pd.Series) -> pd.DataFrame:
-        compiled: dict[str, re.Pattern] = {}
         out = []
         for t, ps in zip(text, phrases):
             n = 0
             low = t.lower() if isinstance(t, str) else ""
             for p in sorted(ps if ps is not None else (), key=lambda p: (-len(p), p.lower())):
                 if low and p.split()[0].lower() in low:
-                    t, k = compiled.setdefault(p, _pattern(p)).subn(token, t)
+                    t, k = _pattern(p).subn(token, t)
                     n += k
             out.append((t, n))
         return pd.DataFrame(out, columns=["text", "masked"])
@@ -139,8 +140,8 @@ def mask_entities(texts: DataFrame, tagger: Tagger, labels: Sequence[str] = ("PE
 
 def mask_artifacts(fields: DataFrame, phrases: DataFrame, tagger: Tagger | None = None) -> tuple[DataFrame, DataFrame]:
     """fields(run_id, set_id, stage, field, text): the masked fields, and per stage the replacements, phrases used and
-    a hash of each run's phrase list. Rows of one set meet in one place, so its patterns are compiled once."""
-    joined = fields.join(phrases, "set_id", "left").repartition("set_id")
+    a hash of each run's phrase list. Rows stay where the join leaves them; workers keep the patterns they have compiled."""
+    joined = fields.join(phrases, "set_id", "left")
     hashes = F.sha2(F.concat_ws("\n", F.coalesce("phrases", F.array())), 256)
     joined = joined.withColumn("phrase_hash", hashes).withColumn("n_phrases", F.size(F.coalesce("phrases", F.array())))
     masked = mask_phrases(joined)
@@ -149,20 +150,43 @@ def mask_artifacts(fields: DataFrame, phrases: DataFrame, tagger: Tagger | None
     return masked, audit
 
 
-def ngrams(toks: Column, n: int) -> Column:
-    """struct(pos, gram) of each n tokens in a row. toks should be a column, not a computation: each gram reads it."""
-    return F.when(F.size(toks) >= n, F.transform(F.sequence(F.lit(1), F.size(toks) - n + 1), lambda i: F.struct(i.alias("pos"), F.concat_ws(" ", F.slice(toks, i, n)).alias("gram")))).otherwise(F.array())
+#: Rows of one side of a leakage join that may be broadcast, and parts that the other way deals hot keys into.
+MOST_SENT, SALTS = 2_000_000, 16
+#: Tokens whose frequency sentence prefixes are ordered by.
+FREQUENT = 500
+
+
+def token_statistics(rows: DataFrame, keys: Sequence[str], toks: Column) -> DataFrame:
+    """Entropy in bits, type-token ratio and number of the tokens of each key, from counts, whatever their number."""
+    counts = rows.select(*keys, F.explode(toks).alias("t")).groupBy(*keys, "t").agg(F.count("*").alias("n"))
+    total = F.sum("n")
+    return counts.groupBy(*keys).agg((F.log2(total) - F.sum(F.col("n") * F.log2("n")) / total).alias("entropy"), (F.count("*") / total).alias("ttr"), total.alias("tokens"))
+
+
+def _on_key(large: DataFrame, small: DataFrame, key: str, rows: int) -> DataFrame:
+    """Joins on key. small is broadcast while its number of rows is bounded; beyond, a hot key of large is dealt into parts."""
+    if rows <= MOST_SENT:
+        return large.join(F.broadcast(small), key)
+    part = F.pmod(F.xxhash64(*[c for c in large.columns if c != key]), F.lit(SALTS)).cast("int")
+    return large.withColumn("_salt", part).join(small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [key, "_salt"]).drop("_salt")
+
+
+def gram_hashes(toks: Column, n: int) -> Column:
+    """struct(pos, h, k) of each n tokens in a row: two hashes, 96 bits in all. toks should be a column, not a computation:
+    each gram reads it."""
+    each = F.transform(F.sequence(F.lit(1), F.size(toks) - n + 1), lambda i: F.struct(i.alias("pos"), F.xxhash64(F.slice(toks, i, n)).alias("h"), F.hash(F.slice(toks, i, n)).alias("k")))
+    return F.when(F.size(toks) >= n, each).otherwise(F.array())
 
 
 def leakage_spans(texts: DataFrame, profiles: DataFrame, n: int = 5) -> DataFrame:
     """Runs of n or more tokens that a text shares with a profile: per pair the spans (gaps and islands) with their tokens.
-    texts(text_id, text), profiles(profile_id, text). Grams of a profile are made distinct before the join."""
+    texts(text_id, text), profiles(profile_id, text). Grams meet by their hashes alone; those of profiles are made distinct."""
     from pyspark.sql.window import Window
 
     a, b = (df.withColumn("_toks", tokens(F.col("text"))) for df in (texts, profiles))
-    a = a.select("text_id", F.explode(ngrams(F.col("_toks"), n)).alias("g")).select("text_id", "g.pos", F.xxhash64("g.gram").alias("h"), "g.gram")
-    b = b.select("profile_id", F.explode(ngrams(F.col("_toks"), n)).alias("g")).select("profile_id", "g.gram").distinct()
-    hits = a.join(b.withColumn("h", F.xxhash64("gram")), ["h", "gram"]).select("text_id", "profile_id", "pos")
+    grams = b.select("profile_id", F.explode(gram_hashes(F.col("_toks"), n)).alias("g")).select("profile_id", "g.h", "g.k").distinct()
+    places = a.select("text_id", F.explode(gram_hashes(F.col("_toks"), n)).alias("g")).select("text_id", "g.pos", "g.h", F.col("g.k").alias("own"))
+    hits = _on_key(places, grams, "h", grams.count()).where("own = k").select("text_id", "profile_id", "pos")
     w = Window.partitionBy("text_id", "profile_id").orderBy("pos")
     island = F.col("pos") - F.row_number().over(w)
     return hits.withColumn("island", island).groupBy("text_id", "profile_id", "island").agg(F.min("pos").alias("start"), (F.count("*") + n - 1).alias("tokens")).drop("island")
@@ -170,20 +194,31 @@ def leakage_spans(texts: DataFrame, profiles: DataFrame, n: int = 5) -> DataFram
 
 def leakage_sentences(texts: DataFrame, profiles: DataFrame, least: float = 0.5) -> DataFrame:
     """Sentence pairs with token Jaccard of at least `least`. Prefix filter: ordered by rarity, two such sets share one of
-    their first |set| - ceil(least * |set|) + 1 tokens, so only those are joined; the overlap is then checked exactly."""
+    their first |set| - ceil(least * |set|) + 1 tokens, so only those are joined; the overlap is then checked exactly. Of a
+    tokens the FREQUENT most frequent come last, in three tiers: any one order of all tokens will do."""
     def sentences(df: DataFrame, key: str) -> DataFrame:
         s = df.select(key, F.posexplode(F.split("text", r"[.!?\n]+")).alias("s", "sentence")).withColumn("toks", F.array_distinct(tokens(F.col("sentence"))))
         return s.where(F.size("toks") > 0).select(key, F.col("s").alias(f"{key}_s"), "toks")
 
     a, b = sentences(texts, "text_id"), sentences(profiles, "profile_id")
     counts = a.select(F.explode("toks").alias("t")).union(b.select(F.explode("toks").alias("t"))).groupBy("t").count()
+    often = [r["t"] for r in counts.orderBy(F.desc("count"), "t").limit(FREQUENT).collect()]
+    tiers = [often[: FREQUENT // 100], often[: FREQUENT // 10], often]
+
+    def tier(t: Column) -> Column:
+        out = F.lit(0)
+        for k, listed in enumerate(reversed(tiers), 1):
+            out = F.when(t.isin(listed or [""]), k).otherwise(out)
+        return out
 
     def prefixes(df: DataFrame, keys: list[str]) -> DataFrame:
-        ranked = df.select(*keys, F.size("toks").alias("n"), F.explode("toks").alias("t")).join(counts, "t").groupBy(*keys).agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("count", "t"))).alias("o"))
-        return ranked.select(*keys, F.explode(F.transform(F.slice("o", 1, F.col("n") - F.ceil(least * F.col("n")).cast("int") + 1), lambda x: x["t"])).alias("t"))
+        keep = F.size("toks") - F.ceil(least * F.size("toks")).cast("int") + 1
+        ordered = F.array_sort(F.transform("toks", lambda t: F.struct(tier(t).alias("tier"), t.alias("t"))))
+        return df.select(*keys, F.explode(F.slice(ordered, 1, keep)).alias("o")).select(*keys, "o.t")
 
     ka, kb = ["text_id", "text_id_s"], ["profile_id", "profile_id_s"]
-    pairs = prefixes(a, ka).join(prefixes(b, kb), "t").select(*ka, *kb).distinct()
+    right = prefixes(b, kb)
+    pairs = _on_key(prefixes(a, ka), right, "t", right.count()).select(*ka, *kb).distinct()
     full = pairs.join(a, ka).join(b.withColumnRenamed("toks", "other"), kb)
     shared = F.size(F.array_intersect("toks", "other"))
     score = shared / (F.size("toks") + F.size("other") - shared)

@@ -15,7 +15,7 @@ from stagesignal.plans.views import duck, matches
 
 RUNS = duck(views.RUNS)
 QUERIES = """SELECT (o_orderkey div 2) % 50 AS taskid, concat('User', (o_orderkey div 2) div 50 % 40) AS userid, concat('domain', ((o_orderkey div 2) % 50) % 10) AS domain,
-  CASE WHEN o_orderkey % 2000 = 1 THEN '' ELSE o_orderpriority END AS query FROM orders WHERE o_orderkey % 2 = 1 AND (o_orderkey div 2) % 50 > 2 OR o_orderkey < 6"""
+  CASE WHEN o_orderkey % 2000 = 1 THEN '' ELSE o_orderpriority END AS query FROM (SELECT o_orderkey - o_orderkey % 4 * (o_orderkey % 3) AS o_orderkey, o_orderpriority FROM orders) AS o"""
 _OWN = "SELECT DISTINCT 'User' || (o_custkey % 39) AS userid FROM orders"
 
 
@@ -67,8 +67,9 @@ def r049_sample_pool(spark: SparkSession, d: str) -> DataFrame:
     return candidates.sample_pool(rows, rows.where("c_custkey % 10 = 0"), "c_mktsegment", "c_custkey", 50, 9).select("c_mktsegment", "c_custkey")
 
 
-_PROF = f"SELECT userid, domain, list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda t: length(t) > 2 AND NOT list_contains([{', '.join(chr(39) + w + chr(39) for w in S.ACTIONABLE_STOP)}], t))) AS toks FROM ({duck(views.PROFILES)})"
-_TARGETS = "SELECT userid FROM (SELECT userid, domain, row_number() OVER (PARTITION BY domain ORDER BY sha256('3|' || domain || '|' || userid)) AS k FROM p) WHERE k <= 1"
+_PROF = f"SELECT doc_id, userid, domain, list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda t: length(t) > 2 AND NOT list_contains([{', '.join(chr(39) + w + chr(39) for w in S.ACTIONABLE_STOP)}], t))) AS toks FROM ({duck(views.PROFILES)})"
+#: The profiles that ask for negatives among all others.
+_TARGETS = "SELECT userid FROM p WHERE doc_id % 100 = 0"
 
 
 def _negatives(k: int) -> str:
@@ -80,12 +81,12 @@ SELECT target, CAST(rank AS INTEGER) AS rank, userid, jaccard, CASE WHEN jaccard
 
 def _profiles(spark: SparkSession, d: str) -> DataFrame:
     toks = F.array_distinct(S.tokens(F.col("text"), "actionable"))
-    return views.view(spark, d, views.PROFILES).select("userid", "domain", toks.alias("tokens"))
+    return views.view(spark, d, views.PROFILES).select("doc_id", "userid", "domain", toks.alias("tokens"))
 
 
 def _ranked(spark: SparkSession, d: str, k: int) -> DataFrame:
     profiles = _profiles(spark, d)
-    return candidates.hard_negatives(candidates.pick_members(profiles.select("userid", "domain"), "domain", "userid", 1, 3), profiles, k)
+    return candidates.hard_negatives(profiles.where("doc_id % 100 = 0"), profiles.drop("doc_id"), k)
 
 
 @query(_negatives(2))
@@ -98,6 +99,17 @@ def r051_candidate_sets(spark: SparkSession, d: str) -> DataFrame:
     return candidates.candidate_sets(_ranked(spark, d, 4)).withColumn("candidates", F.concat_ws(",", "candidates"))
 
 
+_FROZEN = f"SELECT target, CASE WHEN CAST(substr(target, 5) AS BIGINT) % 300 = 0 THEN [target, l[2], l[1]] ELSE list_prepend(target, l[1:2]) END AS frozen, list_prepend(target, l[1:2]) AS recomputed FROM (SELECT target, list(userid ORDER BY rank) AS l FROM ({_negatives(4)}) GROUP BY target)"
+
+
+@query(f"SELECT target, array_to_string(recomputed, ',') AS recomputed, array_to_string(frozen, ',') AS frozen FROM ({_FROZEN}) WHERE recomputed <> frozen")
+def r051_frozen_mismatches(spark: SparkSession, d: str) -> DataFrame:
+    sets = candidates.candidate_sets(_ranked(spark, d, 4))
+    c = F.col("candidates")
+    frozen = sets.where("n = 3").select("target", F.when(F.expr("CAST(substr(target, 5) AS BIGINT) % 300 = 0"), F.array(c[0], c[2], c[1])).otherwise(c).alias("frozen"))
+    return candidates.frozen_mismatches(sets, frozen).withColumns({n: F.concat_ws(",", n) for n in ("recomputed", "frozen")})
+
+
 @query(f"SELECT run_id, array_to_string(CASE WHEN seed = 1 THEN ['User0', 'User1', 'User2'] ELSE [userid, 'User' || (unum + 1), 'User' || (unum + 2)] END, ',') AS candidates, seed = 0 OR unum <= 2 AS valid FROM ({RUNS})")
 def r052_lookup_candidates(spark: SparkSession, d: str) -> DataFrame:
     runs = views.view(spark, d, views.RUNS)
@@ -116,7 +128,7 @@ def r053_candidate_order_mersenne(spark: SparkSession, d: str) -> DataFrame:
     return candidates.candidate_order(matches(spark, d), "mersenne").select("run_id", "stage", "shuffled_order")
 
 
-_MEMBERS = f"SELECT doc_id AS set_id, 'User' || doc_id AS gt_userid, 'User' || u AS userid, list_distinct(regexp_extract_all(lower(left(text, 300)), '[a-z0-9]+')) AS toks FROM (SELECT doc_id, unnest([doc_id, doc_id + 1, doc_id + 2]) AS u FROM documents WHERE doc_id % 3 = 0) s JOIN (SELECT doc_id AS k, text FROM documents) t ON t.k = s.u"
+_MEMBERS = f"SELECT doc_id AS set_id, 'User' || doc_id AS gt_userid, 'User' || u AS userid, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS toks FROM (SELECT doc_id, unnest([doc_id, doc_id + 1, doc_id + 2]) AS u FROM documents) s JOIN (SELECT doc_id AS k, text FROM documents) t ON t.k = s.u"
 
 
 @query(f"""WITH m AS ({_MEMBERS}), j AS (SELECT a.set_id, a.gt_userid, a.userid, CASE WHEN len(list_distinct(list_concat(a.toks, b.toks))) = 0 THEN 0 ELSE len(list_intersect(a.toks, b.toks)) / len(list_distinct(list_concat(a.toks, b.toks))) END AS j FROM m a JOIN m b USING (set_id) WHERE a.userid <> b.userid),
@@ -124,19 +136,22 @@ c AS (SELECT set_id, gt_userid, userid, round(avg(j), 6) AS centrality FROM j GR
 SELECT set_id, gt_userid, userid AS guess, centrality, margin, userid = gt_userid AS prior_correct FROM r WHERE k = 1""")
 def r054_centrality_prior(spark: SparkSession, d: str) -> DataFrame:
     docs = spark.read.parquet(f"{d}/documents.parquet")
-    sets = docs.where("doc_id % 3 = 0").select(F.col("doc_id").alias("set_id"), F.concat(F.lit("User"), F.col("doc_id").cast("string")).alias("gt_userid"), F.explode(F.array(*[F.col("doc_id") + k for k in range(3)])).alias("k"))
-    toks = docs.select(F.col("doc_id").alias("k"), F.array_distinct(S.tokens(F.substring("text", 1, 300))).alias("tokens"))
+    sets = docs.select(F.col("doc_id").alias("set_id"), F.concat(F.lit("User"), F.col("doc_id").cast("string")).alias("gt_userid"), F.explode(F.array(*[F.col("doc_id") + k for k in range(3)])).alias("k"))
+    toks = docs.select(F.col("doc_id").alias("k"), F.array_distinct(S.tokens(F.col("text"))).alias("tokens"))
     return candidates.centrality_prior(sets.join(toks, "k").select("set_id", "gt_userid", F.concat(F.lit("User"), F.col("k").cast("string")).alias("userid"), "tokens"))
 
 
-@query("""SELECT 'pilot_task' || c.conv_id || '_User' || (c.conv_id + p) || '_seed' || s AS run_id, c.conv_id AS id, 'User' || (c.conv_id + p) AS userid, CAST(s AS INTEGER) AS seed, CAST(p AS INTEGER) AS position, p = 0 AS is_gt, sha256(c.text) AS prompt_hash,
- sha256('[{"id":"' || i.conv_id || '","category":"' || i.role || '","text":"t' || length(i.text) || '"}]') AS profile_hash FROM (SELECT * FROM conversations WHERE turn = 0) c, range(0, 3) AS a(p), range(0, 2) AS b(s) LEFT JOIN (SELECT conv_id, role, text FROM conversations WHERE turn = 0) i ON i.conv_id = c.conv_id + p""")
+_TURNS = "SELECT conv_id * 1000 + turn AS k, role, text FROM conversations"
+
+
+@query(f"""SELECT 'pilot_task' || c.k || '_User' || (c.k + p) || '_seed' || s AS run_id, c.k AS id, 'User' || (c.k + p) AS userid, CAST(s AS INTEGER) AS seed, CAST(p AS INTEGER) AS position, p = 0 AS is_gt, sha256(c.text) AS prompt_hash,
+ sha256('[{{"id":"' || i.k || '","category":"' || i.role || '","text":"t' || length(i.text) || '"}}]') AS profile_hash FROM ({_TURNS}) c, range(0, 3) AS a(p), range(0, 2) AS b(s) LEFT JOIN ({_TURNS}) i ON i.k = c.k + p""")
 def r055_run_plan(spark: SparkSession, d: str) -> DataFrame:
-    first = spark.read.parquet(f"{d}/conversations.parquet").where("turn = 0")
-    user = lambda k: F.concat(F.lit("User"), (F.col("conv_id") + k).cast("string"))
-    sets = first.select(F.col("conv_id").alias("id"), user(0).alias("gt_userid"), F.col("text").alias("question"), F.array(user(0), user(1), user(2)).alias("candidates"))
-    item = F.struct(F.col("conv_id").cast("string").alias("id"), F.col("role").alias("category"), F.concat(F.lit("t"), F.length("text").cast("string")).alias("text"), F.lit("secret").alias("rubric"))
-    return candidates.run_plan(sets, first.select(user(0).alias("userid"), F.array(item).alias("items")), (0, 1))
+    turns = views.view(spark, d, _TURNS)
+    user = lambda n: F.concat(F.lit("User"), (F.col("k") + n).cast("string"))
+    sets = turns.select(F.col("k").alias("id"), user(0).alias("gt_userid"), F.col("text").alias("question"), F.array(user(0), user(1), user(2)).alias("candidates"))
+    item = F.struct(F.col("k").cast("string").alias("id"), F.col("role").alias("category"), F.concat(F.lit("t"), F.length("text").cast("string")).alias("text"), F.lit("secret").alias("rubric"))
+    return candidates.run_plan(sets, turns.select(user(0).alias("userid"), F.array(item).alias("items")), (0, 1))
 
 
 @query(f"SELECT run_id, stage, candidate_userids[CAST(('0x' || substr(sha256('0:' || run_id || ':' || stage), 1, 16))::UBIGINT % 3 AS INTEGER) + 1] AS predicted_userid FROM ({M[0]})")
@@ -144,11 +159,11 @@ def r056_match_random(spark: SparkSession, d: str) -> DataFrame:
     return matchers.match_random(matches(spark, d)).select("run_id", "stage", "predicted_userid")
 
 
-_DEC = "SELECT doc_id, 'run' || (doc_id // 4) AS run_id, 's' || (doc_id % 4) AS stage, left(text, 400) AS text FROM documents WHERE doc_id + 2 IN (SELECT doc_id FROM documents)"
+_DEC = "SELECT doc_id, 'run' || (doc_id // 4) AS run_id, 's' || (doc_id % 4) AS stage, text FROM documents WHERE doc_id + 2 IN (SELECT doc_id FROM documents)"
 _TERMS = "list_filter(regexp_split_to_array(lower(coalesce({0}, '')), '\\s+'), lambda t: t <> '')"
 
 
-@query(f"""WITH d AS ({_DEC}), c AS (SELECT doc_id AS set_id, p AS pos, doc_id + p AS u FROM d, range(0, 3) AS r(p)), k AS (SELECT doc_id AS u, {_TERMS.format('left(text, 600)')} AS t FROM documents),
+@query(f"""WITH d AS ({_DEC}), c AS (SELECT doc_id AS set_id, p AS pos, doc_id + p AS u FROM d, range(0, 3) AS r(p)), k AS (SELECT doc_id AS u, {_TERMS.format('text')} AS t FROM documents),
 l AS (SELECT u, len(t) AS dl FROM k), f AS (SELECT u, term, count(*) AS tf FROM (SELECT u, unnest(t) AS term FROM k) GROUP BY ALL), i AS (SELECT set_id, pos, u, term, tf FROM c JOIN f USING (u)),
 e AS (SELECT set_id, term, ln(3 - count(*) + 0.5) - ln(count(*) + 0.5) AS idf FROM i GROUP BY ALL), m AS (SELECT set_id, 0.25 * avg(idf) AS low FROM e GROUP BY set_id), a AS (SELECT set_id, avg(dl) AS avgdl FROM c JOIN l USING (u) GROUP BY set_id),
 q AS (SELECT doc_id AS set_id, term, count(*) AS qtf FROM (SELECT doc_id, unnest({_TERMS.format('text')}) AS term FROM d) GROUP BY ALL),
@@ -159,8 +174,8 @@ def r057_match_bm25(spark: SparkSession, d: str) -> DataFrame:
     docs = spark.read.parquet(f"{d}/documents.parquet")
     user = lambda k: F.concat(F.lit("User"), (F.col("doc_id") + k).cast("string"))
     full = docs.join(docs.select((F.col("doc_id") - 2).alias("doc_id")), "doc_id", "left_semi")
-    dec = full.select(F.concat(F.lit("run"), F.expr("doc_id div 4").cast("string")).alias("run_id"), F.concat(F.lit("s"), (F.col("doc_id") % 4).cast("string")).alias("stage"), F.substring("text", 1, 400).alias("text"), F.array(user(0), user(1), user(2)).alias("candidate_userids"))
-    return matchers.match_bm25(dec, docs.select(user(0).alias("userid"), F.substring("text", 1, 600).alias("text"))).withColumn("score", F.round("score", 6))
+    dec = full.select(F.concat(F.lit("run"), F.expr("doc_id div 4").cast("string")).alias("run_id"), F.concat(F.lit("s"), (F.col("doc_id") % 4).cast("string")).alias("stage"), "text", F.array(user(0), user(1), user(2)).alias("candidate_userids"))
+    return matchers.match_bm25(dec, docs.select(user(0).alias("userid"), "text")).withColumn("score", F.round("score", 6))
 
 
 _N = "(SELECT count(*) FROM embeddings)"
@@ -176,7 +191,9 @@ def r058_match_embedding(spark: SparkSession, d: str) -> DataFrame:
     return matchers.match_embedding(dec, e.select(user(0).alias("userid"), F.col("embedding").alias("w"))).withColumn("score", F.round("score", 6))
 
 
-@query()
+@query(f"""WITH o AS (SELECT run_id, stage, any_value(gt_userid) AS gt_userid, any_value(prompt_chars) AS n, list(c ORDER BY sha256('0:' || run_id || ':' || stage || ':' || c)) AS o FROM (SELECT *, unnest(candidate_userids) AS c FROM ({M[0]})) GROUP BY run_id, stage),
+p AS (SELECT *, CASE WHEN n % 4 = 3 THEN 'UNKNOWN' ELSE o[CAST(n % 4 + 1 AS INTEGER)] END AS predicted_userid FROM o)
+SELECT run_id, stage, gt_userid, n AS prompt_chars, array_to_string(o, ',') AS shuffled_order, ['A', 'B', 'C', 'Z'][CAST(n % 4 + 1 AS INTEGER)] AS predicted_label, n // 4 AS input_tokens, CAST(1 AS BIGINT) AS output_tokens, predicted_userid, predicted_userid = gt_userid AS correct FROM p""")
 def r059_match_with(spark: SparkSession, d: str) -> DataFrame:
     import pandas as pd
 
@@ -184,7 +201,7 @@ def r059_match_with(spark: SparkSession, d: str) -> DataFrame:
         return pd.DataFrame({"predicted_label": ["ABCZ"[n % 4] for n in batch["prompt_chars"]], "input_tokens": batch["prompt_chars"] // 4, "output_tokens": 1})
 
     rows = candidates.candidate_order(matches(spark, d)).select("run_id", "stage", "gt_userid", "prompt_chars", "shuffled_order")
-    return matchers.match_with(rows, choose)
+    return matchers.match_with(rows, choose).withColumn("shuffled_order", F.concat_ws(",", "shuffled_order"))
 
 
 _COS = "list_dot_product({0}::DOUBLE[], {1}::DOUBLE[]) / (sqrt(list_dot_product({0}::DOUBLE[], {0}::DOUBLE[])) * sqrt(list_dot_product({1}::DOUBLE[], {1}::DOUBLE[])))"
@@ -205,13 +222,16 @@ TRACE = duck(views.TRACE)
 _Q = "nullif(trim(regexp_replace(lower(query), '\\s+', ' ', 'g')), '')"
 _U = "regexp_replace(lower(regexp_extract(link, '^([^:]+://[^/]*)', 1)) || regexp_extract(link, '^[^:]+://[^/]*([^#]*)', 1), '/+$', '')"
 _HOSTS = "lower(regexp_extract(link, '^[^:]+://([^/]*)', 1))"
-_SHARES = ", ".join(f"round(avg(CAST({_CATEGORY} = '{c}' AS INT)), 6) AS share_{c}" for c in (*(n for n, _ in S.URL_RULES), "other_web", "unknown"))
+_NAMES = ("retail_books", "video", "encyclopedia", "academic", "forum", "course_platform", "gov", "blog", "other_web", "unknown")
+_SHARES = ", ".join(f"round(avg(CAST({_CATEGORY} = '{c}' AS INT)), 6) AS share_{c}" for c in _NAMES)
 _GEN = " OR ".join(f"contains(lower(query), '{p}')" for p in S.GENERIC_PHRASES)
 _STOPS = ", ".join(f"'{w}'" for w in S.SEARCH_STOP)
-_MECH = f"""WITH x AS (SELECT run, query, {_Q} AS q, {_HOSTS} AS h FROM ({TRACE}) WHERE attempted), t AS (SELECT run, unnest(regexp_extract_all(lower(query), '[a-z0-9]+')) AS w FROM x), c AS (SELECT run, w, count(*) AS n FROM t WHERE length(w) > 2 AND w NOT IN ({_STOPS}) GROUP BY ALL),
-s AS (SELECT run, sum(n) AS m, count(*) AS k FROM c GROUP BY run), e AS (SELECT run, round(-sum(n / m * log2(n / m)), 5) + 0.0 AS entropy, round(any_value(k) / any_value(m), 6) AS ttr FROM c JOIN s USING (run) GROUP BY run)
-SELECT x.run, count(*) AS queries, round(count(DISTINCT q) / count(*), 6) AS unique_ratio, CAST(sum(length(query)) AS BIGINT) AS chars, round(avg(CAST({_GEN} AS INT)), 6) AS generic_rate, count(DISTINCT h) AS hosts, {_SHARES},
- coalesce(any_value(entropy), 0.0) AS entropy, coalesce(any_value(ttr), 0.0) AS type_token_ratio FROM x LEFT JOIN e USING (run) GROUP BY x.run"""
+_PARTS = "list_filter([" + ", ".join(f"CASE WHEN share_{c} > 0 THEN greatest(1.0, round(100 * share_{c})) END" for c in _NAMES) + "], lambda x: x IS NOT NULL)"
+_WORDS = f"SELECT run, w, count(*) AS n FROM (SELECT run, unnest(regexp_extract_all(lower(query), '[a-z0-9]+')) AS w FROM ({TRACE}) WHERE attempted) WHERE length(w) > 2 AND w NOT IN ({_STOPS}) GROUP BY ALL"
+_MECH = f"""SELECT * EXCLUDE (c), round(log2(list_sum(c)) - list_sum(list_transform(c, lambda x: x * log2(x))) / list_sum(c), 5) + 0.0 AS category_entropy FROM (SELECT *, {_PARTS} AS c FROM (WITH x AS (SELECT run, query, {_Q} AS q, {_HOSTS} AS h FROM ({TRACE}) WHERE attempted), c AS ({_WORDS}),
+s AS (SELECT run, sum(n) AS m, count(*) AS k FROM c GROUP BY run), e AS (SELECT run, round(-sum(n / m * log2(n / m)), 5) + 0.0 AS entropy, round(any_value(k) / any_value(m), 6) AS ttr, any_value(k) AS k, CAST(any_value(m) AS BIGINT) AS m FROM c JOIN s USING (run) GROUP BY run)
+SELECT x.run, count(*) AS queries, count(DISTINCT q) AS unique_queries, round(count(DISTINCT q) / count(*), 6) AS unique_ratio, CAST(sum(length(query)) AS BIGINT) AS chars, round(avg(length(query)), 6) AS mean_query_chars, round(avg(CAST({_GEN} AS INT)), 6) AS generic_rate, count(DISTINCT h) AS hosts, {_SHARES},
+ coalesce(any_value(entropy), 0.0) AS entropy, coalesce(any_value(ttr), 0.0) AS type_token_ratio, coalesce(any_value(k), 0) AS unique_tokens, coalesce(any_value(m), 0) AS token_count FROM x LEFT JOIN e USING (run) GROUP BY x.run))"""
 
 
 @query(_MECH)
@@ -219,11 +239,17 @@ def r080_search_mechanism_rows(spark: SparkSession, d: str) -> DataFrame:
     return overlap.search_mechanism_rows(views.view(spark, d, views.TRACE))
 
 
+def _right(spark: SparkSession, d: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("run"), (F.col("o_orderkey") % 3 == 0).alias("search_correct"))
+
+
+_LESS = ", ".join(f"round(avg({c}) FILTER (run % 3 = 0) - avg({c}) FILTER (run % 3 <> 0), 4) AS {c}" for c in overlap.SUMMED)
+
+
 @query(f"""WITH r AS ({_MECH}), s AS (SELECT 'all' AS scope, * FROM r UNION ALL SELECT CASE WHEN run % 3 = 0 THEN 'search_correct' ELSE 'search_wrong' END, * FROM r)
-SELECT scope, count(*) AS runs, {', '.join(f'round(avg({c}), 4) AS {c}' for c in ('queries', 'unique_ratio', 'chars', 'entropy', 'type_token_ratio', 'generic_rate', 'hosts'))} FROM s GROUP BY scope""")
+SELECT scope, count(*) AS runs, {', '.join(f'round(avg({c}), 4) AS {c}' for c in overlap.SUMMED)} FROM s GROUP BY scope UNION ALL SELECT 'right_less_wrong', count(*), {_LESS} FROM r""")
 def r080_search_mechanism_summary(spark: SparkSession, d: str) -> DataFrame:
-    rows = overlap.search_mechanism_rows(views.view(spark, d, views.TRACE))
-    return overlap.search_mechanism_summary(rows, spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("run"), (F.col("o_orderkey") % 3 == 0).alias("search_correct")))
+    return overlap.search_mechanism_summary(overlap.search_mechanism_rows(views.view(spark, d, views.TRACE)), _right(spark, d))
 
 
 @query(f"SELECT run, queries, hosts FROM ({_MECH}) ORDER BY hosts DESC, run LIMIT 5")
@@ -231,6 +257,46 @@ def r080_top_cases(spark: SparkSession, d: str) -> DataFrame:
     return overlap.top_cases(overlap.search_mechanism_rows(views.view(spark, d, views.TRACE)), "hosts").select("run", "queries", "hosts")
 
 
+# The brief of a run is the comment-like text of its order; its profile's buckets are the names and the brands of its parts.
+_BRIEFS = "SELECT l_orderkey AS run, concat(p_name, ' ', p_type) AS text FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_linenumber = 1"
+_BUCKETS = "SELECT l_orderkey AS run, 'identity' AS bucket, p_name AS value FROM lineitem JOIN part ON p_partkey = l_partkey UNION ALL SELECT l_orderkey, 'interests', concat(p_type, ' ', p_brand) FROM lineitem JOIN part ON p_partkey = l_partkey"
+_SEARCHED = lambda text, rows: f"SELECT DISTINCT run, t FROM (SELECT run, unnest(regexp_extract_all(lower({text}), '[a-z0-9]+')) AS t FROM ({rows})) WHERE length(t) > 2 AND t NOT IN ({_STOPS})"
+_RETENTION = f"""WITH w AS (SELECT DISTINCT run, bucket, unnest(regexp_extract_all(lower(value), '[a-z0-9]+')) AS t FROM ({_BUCKETS})), b AS ({_SEARCHED('text', _BRIEFS)}), q AS ({_SEARCHED('query', f'SELECT run, query FROM ({TRACE}) WHERE attempted')})
+SELECT w.run, bucket, count(*) AS tokens, round(count(b.t) / count(*), 6) AS brief, round(count(q.t) / count(*), 6) AS query, round((count(b.t) - count(q.t)) / count(*), 6) AS lost FROM w LEFT JOIN b ON b.run = w.run AND b.t = w.t LEFT JOIN q ON q.run = w.run AND q.t = w.t GROUP BY w.run, bucket"""
+
+
+def _retention(spark: SparkSession, d: str) -> DataFrame:
+    buckets = views.view(spark, d, _BUCKETS).groupBy("run", "bucket").agg(F.flatten(F.collect_list(S.tokens(F.col("value")))).alias("tokens"))
+    return overlap.bucket_retention(views.view(spark, d, views.TRACE).where("attempted").select("run", "query"), views.view(spark, d, _BRIEFS), buckets)
+
+
+@query(_RETENTION)
+def r080_bucket_retention(spark: SparkSession, d: str) -> DataFrame:
+    return _retention(spark, d)
+
+
+@query(f"SELECT scope, bucket, count(*) AS runs, round(avg(brief), 4) AS brief, round(avg(query), 4) AS query, round(avg(lost), 4) AS lost FROM (SELECT *, unnest(['all', CASE WHEN run % 3 = 0 THEN 'search_correct' ELSE 'search_wrong' END]) AS scope FROM ({_RETENTION})) GROUP BY ALL")
+def r080_bucket_summary(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.bucket_summary(_retention(spark, d), _right(spark, d))
+
+
+_REASONED = "CASE stage WHEN 'plan' THEN 'Clearly Candidate A, only it.' WHEN 'search' THEN 'Perhaps Candidate A or candidate B; it might be B.' ELSE concat('Candidate C after ', prompt_chars) END"
+
+
+@query(f"SELECT stage, count(*) AS n, round(avg(CASE stage WHEN 'plan' THEN 2.5 WHEN 'search' THEN -1.0 ELSE 0.5 END), 6) AS certainty, round(avg(CASE stage WHEN 'plan' THEN 1 ELSE 0 END), 6) AS has_strong, round(avg(CASE stage WHEN 'search' THEN 1 ELSE 0 END), 6) AS has_hedge, round(avg(CASE stage WHEN 'search' THEN 2 ELSE 1 END), 6) AS named, round(avg(CAST(correct AS INT)), 6) AS accuracy FROM ({M[0]}) GROUP BY stage")
+def r080_certainty_by_stage(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.certainty_by_stage(matches(spark, d).withColumn("reasoning", F.expr(_REASONED)))
+
+
+_OUT = "SELECT o_orderkey AS run, CAST(o_custkey % 3 > 0 AS INT) AS plan, CAST(o_custkey % 5 > 2 AS INT) AS search, CAST(o_custkey % 7 > 1 AS INT) AS write FROM orders"
+
+
+@query(f"SELECT m.run, generic_rate, coalesce(lost, 0.0) AS lost, mean_query_chars FROM ({_MECH}) m JOIN ({_OUT}) o USING (run) LEFT JOIN (SELECT run, lost FROM ({_RETENTION}) WHERE bucket = 'identity') r USING (run) WHERE plan = 1 AND search = 0 AND write = 1 ORDER BY generic_rate DESC, lost DESC, mean_query_chars DESC, m.run LIMIT 5")
+def r080_recovery_cases(spark: SparkSession, d: str) -> DataFrame:
+    rows = overlap.search_mechanism_rows(views.view(spark, d, views.TRACE))
+    return overlap.recovery_cases(rows, _retention(spark, d), views.view(spark, d, _OUT), "identity")
+
+
 def _stable(item: str) -> str:
     return f"""WITH u AS (SELECT DISTINCT 'task' || (o_orderkey // 2 // 3) AS taskid, 'User' || (o_orderkey // 2 % 3) AS userid, o_orderkey % 2 AS seed FROM orders), i AS (SELECT taskid, userid, seed, list(DISTINCT {item}) AS s FROM ({TRACE}) WHERE attempted GROUP BY ALL), f AS (SELECT u.*, coalesce(s, []) AS s FROM u LEFT JOIN i USING (taskid, userid, seed)),
 p AS (SELECT taskid, a.userid = b.userid AS same, CASE WHEN len(a.s) + len(b.s) = 0 THEN 1.0 ELSE len(list_intersect(a.s, b.s)) / len(list_distinct(list_concat(a.s, b.s))) END AS j FROM f a JOIN f b USING (taskid) WHERE (a.userid = b.userid AND a.seed < b.seed) OR (a.userid < b.userid AND a.seed = b.seed))
@@ -253,6 +319,7 @@ def r081_query_stability(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH i AS (SELECT DISTINCT taskid, userid, {_U} AS url FROM ({TRACE}) WHERE attempted), m AS (SELECT taskid, count(DISTINCT userid) AS members, count(*) AS total FROM i GROUP BY taskid), k AS (SELECT taskid, url, count(*) AS k FROM i GROUP BY ALL)
-SELECT taskid, members, count(*) AS "union", count_if(k = 1) AS single, count_if(k = members) AS common, CAST(sum(k * (k - 1) // 2) AS BIGINT) AS pairwise_shared, round(count_if(k = 1) / count(*), 6) AS unique_fraction, round(any_value(total) / any_value(members), 6) AS mean_per_member FROM k JOIN m USING (taskid) GROUP BY taskid, members""")
+SELECT taskid, members, count(*) AS "union", count_if(k = 1) AS single, count_if(k = members) AS common, CAST(sum(k * (k - 1) // 2) AS BIGINT) AS pairwise_shared, round(count_if(k = 1) / count(*), 6) AS unique_fraction, round(any_value(total) / any_value(members), 6) AS mean_per_member,
+ round(CASE WHEN members > 1 THEN 2 * sum(k * (k - 1) // 2) / ((members - 1) * any_value(total)) END, 6) AS mean_overlap, round(CASE WHEN members > 1 THEN 1 - 2 * sum(k * (k - 1) // 2) / ((members - 1) * any_value(total)) END, 6) AS mean_apart FROM k JOIN m USING (taskid) GROUP BY taskid, members""")
 def r082_source_diversity(spark: SparkSession, d: str) -> DataFrame:
     return overlap.source_diversity(views.view(spark, d, views.TRACE))

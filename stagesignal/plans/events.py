@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from stagesignal.operators import trace
 from stagesignal.plans import views
 from stagesignal.plans.registry import query
-from stagesignal.plans.texts import _F, _ID, artifacts
+from stagesignal.plans.texts import _F, _ID, FOUR
 from stagesignal.plans.views import duck
 from stagesignal.streaming import decisions
 
@@ -26,13 +26,38 @@ def events(spark: SparkSession, d: str) -> DataFrame:
     return views.view(spark, d, EVENTS)
 
 
-_VALID = f"SELECT r, {_ID}, b, w, c, CASE WHEN r % 5 = 0 THEN 'failed' ELSE 'ok' END AS s1 FROM ({_F})"
-
-
-@query(f"""SELECT run_id, array_to_string(list_filter([CASE WHEN b IS NULL THEN 'research_brief: missing' END, CASE WHEN w IS NULL THEN 'final_report: missing' END], lambda x: x IS NOT NULL), ';') AS schema_errors,
- CASE WHEN s1 = 'failed' THEN 'topic_001: no successful source;' ELSE '' END || 'topic_002: not compressed' AS completeness_errors, b IS NOT NULL AND w IS NOT NULL AS schema_valid, false AS success_criteria_met FROM ({_VALID})""")
+# Artifacts with all their parts. The number of a run decides which one is wrong: none in runs 0 and 1 of each 20.
+TRACED = f"""SELECT CASE WHEN r % 20 = 2 THEN 'dra_trace_v1' ELSE 'dra_trace_v2' END AS schema_version, run_id, r, CASE WHEN r % 20 = 3 THEN '' WHEN r % 20 = 4 THEN NULL ELSE 'A brief.' END AS research_brief,
+  CASE WHEN r % 20 = 5 THEN array() WHEN r % 20 = 6 THEN array(named_struct('topic_id', 'topic_002', 'topic_text', 'x'), named_struct('topic_id', 'topic_001', 'topic_text', ''))
+    ELSE array(named_struct('topic_id', 'topic_001', 'topic_text', 'x'), named_struct('topic_id', 'topic_002', 'topic_text', 'y')) END AS research_topics,
+  array(named_struct('topic_id', 'topic_001', 'query_id', 'q1', 'query', s, 'attempted', true, 'status', CASE WHEN r % 20 = 7 THEN 'pending' ELSE 'ok' END, 'failure_code', NULL, 'sources', array({{0}})),
+    named_struct('topic_id', CASE WHEN r % 20 = 8 THEN 'topic_unmapped' WHEN r % 20 = 9 THEN 'topic_007' ELSE 'topic_002' END, 'query_id', CASE WHEN r % 20 = 10 THEN 'q1' ELSE 'q2' END, 'query', 'second', 'attempted', true, 'status', 'ok', 'failure_code', NULL, 'sources', CASE WHEN r % 20 = 11 THEN array() ELSE array({{0}}) END),
+    named_struct('topic_id', 'topic_002', 'query_id', 'q3', 'query', 'third', 'attempted', r % 20 <> 1, 'status', 'failed', 'failure_code', 'cap', 'sources', array())) AS search_trace,
+  CASE WHEN r % 20 = 12 THEN array(named_struct('topic_id', 'topic_001', 'topic_text', 'x', 'compressed_research', 'c'), named_struct('topic_id', 'topic_001', 'topic_text', 'x', 'compressed_research', ''))
+    ELSE array(named_struct('topic_id', 'topic_001', 'topic_text', 'x', 'compressed_research', 'c'), named_struct('topic_id', 'topic_002', 'topic_text', 'y', 'compressed_research', 'd')) END AS compressed_research,
+  CASE WHEN r % 20 = 13 THEN concat('Error generating final report: ', r) WHEN r % 20 = 14 THEN '' ELSE 'A report.' END AS final_report,
+  named_struct('generation_seed', 1, 'manifest_sha256', sha2('m', 256), 'prompt_sha256', CASE WHEN r % 20 = 2 THEN 'x' ELSE sha2('p', 256) END, 'service_tier', 'flex', 'timeout_sec', CASE WHEN r % 20 = 15 THEN 0 ELSE 60 END, 'models', map('a', 'b')) AS execution_config,
+  named_struct('input_tokens', CASE WHEN r % 20 = 16 THEN -1 ELSE 10 END, 'output_tokens', 5, 'total_tokens', CASE WHEN r % 20 = 17 THEN 16 ELSE 15 END, 'token_usage_events', CASE WHEN r % 20 = 17 THEN 0 ELSE 2 END, 'queries_requested', 3, 'queries_attempted', CASE WHEN r % 20 = 1 THEN 2 ELSE 3 END,
+    'queries_successful', CASE WHEN r % 20 IN (7, 18) THEN 1 ELSE 2 END, 'queries_failed', CASE WHEN r % 20 = 1 THEN 0 WHEN r % 20 = 7 THEN 2 ELSE 1 END, 'queries_rejected', CASE WHEN r % 20 = 1 THEN 1 ELSE 0 END, 'sources_selected', CASE WHEN r % 20 = 11 THEN 1 ELSE 2 END, 'unique_sources', 1,
+    'query_ledger_consistent', r % 20 <> 19, 'source_ledger_consistent', true) AS token_ledger
+FROM (SELECT concat('pilot_task', r, '_User1_seed0') AS run_id, r, s FROM ({FOUR}) AS f WHERE s IS NOT NULL AND s <> '') AS t"""
+_SOURCED = "named_struct('query', s, 'title', 't', 'link', concat('https://a.example/', r), 'domain', 'a.example', 'rank', 1, 'snippet', 'n')"
+TRACED = TRACED.format(_SOURCED)
+_RUNS = f"SELECT r % 20 AS k, {_ID} FROM ({_F}) WHERE s <> ''"
+_ERRORS = {
+    2: ("schema_version: unsupported;prompt_sha256: no SHA-256", "", ""), 3: ("", "research_brief: empty", ""), 4: ("research_brief: missing", "", ""),
+    5: ("0: unknown topic;1: unknown topic;2: unknown topic", "research_topics: empty;compressed_research: not one to one", ""), 6: ("topics: not in order;1: topic without text", "", ""),
+    7: ("0: status not terminal", "no successful source: topic_001", ""), 8: ("", "1: query of no topic;no successful source: topic_002", ""), 9: ("1: unknown topic", "no successful source: topic_002", ""),
+    10: ("1: query id missing or repeated", "", ""), 11: ("", "no successful source: topic_002", ""), 12: ("1: compressed text empty", "compressed_research: not one to one", ""),
+    13: ("", "final_report: empty or failed", ""), 14: ("", "final_report: empty or failed", ""), 15: ("timeout_sec: not positive", "", ""), 16: ("", "", "input_tokens: missing or negative"),
+    17: ("", "", "total_tokens: not the sum;token_usage_events: none"), 18: ("", "", "queries_successful: 1 stated, 2 found"), 19: ("", "", "query ledger: differs from the log"),
+}
+_MESSAGE = [f"CASE k {' '.join(f'WHEN {k} THEN {chr(39)}{v[i]}{chr(39)}' for k, v in _ERRORS.items())} ELSE '' END" for i in range(3)]
+
+
+@query(f"SELECT run_id, {_MESSAGE[0]} AS schema_errors, {_MESSAGE[1]} AS completeness_errors, {_MESSAGE[2]} AS ledger_errors, k NOT IN (2, 4, 5, 6, 7, 9, 10, 12, 15) AS schema_valid, k < 2 AS success_criteria_met FROM ({_RUNS})")
 def r100_validate_artifacts(spark: SparkSession, d: str) -> DataFrame:
-    return trace.validate_artifacts(artifacts(spark, d)).withColumns({c: F.concat_ws(";", c) for c in ("schema_errors", "completeness_errors")})
+    return trace.validate_artifacts(views.view(spark, d, TRACED)).withColumns({c: F.concat_ws(";", c) for c in ("schema_errors", "completeness_errors", "ledger_errors")})
 
 
 @query(f"""WITH e AS ({E}), t AS (SELECT report_run, topic_text, 'topic_' || lpad(CAST(row_number() OVER (PARTITION BY report_run ORDER BY min(ord)) AS VARCHAR), 3, '0') AS tid FROM e WHERE topic_text IS NOT NULL GROUP BY report_run, topic_text),
@@ -66,10 +91,20 @@ def r105_capture_latest(spark: SparkSession, d: str) -> DataFrame:
     return trace.capture_latest(views.view(spark, d, _SLOTS))
 
 
-@query(f"""SELECT run_id, 2 AS queries_requested, 2 AS queries_attempted, CASE WHEN s1 = 'ok' THEN 2 ELSE 1 END AS queries_successful, CASE WHEN s1 = 'ok' THEN 0 ELSE 1 END AS queries_failed, 3 AS sources_selected, 1 AS unique_sources, 2 AS topics,
- trim(coalesce(b, '')) <> '' AS has_brief, trim(coalesce(w, '')) <> '' AS has_report, true AS has_compressed, s1 = 'ok' AS every_topic_answered FROM ({_VALID})""")
+# What the search adapter logged of those runs (one query too many in runs 3 of each 7, none of runs 5), and their model usage.
+_LOGGED = f"""SELECT concat('pilot_task', r, '_User1_seed0') AS run_id, 3 + CASE WHEN r % 7 = 3 THEN 1 ELSE 0 END AS queries_requested, CASE WHEN r % 20 = 1 THEN 2 ELSE 3 END AS queries_attempted, CASE WHEN r % 20 = 7 THEN 1 ELSE 2 END AS queries_successful,
+  CASE WHEN r % 20 = 1 THEN 0 WHEN r % 20 = 7 THEN 2 ELSE 1 END AS queries_failed, CASE WHEN r % 20 = 11 THEN 1 ELSE 2 END AS sources_selected, CASE WHEN r % 7 = 4 THEN 2 ELSE 1 END AS unique_sources FROM ({FOUR}) AS f WHERE s IS NOT NULL AND r % 7 <> 5"""
+_USAGE = f"SELECT concat('pilot_task', r, '_User1_seed0') AS run_id, r AS input_tokens, length(s) AS output_tokens, 2 AS token_usage_events FROM ({FOUR}) AS f WHERE s IS NOT NULL AND r % 3 > 0"
+
+
+@query(f"""WITH a AS (SELECT r, r % 20 AS k, {_ID}, CASE WHEN r % 3 > 0 THEN r ELSE 0 END AS i, CASE WHEN r % 3 > 0 THEN length(s) ELSE 0 END AS o FROM ({_F}) WHERE s <> ''),
+f AS (SELECT *, k NOT IN (3, 4) AS has_brief, k <> 5 AS has_topics, k NOT IN (5, 7, 8, 9, 11) AS has_query_and_source, k NOT IN (5, 12) AS has_compressed_per_topic, k NOT IN (13, 14) AS has_report FROM a)
+SELECT run_id, CAST(3 AS BIGINT) AS queries_requested, CAST(CASE WHEN k = 1 THEN 2 ELSE 3 END AS BIGINT) AS queries_attempted, CAST(CASE WHEN k = 7 THEN 1 ELSE 2 END AS BIGINT) AS queries_successful, CAST(CASE k WHEN 1 THEN 0 WHEN 7 THEN 2 ELSE 1 END AS BIGINT) AS queries_failed,
+ CAST(CASE WHEN k = 1 THEN 1 ELSE 0 END AS BIGINT) AS queries_rejected, CAST(CASE WHEN k = 11 THEN 1 ELSE 2 END AS BIGINT) AS sources_selected, CAST(1 AS BIGINT) AS unique_sources, has_brief, has_topics, has_query_and_source, has_compressed_per_topic, has_report,
+ has_brief AND has_topics AND has_query_and_source AND has_compressed_per_topic AND has_report AS complete, CAST(i AS BIGINT) AS input_tokens, CAST(o AS BIGINT) AS output_tokens, CAST(CASE WHEN r % 3 > 0 THEN 2 ELSE 0 END AS BIGINT) AS token_usage_events, CAST(i + o AS BIGINT) AS total_tokens,
+ r % 7 NOT IN (3, 5) AS query_ledger_consistent, r % 7 NOT IN (4, 5) AS source_ledger_consistent FROM f""")
 def r106_trace_ledger(spark: SparkSession, d: str) -> DataFrame:
-    return trace.trace_ledger(artifacts(spark, d))
+    return trace.trace_ledger(views.view(spark, d, TRACED), views.view(spark, d, _LOGGED), views.view(spark, d, _USAGE))
 
 
 RESPONSES = """SELECT concat('run', l_orderkey div 4) AS report_run, l_orderkey * 10 + l_linenumber AS query_sequence, collect_list(named_struct('title', p_name, 'link', concat('HTTPS://Shop', l_suppkey % 5, '.Example.COM/p', l_partkey % 9, '/#s'))) AS organic, min(p_name) AS query
@@ -143,6 +178,34 @@ def r112_stream_decisions(spark: SparkSession, d: str) -> DataFrame:
     stream = spark.readStream.schema(schema).parquet(f"{d}/event[s].parquet")  # a pattern: the source takes no single file
     rows = stream.select(F.concat(F.lit("run"), F.col("user_id").cast("string")).alias("run_id"), stage.alias("stage"), (F.col("user_id") % 3 > 0).alias("correct"))
     name = f"running_accuracy_{uuid.uuid4().hex}"
-    started = decisions.running_accuracy(rows).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+    started = decisions.running_accuracy(rows, None).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
     started.awaitTermination()
     return spark.table(name)
+
+
+def _stream(spark: SparkSession, d: str) -> DataFrame:
+    """The events file as a stream of the run log's events."""
+    schema = spark.read.parquet(f"{d}/events.parquet").schema
+    stream = spark.readStream.schema(schema).parquet(f"{d}/event[s].parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    return spark.sql(EVENTS.replace("FROM events", "FROM {events}"), events=stream)
+
+
+def _run(stream: DataFrame, mode: str) -> DataFrame:
+    """A stream's result once it has run to its end."""
+    name = f"stream_{uuid.uuid4().hex}"
+    stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.table(name)
+
+
+@query(f"SELECT report_run, CAST(sum(t) AS BIGINT) AS total_tokens, count(*) AS calls FROM (SELECT report_run, call_id, any_value(ord % 7) AS t FROM (SELECT report_run, ord, concat(call_id, '/', ord) AS call_id FROM ({E}) WHERE event = 'model_end') GROUP BY ALL) GROUP BY report_run")
+def r104_stream_model_tokens(spark: SparkSession, d: str) -> DataFrame:
+    rows = _stream(spark, d).withColumn("call_id", F.concat_ws("/", "call_id", F.col("ord").cast("string"))).withColumn("total_tokens", F.col("ord") % 7)
+    return _run(decisions.model_tokens(rows, "1 hour"), "update").groupBy("report_run").agg(F.max("total_tokens").alias("total_tokens"), F.max("calls").alias("calls"))
+
+
+@query(f"""WITH e AS (SELECT *, call_id || '/' || report_run AS c FROM ({E}) WHERE event IN ('tool_start', 'tool_end', 'tool_error')), k AS (SELECT report_run, c AS call_id, count_if(event = 'tool_start') AS s, count_if(event = 'tool_end') AS e, count_if(event = 'tool_error') AS x, count(result) FILTER (event = 'tool_end') AS r FROM e GROUP BY ALL)
+SELECT report_run, call_id, CASE WHEN x > 0 THEN 'tool_execution_error' WHEN r = 0 THEN 'trace_missing_query_result' END AS failure_code, CASE WHEN x > 0 OR r = 0 THEN 'failed' ELSE 'ok' END AS status FROM k WHERE s > 0 AND (e > 0 OR x > 0)""")
+def r103_stream_tool_calls(spark: SparkSession, d: str) -> DataFrame:
+    """Calls that end; those that only start stay open until a later event moves the watermark past them."""
+    rows = _stream(spark, d).where(F.col("event").isin("tool_start", "tool_end", "tool_error")).withColumn("call_id", F.concat_ws("/", "call_id", "report_run"))
+    return _run(decisions.stream_tool_calls(rows), "append").where("failure_code is null or failure_code <> 'trace_incomplete_tool_call'").select("report_run", "call_id", "failure_code", "status")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,7 +18,9 @@ from stagesignal.sources import io
 
 def _folder(spark: SparkSession) -> str:
     """A new folder in the shared checkpoint folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or os.path.abspath("spark-warehouse")
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if base is None:
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
     return f"{base}/stagesignal-{uuid.uuid4().hex}"
 
 
@@ -31,7 +32,7 @@ def _json(df: DataFrame, folder: str) -> str:
 @query("SELECT 'User' || c_custkey AS userid FROM customer JOIN nation ON n_nationkey = c_nationkey")
 def r001_read_profiles(spark: SparkSession, d: str) -> DataFrame:
     folder = _folder(spark)
-    rows = views.view(spark, d, BODIES).select(F.concat(F.lit('{"userid":"'), "userid", F.lit('",'), F.substring("body", 2, 100_000)).alias("value"))
+    rows = views.view(spark, d, BODIES).select(F.concat(F.lit('{"userid":"'), "userid", F.lit('",'), F.expr("substring(body, 2)")).alias("value"))
     rows.union(spark.createDataFrame([(" ",)], "value string")).write.text(folder)
     return io.read_profiles(spark, folder).select("userid")
 
@@ -59,9 +60,9 @@ def _arrays(rows: DataFrame, folder: str) -> str:
     return folder
 
 
-@query(f"SELECT run_id, stage, correct, taskid, seed, predicted_userid FROM ({duck(matches_sql(0))}) WHERE taskid < 3")
+@query(f"SELECT run_id, stage, correct, taskid, seed, predicted_userid FROM ({duck(matches_sql(0))})")
 def r004_read_matches(spark: SparkSession, d: str) -> DataFrame:
-    rows = matches(spark, d).where("taskid < 3").select("run_id", "stage", "gt_userid", "predicted_userid", "correct", "candidate_userids")
+    rows = matches(spark, d).select("run_id", "stage", "gt_userid", "predicted_userid", "correct", "candidate_userids")
     return io.read_matches(spark, _arrays(rows, _folder(spark)), "*").select("run_id", "stage", "correct", "taskid", "seed", "predicted_userid")
 
 
@@ -70,14 +71,14 @@ def r005_read_artifacts(spark: SparkSession, d: str) -> DataFrame:
     return io.read_artifacts(spark, _arrays(artifacts(spark, d).drop("r"), _folder(spark)), "*").select("run_id", F.size("search_trace").alias("queries"))
 
 
-_SUMMED = f"SELECT run_id, schema_valid, total_tokens FROM ({duck(views.SUMMARIES)}) WHERE taskid < 3"
+_SUMMED = f"SELECT run_id, schema_valid, total_tokens FROM ({duck(views.SUMMARIES)})"
 
 
 @query(_SUMMED)
 def r006_read_run_summaries(spark: SparkSession, d: str) -> DataFrame:
     folder = _folder(spark)
     ledger = F.struct("total_tokens", F.col("elapsed_sec").cast("double").alias("elapsed_sec"), "queries_attempted", "queries_successful", "queries_failed").alias("token_ledger")
-    rows = views.view(spark, d, views.SUMMARIES).where("taskid < 3").select("run_id", "taskid", "domain", "gt_userid", "seed", "schema_valid", ledger)
+    rows = views.view(spark, d, views.SUMMARIES).select("run_id", "taskid", "domain", "gt_userid", "seed", "schema_valid", ledger)
     rows.union(rows.limit(1).withColumn("run_id", F.lit(None).cast("string"))).write.json(folder)
     read = spark.read.schema(io.SUMMARY).json(folder)
     return io.named_runs(read).select("run_id", "schema_valid", F.col("token_ledger.total_tokens").alias("total_tokens"))
@@ -105,3 +106,12 @@ def r009_pending(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT 'runs/s' || (o_custkey % 5) || '_seed' || (o_orderkey % 2) AS folder, CAST(o_orderkey % 2 AS VARCHAR) AS seed, CASE o_orderkey % 3 WHEN 0 THEN 'artifact' WHEN 1 THEN 'match' ELSE 'other' END AS kind, count(*) AS files, CAST(sum(o_custkey) AS BIGINT) AS bytes FROM orders GROUP BY ALL""")
 def r101_run_inventory(spark: SparkSession, d: str) -> DataFrame:
     return quality.run_inventory(views.view(spark, d, "SELECT concat('runs/s', o_custkey % 5, '_seed', o_orderkey % 2, '/', o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN '_artifacts.json' WHEN 1 THEN '_match.json' ELSE '.txt' END) AS path, o_custkey AS length FROM orders"))
+
+
+@query("SELECT 'supplier-' || s_suppkey AS name, CAST(octet_length(encode(s_name)) + 1 AS BIGINT) AS length, sha256(s_name || chr(10)) AS sha256 FROM supplier")
+def r042_file_inventory(spark: SparkSession, d: str) -> DataFrame:
+    folder = _folder(spark)
+    rows = spark.read.parquet(f"{d}/supplier.parquet").select("s_name", F.concat(F.lit("supplier-"), F.col("s_suppkey").cast("string")).alias("name"))
+    rows.write.partitionBy("name").text(folder)
+    files = io.file_inventory(spark, folder).where("length > 0")
+    return files.select(F.regexp_extract("path", "name=([^/]+)/", 1).alias("name"), "length", "sha256")

@@ -93,6 +93,19 @@ def r017_audit_profiles(spark: SparkSession, d: str) -> DataFrame:
     return profiles.audit_profiles(leaves(spark, d), KEYS)
 
 
+_LENT = f"SELECT g.userid, g.d AS donor, key, path, value FROM ({_DONOR}) g JOIN ({LEAVES}) l ON l.userid = g.d WHERE g.d <> g.userid AND key NOT IN {IDENTITY} AND key <> 'userid'"
+
+
+@query(f"""WITH b AS (SELECT userid, key, value FROM ({LEAVES}) WHERE key <> 'userid'), g AS (SELECT userid, d AS donor FROM ({_DONOR}) WHERE d <> userid),
+p AS (SELECT 'actionable_only' AS condition, userid, NULL AS donor, key, value FROM b WHERE key NOT IN {IDENTITY} UNION ALL SELECT 'identity_only', userid, NULL, key, value FROM b WHERE key IN {IDENTITY}
+ UNION ALL SELECT 'shuffled_actionable', b.userid, donor, key, value FROM b JOIN g USING (userid) WHERE key IN {IDENTITY} UNION ALL SELECT 'shuffled_actionable', userid, donor, key, value FROM ({_LENT}))
+SELECT condition, userid, donor, count(*) AS leaves, CAST(sum(length(value)) AS BIGINT) AS chars, coalesce(string_agg(DISTINCT key, ',' ORDER BY key) FILTER (key IN {IDENTITY}), '') AS identity_keys, coalesce(string_agg(DISTINCT key, ',' ORDER BY key) FILTER (key NOT IN {IDENTITY}), '') AS other_keys,
+ CASE WHEN condition = 'shuffled_actionable' THEN true END AS identity_is_shells, CASE WHEN condition = 'shuffled_actionable' THEN true END AS actionable_is_donors, '' AS violations FROM p GROUP BY condition, userid, donor""")
+def r017_audit_projections(spark: SparkSession, d: str) -> DataFrame:
+    out = profiles.audit_projections(leaves(spark, d), r015_cyclic_donor(spark, d).where("donor is not null"), KEYS)
+    return out.withColumns({c: F.concat_ws(",", c) for c in ("identity_keys", "other_keys", "violations")})
+
+
 @query(f"""WITH t AS (SELECT DISTINCT userid, CASE split_part(path, '>', 1) WHEN 'Basic' THEN 'who' WHEN 'Likes' THEN 'what' END AS bucket, unnest(regexp_extract_all(lower(value), '[a-z0-9]+')) AS t FROM ({LEAVES}))
 SELECT userid, bucket, string_agg(t, ' ' ORDER BY t) AS tokens FROM t WHERE bucket IS NOT NULL GROUP BY ALL""")
 def r018_feature_buckets(spark: SparkSession, d: str) -> DataFrame:

@@ -13,15 +13,15 @@ from stagesignal.plans.registry import query
 from stagesignal.plans.views import duck
 
 FOUR = "SELECT doc_id div 4 AS r, " + ", ".join(f"max(CASE WHEN doc_id % 4 = {k} THEN text END) AS {n}" for k, n in enumerate("bscw")) + " FROM documents GROUP BY doc_id div 4"
-_SOURCE = "named_struct('query', s, 'title', substr(s, {0}, 20), 'link', concat('https://a.example/', r), 'domain', 'a.example', 'rank', 1, 'snippet', substr(s, {0} + 20, 300))"
+_SOURCE = "named_struct('query', s, 'title', concat('Title {0} ', length(s)), 'link', concat('https://a.example/', r), 'domain', 'a.example', 'rank', 1, 'snippet', s)"
 ARTIFACTS = f"""SELECT concat('pilot_task', r, '_User1_seed0') AS run_id, r, b AS research_brief, w AS final_report,
-  array(named_struct('topic_id', 'topic_001', 'query_id', 'q1', 'query', substr(s, 1, 60), 'attempted', true, 'status', CASE WHEN r % 5 = 0 THEN 'failed' ELSE 'ok' END, 'sources', array({_SOURCE.format(1)}, {_SOURCE.format(9)})),
-        named_struct('topic_id', 'topic_002', 'query_id', 'q2', 'query', substr(s, 61, 30), 'attempted', true, 'status', 'success', 'sources', array({_SOURCE.format(5)}))) AS search_trace,
+  array(named_struct('topic_id', 'topic_001', 'query_id', 'q1', 'query', s, 'attempted', true, 'status', CASE WHEN r % 5 = 0 THEN 'failed' ELSE 'ok' END, 'sources', array({_SOURCE.format(1)}, {_SOURCE.format(2)})),
+        named_struct('topic_id', 'topic_002', 'query_id', 'q2', 'query', concat('about ', s), 'attempted', true, 'status', 'success', 'sources', array({_SOURCE.format(3)}))) AS search_trace,
   array(named_struct('topic_id', 'topic_001', 'topic_text', 'first', 'compressed_research', c)) AS compressed_research
 FROM ({FOUR}) WHERE s IS NOT NULL"""
 _F = f"SELECT * FROM ({duck(FOUR)}) WHERE s IS NOT NULL"
-_LINE = "chr(10) || '  • ' || substr(s, {0}, 20) || ': ' || substr(substr(s, {0} + 20, 300), 1, 200)"
-_SEARCH = f"CASE WHEN r % 5 = 0 THEN '' ELSE 'Query [topic_001]: ' || substr(s, 1, 60) || {_LINE.format(1)} || {_LINE.format(9)} || chr(10) END || 'Query [topic_002]: ' || substr(s, 61, 30) || {_LINE.format(5)}"
+_LINE = "chr(10) || '  • Title {0} ' || length(s) || ': ' || left(s, 200)"
+_SEARCH = f"CASE WHEN r % 5 = 0 THEN '' ELSE 'Query [topic_001]: ' || s || {_LINE.format(1)} || {_LINE.format(2)} || chr(10) END || 'Query [topic_002]: about ' || s || {_LINE.format(3)}"
 _ID = "'pilot_task' || r || '_User1_seed0' AS run_id"
 _STAGES = lambda search, compress: f"SELECT {_ID}, 'plan' AS stage, b AS text FROM ({_F}) UNION ALL SELECT {_ID}, 'search', {search} FROM ({_F}) UNION ALL SELECT {_ID}, 'compress', {compress} FROM ({_F}) UNION ALL SELECT {_ID}, 'write', w FROM ({_F})"
 _DIGEST = "run_id, stage, length(text) AS chars, md5(text) AS digest"
@@ -43,7 +43,7 @@ def r020_stage_text(spark: SparkSession, d: str) -> DataFrame:
     return _digest(texts.stage_text(artifacts(spark, d)))
 
 
-@query(f"SELECT {_DIGEST} FROM ({_STAGES('substr(s, 1, 60) || chr(32) || substr(s, 61, 30)', 'c')}) WHERE trim(regexp_replace(text, '\\s+', ' ', 'g')) <> ''")
+@query(f"SELECT {_DIGEST} FROM ({_STAGES("s || ' about ' || s", 'c')}) WHERE trim(regexp_replace(text, '\\s+', ' ', 'g')) <> ''")
 def r021_baseline_stage_text(spark: SparkSession, d: str) -> DataFrame:
     return _digest(texts.baseline_stage_text(artifacts(spark, d)))
 
@@ -54,7 +54,7 @@ def r022_truncate_text(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", *[F.md5(S.truncate_text(F.col("text"), 500, m)).alias(m) for m in ("prefix", "head_tail")])
 
 
-_PROMPTS = f"SELECT x.run_id, x.stage, 1200 + any_value(length(x.text)) + sum(coalesce(p.chars, 0)) AS chars FROM (SELECT run_id, stage, text, unnest(['User' || r, 'User' || (r + 1), 'User' || (r + 2)]) AS userid FROM (SELECT *, CAST(regexp_extract(run_id, 'task([0-9]+)', 1) AS BIGINT) AS r FROM ({_STAGES('substr(s, 1, 60) || chr(32) || substr(s, 61, 30)', 'c')}) WHERE trim(regexp_replace(text, '\\s+', ' ', 'g')) <> '')) x LEFT JOIN (SELECT userid, sum(length(value)) AS chars FROM ({LEAVES}) GROUP BY userid) p USING (userid) GROUP BY x.run_id, x.stage"
+_PROMPTS = f"SELECT x.run_id, x.stage, 1200 + any_value(length(x.text)) + sum(coalesce(p.chars, 0)) AS chars FROM (SELECT run_id, stage, text, unnest(['User' || r, 'User' || (r + 1), 'User' || (r + 2)]) AS userid FROM (SELECT *, CAST(regexp_extract(run_id, 'task([0-9]+)', 1) AS BIGINT) AS r FROM ({_STAGES("s || ' about ' || s", 'c')}) WHERE trim(regexp_replace(text, '\\s+', ' ', 'g')) <> '')) x LEFT JOIN (SELECT userid, sum(length(value)) AS chars FROM ({LEAVES}) GROUP BY userid) p USING (userid) GROUP BY x.run_id, x.stage"
 
 
 @query(f"SELECT stage, count(*) AS calls, CAST(sum(chars) AS BIGINT) AS chars, CAST(max(chars) AS BIGINT) AS longest FROM ({_PROMPTS}) GROUP BY stage")
@@ -99,11 +99,14 @@ def r026_mask_phrases(spark: SparkSession, d: str) -> DataFrame:
     return texts.mask_phrases(rows, "[M]").select("doc_id", F.md5("text").alias("digest"), "masked")
 
 
-@query()
+_BODY = """'{"Basic":{"Name":"' || c_name || '","Nation":"' || n_name || '"},"Likes":{"Segment":"' || c_mktsegment || '","Budget":"' || CAST(CAST(floor(c_acctbal) AS BIGINT) AS VARCHAR) || '","Tags":["' || n_name || '","' || c_mktsegment || '"]}}'"""
+
+
+@query(f"SELECT 'User' || c_custkey AS userid, md5(replace({_BODY}, n_name, '[GPE]')) AS digest, CAST((length({_BODY}) - length(replace({_BODY}, n_name, ''))) // length(n_name) AS BIGINT) AS entities FROM customer JOIN nation ON n_nationkey = c_nationkey")
 def r027_mask_entities(spark: SparkSession, d: str) -> DataFrame:
     names = {r["n_name"]: "GPE" for r in spark.read.parquet(f"{d}/nation.parquet").collect()}  # 25 rows in any size
     bodies = views.view(spark, d, BODIES).select("userid", F.col("body").alias("text"))
-    return texts.mask_entities(bodies, texts.phrase_tagger(names))
+    return texts.mask_entities(bodies, texts.phrase_tagger(names)).select("userid", F.md5("text").alias("digest"), "entities")
 
 
 @query(f"""WITH p AS (SELECT set_id, string_split(phrases, '|') AS ps FROM ({_PHRASES})), f AS (SELECT 'set' || (c_custkey % 40) AS set_id, 'User' || c_custkey AS run_id, CASE WHEN c_custkey % 2 = 0 THEN 'plan' ELSE 'write' END AS stage FROM customer JOIN nation ON n_nationkey = c_nationkey)
@@ -136,7 +139,10 @@ def r030_leakage_sentences(spark: SparkSession, d: str) -> DataFrame:
     return texts.leakage_sentences(*_leak(spark, d))
 
 
-_LISTS = {"a": ", ".join(f"'{w}'" for w in S.ACTIONABLE_STOP), "i": ", ".join(f"'{w}'" for w in S.ITEM_STOP)}
+# The stop lists once more, as literals of the SQL: a wrong list in the library shows.
+_LISTS = {k: ", ".join(f"'{w}'" for w in v.split()) for k, v in {
+    "a": "a an the and or of in to for is are was were he she they his her their it this that with on at by from as has have had not but also been which who when where what how its be do does did",
+    "i": "a an the and or of in to for is are was were he she they his her their it this that"}.items()}
 _TOK = "regexp_extract_all(lower(text), '[a-z0-9]+')"
 _ACT = f"list_filter({_TOK}, lambda t: length(t) > 2 AND NOT list_contains([{_LISTS['a']}], t))"
 
@@ -148,26 +154,33 @@ def r031_tokens(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.size(S.tokens(t)).alias("plain"), F.md5(F.concat_ws(" ", S.tokens(t, "actionable"))).alias("actionable"), F.size(S.tokens(t, "item")).alias("item"), F.size(S.tokens(t, "words")).alias("words"))
 
 
-_AB = f"SELECT r, regexp_extract_all(lower(left(b, 400)), '[a-z0-9]+') AS x, regexp_extract_all(lower(left(w, 400)), '[a-z0-9]+') AS y FROM ({_F}) WHERE w IS NOT NULL"
+_AB = f"SELECT r, regexp_extract_all(lower(b), '[a-z0-9]+') AS x, regexp_extract_all(lower(w), '[a-z0-9]+') AS y FROM ({_F}) WHERE w IS NOT NULL"
 _J = "CASE WHEN len(list_distinct(list_concat(x, y))) = 0 THEN {0} ELSE len(list_intersect(list_distinct(x), list_distinct(y))) / len(list_distinct(list_concat(x, y))) END"
 
 
 @query(f"SELECT r, round({_J.format('0.0')}, 4) AS zero, round({_J.format('1.0')}, 6) AS one FROM ({_AB})")
 def r032_jaccard(spark: SparkSession, d: str) -> DataFrame:
-    a, b = (S.tokens(F.substring(c, 1, 400)) for c in "bw")
+    a, b = (S.tokens(F.col(c)) for c in "bw")
     return views.view(spark, d, FOUR).where("s is not null and w is not null").select("r", S.jaccard(a, b, 0.0, 4).alias("zero"), F.round(S.jaccard(a, b, 1.0), 6).alias("one"))
 
 
 @query(f"""WITH t AS (SELECT r, unnest(x) AS w FROM ({_AB})), c AS (SELECT r, w, count(*) AS n FROM t GROUP BY ALL), s AS (SELECT r, sum(n) AS m, count(*) AS k FROM c GROUP BY r)
 SELECT r, round(-sum(n / m * log2(n / m)), 5) AS entropy, round(any_value(k) / any_value(m), 6) AS ttr FROM c JOIN s USING (r) GROUP BY r""")
 def r033_token_entropy(spark: SparkSession, d: str) -> DataFrame:
-    a = S.tokens(F.substring("b", 1, 400))
-    return views.view(spark, d, FOUR).where("s is not null and w is not null").where(F.size(a) > 0).select("r", F.round(S.token_entropy(a), 5).alias("entropy"), F.round(S.type_token_ratio(a), 6).alias("ttr"))
+    rows = views.view(spark, d, FOUR).where("s is not null and w is not null")
+    return texts.token_statistics(rows, ["r"], S.tokens(F.col("b"))).select("r", F.round("entropy", 5).alias("entropy"), F.round("ttr", 6).alias("ttr"))
+
+
+@query("""WITH t AS (SELECT conv_id, turn, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM conversations), c AS (SELECT conv_id, turn, w, count(*) AS n FROM t GROUP BY ALL), s AS (SELECT conv_id, turn, sum(n) AS m FROM c GROUP BY ALL)
+SELECT x.conv_id, x.turn, round(coalesce(e, 0.0), 5) AS entropy FROM conversations x LEFT JOIN (SELECT conv_id, turn, -sum(n / m * log2(n / m)) AS e FROM c JOIN s USING (conv_id, turn) GROUP BY ALL) USING (conv_id, turn)""")
+def r033_token_entropy_of_arrays(spark: SparkSession, d: str) -> DataFrame:
+    rows = spark.read.parquet(f"{d}/conversations.parquet")
+    return rows.select("conv_id", "turn", F.round(S.token_entropy(S.tokens(F.col("text"))) + 0.0, 5).alias("entropy"))
 
 
 @query(f"SELECT r, round(CASE WHEN len(x) = 0 THEN 0 ELSE len(list_intersect(list_distinct(x), list_distinct(y))) / len(list_distinct(x)) END, 6) AS retained FROM ({_AB})")
 def r034_retention(spark: SparkSession, d: str) -> DataFrame:
-    a, b = (S.tokens(F.substring(c, 1, 400)) for c in "bw")
+    a, b = (S.tokens(F.col(c)) for c in "bw")
     return views.view(spark, d, FOUR).where("s is not null and w is not null").select("r", F.round(S.retention(a, b), 6).alias("retained"))
 
 
@@ -198,21 +211,28 @@ def r037_url_category(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumn("fraction", F.round(F.col("pages") / F.sum("pages").over(Window.partitionBy(F.lit(1))), 6))  # ten categories
 
 
-@query("SELECT role, round(avg(CAST(" + " OR ".join(f"contains(lower(text), '{p}')" for p in (*S.GENERIC_PHRASES,)) + " AS INT)), 6) AS generic FROM (SELECT role, CASE WHEN turn % 3 = 0 THEN 'How to ' || text ELSE text END AS text FROM conversations) GROUP BY role")
+_PHRASE_LIST = ("best books", "best practices", "how to", "what is", "overview of", "introduction to", "top 10", "isbn", "pdf", "course", "tutorial", "guide to", "list of", "vs ", "versus", "review of", "definition of", "examples of", "methods for", "strategies for", "techniques for", "workbook", "textbook", "syllabus")
+
+
+@query("SELECT role, round(avg(CAST(" + " OR ".join(f"contains(lower(text), '{p}')" for p in _PHRASE_LIST) + " AS INT)), 6) AS generic FROM (SELECT role, CASE WHEN turn % 3 = 0 THEN 'How to ' || text ELSE text END AS text FROM conversations) GROUP BY role")
 def r038_generic_hit_rate(spark: SparkSession, d: str) -> DataFrame:
     text = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("How to "), "text")).otherwise(F.col("text"))
     return spark.read.parquet(f"{d}/conversations.parquet").groupBy("role").agg(F.round(F.avg(S.is_generic(text).cast("int")), 6).alias("generic"))
 
 
-_REASON = "SELECT conv_id, turn, left(text, 60) || CASE turn % 3 WHEN 0 THEN ' Clearly Candidate A, only it.' WHEN 1 THEN ' Perhaps Candidate A or candidate B; might be Candidate A.' ELSE '' END AS x FROM conversations"
+_REASON = "SELECT conv_id, turn, text || CASE turn % 3 WHEN 0 THEN ' Clearly Candidate A, only it.' WHEN 1 THEN ' Perhaps Candidate A or candidate B; might be Candidate A.' ELSE '' END AS x FROM conversations"
 _N = lambda p: f"len(regexp_extract_all(x, '(?i)\\b(?:{p})\\b'))"
 
 
-@query(f"WITH r AS (SELECT conv_id, turn, {_N(S.STRONG)} AS strong, {_N(S.HEDGED)} AS hedged, len(list_distinct(regexp_extract_all(x, '(?i)Candidate\\s+[ABC]'))) AS named FROM ({_REASON})) SELECT conv_id, turn, CAST(strong AS INTEGER) AS strong, CAST(hedged AS INTEGER) AS hedged, CAST(named AS INTEGER) AS named, strong > 0 AS has_strong, hedged > 0 AS has_hedge, CAST(strong - 0.5 * hedged + CASE WHEN named <= 1 THEN 0.5 ELSE 0 END AS DOUBLE) AS score FROM r")
+_SURE = "only|perfectly|clearly|unambiguously|definitively|strongest|aligns perfectly|no other|exclusive|unmistakably|obviously|most closely|best match|sole|decisively"
+_UNSURE = "might|could|possibly|perhaps|unclear|ambiguous|either|both|somewhat|partially|suggests?|appears?|seems?|less clear|harder to|not definitive|no single"
+
+
+@query(f"WITH r AS (SELECT conv_id, turn, {_N(_SURE)} AS strong, {_N(_UNSURE)} AS hedged, len(list_distinct(regexp_extract_all(x, '(?i)Candidate\\s+[ABC]'))) AS named FROM ({_REASON})) SELECT conv_id, turn, CAST(strong AS INTEGER) AS strong, CAST(hedged AS INTEGER) AS hedged, CAST(named AS INTEGER) AS named, strong > 0 AS has_strong, hedged > 0 AS has_hedge, CAST(strong - 0.5 * hedged + CASE WHEN named <= 1 THEN 0.5 ELSE 0 END AS DOUBLE) AS score FROM r")
 def r039_certainty_proxy(spark: SparkSession, d: str) -> DataFrame:
     more = F.when(F.col("turn") % 3 == 0, " Clearly Candidate A, only it.").when(F.col("turn") % 3 == 1, " Perhaps Candidate A or candidate B; might be Candidate A.").otherwise("")
     rows = spark.read.parquet(f"{d}/conversations.parquet")
-    out = rows.select("conv_id", "turn", S.certainty_proxy(F.concat(F.substring("text", 1, 60), more)).alias("c")).select("conv_id", "turn", "c.*")
+    out = rows.select("conv_id", "turn", S.certainty_proxy(F.concat("text", more)).alias("c")).select("conv_id", "turn", "c.*")
     return out.withColumn("score", F.col("score").cast("double"))
 
 
@@ -238,6 +258,16 @@ def r042_content_hashes(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{d}/documents.parquet").groupBy(S.content_hash(F.col("text")).alias("digest")).agg(F.count("*").alias("files"), F.sum(F.octet_length("text")).alias("bytes"))
 
 
+_SORTED = """'{"Basic":{"Name":"' || c_name || '","Nation":"' || n_name || '"},"Likes":{"Budget":"' || CAST(CAST(floor(c_acctbal) AS BIGINT) AS VARCHAR) || '","Segment":"' || c_mktsegment || '","Tags":["' || n_name || '","' || c_mktsegment || '"]}}'"""
+
+
+@query(f"SELECT 'User' || c_custkey AS userid, sha256({_SORTED}) AS canonical, sha256('Plan for ' || c_name || chr(10) || chr(10) || '=== Profile ===' || chr(10) || {_BODY}) AS prompt FROM customer JOIN nation ON n_nationkey = c_nationkey")
+def r042_profile_hashes(spark: SparkSession, d: str) -> DataFrame:
+    body = F.col("body")
+    name = F.get_json_object("body", "$.Basic.Name")
+    return views.view(spark, d, BODIES).select("userid", S.canonical_json_hash(body).alias("canonical"), S.content_hash(texts.embed_profile(F.concat(F.lit("Plan for "), name), body)).alias("prompt"))
+
+
 @query(f"SELECT run_id, ('0x' || substr(sha256(run_id), 1, 16))::UBIGINT::VARCHAR AS seed0, xor(('0x' || substr(sha256(run_id), 1, 16))::UBIGINT, 42::UBIGINT)::VARCHAR AS seed42 FROM ({duck(views.RUNS)})")
 def r043_stable_seed(spark: SparkSession, d: str) -> DataFrame:
     return views.view(spark, d, views.RUNS).select("run_id", S.hash64(F.col("run_id")).cast("string").alias("seed0"), S.hash64(F.col("run_id"), 42).cast("string").alias("seed42"))

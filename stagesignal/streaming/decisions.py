@@ -5,14 +5,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-def running_accuracy(stream: DataFrame, watermark: str | None = None, time_col: str = "ts") -> DataFrame:
-    """Stage accuracy over a stream of decisions, each run and stage counted once. With a watermark the state of
-    duplicates is dropped as it passes; without one it is kept for good."""
+def running_accuracy(stream: DataFrame, watermark: str | None = "1 day", time_col: str = "ts") -> DataFrame:
+    """Stage accuracy over a stream of decisions, each run and stage counted once. The state of duplicates is dropped as the
+    watermark passes; with None, for streams without a time or that end, it is kept for good."""
     keys = ["run_id", "stage"]
     once = stream.withWatermark(time_col, watermark).dropDuplicatesWithinWatermark(keys) if watermark else stream.dropDuplicates(keys)
     return once.groupBy("stage").agg(F.count("*").alias("n"), F.sum(F.col("correct").cast("int")).alias("correct"))
@@ -59,16 +59,28 @@ def stream_tool_calls(events: DataFrame, late: str = "10 minutes", time_col: str
         _pair, schema, "started boolean, ended boolean, failed boolean, result boolean, latest long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def ledger_upsert(path: str):
-    """A foreachBatch function that keeps the latest snapshot of each run: every batch writes a new version of the table
-    under path, from the last complete one, and a repeated batch id writes the same version again."""
+def ledger_upsert(path: str, parts: int = 64):
+    """A foreachBatch function that keeps the latest snapshot of each run below path, by parts of the run ids. A batch writes
+    anew only the parts that it has runs of, and then a manifest: for each part, the batch that wrote it last. A batch that
+    is repeated writes the same again, and no reader sees it before its manifest. Batches count from 0."""
     def upsert(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        rows = batch
-        if batch_id > 0:
-            rows = spark.read.parquet(f"{path}/version={batch_id - 1}").unionByName(batch)
-        names = rows.columns
-        latest = rows.groupBy("run_id").agg(F.max_by(F.struct(*names), "version").alias("s")).select("s.*")
-        latest.write.mode("overwrite").parquet(f"{path}/version={batch_id}")
+        spark, part = batch.sparkSession, F.pmod(F.xxhash64("run_id"), F.lit(parts)).cast("int")
+        held = _manifest(spark, path, batch_id - 1) if batch_id else {}
+        touched = [r["part"] for r in batch.select(part.alias("part")).distinct().collect()]  # parts at most
+        old = [f"{path}/data/batch={held[p]}/part={p}" for p in touched if p in held]
+        rows = batch.unionByName(spark.read.parquet(*old)) if old else batch
+        latest = rows.groupBy("run_id").agg(F.max_by(F.struct(*batch.columns), "version").alias("s")).select("s.*", part.alias("part"))
+        latest.write.mode("overwrite").partitionBy("part").parquet(f"{path}/data/batch={batch_id}")
+        now = held | {p: batch_id for p in touched}
+        spark.createDataFrame(sorted(now.items()), "part int, batch long").coalesce(1).write.mode("overwrite").json(f"{path}/manifest/batch={batch_id}")
 
     return upsert
+
+
+def _manifest(spark: SparkSession, path: str, batch_id: int) -> dict[int, int]:
+    return {r["part"]: r["batch"] for r in spark.read.schema("part int, batch long").json(f"{path}/manifest/batch={batch_id}").collect()}
+
+
+def ledger(spark: SparkSession, path: str, batch_id: int) -> DataFrame:
+    """The ledger as a batch left it."""
+    return spark.read.parquet(*[f"{path}/data/batch={b}/part={p}" for p, b in _manifest(spark, path, batch_id).items()])

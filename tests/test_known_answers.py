@@ -81,9 +81,44 @@ def test_agreement(spark):
 
 
 def test_donor_following(spark):
-    m = matches(spark, {f"pilot_task1_{u}_seed0": "FFFF" for u in "ABC"})
-    got = metrics.donor_following(m, m.select("run_id", F.lit("U2").alias("donor")).distinct()).collect()
-    assert all((r["donor"], r["shell"], r["p_donor"], r["difference"]) == (3, 0, 1.0, 1.0) for r in got)
+    m = matches(spark, {f"pilot_task{t}_{u}_seed0": "FFFF" for t in (1, 2) for u in "ABC"})
+    got = metrics.donor_following(m, m.select("run_id", F.lit("U2").alias("donor")).distinct(), m.where("taskid = 2").select("run_id"), reps=50).collect()
+    assert {r["subset"]: r["n"] for r in got} == {"all": 6, "strict": 3}
+    assert all((r["donor"], r["shell"], r["p_donor"], r["difference"], r["ci_low"], r["ci_high"]) == (r["n"], 0, 1.0, 1.0, 1.0, 1.0) for r in got)
+    with pytest.raises(Exception, match="no candidate"):
+        metrics.donor_following(m, m.select("run_id", F.lit("U9").alias("donor")).distinct()).collect()
+
+
+def test_orders_are_those_of_run_and_stage(spark):
+    import hashlib
+    import random
+
+    m = matches(spark, THREE, ("U1", "U2", "U3", "U4", "U5"))
+    got = candidates.candidate_order(m, "mersenne", 42).collect()
+    for r in got:
+        wanted = list(r["candidate_userids"])
+        random.Random(int(hashlib.sha256(f"42:{r['run_id']}:{r['stage']}".encode()).hexdigest()[:16], 16)).shuffle(wanted)
+        assert r["shuffled_order"] == wanted
+    assert len({tuple(r["shuffled_order"]) for r in got}) > 3
+    stored = candidates.candidate_order(m)
+    assert metrics.order_mismatches(stored).count() == 0
+    assert {r["stage"] for r in metrics.order_mismatches(stored.withColumn("shuffled_order", F.when(F.col("stage") == "plan", F.reverse("shuffled_order")).otherwise(F.col("shuffled_order")))).collect()} == {"plan"}
+
+
+def test_pairs_of_regenerated_runs_and_methods(spark):
+    source = matches(spark, {"pilot_task1_A_seed0": "TFTT", "pilot_task1_B_seed0": "TTTT", "pilot_task2_C_seed1": "FFFF"})
+    again = matches(spark, {"pilot_task1_A_seed0": "FFFF", "pilot_task1_B_seed0": "FFFT", "pilot_task2_C_seed1": "FFFT"})
+    again = again.withColumn("run_id", F.regexp_replace("run_id", "^pilot", "ablation_nobrief")).withColumn("report_chars", F.when(F.col("run_id").contains("_A_"), 100).otherwise(5000))
+    got = {r["subset"]: (r["n"], r["left_accuracy"], r["right_accuracy"], r["left_only"], r["right_only"]) for r in pairing.paired_regeneration(source, again, reps=50).collect()}
+    assert got == {"all": (3, 0.666667, 0.666667, 1, 1), "short_report": (1, 1.0, 0.0, 1, 0), "plan_ok_search_wrong": (1, 1.0, 0.0, 1, 0)}
+    assert {(r["id"], r["change"], r["short"]) for r in pairing.regeneration_changes(source, again).collect()} == {("pilot_task1_A_seed0", "lost", True), ("pilot_task2_C_seed1", "gained", False)}
+    both = pairing.paired_methods(source, {"m": again.withColumn("run_id", F.regexp_replace("run_id", "^ablation_nobrief", "pilot"))}, reps=50)
+    assert {r["scope"]: (r["n"], r["difference"]) for r in both.where("stage = 'write'").collect()} == {"seed0": (2, 0.5), "seed1": (1, -1.0), "all": (3, 0.0)}
+    profile = {(r["recovered"], r["domain"]): (r["runs"], r["compress_accuracy"]) for r in metrics.recovery_profile(source).collect()}
+    assert profile == {(True, "d1"): (1, 1.0), (True, "all"): (1, 1.0)} and [r["run_id"] for r in metrics.recovery_runs(source).collect()] == ["pilot_task1_A_seed0"]
+    prior = spark.createDataFrame([(1, "U1", True), (2, "U1", False)], "taskid long, gt_userid string, prior_correct boolean")
+    plan = {r["subset"]: r["value"] for r in metrics.prior_trajectory(source, prior, reps=20).where("measure = 'plan'").collect()}
+    assert plan == {"all": 0.666667, "prior_right": 1.0, "prior_wrong": 0.0}
 
 
 def test_audit_candidates(spark):
@@ -93,22 +128,32 @@ def test_audit_candidates(spark):
     assert pairing.audit_candidates(m, spark.createDataFrame([(1, "U1", ["U7", "U6", "U1"])], "taskid long, gt_userid string, expected array<string>")).count() == 0
 
 
-BODIES = [("User1", '{"Basic": {"Identity": {"Name": "Alice", "Occupation": "Engineer"}}, "Likes": {"Lifestyle": {"Budget": "Cost conscious", "Travel": "Slow"}}}'),
-          ("User2", '{"Basic": {"Identity": {"Name": "Bob", "Occupation": "Designer"}}, "Likes": {"Lifestyle": {"Budget": "Premium", "Travel": "Guided"}}}'), ("User3", None)]
+BODIES = [("P7", '{"Self": {"Who": {"Name": "Ruth Okafor", "Trade": "Baker"}}, "Taste": {"Food": {"Spice": "Mild", "Hours": "Early"}, "Music": ["Jazz"]}}'),
+          ("P9", '{"Self": {"Who": {"Name": "Ivo Lind", "Trade": "Pilot"}}, "Taste": {"Food": {"Spice": "Hot", "Hours": "Late"}, "Music": ["Folk"]}}'), ("P11", None)]
 
 
 def test_profiles(spark):
     leaves = profiles.profile_leaves(spark.createDataFrame(BODIES, "userid string, body string"))
-    keys = ("Name", "Occupation")
-    part = lambda c: {r["value"] for r in profiles.project_profile(leaves, c, keys).where("userid = 'User1'").collect()}
-    assert part("actionable_only") == {"User1", "Cost conscious", "Slow"} and part("identity_only") == {"User1", "Alice", "Engineer"}
-    donors = spark.createDataFrame([("User1", "User2")], "userid string, donor string")
+    keys = ("Name", "Trade")
+    part = lambda c: {r["value"] for r in profiles.project_profile(leaves, c, keys).where("userid = 'P7'").collect()}
+    assert part("actionable_only") == {"P7", "Mild", "Early", "Jazz"} and part("identity_only") == {"P7", "Ruth Okafor", "Baker"}
+    donors = spark.createDataFrame([("P7", "P9")], "userid string, donor string")
     mixed = profiles.compose_shuffled(leaves, donors, keys)
-    assert {r["value"] for r in mixed.collect()} == {"User1", "Alice", "Engineer", "Premium", "Guided"} and profiles.conflicts(mixed).count() == 0
-    text = {r["userid"]: r["text"] for r in profiles.profile_text(leaves, ["Basic"]).collect()}
-    assert text["User1"] == "=== Basic ===\nIdentity > Name: Alice\nIdentity > Occupation: Engineer"
-    ring = profiles.cyclic_donor(spark.createDataFrame([(1, "User2", 1), (1, "User6", 2), (1, "User7", 3), (2, "Solo", 1)], "g long, u string, o long"), "g", "u", "o")
-    assert {r["u"]: r["donor"] for r in ring.collect()} == {"User2": "User6", "User6": "User7", "User7": "User2", "Solo": None}
+    assert {r["value"] for r in mixed.collect()} == {"P7", "Ruth Okafor", "Baker", "Hot", "Late", "Folk"} and profiles.conflicts(mixed).count() == 0
+    text = {r["userid"]: r["text"] for r in profiles.profile_text(leaves, ["Self"]).collect()}
+    assert text["P7"] == "=== Self ===\nWho > Name: Ruth Okafor\nWho > Trade: Baker"
+    ring = profiles.cyclic_donor(spark.createDataFrame([(1, "P3", 1), (1, "P5", 2), (1, "P8", 3), (2, "Solo", 1)], "g long, u string, o long"), "g", "u", "o")
+    assert {r["u"]: r["donor"] for r in ring.collect()} == {"P3": "P5", "P5": "P8", "P8": "P3", "Solo": None}
+
+
+def test_audit_of_projections(spark):
+    leaves = profiles.profile_leaves(spark.createDataFrame([*BODIES, ("P13", '{"Self": {"Who": {"Name": "No one"}}}')], "userid string, body string"))
+    donors = spark.createDataFrame([("P7", "P9"), ("P9", "P9"), ("P13", "P7")], "userid string, donor string")
+    got = {(r["condition"], r["userid"]): r for r in profiles.audit_projections(leaves, donors, ("Name", "Trade")).collect()}
+    one_ = got["shuffled_actionable", "P7"]
+    assert (one_["leaves"], one_["identity_keys"], one_["other_keys"], one_["identity_is_shells"], one_["actionable_is_donors"], one_["violations"]) == (5, ["Name", "Trade"], ["Hours", "Music", "Spice"], True, True, [])
+    assert got["shuffled_actionable", "P9"]["violations"] == ["self donor"] and got["actionable_only", "P13"]["violations"] == ["empty profile"] and got["identity_only", "P7"]["violations"] == []
+    assert profiles.audit_projections(leaves, donors, ("Name",)).where("condition = 'identity_only' and userid = 'P7'").collect()[0]["leaves"] == 1
 
 
 def test_centrality_does_not_depend_on_order(spark):
@@ -138,12 +183,16 @@ def test_bm25_prefers_the_truth_on_ties(spark):
     assert {r["stage"]: r["predicted_userid"] for r in matchers.match_bm25(d, p).collect()} == {"plan": "U2", "write": "U2"}
 
 
+LINK = ("hotels", "Nice", "https://e.x/a", "e.x", 1, "good beds")
+QUERIES = [("topic_001", "q1", "hotels", True, "ok", None, [LINK]), ("topic_001", "q2", "failing", True, "failed", None, [])]
+LEDGER = {"input_tokens": 7, "output_tokens": 3, "total_tokens": 10, "token_usage_events": 1, "queries_requested": 2, "queries_attempted": 2, "queries_successful": 1, "queries_failed": 1, "queries_rejected": 0, "sources_selected": 1, "unique_sources": 1, "query_ledger_consistent": True, "source_ledger_consistent": True}
+CONFIG = {"generation_seed": 1, "manifest_sha256": "a" * 64, "prompt_sha256": "b" * 64, "service_tier": "flex", "timeout_sec": 60, "models": {"m": "x"}}
+
+
 def artifact(spark, **changes):
-    row = {"run_id": "pilot_task1_A_seed0", "research_brief": "brief", "final_report": "A" * 10_000,
-           "search_trace": [("topic_001", "q1", "hotels", True, "ok", None, [("hotels", "Nice", "https://e.x/a", "e.x", 1, "good beds")]), ("topic_001", "q2", "failing", True, "failed", None, [])],
-           "compressed_research": [("topic_001", "first", "notes")]} | changes
-    schema = "run_id string, research_brief string, final_report string, search_trace array<struct<topic_id: string, query_id: string, query: string, attempted: boolean, status: string, failure_code: string, sources: array<struct<query: string, title: string, link: string, domain: string, rank: int, snippet: string>>>>, compressed_research array<struct<topic_id: string, topic_text: string, compressed_research: string>>"
-    return spark.createDataFrame([tuple(row[k] for k in ("run_id", "research_brief", "final_report", "search_trace", "compressed_research"))], schema)
+    row = {"schema_version": "dra_trace_v2", "run_id": "pilot_task1_A_seed0", "research_brief": "brief", "research_topics": [("topic_001", "first")], "execution_config": CONFIG, "search_trace": QUERIES,
+           "compressed_research": [("topic_001", "first", "notes")], "final_report": "A" * 10_000, "token_ledger": LEDGER, "execution_error": None} | changes
+    return spark.createDataFrame([row], io.ARTIFACT)
 
 
 def test_stage_text(spark):
@@ -155,13 +204,40 @@ def test_stage_text(spark):
     assert {r["stage"]: r["text"] for r in texts.baseline_stage_text(a).collect()}["search"] == "hotels failing"
 
 
-def test_validation(spark):
-    good = one(trace.validate_artifacts(artifact(spark)))
-    assert good["schema_valid"] and good["success_criteria_met"]
-    bad = one(trace.validate_artifacts(artifact(spark, compressed_research=[("topic_009", "x", "y")], final_report=None)))
-    assert bad["schema_errors"] == ["final_report: missing"] and set(bad["completeness_errors"]) == {"topic_001: not compressed", "topic_009: unknown topic"}
+ERRORS = ("schema_errors", "completeness_errors", "ledger_errors")
+
+
+@pytest.mark.parametrize("changes, wanted", [
+    ({}, ([], [], [])),
+    ({"final_report": None}, (["final_report: missing"], [], [])),
+    ({"research_topics": [], "search_trace": [], "compressed_research": [], "token_ledger": LEDGER | dict.fromkeys(("queries_requested", "queries_attempted", "queries_successful", "queries_failed", "sources_selected", "unique_sources"), 0)},
+     ([], ["research_topics: empty", "search_trace: empty"], [])),
+    ({"search_trace": [(*QUERIES[0][:6], []), QUERIES[1]]}, ([], ["no successful source: topic_001"], ["sources_selected: 1 stated, 0 found", "unique_sources: 1 stated, 0 found"])),
+    ({"compressed_research": [("topic_001", "first", "notes")] * 2}, ([], ["compressed_research: not one to one"], [])),
+    ({"compressed_research": [("topic_009", "x", "")]}, (["0: compressed text empty"], ["compressed_research: not one to one"], [])),
+    ({"final_report": "Error synthesizing research report: no"}, ([], ["final_report: empty or failed"], [])),
+    ({"execution_config": CONFIG | {"service_tier": "gold", "prompt_sha256": "b"}}, (["service_tier: unknown", "prompt_sha256: no SHA-256"], [], [])),
+    ({"search_trace": [QUERIES[0], ("topic_unmapped", "q1", "", None, "pending", None, None)], "token_ledger": LEDGER | {"queries_attempted": 1, "queries_failed": 0, "queries_rejected": 1}},
+     (["1: query id missing or repeated", "1: query without text", "1: attempted: missing", "1: status not terminal", "1: sources: missing"], ["1: query of no topic"], [])),
+    ({"search_trace": [(*QUERIES[0][:6], [("hotels", None, "https://e.x/a", "e.x", 0, "s")]), QUERIES[1]]}, (["0: source incomplete"], [], [])),
+    ({"token_ledger": LEDGER | {"total_tokens": 11, "token_usage_events": 0, "queries_failed": 0, "query_ledger_consistent": False}},
+     ([], [], ["queries_failed: 0 stated, 1 found", "total_tokens: not the sum", "token_usage_events: none", "query ledger: differs from the log"])),
+    ({"token_ledger": LEDGER | {"input_tokens": None, "queries_failed": -1}}, ([], [], ["input_tokens: missing or negative", "queries_failed: missing or negative"])),
+    ({"research_topics": [("topic_002", "b"), ("topic_001", "")]}, (["topics: not in order", "1: topic without text"], ["no successful source: topic_002", "compressed_research: not one to one"], [])),
+])
+def test_validation(spark, changes, wanted):
+    got = one(trace.validate_artifacts(artifact(spark, **changes)))
+    assert tuple(got[e] for e in ERRORS) == wanted
+    assert got["schema_valid"] == (not wanted[0]) and got["success_criteria_met"] == (not any(wanted))
+
+
+def test_trace_ledger(spark):
     ledger = one(trace.trace_ledger(artifact(spark)))
-    assert (ledger["queries_attempted"], ledger["queries_successful"], ledger["queries_failed"], ledger["unique_sources"]) == (2, 1, 1, 1)
+    assert (ledger["queries_attempted"], ledger["queries_successful"], ledger["queries_failed"], ledger["unique_sources"], ledger["complete"], ledger["query_ledger_consistent"]) == (2, 1, 1, 1, True, True)
+    log = spark.createDataFrame([("pilot_task1_A_seed0", 2, 2, 1, 1, 1, 2)], "run_id string, queries_requested long, queries_attempted long, queries_successful long, queries_failed long, sources_selected long, unique_sources long")
+    usage = spark.createDataFrame([("pilot_task1_A_seed0", 5, 6, 2)], "run_id string, input_tokens long, output_tokens long, token_usage_events long")
+    got = one(trace.trace_ledger(artifact(spark, compressed_research=[]), log, usage))
+    assert (got["query_ledger_consistent"], got["source_ledger_consistent"], got["total_tokens"], got["has_compressed_per_topic"], got["complete"]) == (True, False, 11, False, False)
 
 
 def test_masking(spark):
@@ -190,11 +266,11 @@ def test_urls_and_stability(spark):
 
 
 def test_free_text(spark):
-    df = spark.createDataFrame([("# Title\n\nFirst paragraph.\n\n- One\n- Two\n", "Write a 1,800 – 2,200-word report.")], "t string, r string")
+    df = spark.createDataFrame([("## On tea\n\nA pot, well-warmed.\nThen leaves.\n\n* black\n* green\n* white\n", "Please send 650-3,400 words by noon.")], "t string, r string")
     got = one(df.select(S.text_metrics(F.col("t")).alias("m"), S.requested_word_range(F.col("r")).alias("w")))
-    assert (got["m"]["words"], got["m"]["paragraphs"], got["m"]["headings"], got["m"]["bullets"]) == (5, 3, 1, 2) and tuple(got["w"]) == (1800, 2200)
+    assert (got["m"]["words"], got["m"]["paragraphs"], got["m"]["headings"], got["m"]["bullets"]) == (10, 3, 1, 3) and tuple(got["w"]) == (650, 3400)
     j = lambda a, b, e: one(df.select(F.round(S.jaccard(S.tokens(F.lit(a)), S.tokens(F.lit(b)), e), 4).alias("j")))["j"]
-    assert (j("alpha beta", "beta gamma", 0.0), j("", "", 0.0), j("", "", 1.0), j("", "", None)) == (0.3333, 0.0, 1.0, None)
+    assert (j("red tea red cup", "tea pot lid", 0.0), j("", "", 0.0), j("", "", 1.0), j("", "", None)) == (0.2, 0.0, 1.0, None)
 
 
 def test_caps_and_sources(spark):
@@ -257,10 +333,19 @@ def test_ledger_upsert(spark, tmp_path):
     upsert, schema = decisions.ledger_upsert(str(tmp_path)), "run_id string, version long, queries_attempted long, queries_successful long"
     for k, rows in enumerate([[("a", 1, 2, 1), ("b", 1, 7, 7)], [("a", 2, 3, 3)], [("a", 2, 3, 3)]]):
         upsert(spark.createDataFrame(rows, schema), min(k, 1))
-    got = spark.read.parquet(f"{tmp_path}/version=1")
+    got = decisions.ledger(spark, str(tmp_path), 1)
     assert {(r["run_id"], r["version"]) for r in got.collect()} == {("a", 2), ("b", 1)} and trace.run_ledger(got).where("not consistent").count() == 0
 
 
+def test_ledger_upsert_writes_only_the_parts_of_a_batch(spark, tmp_path):
+    upsert, schema = decisions.ledger_upsert(str(tmp_path), parts=8), "run_id string, version long, n long"
+    upsert(spark.createDataFrame([(f"r{k}", 1, k) for k in range(100)], schema), 0)
+    upsert(spark.createDataFrame([("r5", 2, 500), ("new", 1, 7)], schema), 1)
+    assert len(list((tmp_path / "data" / "batch=1").glob("part=*"))) <= 2
+    got = {r["run_id"]: (r["version"], r["n"]) for r in decisions.ledger(spark, str(tmp_path), 1).collect()}
+    assert got == {f"r{k}": (1, k) for k in range(100)} | {"r5": (2, 500), "new": (1, 7)}
+
+
 def test_quality_gate(spark):
     rows = [(True, True, [], [], None, 100, 1.0, 7, 6, 1), (True, False, ["no source"], [], None, 90, 2.0, 7, 5, 2)]
     df = spark.createDataFrame(rows, "schema_valid boolean, success_criteria_met boolean, completeness_errors array<string>, ledger_errors array<string>, execution_error string, total_tokens long, elapsed_sec double, queries_attempted long, queries_successful long, queries_failed long")
@@ -328,3 +413,68 @@ def test_arrays_in_files_stay_small_and_groups_need_no_single_window(spark, tmp_
     with contextlib.redirect_stdout(text.StringIO()) as plan:
         out.explain()
     assert "Window" not in plan.getvalue()
+
+
+def test_entropy_of_arrays(spark):
+    df = spark.createDataFrame([(["a", "b", "a", "c", "a", "b"],), (["x"],), ([],)], "t array<string>")
+    assert [round(r["e"], 6) for r in df.select(S.token_entropy(F.col("t")).alias("e")).collect()] == [1.459148, 0.0, 0.0]
+    by = texts.token_statistics(df.limit(1).withColumn("k", F.lit(1)), ["k"], F.col("t"))
+    assert (round(one(by)["entropy"], 6), one(by)["ttr"], one(by)["tokens"]) == (1.459148, 0.5, 6)
+
+
+def test_canonical_json(spark):
+    df = spark.createDataFrame([('{"b": {"y": 1, "x": "é"}, "a": [2, 1]}',), ('{"a":[2,1],"b":{"x":"é","y":1}}',), ("not json",)], "j string")
+    a, b, c = (r["h"] for r in df.select(S.canonical_json_hash(F.col("j")).alias("h")).collect())
+    assert a == b and c is None
+
+
+def test_samples_are_the_first_by_hash(spark):
+    rows = spark.createDataFrame([("big", k) for k in range(3000)] + [("small", k) for k in range(30)], "s string, k long")
+    got = candidates.stratified_sample(rows, "s", "k", 101, 5).collect()
+    import hashlib
+
+    first = lambda s, n, q: {(s, k) for k in sorted(range(n), key=lambda k: hashlib.sha256(f"5|{k}".encode()).hexdigest())[:q]}
+    assert {tuple(r) for r in got} == first("big", 3000, 100) | first("small", 30, 1)
+
+
+def test_leakage_with_a_small_limit_of_what_is_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(texts, "MOST_SENT", 0)
+    monkeypatch.setattr(texts, "FREQUENT", 3)
+    test_leakage(spark)
+
+
+def test_hard_negatives_in_blocks(spark):
+    rows = [(f"User{k}", f"d{k % 3}", [f"t{k * j % 17}" for j in range(1, 7)]) for k in range(60)]
+    people = spark.createDataFrame(rows, "userid string, domain string, tokens array<string>").withColumn("tokens", F.array_distinct("tokens"))
+    asked = people.where("userid like '%5'")
+    whole, parts = (sorted(map(tuple, candidates.hard_negatives(asked, people, 3, block_tokens=n).collect())) for n in (10_000, 7))
+    assert whole == parts and len(whole) == 18
+
+
+def test_frozen_sets(spark):
+    sets = spark.createDataFrame([("a", 3, ["a", "b", "c"]), ("d", 3, ["d", "e", "f"]), ("a", 2, ["a", "b"])], "target string, n int, candidates array<string>")
+    frozen = spark.createDataFrame([("a", ["a", "b", "c"]), ("d", ["d", "f", "e"]), ("g", ["g"])], "target string, frozen array<string>")
+    assert {r["target"] for r in candidates.frozen_mismatches(sets, frozen).collect()} == {"d", "g"}
+
+
+def test_mechanism_of_search(spark):
+    trace_rows = [("r1", "Best books for tea", "https://www.amazon.com/x", True), ("r1", "best  BOOKS for tea", "https://arxiv.org/y", True), ("r1", "green pot", None, False), ("r2", "pot", "https://shop.example/z", True)]
+    log = spark.createDataFrame(trace_rows, "run string, query string, link string, attempted boolean")
+    rows = overlap.search_mechanism_rows(log)
+    got = {r["run"]: r for r in rows.collect()}
+    assert (got["r1"]["queries"], got["r1"]["unique_queries"], got["r1"]["hosts"], got["r1"]["generic_rate"], got["r1"]["category_entropy"], got["r2"]["category_entropy"]) == (2, 1, 2, 0.5, 1.0, 0.0)
+    buckets = spark.createDataFrame([("r1", "interests", ["tea", "pot", "lid", "cup"]), ("r2", "interests", ["pot"])], "run string, bucket string, tokens array<string>")
+    briefs = spark.createDataFrame([("r1", "Tea, a pot and a cup.")], "run string, text string")
+    kept = overlap.bucket_retention(log.where("attempted"), briefs, buckets)
+    assert {(r["run"], r["brief"], r["query"], r["lost"]) for r in kept.collect()} == {("r1", 0.75, 0.25, 0.5), ("r2", 0.0, 1.0, -1.0)}
+    outcomes = spark.createDataFrame([("r1", 1, 0, 1), ("r2", 1, 1, 1)], "run string, plan int, search int, write int")
+    assert [r["run"] for r in overlap.recovery_cases(rows, kept, outcomes, "interests").collect()] == ["r1"]
+
+
+def test_percentile_rank_of_skewed_numbers(spark):
+    values = [0.0] * 500 + [1e12] + [float(k) / 7 for k in range(300)] + [-5.5] * 3
+    df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double")
+    ordered = sorted(values)
+    for q in (0.0, 0.001, 0.3, 0.625, 0.9, 0.999):
+        assert one(stats.percentile_rank(df, "v", q, "floor", 4))["value"] == ordered[min(int(q * len(ordered)), len(ordered) - 1)]
+    assert one(stats.percentile_rank(df.limit(0), "v", 0.5, "floor"))["value"] is None
