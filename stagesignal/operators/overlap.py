@@ -14,26 +14,31 @@ def search_mechanism_rows(trace: DataFrame) -> DataFrame:
     type-token ratio of the query tokens, generic share, hosts, shares of link categories and their entropy. What is
     counted once is made distinct in narrow tables of its own."""
     host = url_host(normalize_url(F.col("link")))
-    rows = trace.where("attempted").select("run", "query", normalize_query(F.col("query")).alias("q"), host.alias("host"), url_category(host).alias("category"))
-    names = (*(n for n, _ in URL_RULES), "other_web", "unknown")
+    rows = trace.where("attempted").select("run", "query", normalize_query(F.col("query")).alias("q"), host.alias("host"))
+    rows = rows.withColumn("category", url_category(F.col("host")))  # of a column: as one expression each rule would parse the link anew
     out = rows.groupBy("run").agg(
-        F.count("*").alias("queries"), F.sum(F.length("query")).alias("chars"), F.round(F.avg(F.length("query")), 6).alias("mean_query_chars"),
-        F.round(F.avg(is_generic(F.col("query")).cast("int")), 6).alias("generic_rate"), *[F.round(F.avg((F.col("category") == c).cast("int")), 6).alias(f"share_{c}") for c in names])
+        F.count("*").alias("queries"), F.sum(F.length("query")).alias("chars"), F.round(F.avg(F.length("query")), 6).alias("mean_query_chars"), F.round(F.avg(is_generic(F.col("query")).cast("int")), 6).alias("generic_rate"))
     once = lambda c, name: rows.groupBy("run", c).agg(F.lit(1)).groupBy("run").agg(F.count(c).alias(name))
     counts = rows.select("run", F.explode(tokens(F.col("query"), "search")).alias("t")).groupBy("run", "t").agg(F.count("*").alias("n"))
     # Entropy in bits from the counts: log2 of the total less the mean of log2 n, weighted by n.
     total = F.sum("n")
     words = counts.groupBy("run").agg(F.round(F.log2(total) - F.sum(F.col("n") * F.log2("n")) / total, 5).alias("entropy"), F.round(F.count("*") / total, 6).alias("type_token_ratio"), F.count("*").alias("unique_tokens"), total.alias("token_count"))
-    # The same of the category shares, each as a whole per cent, one at least where there is any.
-    share = lambda c: F.when(F.col(f"share_{c}") > 0, F.greatest(F.lit(1.0), F.round(100 * F.col(f"share_{c}"))))
-    parts = F.array_compact(F.array(*[share(c) for c in names]))
-    whole = F.aggregate(parts, F.lit(0.0), lambda s, x: s + x)
-    spread = F.round(F.log2(whole) - F.aggregate(parts, F.lit(0.0), lambda s, x: s + x * F.log2(x)) / whole, 5).alias("category_entropy")
-    joined = out.select("*", spread).join(once("q", "unique_queries"), "run").join(once("host", "hosts"), "run").join(words, "run", "left")
+    joined = out.join(_category_shares(rows), "run").join(once("q", "unique_queries"), "run").join(once("host", "hosts"), "run").join(words, "run", "left")
     joined = joined.withColumn("unique_ratio", F.round(F.col("unique_queries") / F.col("queries"), 6))
     return joined.na.fill(0.0, ["entropy", "type_token_ratio"]).na.fill(0, ["unique_tokens", "token_count"])
 
 
+def _category_shares(rows: DataFrame) -> DataFrame:
+    """Per run the share of each link category, and the entropy of the shares as whole per cents, one at least for each."""
+    names = [*(n for n, _ in URL_RULES), "other_web", "unknown"]
+    counts = rows.groupBy("run", "category").agg(F.count("*").alias("n"))
+    per = counts.groupBy("run").agg(F.sum("n").alias("all"), F.map_from_entries(F.collect_list(F.struct("category", "n"))).alias("of"))  # a category each
+    whole = F.transform(F.map_values("of"), lambda n: F.greatest(F.lit(1.0), F.round(100 * F.round(n / F.col("all"), 6))))
+    start = F.struct(F.lit(0.0).alias("sum"), F.lit(0.0).alias("logs"))
+    spread = F.aggregate(whole, start, lambda s, x: F.struct((s["sum"] + x).alias("sum"), (s["logs"] + x * F.log2(x)).alias("logs")), lambda s: F.log2(s["sum"]) - s["logs"] / s["sum"])
+    return per.select("run", *[F.round(F.coalesce(F.col("of")[c], F.lit(0)) / F.col("all"), 6).alias(f"share_{c}") for c in names], F.round(spread, 5).alias("category_entropy"))
+
+
 def bucket_retention(queries: DataFrame, briefs: DataFrame, buckets: DataFrame) -> DataFrame:
     """Per run and profile bucket: the share of the bucket's tokens that the brief has, that the queries have, and what is
     lost between the two. queries(run, query), briefs(run, text), buckets(run, bucket, tokens: a set)."""

@@ -207,7 +207,7 @@ _CATEGORY = "CASE WHEN h = '' THEN 'unknown' " + " ".join(f"WHEN {' OR '.join(f'
 def r037_url_category(spark: SparkSession, d: str) -> DataFrame:
     from pyspark.sql.window import Window
 
-    out = spark.read.parquet(f"{d}/pages.parquet").groupBy(S.url_category(S.url_host(F.col("url"))).alias("category")).agg(F.count("*").alias("pages"))
+    out = spark.read.parquet(f"{d}/pages.parquet").withColumn("host", S.url_host(F.col("url"))).groupBy(S.url_category(F.col("host")).alias("category")).agg(F.count("*").alias("pages"))
     return out.withColumn("fraction", F.round(F.col("pages") / F.sum("pages").over(Window.partitionBy(F.lit(1))), 6))  # ten categories
 
 
