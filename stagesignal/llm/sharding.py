@@ -27,6 +27,10 @@ from pyspark.sql.window import Window
 from stagesignal.llm.common import cut
 
 
+#: Parts that arcs are dealt into, about, in a table of any size.
+MOST_PARTS = 65_536
+
+
 def ring(shards: int, nodes: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted points of all virtual nodes, and the shard of each."""
     points = [(int.from_bytes(hashlib.sha256(f"{s}/{v}".encode()).digest()[:8], "big", signed=True), s) for s in range(shards) for v in range(nodes)]
@@ -61,7 +65,7 @@ def bounded(counts: np.ndarray, owner: np.ndarray, shards: int) -> list[tuple[in
     return out
 
 
-def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shards: int = 16, nodes: int = 128, part_rows: int = 1_000) -> DataFrame:
+def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shards: int = 16, nodes: int = 128, part_rows: int = 128) -> DataFrame:
     """Per row: id, size, text_crc32, law ("rows"), shard, slot, grown_shard (null), and home_shard (by the plain ring)."""
     spark = docs.sparkSession
     points, owner = ring(shards, nodes)
@@ -79,7 +83,8 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, sh
     counts = np.zeros(len(points), dtype=np.int64)
     for r in base.groupBy("_arc").count().collect():  # shards * nodes rows at most
         counts[r["_arc"]] = r["count"]
-    arcs = pd.DataFrame({"_a": np.arange(len(points)), "_parts": -(-counts // part_rows), "_home": owner})
+    size = max(part_rows, int(counts.sum()) // MOST_PARTS)
+    arcs = pd.DataFrame({"_a": np.arange(len(points)), "_parts": -(-counts // size), "_home": owner})
     arcs = spark.createDataFrame(arcs, "_a int, _parts long, _home int")
     rows = base.join(F.broadcast(arcs), F.col("_arc") == F.col("_a"))
     rows = rows.withColumn("_part", F.pmod(F.xxhash64("_id", "_crc"), "_parts"))
