@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from stagesignal.functions.scalars import hash64
 
@@ -26,23 +27,26 @@ def terms(text: str | F.Column) -> F.Column:
 def match_bm25(decisions: DataFrame, profiles: DataFrame, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
     """Okapi BM25 of the text's terms (repeats count) with the candidate set as the corpus; the first best wins.
 
-    decisions(run_id, stage, text, candidate_userids), profiles(userid, text). Term counts are made once per profile. Per
-    different set and term there is one row with its postings (a candidate each), so a decision's terms meet those once; a
-    negative idf becomes epsilon times the mean idf over the set's terms."""
+    decisions(run_id, stage, text, candidate_userids), profiles(userid, text). Term counts are made once per profile, and a
+    set's terms are dealt once, for their frequencies and for the decisions that ask for them; a negative idf becomes
+    epsilon times the mean idf over the set's terms. Terms travel as 64-bit hashes."""
     setted = decisions.withColumn("set_id", F.xxhash64(F.concat_ws(",", "candidate_userids"))).withColumn("n", F.size("candidate_userids"))
     members = setted.select("set_id", "n", F.posexplode("candidate_userids").alias("pos", "userid")).distinct()
-    toks = profiles.select("userid", terms("text").alias("t")).withColumn("dl", F.size("t"))
+    hashed = lambda text: F.transform(terms(text), lambda t: F.xxhash64(t))
+    toks = profiles.select("userid", hashed("text").alias("t")).withColumn("dl", F.size("t"))
     tf = toks.select("userid", "dl", F.explode("t").alias("term")).groupBy("userid", "dl", "term").agg(F.count("*").alias("tf"))
     mean = members.join(toks.select("userid", "dl"), "userid").groupBy("set_id").agg(F.avg("dl").alias("avgdl"))
-    posting = F.struct("pos", "tf", "dl")
-    words = members.join(tf, "userid").groupBy("set_id", "term").agg(F.first("n").alias("n"), F.collect_list(posting).alias("postings"))
-    df = F.size("postings")
-    words = words.withColumn("idf", F.log(F.col("n") - df + 0.5) - F.log(df + 0.5))
-    sets = words.groupBy("set_id").agg((epsilon * F.avg("idf")).alias("low")).join(mean, "set_id")
-    asked = setted.select("run_id", "stage", "set_id", F.explode(terms("text")).alias("term")).groupBy("run_id", "stage", "set_id", "term").agg(F.count("*").alias("qtf"))
-    met = asked.join(words, ["set_id", "term"]).join(sets, "set_id").select("run_id", "stage", "qtf", "avgdl", F.when(F.col("idf") < 0, F.col("low")).otherwise(F.col("idf")).alias("idf"), F.explode("postings").alias("p"))
-    weight = F.col("idf") * F.col("p.tf") * (k1 + 1) / (F.col("p.tf") + k1 * (1 - b + b * F.col("p.dl") / F.col("avgdl")))
-    per = met.groupBy("run_id", "stage", "p.pos").agg(F.round(F.sum(F.col("qtf") * weight), 9).alias("score"))
+    df = F.count("*").over(Window.partitionBy("set_id", "term"))  # a candidate each
+    inside = members.join(tf, "userid").select("set_id", "term", "n", "pos", "tf", "dl", df.alias("df"))
+    inside = inside.select("set_id", "term", "pos", "tf", "dl", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"))
+    # The mean over different terms: each of a term's df rows counts 1 / df.
+    low = epsilon * F.sum(F.col("idf") / F.col("df")) / F.sum(1 / F.col("df"))
+    sets = inside.groupBy("set_id").agg(low.alias("low")).join(mean, "set_id")
+    asked = setted.select("run_id", "stage", "set_id", F.explode(hashed("text")).alias("term")).groupBy("run_id", "stage", "set_id", "term").agg(F.count("*").alias("qtf"))
+    met = asked.join(inside, ["set_id", "term"]).join(sets, "set_id")
+    idf = F.when(F.col("idf") < 0, F.col("low")).otherwise(F.col("idf"))
+    weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+    per = met.groupBy("run_id", "stage", "pos").agg(F.round(F.sum(F.col("qtf") * weight), 9).alias("score"))
     scores = per.groupBy("run_id", "stage").agg(F.map_from_entries(F.collect_list(F.struct("pos", "score"))).alias("scores"))  # one per candidate
     every = decisions.select("run_id", "stage", "candidate_userids").join(scores, ["run_id", "stage"], "left")
     known = F.coalesce("scores", F.map_from_arrays(F.array().cast("array<int>"), F.array().cast("array<double>")))
