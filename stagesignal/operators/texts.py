@@ -171,11 +171,14 @@ def _on_key(large: DataFrame, small: DataFrame, key: str, rows: int) -> DataFram
     return large.withColumn("_salt", part).join(small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [key, "_salt"]).drop("_salt")
 
 
-def gram_hashes(toks: Column, n: int) -> Column:
-    """struct(pos, h, k) of each n tokens in a row: two hashes, 96 bits in all. toks should be a column, not a computation:
-    each gram reads it."""
-    each = F.transform(F.sequence(F.lit(1), F.size(toks) - n + 1), lambda i: F.struct(i.alias("pos"), F.xxhash64(F.slice(toks, i, n)).alias("h"), F.hash(F.slice(toks, i, n)).alias("k")))
-    return F.when(F.size(toks) >= n, each).otherwise(F.array())
+def gram_hashes(hashes: Column, n: int) -> Column:
+    """struct(pos, h, k) of each n tokens in a row, from the tokens' hashes: two hashes, 96 bits in all. hashes should be a
+    column, not a computation: each gram reads it."""
+    def gram(i: Column) -> Column:
+        own = [F.element_at(hashes, i + j) for j in range(n)]
+        return F.struct(i.alias("pos"), F.xxhash64(*own).alias("h"), F.hash(*own).alias("k"))
+
+    return F.when(F.size(hashes) >= n, F.transform(F.sequence(F.lit(1), F.size(hashes) - n + 1), gram)).otherwise(F.array())
 
 
 def leakage_spans(texts: DataFrame, profiles: DataFrame, n: int = 5) -> DataFrame:
@@ -183,9 +186,9 @@ def leakage_spans(texts: DataFrame, profiles: DataFrame, n: int = 5) -> DataFram
     texts(text_id, text), profiles(profile_id, text). Grams meet by their hashes alone; those of profiles are made distinct."""
     from pyspark.sql.window import Window
 
-    a, b = (df.withColumn("_toks", tokens(F.col("text"))) for df in (texts, profiles))
-    grams = b.select("profile_id", F.explode(gram_hashes(F.col("_toks"), n)).alias("g")).select("profile_id", "g.h", "g.k").distinct()
-    places = a.select("text_id", F.explode(gram_hashes(F.col("_toks"), n)).alias("g")).select("text_id", "g.pos", "g.h", F.col("g.k").alias("own"))
+    a, b = (df.withColumn("_hashes", F.transform(tokens(F.col("text")), lambda t: F.xxhash64(t))) for df in (texts, profiles))
+    grams = b.select("profile_id", F.explode(gram_hashes(F.col("_hashes"), n)).alias("g")).select("profile_id", "g.h", "g.k").distinct()
+    places = a.select("text_id", F.explode(gram_hashes(F.col("_hashes"), n)).alias("g")).select("text_id", "g.pos", "g.h", F.col("g.k").alias("own"))
     hits = _on_key(places, grams, "h", grams.count()).where("own = k").select("text_id", "profile_id", "pos")
     w = Window.partitionBy("text_id", "profile_id").orderBy("pos")
     island = F.col("pos") - F.row_number().over(w)
