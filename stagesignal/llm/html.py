@@ -7,9 +7,10 @@ Votes are added up per host in Spark, and every page is then extracted anew by i
 that holds all that the page marks as its article, or most of the text of a page that marks none. A page without such
 a path uses its own.
 
-A part whose class or id has the name of boilerplate is left out, unless it holds most of the page's text (a wrapper; comments: all of it),
-or its name is a vague one, it lies within the article and it is no list of links. Paragraphs and headings are not
-left out by vague names.
+A part whose class or id has the name of boilerplate is left out, unless it is a wrapper (it holds most of the page's
+text and its article, main or headline; or nearly all text of a page without any of these; comments: all of it), or its
+name is a vague one, it lies within the article and it is no list of links. Paragraphs and headings are not left out by
+vague names.
 
 Defined cases: null html is empty and gives an empty text; pages with a null or odd url share the host ""; unclosed
 and stray tags are tolerated; text outside any tag belongs to the root; containers nested more than DEEPEST deep share
@@ -76,13 +77,16 @@ class Part:
 
     kind: int
     inside: bool  # lies in an article or main
+    holds: bool = False  # an article, a main or a headline
     size: int = 0
     linked: int = 0
 
-    def stays(self, total: int) -> bool:
+    def stays(self, total: int, marked: bool) -> bool:
+        """total: text of the page; marked: whether it has an article, a main or a headline anywhere."""
         if self.kind == COMMENTS:
             return self.size == total
-        return 2 * self.size >= total or self.kind == VAGUE and self.inside and 2 * self.linked < self.size
+        wrapper = 2 * self.size >= total if self.holds else 10 * self.size >= 9 * total and not marked
+        return wrapper or self.kind == VAGUE and self.inside and 2 * self.linked < self.size
 
 
 def _attrs(text: str) -> dict[str, str]:
@@ -116,6 +120,7 @@ def blocks(page: str | None) -> list[tuple[str, str, int]]:
     path, depth, skip, link, names = top
     held: list[str] = []
     linked = at = 0
+    marked = False
 
     def flush() -> None:
         nonlocal linked
@@ -178,6 +183,10 @@ def blocks(page: str | None) -> list[tuple[str, str, int]]:
                     flush()
                     names = (*names, len(parts))
                     parts.append(Part(kind, inside))
+        if not skip and tag in ("article", "main", "h1"):
+            marked = True
+            for k in names:
+                parts[k].holds = True
         if (tag in CONTAINERS or tag == "h1") and depth < DEEPEST:
             path, depth = f"{path}/{_step(tag, attrs)}", depth + 1
         link = link or tag == "a"
@@ -195,7 +204,7 @@ def blocks(page: str | None) -> list[tuple[str, str, int]]:
             parts[k].size += len(text)
             parts[k].linked += n
     total = sum(len(text) for _, text, _, _ in raw)
-    out = [not p.stays(total) for p in parts]
+    out = [not p.stays(total, marked) for p in parts]
     return [(p, text, n) for p, text, n, within in raw if not any(out[k] for k in within)]
 
 

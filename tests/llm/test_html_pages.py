@@ -30,6 +30,9 @@ def texts(spark, pages, host="http://a.example/"):
     (f"<article><p>A short one.</article><section id=comments><article>{BODY}</article></section>", "A short one."),
     (f"<div class=links><a href=/a>One link</a></div><div class=text><p>{BODY}</div>", BODY),
     (f"<article><p>{BODY} <span class=ad>Buy</span> more.</article>", f"{BODY} more."),
+    (f"<div class=ad>{BODY}</div><article><p>A short one.</article>", "A short one."),
+    (f"<div class=share><p>{BODY}</p><p>More.</p></div>", f"{BODY}\nMore."),
+    (f"<div class='sidebar'><h2>Side</h2>{BODY}</div><main><p>A short one.</main>", "A short one."),
     (f"<article class=a><p>First part.</article><article class=b><p>{BODY}</article>", f"First part.\n{BODY}"),
     ("", ""), (None, ""), ("<p>loose &lt;text&gt;", "loose <text>"), ("</div></p><p>stray", "stray"),
 ])
