@@ -7,7 +7,8 @@ the scores imply, either with byte fallback. Batches are encoded multithreaded.
 
 Where no piece holds a marker after another character, no token can cross a word's start, so words are encoded on
 their own: each different word of a worker's recent batches once. Each is also encoded by the sentencepiece library
-and the two are compared (parity). Models without that property are encoded and compared text by text.
+and the two are compared (parity). Models without that property are encoded and compared text by text. Character maps go
+by grapheme clusters here and by prefixes there: a text with a combining mark may lack parity under such a model.
 
 Defined cases: a null text has null ids and no tokens, and null parity and round trip; an empty text has no tokens;
 round_trip is whether decoding gives the normalised text back, marker characters in the text being read as spaces;
@@ -125,6 +126,8 @@ def normaliser(model: Model) -> normalizers.Normalizer:
         steps.append(normalizers.Replace(" ", MARK))
     if model.dummy_prefix:
         steps.append(normalizers.Prepend(MARK if model.escape else " "))
+    if model.squeeze and model.escape:  # marker characters of the text itself end like spaces
+        steps.append(normalizers.Replace(Regex(rf"{MARK}+\z"), ""))
     return normalizers.Sequence(steps)
 
 
@@ -203,7 +206,9 @@ class Coder:
 
     def unigram(self, texts: list[str]) -> list[list[int]]:
         """The ids of whole texts by a unigram model; unknown text becomes bytes where the model has those."""
-        normal = [self.normal.normalize_str(t) if t else "" for t in texts]
+        # A text of which nothing is left still has the dummy prefix, unless end spaces are dropped.
+        bare = MARK if self.model.dummy_prefix and self.model.escape and not self.model.squeeze else ""
+        normal = [(self.normal.normalize_str(t) or bare) if t else "" for t in texts]
         out = []
         for text, e in zip(normal, self.core.encode_batch(normal, add_special_tokens=False)):
             ids: list[int] = []
@@ -227,15 +232,23 @@ class Coder:
         return ids, [not self.odd or self.odd.isdisjoint(words) for words in split]
 
     def decode(self, ids: list[int]) -> str:
-        pieces = self.bytes
-        text = b"".join([pieces[i] for i in ids]).decode("utf-8", "replace")
-        return text[1:] if self.model.dummy_prefix and text.startswith(" ") else text
+        parts = [self.bytes[i] for i in ids]
+        if self.model.squeeze:  # no space comes first, but for that of an unknown piece
+            for k, i in enumerate(ids):
+                if i == self.model.unknown:
+                    break
+                parts[k] = parts[k].lstrip(b" ")
+                if parts[k]:
+                    break
+        elif self.model.dummy_prefix and ids and ids[0] != self.model.unknown:
+            parts[0] = parts[0].removeprefix(b" ")
+        return b"".join(parts).decode("utf-8", "replace")
 
     def returns(self, text: str, ids: list[int]) -> bool:
         if self.plain:
             return self.decode(ids) == text.replace(MARK, " ")
         wanted = self.normal.normalize_str(text).replace(MARK, " ") if text else ""
-        return self.decode(ids) == (wanted[1:] if self.model.dummy_prefix else wanted)
+        return self.decode(ids) == (wanted.lstrip(" ") if self.model.squeeze else wanted.removeprefix(" ") if self.model.dummy_prefix else wanted)
 
 
 def encode(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
