@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stagesignal.llm import chat, exact, html, knn, langid, mixing, pieces, sharding, simhash, toxicity
+from stagesignal.llm import chat, exact, html, knn, langid, lexical, mixing, pieces, sharding, simhash, toxicity
 from stagesignal.llm.common import table
 
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
@@ -60,7 +60,11 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(table(spark, sf_dir, "documents"), MODEL_FILE)
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_preference_format, op3_exact_dedup, op4_html_text, op5_language, op6_toxicity, op7_shards, op8_simhash, op9_top_k, op10_sentencepiece)}
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_preference_format, op3_exact_dedup, op4_html_text, op5_language, op6_toxicity, op7_shards, op8_simhash, op9_top_k, op10_sentencepiece, op11_lexical_search)}
 
 ORACLE = {
     "op2_preference_format": r"""
@@ -98,4 +102,17 @@ s AS (SELECT q.vec_id AS query_id, q.n, c.vec_id, CAST(list_dot_product(q.e, c.e
   FROM v q JOIN v c ON q.n <> c.n WHERE q.vec_id % 100 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY n ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 10""",
+    "op11_lexical_search": r"""
+WITH dt AS (SELECT r, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM (SELECT row_number() OVER () AS r, doc_id, text FROM documents)),
+it AS (SELECT DISTINCT i, item_id, term FROM (SELECT i, item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM (SELECT row_number() OVER () AS i, item_id, text FROM benchmark))),
+c AS (SELECT r, doc_id, term, count(*) AS tf FROM dt GROUP BY ALL),
+len AS (SELECT r, CAST(sum(tf) AS BIGINT) AS n FROM c GROUP BY r),
+g AS (SELECT count(*) AS nn, CAST(sum(n) AS BIGINT) AS l FROM len),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * nn + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM c, g WHERE term IN (SELECT term FROM it) GROUP BY term, nn),
+s AS (SELECT i, item_id, r, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * nn) // l)))) AS BIGINT) AS score
+  FROM it JOIN c USING (term) JOIN w USING (term) JOIN len USING (r), g GROUP BY ALL),
+k AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM s WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM k WHERE rank <= 10""",
 }
