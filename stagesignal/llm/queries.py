@@ -125,17 +125,17 @@ s AS (SELECT i, item_id, r, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * t
 k AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM s WHERE score > 0)
 SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM k WHERE rank <= 10""",
     "op12_suffix_dedup": """
-WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
-n AS (SELECT *, length(h) // 2 AS n_bytes FROM d),
-w AS (SELECT r, doc_id, i, substr(h, 2 * i + 1, 100) AS s FROM (SELECT *, unnest(range(n_bytes - 49)) AS i FROM n WHERE n_bytes >= 50)),
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+n AS (SELECT *, octet_length(b) AS n_bytes FROM d),
+w AS (SELECT r, doc_id, i, b[i + 1 : i + 50] AS s FROM (SELECT *, unnest(range(n_bytes - 49)) AS i FROM n WHERE n_bytes >= 50)),
 m AS (SELECT s, min(doc_id) AS least FROM w GROUP BY s HAVING count(*) > 1),
 c AS (SELECT r, i, coalesce(i > lag(i) OVER (PARTITION BY r ORDER BY i) + 50, true) AS opens FROM w JOIN m USING (s) WHERE least < coalesce(doc_id, 9223372036854775807)),
 g AS (SELECT r, i, sum(opens::INT) OVER (PARTITION BY r ORDER BY i) AS k FROM c),
-p AS (SELECT r, k, min(i) AS a, max(i) + 50 AS b FROM g GROUP BY r, k),
-q AS (SELECT *, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS prior FROM p),
-x AS (SELECT r, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) AS n_spans, max(b) AS last, string_agg(substr(h, 2 * prior + 1, 2 * (a - prior)), '' ORDER BY a) AS kept FROM q JOIN n USING (r) GROUP BY r)
+p AS (SELECT r, k, min(i) AS a, max(i) + 50 AS e FROM g GROUP BY r, k),
+q AS (SELECT *, coalesce(lag(e) OVER (PARTITION BY r ORDER BY a), 0) AS prior FROM p),
+x AS (SELECT r, CAST(sum(e - a) AS BIGINT) AS n_removed, count(*) AS n_spans, max(e) AS last, string_agg(hex(b[prior + 1 : a]), '' ORDER BY a) AS kept FROM q JOIN n USING (r) GROUP BY r)
 SELECT doc_id, n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
-  sha256(unhex(CASE WHEN last IS NULL THEN h ELSE kept || substr(h, 2 * last + 1) END)) AS kept_sha256 FROM n LEFT JOIN x USING (r)""",
+  sha256(CASE WHEN last IS NULL THEN b ELSE unhex(kept || hex(b[last + 1 : n_bytes])) END) AS kept_sha256 FROM n LEFT JOIN x USING (r)""",
     "op13_hard_negatives": """
 WITH v AS (SELECT vec_id, row_number() OVER () AS r, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
   WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),

@@ -40,9 +40,9 @@ MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6
 BLOCKS = pa.schema([("block", pa.int64()), ("ids", pa.binary()), ("nulls", pa.binary()), ("lens", pa.binary()), ("text", pa.binary())])
 ASKED = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("keys", pa.binary()), ("times", pa.binary())])
 SHARED = pa.schema([("block", pa.int64()), ("bucket", pa.int64()), ("keys", pa.binary()), ("hot", pa.binary()), ("bytes", pa.int64())])
-#: Bucket -1 holds where a block's segments stand: entry, windows and place of each occurrence, and (as text) whether an earlier document of the block has it.
-SENT = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("entry", pa.binary()), ("windows", pa.binary()), ("number", pa.binary()), ("text", pa.binary())])
-FOUND = pa.schema([("block", pa.int64()), ("entry", pa.binary()), ("mask", pa.binary())])
+#: Segments of a block for a bucket, numbered from first on: their numbers of windows, least documents and bytes, compressed.
+SENT = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("first", pa.int64()), ("n", pa.int64()), ("size", pa.int64()), ("load", pa.binary())])
+FOUND = pa.schema([("block", pa.int64()), ("first", pa.int64()), ("mask", pa.binary())])
 RESULT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
 
 
@@ -188,42 +188,51 @@ def _shared(length: int, hot: int, asked: pa.Table) -> pa.Table:
     return _table(SHARED, [(blocks[r], bucket, key[on[a:b]].tobytes(), many[group[on[a:b]]].tobytes(), int(cost[on[a:b]].sum())) for r, a, b in _ranges(row[on])])
 
 
+class _Entries:
+    """A block's segments of shared seeds, each text once, numbered in the order of the buckets that they go to."""
+
+    def __init__(self, length: int, buckets: int, last: int, block: _Block, shared: list[dict]):
+        known = np.concatenate([np.uint64(r["bucket"]) << np.uint64(32) | np.frombuffer(r["keys"], dtype=np.uint32).astype(np.uint64) for r in shared])
+        hot = np.concatenate([np.frombuffer(r["hot"], dtype=bool) for r in shared])
+        order = np.argsort(known)
+        known, hot = known[order], hot[order]
+        start, count, key, doc = segments(block.text, block.ends, length)
+        bucket, low = _split(key, buckets)
+        name = bucket.astype(np.uint64) << np.uint64(32) | low.astype(np.uint64)
+        at = np.minimum(np.searchsorted(known, name), len(known) - 1)
+        on = known[at] == name
+        start, count, key, doc, much = start[on], count[on], key[on], doc[on], hot[at][on]
+        if much.any():  # each window of a hot seed goes by its own bytes
+            n = count[much]
+            ones = np.repeat(start[much], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            raw = np.frombuffer(block.text, dtype=np.uint8)
+            start, count, doc = np.append(start[~much], ones), np.append(count[~much], np.ones(len(ones), dtype=np.int64)), np.append(doc[~much], np.repeat(doc[much], n))
+            key = np.append(key[~much], _hashes([_words(raw, ones + o) for o in _offsets(length)]))
+        found: dict[bytes, int] = {}
+        text = block.text
+        entry = np.fromiter((found.setdefault(text[s:e], len(found)) for s, e in zip(start.tolist(), (start + count + length - 1).tolist())), dtype=np.int64, count=len(start))
+        first = np.zeros(len(found), dtype=np.int64)
+        first[entry[::-1]] = np.arange(len(entry))[::-1]
+        to = (key[first] % np.uint64(last)).astype(np.int64)
+        by = np.argsort(to, kind="stable")
+        new = np.empty(len(by), dtype=np.int64)
+        new[by] = np.arange(len(by))
+        self.to, self.windows, self.texts, self.by = to[by], count[first][by], list(found), by
+        self.entry, self.start, self.count = new[entry], start, count
+        order = block.order[doc]
+        self.least = np.full(len(by), LAST, dtype=np.int64)
+        np.minimum.at(self.least, self.entry, order)
+        self.later = order > self.least[self.entry]  # an earlier document of this block has the whole segment
+
+
 def _send(length: int, buckets: int, last: int, blocks: pa.Table, shared: pa.Table) -> pa.Table:
-    """The segments of shared seeds, each text once, to their buckets; and where they stand, to bucket -1."""
     if not blocks.num_rows or not shared.num_rows:
         return SENT.empty_table()
-    block = _Block(blocks.to_pylist()[0])
-    known = np.concatenate([np.uint64(b) << np.uint64(32) | np.frombuffer(k, dtype=np.uint32).astype(np.uint64) for b, k in zip(shared["bucket"].to_pylist(), shared["keys"].to_pylist())])
-    hot = np.concatenate([np.frombuffer(x, dtype=bool) for x in shared["hot"].to_pylist()])
-    order = np.argsort(known)
-    known, hot = known[order], hot[order]
-    start, count, key, doc = segments(block.text, block.ends, length)
-    bucket, low = _split(key, buckets)
-    name = bucket.astype(np.uint64) << np.uint64(32) | low.astype(np.uint64)
-    at = np.minimum(np.searchsorted(known, name), len(known) - 1)
-    on = known[at] == name
-    start, count, key, doc, much = start[on], count[on], key[on], doc[on], hot[at][on]
-    if much.any():  # each window of a hot seed goes by its own bytes
-        n = count[much]
-        ones = np.repeat(start[much], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        raw = np.frombuffer(block.text, dtype=np.uint8)
-        start, count, doc = np.append(start[~much], ones), np.append(count[~much], np.ones(len(ones), dtype=np.int64)), np.append(doc[~much], np.repeat(doc[much], n))
-        key = np.append(key[~much], _hashes([_words(raw, ones + o) for o in _offsets(length)]))
-    entries: dict[bytes, int] = {}
-    text = block.text
-    entry = np.fromiter((entries.setdefault(text[s : s + c], len(entries)) for s, c in zip(start.tolist(), (count + length - 1).tolist())), dtype=np.uint32, count=len(start))
-    order = block.order[doc]
-    least = np.full(len(entries), LAST, dtype=np.int64)
-    np.minimum.at(least, entry, order)
-    rows = [(-1, block.number, entry.tobytes(), count.astype(np.uint8).tobytes(), start.astype(np.uint32).tobytes(), (order > least[entry]).tobytes())]
-    first = np.zeros(len(entries), dtype=np.int64)
-    first[entry[::-1]] = np.arange(len(entry))[::-1]
-    to = (key[first] % np.uint64(last)).astype(np.int64)
-    by, texts = np.argsort(to, kind="stable"), list(entries)
-    for k, a, b in _ranges(to[by]):
-        some = by[a:b]
-        raw = b"".join(texts[i] for i in some.tolist())
-        rows.append((k, block.number, some.astype(np.uint32).tobytes(), count[first[some]].astype(np.uint8).tobytes(), least[some].tobytes(), pa.compress(raw, codec="zstd", asbytes=True)))
+    block, rows = _Block(blocks.to_pylist()[0]), []
+    entries = _Entries(length, buckets, last, block, shared.to_pylist())
+    for k, a, b in _ranges(entries.to):
+        load = b"".join([entries.windows[a:b].astype(np.uint8).tobytes(), entries.least[a:b].tobytes(), *(entries.texts[i] for i in entries.by[a:b].tolist())])
+        rows.append((k, block.number, a, b - a, len(load), pa.compress(load, codec="zstd", asbytes=True)))
     return _table(SENT, rows)
 
 
@@ -308,16 +317,13 @@ def common_prefixes(raw: np.ndarray, order: np.ndarray, length: int) -> np.ndarr
 def _resolve(length: int, sent: pa.Table) -> pa.Table:
     """For each block's segments of this bucket: which of their windows an earlier document has."""
     distinct: dict[bytes, int] = {}
-    at, order, windows, entries, rows = [], [], [], [], []
-    for k, row in enumerate(sent.to_pylist()):
-        count = np.frombuffer(row["windows"], dtype=np.uint8).astype(np.int64)
-        ends = np.cumsum(count + length - 1)
-        text = pa.decompress(row["text"], decompressed_size=int(ends[-1]), codec="zstd", asbytes=True)
-        at.append(np.fromiter((distinct.setdefault(text[a:b], len(distinct)) for a, b in zip((ends - count - length + 1).tolist(), ends.tolist())), dtype=np.int64, count=len(ends)))
-        order.append(np.frombuffer(row["number"], dtype=np.int64))
-        entries.append(np.frombuffer(row["entry"], dtype=np.uint32))
-        rows.append(np.full(len(ends), k))
-    at, order, entries, rows = (np.concatenate(x) for x in (at, order, entries, rows))
+    at, order = [], []
+    for row in sent.to_pylist():
+        n, load = row["n"], pa.decompress(row["load"], decompressed_size=row["size"], codec="zstd", asbytes=True)
+        ends = 9 * n + np.cumsum(np.frombuffer(load, dtype=np.uint8, count=n).astype(np.int64) + length - 1)
+        at.append(np.fromiter((distinct.setdefault(load[a:b], len(distinct)) for a, b in zip([9 * n, *ends.tolist()], ends.tolist())), dtype=np.int64, count=n))
+        order.append(np.frombuffer(load, dtype=np.int64, count=n, offset=n))
+    at, order = np.concatenate(at), np.concatenate(order)
     least = np.full(len(distinct), LAST, dtype=np.int64)
     np.minimum.at(least, at, order)
     lens = np.array([len(x) for x in distinct])
@@ -330,29 +336,26 @@ def _resolve(length: int, sent: pa.Table) -> pa.Table:
     held = np.full((len(lens), WINDOWS), LAST, dtype=np.int64)
     held[segment[sa], inside[sa]] = earliest
     mask = np.packbits(held[at] < order[:, None], axis=1, bitorder="little").view("<u4")[:, 0]
-    on = np.flatnonzero(mask)
-    blocks = sent["block"].to_pylist()
-    return _table(FOUND, [(blocks[k], entries[on[a:b]].tobytes(), mask[on[a:b]].tobytes()) for k, a, b in _ranges(rows[on])])
+    ends = np.cumsum(sent["n"].to_numpy())
+    return _table(FOUND, [(block, first, mask[a:b].tobytes()) for block, first, a, b in zip(sent["block"].to_pylist(), sent["first"].to_pylist(), [0, *ends.tolist()], ends.tolist()) if mask[a:b].any()])
 
 
-def _cut_out(length: int, blocks: pa.Table, found: pa.Table) -> pa.Table:
+def _cut_out(length: int, buckets: int, last: int, blocks: pa.Table, marks: pa.Table) -> pa.Table:
     if not blocks.num_rows:
         return RESULT.empty_table()
     block = _Block(blocks.to_pylist()[0])
-    size, rows = len(block.text), found.to_pylist()
-    stands = next((r for r in rows if r["mask"] is None), None)
+    size, rows = len(block.text), marks.to_pylist()
+    shared = [r for r in rows if r["mask"] is None]
     gone = np.zeros(size, dtype=bool)
-    if stands is not None:
-        entry, later = np.frombuffer(stands["entry"], dtype=np.uint32), np.frombuffer(stands["text"], dtype=bool)
-        count, start = np.frombuffer(stands["windows"], dtype=np.uint8).astype(np.int64), np.frombuffer(stands["number"], dtype=np.uint32).astype(np.int64)
-        masks = np.zeros(int(entry.max(initial=0)) + 1, dtype=np.uint32)
+    if shared:
+        entries = _Entries(length, buckets, last, block, shared)
+        masks = np.zeros(len(entries.to), dtype=np.uint64)
         for r in rows:
             if r["mask"] is not None:
-                masks[np.frombuffer(r["entry"], dtype=np.uint32)] = np.frombuffer(r["mask"], dtype=np.uint32)
-        mask = np.where(later, (np.uint64(1) << count.astype(np.uint64)) - np.uint64(1), masks[entry].astype(np.uint64)).astype("<u4")
-        bits = np.unpackbits(mask.view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")
-        which, window = np.nonzero(bits)
-        at = start[which] + window
+                masks[r["first"] : r["first"] + len(r["mask"]) // 4] = np.frombuffer(r["mask"], dtype=np.uint32)
+        mask = np.where(entries.later, (np.uint64(1) << entries.count.astype(np.uint64)) - np.uint64(1), masks[entries.entry]).astype("<u4")
+        which, window = np.nonzero(np.unpackbits(mask.view(np.uint8).reshape(-1, 4), axis=1, bitorder="little"))
+        at = entries.start[which] + window
         change = np.bincount(at, minlength=size + 1) - np.bincount(at + length, minlength=size + 1)
         gone = np.cumsum(change[:size]) > 0
     starts = block.ends - block.lens
@@ -377,8 +380,7 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
     asked = blocks.mapInArrow(lambda it: _ask(length, buckets, it), _ddl(ASKED))
     shared = cut(asked.groupBy("bucket").applyInArrow(lambda t: _shared(length, hot, t), _ddl(SHARED)))
     last = (shared.agg(F.sum("bytes")).first()[0] or 0) // bucket_bytes + 1
-    sent = cut(blocks.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(lambda a, b: _send(length, buckets, last, a, b), _ddl(SENT)))
-    found = sent.where("bucket >= 0").groupBy("bucket").applyInArrow(lambda t: _resolve(length, t), _ddl(FOUND))
-    stands = sent.where("bucket < 0").select("block", "entry", F.lit(None).cast("binary").alias("mask"), "windows", "number", "text")
-    marks = stands.unionByName(found, allowMissingColumns=True)
-    return blocks.groupBy("block").cogroup(marks.groupBy("block")).applyInArrow(lambda a, b: _cut_out(length, a, b), _ddl(RESULT))
+    sent = blocks.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(lambda a, b: _send(length, buckets, last, a, b), _ddl(SENT))
+    found = sent.groupBy("bucket").applyInArrow(lambda t: _resolve(length, t), _ddl(FOUND))
+    marks = shared.unionByName(found, allowMissingColumns=True)
+    return blocks.groupBy("block").cogroup(marks.groupBy("block")).applyInArrow(lambda a, b: _cut_out(length, buckets, last, a, b), _ddl(RESULT))
