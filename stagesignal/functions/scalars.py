@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The stop words of the token profiles.
@@ -47,12 +47,16 @@ def canonical_run_id(c: Column) -> Column:
     return F.regexp_replace(c, r"^ablation_[A-Za-z0-9_]+?_task", "pilot_task")
 
 
+#: Letters and digits with one inner apostrophe or hyphen.
+WORD = r"[A-Za-z0-9]+(?:['\u2019-][A-Za-z0-9]+)?"
+
+
 def tokens(c: Column, profile: str = "plain") -> Column:
     """Lower-case [a-z0-9]+ tokens. `actionable` and `search`: without stop words (a longer list for search) and of three
-    letters or more; `item`: without a short stop list; `words`: with inner apostrophes and hyphens."""
+    letters or more; `item`: without a short stop list; `words`: with one inner apostrophe (straight or curly) or hyphen."""
     low = F.lower(F.coalesce(c, F.lit("")))
     if profile == "words":
-        return F.regexp_extract_all(low, F.lit(r"([a-z0-9]+(?:['-][a-z0-9]+)*)"), 1)
+        return F.regexp_extract_all(low, F.lit(f"({WORD})"), 1)
     found = F.regexp_extract_all(low, F.lit("([a-z0-9]+)"), 1)
     if profile in ("actionable", "search"):
         stop = ACTIONABLE_STOP if profile == "actionable" else SEARCH_STOP
@@ -100,7 +104,8 @@ def normalize_query(c: Column) -> Column:
 
 
 def normalize_url(c: Column, style: str = "stability") -> Column:
-    """`stability`: scheme and host in lower case, no fragment, no trailing slash; null and empty give "/".
+    """`stability`: scheme and host in lower case, no fragment, no trailing slashes of the path, an empty path as "/" (so
+    null and empty give "/"), also of text that is no URL.
     `canonical`: http(s) only (else null), user info dropped too, an empty path as "/", slashes kept."""
     pattern = r"(?s)^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)(\?[^#]*)?(?:#.*)?$"
     u = F.trim(F.coalesce(c, F.lit("")))
@@ -108,8 +113,10 @@ def normalize_url(c: Column, style: str = "stability") -> Column:
     if style == "canonical":
         host = F.regexp_replace(host, "^.*@", "")
         return F.when(F.lower(scheme).isin("http", "https") & (host != ""), F.concat(F.lower(scheme), F.lit("://"), F.lower(host), F.when(path == "", "/").otherwise(path), query))
-    whole = F.concat(F.lower(scheme), F.lit("://"), F.lower(host), F.regexp_replace(path, "/+$", ""), query)
-    return F.when(u == "", "/").when(u.rlike(pattern), whole).otherwise(F.regexp_replace(u, "#.*$", ""))
+    bare = lambda p: F.coalesce(F.nullif(F.regexp_replace(p, "/+$", ""), F.lit("")), F.lit("/"))
+    whole = F.concat(F.lower(scheme), F.lit("://"), F.lower(host), bare(path), query)
+    other = F.concat(bare(F.regexp_extract(u, r"(?s)^([^?#]*)", 1)), F.regexp_extract(u, r"(?s)^[^?#]*(\?[^#]*)", 1))
+    return F.when(u.rlike(pattern), whole).otherwise(other)
 
 
 def url_host(c: Column) -> Column:
@@ -145,15 +152,16 @@ def text_metrics(c: Column) -> Column:
     """struct(bytes, chars, words, paragraphs, headings, bullets, urls)."""
     t = F.coalesce(c, F.lit(""))
     count = lambda p: F.regexp_count(t, F.lit(p)).cast("long")
+    lines = lambda p: F.size(F.filter(F.split(t, r"\r\n|[\n\r\x0B\f\u2028\u2029\u0085]"), lambda x: x.rlike(p))).cast("long")
     return F.struct(
-        F.octet_length(t).cast("long").alias("bytes"), F.length(t).cast("long").alias("chars"), count(r"[A-Za-z0-9]+(?:['-][A-Za-z0-9]+)*").alias("words"),
-        F.size(F.filter(F.split(t, r"\n[ \t]*\n"), lambda p: F.trim(F.regexp_replace(p, r"\s+", " ")) != "")).cast("long").alias("paragraphs"),
-        count(r"(?m)^#{1,6} ").alias("headings"), count(r"(?m)^[ \t]*[-*] ").alias("bullets"), count(r"https?://[^\s)]+").alias("urls"))
+        F.octet_length(t).cast("long").alias("bytes"), F.length(t).cast("long").alias("chars"), count(WORD).alias("words"),
+        F.size(F.filter(F.split(t, r"\n\s*\n"), lambda p: F.trim(F.regexp_replace(p, r"\s+", " ")) != "")).cast("long").alias("paragraphs"),
+        lines(r"^\s{0,3}#{1,6}\s").alias("headings"), lines(r"^\s*(?:[-*+]|\d+[.)])\s+").alias("bullets"), count(r"https?://\S+").alias("urls"))
 
 
 def requested_word_range(c: Column) -> Column:
     """struct(min_words, max_words) of a request such as "1,800 - 2,200-word"; null parts without one."""
-    pattern = r"([0-9][0-9,]*)\s*[-–]\s*([0-9][0-9,]*)[ -]words?"
+    pattern = r"(?i)([0-9][0-9,]*)\s*[\u2013\u2014-]\s*([0-9][0-9,]*)\s*[- ]?word"
     number = lambda k: F.nullif(F.replace(F.regexp_extract(c, pattern, k), F.lit(","), F.lit("")), F.lit("")).cast("long")
     return F.struct(number(1).alias("min_words"), number(2).alias("max_words"))
 
@@ -162,6 +170,15 @@ def within_range(n: Column, bounds: Column) -> Column:
     return n.between(bounds["min_words"], bounds["max_words"])
 
 
+def sample_summary(samples: DataFrame) -> DataFrame:
+    """samples(text, bounds, digest): least, greatest and mean number of words, how many lie within their bounds, and whether
+    each has a SHA-256 digest."""
+    words = text_metrics(F.col("text"))["words"]
+    return samples.withColumn("_w", words).agg(
+        F.count("*").alias("samples"), F.min("_w").alias("minimum"), F.max("_w").alias("maximum"), F.round(F.avg("_w"), 1).alias("mean"),
+        F.count_if(within_range(F.col("_w"), F.col("bounds"))).alias("within"), F.every(F.coalesce(F.length("digest") == 64, F.lit(False))).alias("all_hashed"))
+
+
 def content_hash(c: Column) -> Column:
     return F.sha2(c, 256)
 

@@ -13,6 +13,11 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from stagesignal.functions.scalars import hash64, pool_label
+from stagesignal.operators import setjoin
+from stagesignal.sources.io import settle
+
+#: The pool of all domains; that of one has a name with "=" in front.
+EVERY = "*"
 
 
 def hash_order(seed: int, *keys: Column) -> Column:
@@ -21,11 +26,13 @@ def hash_order(seed: int, *keys: Column) -> Column:
 
 
 def eligible_tasks(queries: DataFrame, owners: DataFrame, least: int = 3) -> DataFrame:
-    """queries(taskid, userid, domain, query), owners(userid): who has an actionable token. Per task: kept users, reasons
+    """queries(taskid, userid, domain, task, query), owners(userid): who has an actionable token. Per task: kept users, reasons
     (empty_field, dup_<user>, insufficient_actionable_personas) and whether it is eligible: without any reason."""
-    per = queries.groupBy("taskid", "userid").agg(F.count("*").alias("n"), F.count_if(F.trim(F.coalesce("query", F.lit(""))) == "").alias("blank"))
+    blank = lambda c: F.coalesce(c, F.lit("")) == ""
+    empty = blank("domain") | blank("task") | blank("userid") | blank("query")
+    per = queries.groupBy("taskid", F.coalesce("userid", F.lit("")).alias("userid")).agg(F.count("*").alias("n"), F.count_if(empty).alias("blank"))
     per = per.join(owners.select("userid", F.lit(True).alias("own")).distinct(), "userid", "left")
-    dups = F.array_sort(F.array_compact(F.collect_list(F.when(F.col("n") > 1, F.concat(F.lit("dup_"), "userid")))))
+    dups = F.array_sort(F.flatten(F.collect_list(F.array_repeat(F.concat(F.lit("dup_"), "userid"), (F.col("n") - 1).cast("int")))))  # each time but the first
     out = per.groupBy("taskid").agg(F.sum("blank").alias("blank"), dups.alias("dups"), F.count_if(F.col("own")).alias("kept"))
     reasons = F.concat(F.when(F.col("blank") > 0, F.array(F.lit("empty_field"))).otherwise(F.array()), F.col("dups"), F.when(F.col("kept") < least, F.array(F.lit("insufficient_actionable_personas"))).otherwise(F.array()))
     return out.select("taskid", F.col("kept").alias("kept_users"), F.concat_ws(",", reasons).alias("reasons"), (F.size(reasons) == 0).alias("eligible"))
@@ -82,31 +89,21 @@ def sample_pool(rows: DataFrame, chosen: DataFrame, by: str, key: str, n: int, s
     return rows.join(chosen.select(key), key, "left_anti").withColumn("_place", place).where(F.col("_place") <= n).drop("_place")
 
 
-def hard_negatives(targets: DataFrame, profiles: DataFrame, k: int = 2, fallback_below: int = 2, block_tokens: int = 2_000_000) -> DataFrame:
-    """The k profiles of a target's domain with the highest token Jaccard (rounded to 4, ties by id as text).
+def hard_negatives(targets: DataFrame, profiles: DataFrame, k: int = 2, fallback_below: int = 2, sample: int = setjoin.SAMPLE) -> DataFrame:
+    """The k profiles of a target's domain with the highest token Jaccard (rounded to 4, ties by id as text), by a top-k
+    set join on an inverted index.
 
-    targets(userid) are a set of queries among profiles(userid, domain, tokens: a set). They are sent to the profiles in
-    blocks of bounded size, each of which is solved in one pass: a task keeps only k candidates of each target before the
-    shuffle, so neither frequent tokens nor large domains meet in one place. Domains with fewer than fallback_below others
-    draw on all domains; profiles that share no token rank last, by id."""
+    targets(userid) are a set of queries among profiles(userid, domain, tokens: a set). Domains with fewer than
+    fallback_below others draw on all domains; profiles that share no token rank last, by id."""
+    profiles = settle(profiles.select("userid", "domain", "tokens"))
     crowd = profiles.groupBy("domain").agg(F.count("*").alias("crowd"))
-    wanted = targets.select("userid").join(profiles, "userid").join(crowd, "domain")
     wide = F.col("crowd") - 1 < fallback_below
-    asked = wanted.select(F.col("userid").alias("target"), F.when(wide, "*").otherwise(F.col("domain")).alias("pool"), F.col("tokens").alias("wanted"), wide.alias("fallback_pool"))
-    rank = F.row_number().over(Window.partitionBy("target").orderBy(F.desc("jaccard"), "userid"))
-    shared = F.size(F.array_intersect("wanted", "tokens"))
-    union = F.size("wanted") + F.size("tokens") - shared
-    jaccard = F.round(F.coalesce(F.try_divide(shared, union), F.lit(0.0)), 4)
-    blocks = max(1, -(-(asked.agg(F.sum(F.size("wanted"))).first()[0] or 0) // block_tokens))
-    out = None
-    for block in range(blocks):
-        mine = F.broadcast(asked.where(F.pmod(F.xxhash64("target"), F.lit(blocks)) == block))
-        near = profiles.withColumnRenamed("domain", "pool").join(mine, "pool")
-        far = profiles.withColumn("pool", F.lit("*")).drop("domain").join(mine.where("pool = '*'"), "pool").select(*near.columns)
-        scored = near.union(far).where("userid <> target").select("target", "fallback_pool", "userid", jaccard.alias("jaccard"))
-        top = scored.withColumn("rank", rank).where(F.col("rank") <= k)
-        out = top if out is None else out.union(top)
-    return out.select("target", "rank", "userid", "jaccard", pool_label(F.col("jaccard")).alias("pool"), "fallback_pool")
+    asked = targets.select("userid").distinct().join(profiles, "userid").join(crowd, "domain").select(F.col("userid").alias("target"), F.when(wide, EVERY).otherwise(F.concat(F.lit("="), "domain")).alias("pool"), "tokens", wide.alias("fallback_pool"))
+    members = profiles.select(F.concat(F.lit("="), "domain").alias("pool"), "userid", "tokens")
+    if not asked.where("fallback_pool").isEmpty():
+        members = members.unionByName(profiles.select(F.lit(EVERY).alias("pool"), "userid", "tokens"))
+    near = setjoin.nearest_sets(asked, members, k, sample)
+    return near.join(asked.select("target", "fallback_pool"), "target").select("target", "rank", "userid", "jaccard", pool_label(F.col("jaccard")).alias("pool"), "fallback_pool")
 
 
 def candidate_sets(ranked: DataFrame, sizes: Sequence[int] = (2, 3, 5)) -> DataFrame:

@@ -27,11 +27,12 @@ def stage_accuracy(matches: DataFrame) -> DataFrame:
 
 
 def accuracy_summary(matches: DataFrame, kind: str = "decisions", n_candidates: int = 3) -> DataFrame:
-    """One row: accuracy per stage (4 digits), macro, chance 1/N, n. kind `decisions`: macro over all decisions;
-    `stages`: the mean of the rounded stage accuracies."""
+    """One row: accuracy per stage (4 digits) and its decisions, macro, chance 1/N, n (of the stage with most). kind
+    `decisions`: macro over all decisions; `stages`: the mean of the rounded stage accuracies."""
     per = {s: F.round(F.avg(F.when(F.col("stage") == s, hit())), 4) for s in STAGE_ORDER}
     macro = F.round(F.avg(hit()), 4) if kind == "decisions" else F.round(sum(per.values(), F.lit(0.0)) / len(per), 4)
-    return matches.agg(*[c.alias(s) for s, c in per.items()], macro.alias("macro"), F.count("*").alias("n")).withColumn("chance", F.round(F.lit(1.0 / n_candidates), 6))
+    counts = [F.count_if(F.col("stage") == s) for s in STAGE_ORDER]
+    return matches.agg(*[c.alias(s) for s, c in per.items()], macro.alias("macro"), F.greatest(*counts).alias("n"), *[c.alias(f"n_{s}") for s, c in zip(STAGE_ORDER, counts)]).withColumn("chance", F.round(F.lit(1.0 / n_candidates), 6))
 
 
 def usage_totals(matches: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -65,9 +66,10 @@ def confusions(matches: DataFrame) -> DataFrame:
 
 def quality_sensitivity(matches: DataFrame, summaries: DataFrame) -> DataFrame:
     """Stage accuracy under four inclusion policies; runs without a summary only count in all_matched."""
-    flags = summaries.select("run_id", "schema_valid", "success_criteria_met", (F.col("schema_valid") & (F.size("completeness_errors") == 0)).alias("complete"))
+    none = lambda c: F.coalesce(F.size(c), F.lit(0)) <= 0
+    flags = summaries.select("run_id", "success_criteria_met", none("completeness_errors").alias("complete"), none("ledger_errors").alias("settled"))
     joined = matches.join(flags, "run_id", "left")
-    policies = {"all_matched": F.lit(True), "schema_valid": F.col("schema_valid"), "complete": F.col("complete"), "success_criteria_met": F.col("success_criteria_met")}
+    policies = {"all_matched": F.lit(True), "success_criteria_met": F.col("success_criteria_met"), "no_completeness_errors": F.col("complete"), "no_ledger_errors": F.col("settled")}
     kept = F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in policies.items()]))
     return joined.select("stage", hit().alias("h"), F.explode(kept).alias("policy")).groupBy("policy", "stage").agg(
         F.sum("h").alias("correct"), F.count("*").alias("n"), rate(F.sum("h"), F.count("*")).alias("accuracy"))
@@ -157,8 +159,10 @@ def recovery_profile(matches: DataFrame) -> DataFrame:
 
 
 def outcome_pattern(matches: DataFrame) -> DataFrame:
-    p, s, c, w = (F.col(x) == 1 for x in STAGE_ORDER)
-    return pivoted(matches).select("run_id", F.when(p & ~s & w, "recovered").when(p & ~s & ~w, "non_recovered").when(p & s & c, "all_correct_prefix")
+    """Per run: recovered or non_recovered (plan right, search wrong, write right or wrong), all_correct_prefix (plan, search
+    and write right), or write_correct_other and write_wrong_other."""
+    p, s, w = (F.col(x) == 1 for x in ("plan", "search", "write"))
+    return pivoted(matches).select("run_id", F.when(p & ~s & w, "recovered").when(p & ~s & ~w, "non_recovered").when(p & s & w, "all_correct_prefix")
                                    .when(w, "write_correct_other").otherwise("write_wrong_other").alias("pattern"))
 
 
@@ -223,11 +227,37 @@ def agreement(left: DataFrame, right: DataFrame) -> DataFrame:
                                                 "left_correct", "right_correct", "both_correct", "left_only", "right_only")
 
 
-def judge_summary(rows: DataFrame, by: str) -> DataFrame:
-    """Mean scores, share of identical scores, and correlation of the two scores, per value of by."""
+def _judged() -> tuple[Column, Column, Column, Column]:
     a, b = F.col("content_personalization"), F.col("presentation_personalization")
-    return rows.groupBy(by).agg(F.count("*").alias("n"), F.round(F.avg(a), 6).alias("content"), F.round(F.avg(b), 6).alias("presentation"),
-                                F.round(F.avg((a + b) / 2), 6).alias("mean_personalization"), F.round(F.avg((a == b).cast("int")), 6).alias("identical"), F.round(F.corr(a, b), 5).alias("pearson"))
+    return a, b, (a + b) / 2, F.coalesce("write_correct", F.lit(False))
+
+
+def judge_summary(rows: DataFrame, reps: int = 5000, seed: int = 0) -> DataFrame:
+    """One row over judged runs (taskid, two scores, write_correct): mean scores, identical ones, correlation of the mean
+    score with write_correct, and its mean over right less that over wrong writes with the interval over tasks."""
+    from stagesignal.operators.stats import cluster_bootstrap_contrast
+
+    a, b, mean, right = _judged()
+    out = rows.agg(F.count("*").alias("n"), F.round(F.avg(a), 6).alias("content"), F.round(F.avg(b), 6).alias("presentation"), F.round(F.avg(mean), 6).alias("mean_personalization"),
+                   F.count_if(a == b).alias("n_identical"), F.round(F.avg((a == b).cast("int")), 6).alias("identical"), F.round(F.corr(mean, right.cast("double")), 5).alias("pearson"))
+    delta = cluster_bootstrap_contrast(rows.withColumn("_mean", mean).withColumn("_right", right), "taskid", F.col("_mean"), F.col("_right"), reps, seed)
+    return out.crossJoin(delta.withColumnRenamed("difference", "delta"))  # one row each
+
+
+def judge_means(rows: DataFrame, by: str) -> DataFrame:
+    """Mean personalization per value of by (write_correct, pattern, seed)."""
+    return rows.groupBy(by).agg(F.count("*").alias("n"), F.round(F.avg(_judged()[2]), 6).alias("mean_personalization"))
+
+
+def judge_deltas(rows: DataFrame, stages: Sequence[str] = STAGE_ORDER) -> DataFrame:
+    """Mean personalization of right less that of wrong runs: by write over all and per seed, and by each stage (columns
+    <stage>_correct; runs without that stage are left out). Null where either side is empty."""
+    _, _, mean, right = _judged()
+    scopes = [F.struct(F.lit("all").alias("scope"), right.alias("right")), F.struct(F.concat(F.lit("seed="), F.col("seed").cast("string")).alias("scope"), right.alias("right"))]
+    scopes += [F.struct(F.lit(f"stage={s}").alias("scope"), F.col(f"{s}_correct").alias("right")) for s in stages]
+    long = rows.select(mean.alias("m"), F.explode(F.array(*scopes)).alias("x")).select("m", "x.*").where("right is not null")
+    side = lambda r: F.avg(F.when(F.col("right") == r, F.col("m")))
+    return long.groupBy("scope").agg(F.count_if("right").alias("correct_n"), F.count_if(~F.col("right")).alias("wrong_n"), F.round(side(True), 6).alias("correct_mean"), F.round(side(False), 6).alias("wrong_mean"), F.round(side(True) - side(False), 6).alias("delta"))
 
 
 def score_distribution(rows: DataFrame, score: str) -> DataFrame:

@@ -105,16 +105,18 @@ def regeneration_changes(source: DataFrame, regenerated: DataFrame, short: int =
 
 
 def comparability(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Per stage and all: keys on one side only, truth mismatches, equal candidate sets, equal candidate orders."""
-    pick = lambda df, k: df.select("run_id", "stage", F.col("gt_userid").alias("gt" + k), F.col("candidate_userids").alias("c" + k))
+    """Per stage and all: keys on one side only, truth mismatches, equal candidate sets, equal orders in which candidates were
+    shown (shuffled_order), and over all also the runs, and those equal in every stage."""
+    pick = lambda df, k: df.select("run_id", "stage", F.col("gt_userid").alias("gt" + k), F.array_sort("candidate_userids").alias("c" + k), F.col("shuffled_order").alias("o" + k), F.lit(True).alias("in" + k))
     both = pick(left, "a").join(pick(right, "b"), ["run_id", "stage"], "full_outer")
-    there = F.col("ca").isNotNull() & F.col("cb").isNotNull()
-    rows = both.select(F.explode(F.array(F.col("stage"), F.lit("all"))).alias("scope"), "gta", "gtb", "ca", "cb")
-    out = rows.groupBy("scope").agg(
-        F.count_if(F.col("cb").isNull()).alias("left_only"), F.count_if(F.col("ca").isNull()).alias("right_only"), F.count_if(there).alias("paired"),
-        F.count_if(there & (F.col("gta") != F.col("gtb"))).alias("truth_mismatches"),
-        F.count_if(there & (F.array_sort("ca") == F.array_sort("cb"))).alias("same_set"), F.count_if(there & (F.col("ca") == F.col("cb"))).alias("same_order"))
-    return out.withColumn("comparable", (F.col("left_only") + F.col("right_only") + F.col("truth_mismatches") == 0) & (F.col("same_order") == F.col("paired")))
+    there = F.col("ina").isNotNull() & F.col("inb").isNotNull()
+    flags = both.select("run_id", "stage", F.col("inb").isNull().alias("l"), F.col("ina").isNull().alias("r"), there.alias("p"), (there & ~F.col("gta").eqNullSafe(F.col("gtb"))).alias("t"),
+                        (there & F.col("ca").eqNullSafe(F.col("cb"))).alias("s"), (there & F.col("oa").eqNullSafe(F.col("ob"))).alias("o"))
+    names = {"l": "left_only", "r": "right_only", "p": "paired", "t": "truth_mismatches", "s": "same_set", "o": "same_order"}
+    out = flags.select(F.explode(F.array(F.col("stage"), F.lit("all"))).alias("scope"), *names).groupBy("scope").agg(*[F.count_if(F.col(k)).alias(n) for k, n in names.items()])
+    runs = flags.groupBy("run_id").agg(F.every("o").alias("o")).agg(F.count("*").alias("runs"), F.count_if("o").alias("runs_same_order"))
+    out = out.crossJoin(F.broadcast(runs)).withColumns({c: F.when(F.col("scope") == "all", F.col(c)) for c in ("runs", "runs_same_order")})  # one row
+    return out.withColumn("comparable", (F.col("left_only") + F.col("right_only") + F.col("truth_mismatches") == 0) & (F.col("same_set") == F.col("paired")) & (F.col("same_order") == F.col("paired")))
 
 
 def audit_candidates(matches: DataFrame, experiments: DataFrame) -> DataFrame:

@@ -54,14 +54,14 @@ def profile_leaves(profiles: DataFrame, skip_keys: Sequence[str] = (), include_i
 
 
 def profile_text(leaves: DataFrame, sections: Sequence[str]) -> DataFrame:
-    """Chosen top-level sections as text: "=== Section ===" and a "Key > Key: value" line per leaf, sections as listed."""
+    """Chosen top-level sections as text: "=== Section ===" and a "Key > Key: value" line per leaf, sections as listed, one line after the other."""
     section = F.element_at("path", 1)
     order = F.array_position(F.array(*[F.lit(s) for s in sections]), section)
     label = F.concat_ws(" > ", F.slice("path", 2, F.greatest(F.size("path") - 1, F.lit(0))))
     rows = leaves.where(section.isin(list(sections))).select("userid", order.alias("o"), "pos", section.alias("s"), F.concat(F.when(label == "", section).otherwise(label), F.lit(": "), F.col("value")).alias("line"))
     parts = rows.groupBy("userid", "o", "s").agg(F.concat_ws("\n", F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"])).alias("text"))
     block = F.concat(F.lit("=== "), F.col("s"), F.lit(" ===\n"), F.col("text"))
-    return parts.groupBy("userid").agg(F.concat_ws("\n\n", F.transform(F.array_sort(F.collect_list(F.struct("o", block.alias("b")))), lambda x: x["b"])).alias("text"))
+    return parts.groupBy("userid").agg(F.concat_ws("\n", F.transform(F.array_sort(F.collect_list(F.struct("o", block.alias("b")))), lambda x: x["b"])).alias("text"))
 
 
 def project_profile(leaves: DataFrame, condition: str, identity_keys: Sequence[str] = IDENTITY_KEYS) -> DataFrame:

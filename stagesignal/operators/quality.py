@@ -9,14 +9,17 @@ from pyspark.sql import functions as F
 
 
 def quality_summary(runs: DataFrame, by: Sequence[str] = (), expected: int | None = None) -> DataFrame:
-    """Counts of valid, complete, clean and failed runs and sums of the ledger, in one pass."""
-    n = F.count("*")
+    """Counts of valid, complete, clean and failed runs and sums of the ledger, in one pass. A run is completed if
+    schema_valid says anything; the rest of the counts and the sums are over those, but for error_runs (with an error)."""
+    done = F.col("schema_valid").isNotNull()
+    some = lambda c: F.coalesce(F.size(c), F.lit(0)) > 0
+    missing = F.greatest(F.lit(expected) - F.count("*"), F.lit(0)) if expected is not None else F.count_if(F.col("missing"))
     return runs.groupBy(*by).agg(
-        n.alias("completed"), *([F.greatest(F.lit(expected) - n, F.lit(0)).alias("missing")] if expected is not None else []),
-        F.count_if(F.col("schema_valid")).alias("schema_valid"), F.count_if(F.col("success_criteria_met")).alias("success_met"),
-        F.count_if(F.size("completeness_errors") > 0).alias("completeness_issues"), F.count_if(F.size("ledger_errors") > 0).alias("ledger_issues"),
-        F.count_if(F.col("execution_error").isNotNull()).alias("execution_errors"),
-        *[F.sum(c).alias(c) for c in ("total_tokens", "elapsed_sec", "queries_attempted", "queries_successful", "queries_failed")])
+        F.count_if(done).alias("completed"), *([missing.alias("missing")] if expected is not None or "missing" in runs.columns else []),
+        F.count_if(F.coalesce("error", F.lit("")) != "" if "error" in runs.columns else F.lit(False)).alias("error_runs"), F.count_if(F.col("schema_valid")).alias("schema_valid"), F.count_if(done & F.col("success_criteria_met")).alias("success_met"),
+        F.count_if(done & some("completeness_errors")).alias("completeness_issues"), F.count_if(done & some("ledger_errors")).alias("ledger_issues"),
+        F.count_if(done & F.col("execution_error").isNotNull()).alias("execution_errors"),
+        *[F.coalesce(F.sum(F.when(done, F.col(c))), F.lit(0)).alias(c) for c in ("total_tokens", "elapsed_sec", "queries_attempted", "queries_successful", "queries_failed", "sources_selected")])
 
 
 def quality_gate(summary: DataFrame, expected: int, most_issues: int = 0) -> DataFrame:

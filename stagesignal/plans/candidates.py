@@ -15,12 +15,12 @@ from stagesignal.plans.views import duck, matches
 
 RUNS = duck(views.RUNS)
 QUERIES = """SELECT (o_orderkey div 2) % 50 AS taskid, concat('User', (o_orderkey div 2) div 50 % 40) AS userid, concat('domain', ((o_orderkey div 2) % 50) % 10) AS domain,
-  CASE WHEN o_orderkey % 2000 = 1 THEN '' ELSE o_orderpriority END AS query FROM (SELECT o_orderkey - o_orderkey % 4 * (o_orderkey % 3) AS o_orderkey, o_orderpriority FROM orders) AS o"""
+  CASE WHEN o_orderkey % 2000 = 1 THEN '' ELSE o_orderpriority END AS query, CASE WHEN (o_orderkey div 2) % 50 = 21 AND o_orderkey % 3 = 0 THEN NULL ELSE 'task' END AS task FROM (SELECT o_orderkey - o_orderkey % 4 * (o_orderkey % 3) AS o_orderkey, o_orderpriority FROM orders) AS o"""
 _OWN = "SELECT DISTINCT 'User' || (o_custkey % 39) AS userid FROM orders"
 
 
-@query(f"""WITH q AS (SELECT taskid, userid, count(*) AS n, count_if(trim(query) = '') AS blank FROM ({duck(QUERIES)}) GROUP BY ALL), p AS (SELECT q.*, o.userid IS NOT NULL AS own FROM q LEFT JOIN ({_OWN}) o USING (userid)),
-t AS (SELECT taskid, sum(blank) AS blank, list('dup_' || userid ORDER BY 'dup_' || userid) FILTER (n > 1) AS dups, count_if(own) AS kept FROM p GROUP BY taskid)
+@query(f"""WITH q AS (SELECT taskid, userid, count(*) AS n, count_if(coalesce(query, '') = '' OR coalesce(task, '') = '' OR coalesce(domain, '') = '') AS blank FROM ({duck(QUERIES)}) GROUP BY ALL), p AS (SELECT q.*, o.userid IS NOT NULL AS own FROM q LEFT JOIN ({_OWN}) o USING (userid)),
+t AS (SELECT taskid, sum(blank) AS blank, flatten(list(list_transform(range(1, n), lambda i: 'dup_' || userid) ORDER BY 'dup_' || userid) FILTER (n > 1)) AS dups, count_if(own) AS kept FROM p GROUP BY taskid)
 SELECT taskid, kept AS kept_users, array_to_string(list_concat(CASE WHEN blank > 0 THEN ['empty_field'] ELSE [] END, coalesce(dups, []), CASE WHEN kept < 3 THEN ['insufficient_actionable_personas'] ELSE [] END), ',') AS reasons,
  blank = 0 AND dups IS NULL AND kept >= 3 AS eligible FROM t""")
 def r045_eligible_tasks(spark: SparkSession, d: str) -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stagesignal.operators import metrics, pairing, quality, stats
+from stagesignal.operators import candidates, metrics, pairing, quality, stats, trajectory
 from stagesignal.plans import views
 from stagesignal.plans.registry import query
 from stagesignal.plans.views import duck, matches, matches_sql
@@ -16,20 +18,47 @@ H = f"SELECT run_id, taskid, domain, seed, gt_userid, predicted_userid, stage, s
 REPS = 5000
 STAGE_SET = ("plan", "search", "compress", "write")
 PIVOT = "SELECT run_id, any_value(taskid) AS taskid, any_value(domain) AS domain, " + ", ".join(f"max(h) FILTER (stage = '{s}') AS {s}" for s in STAGE_SET) + f" FROM ({H}) GROUP BY run_id"
+#: Decisions with gaps: a stage missing in some runs, and one missing in a whole task.
+_GAPS = "NOT (stage = 'plan' AND CAST(substr(gt_userid, 5) AS BIGINT) % 4 = 1) AND NOT (stage = 'search' AND CAST(substr(gt_userid, 5) AS BIGINT) % 5 = 2) AND NOT (stage = 'write' AND taskid = 7)"
+HG = f"SELECT * FROM ({H}) WHERE {_GAPS}"
+PIVOT_GAPS = "SELECT run_id, any_value(taskid) AS taskid, any_value(gt_userid) AS gt_userid, " + ", ".join(f"max(h) FILTER (stage = '{s}') AS {s}" for s in STAGE_SET) + f" FROM ({HG}) GROUP BY run_id"
 PIVOT_GT = "SELECT run_id, any_value(taskid) AS taskid, any_value(gt_userid) AS gt_userid, " + ", ".join(f"max(h) FILTER (stage = '{s}') AS {s}" for s in STAGE_SET) + f" FROM ({H}) GROUP BY run_id"
-#: Measures of a trajectory over sums: runs n, correct at each stage, lost at search l and recovered r.
-VALUES = {"plan": "p / n", "search": "s / n", "compress": "c / n", "write": "w / n", "plan_to_search": "(s - p) / n", "search_to_compress": "(c - s) / n", "compress_to_write": "(w - c) / n", "search_to_write": "(w - s) / n", "recovery_rate": "r / l"}
+#: Measures of a trajectory over sums: right rows and rows of each stage, changes and runs of each pair; lost at search l and recovered r.
+VALUES = {"plan": "p / np", "search": "s / ns", "compress": "c / nc", "write": "w / nw", "plan_to_search": "ps / nps", "search_to_compress": "sc / nsc", "compress_to_write": "cw / ncw", "search_to_write": "sw / nsw"}
+_PAIRED = (("ps", "search - plan"), ("sc", "compress - search"), ("cw", "write - compress"), ("sw", "write - search"))
+SUMS = ", ".join([f"coalesce(sum({c}), 0) AS {k}, count({c}) AS n{k}" for k, c in (("p", "plan"), ("s", "search"), ("c", "compress"), ("w", "write"), *_PAIRED)]) + ", count_if(plan = 1 AND search = 0) AS l, count_if(plan = 1 AND search = 0 AND write = 1) AS r"
+PARTS = ", ".join(f"sum {k}, sum n{k}" for k in ("p", "s", "c", "w", "ps", "sc", "cw", "sw"))
+
+
+def summed(value: str) -> str:
+    return re.sub(r"[a-z]+", lambda m: f"sum({m[0]})", value)
+
+
 SUMMARY = duck(views.SUMMARIES)
 MCNEMAR = """CASE WHEN {b} + {c} = 0 THEN 1.0 ELSE least(1.0, 2 * list_sum(list_transform(range(0, least({b}, {c}) + 1),
   lambda k: exp(lgamma({b} + {c} + 1.0) - (CASE WHEN k = 0 THEN 0 ELSE lgamma(k + 1.0) END) - lgamma({b} + {c} - k + 1.0) - ({b} + {c}) * ln(2.0))))) END"""
 
 
+def gappy(spark: SparkSession, d: str) -> DataFrame:
+    return matches(spark, d).where(_GAPS.replace("substr(gt_userid, 5)", "substring(gt_userid, 5, 9)"))
+
+
 def mcnemar(b: str, c: str) -> str:
     return f"round({MCNEMAR.format(b=b, c=c)}, 6)"
 
 
-def bootstrap_sql(rows: str, by: str, parts: str, value: str, reps: int) -> str:
-    """Interval of value over resamples of rows (by, cluster, parts)."""
+def _mixed(name: str, start: str) -> str:
+    """32 bits mixed step by step; the last step is name and a 3."""
+    step = lambda k, shift, factor: f"(xor({name}{k}, {name}{k} >> {shift}) * {factor}::UBIGINT) & 4294967295::UBIGINT"
+    return f"({start}) & 4294967295::UBIGINT AS {name}0, {step(0, 16, 2246822507)} AS {name}1, {step(1, 13, 3266489909)} AS {name}2, xor({name}2, {name}2 >> 16) AS {name}3"
+
+
+#: The draws of seed 0: that seed, the resample and the position, mixed in turn.
+_MIXED = ", ".join((_mixed("a", "rep::UBIGINT * 2654435761::UBIGINT"), _mixed("b", "a3 + i::UBIGINT * 2246822519::UBIGINT")))
+
+
+def resample_sql(rows: str, by: str, parts: str, reps: int) -> str:
+    """Sums of the parts of rows (by, cluster, parts) in each resample."""
     names = [p.split()[-1] for p in parts.split(", ")]
     key = f"{by}, " if by else ""
     part = f"PARTITION BY {by} " if by else ""
@@ -38,9 +67,15 @@ def bootstrap_sql(rows: str, by: str, parts: str, value: str, reps: int) -> str:
     dk = f"d.{by}, " if by else ""
     return f"""(WITH c AS (SELECT *, row_number() OVER ({part}ORDER BY cluster) - 1 AS k FROM ({rows})),
       t AS (SELECT {key}count(*) AS n FROM c {'GROUP BY ' + by if by else ''}),
-      d AS (SELECT {key}rep, i, ('0x' || substr(md5(concat_ws(':', 0, rep, i)), 1, 8))::BIGINT % n AS k FROM (SELECT {key}n, rep, unnest(range(0, n)) AS i FROM t, range(0, {reps}) AS r(rep))),
-      b AS (SELECT {dk}rep, {sums} FROM d JOIN c ON c.k = d.k {using} GROUP BY {dk}rep)
-    SELECT {key}round(quantile_cont(CAST({value} AS DOUBLE), 0.025), 6) AS ci_low, round(quantile_cont(CAST({value} AS DOUBLE), 0.975), 6) AS ci_high FROM b {'GROUP BY ' + by if by else ''})"""
+      x AS (SELECT *, {_MIXED} FROM (SELECT {key}n, rep, unnest(range(0, n)) AS i FROM t, range(0, {reps}) AS r(rep))),
+      d AS (SELECT *, CAST((b3 * n) >> 32 AS BIGINT) AS k FROM x)
+    SELECT {dk}rep, {sums} FROM d JOIN c ON c.k = d.k {using} GROUP BY {dk}rep)"""
+
+
+def bootstrap_sql(rows: str, by: str, parts: str, value: str, reps: int) -> str:
+    """Interval of value over resamples of rows (by, cluster, parts)."""
+    key = f"{by}, " if by else ""
+    return f"""(SELECT {key}round(quantile_cont(CAST({value} AS DOUBLE), 0.025), 6) AS ci_low, round(quantile_cont(CAST({value} AS DOUBLE), 0.975), 6) AS ci_high FROM {resample_sql(rows, by, parts, reps)} {'GROUP BY ' + by if by else ''})"""
 
 
 @query(f"SELECT coalesce(CAST(seed AS VARCHAR), 'all') AS seed, stage, CAST(sum(h) AS BIGINT) AS correct, count(*) AS n, round(avg(h), 6) AS accuracy FROM ({H}) GROUP BY GROUPING SETS ((seed, stage), (stage))")
@@ -51,9 +86,13 @@ def r061_stage_accuracy(spark: SparkSession, d: str) -> DataFrame:
 _PER = ", ".join(f"round(avg(h) FILTER (stage = '{s}'), 4) AS {s}" for s in STAGE_SET)
 
 
-@query(f"SELECT 'decisions' AS kind, {_PER}, round(avg(h), 4) AS macro, count(*) AS n, round(1.0 / 3, 6) AS chance FROM ({H}) UNION ALL SELECT 'stages', plan, search, compress, write, round((plan + search + compress + write) / 4, 4), n, round(1.0 / 3, 6) FROM (SELECT {_PER}, count(*) AS n FROM ({H}))")
+_COUNTS = ", ".join(f"count(*) FILTER (stage = '{s}') AS n_{s}" for s in STAGE_SET)
+
+
+@query(f"""WITH p AS (SELECT {_PER}, round(avg(h), 4) AS all_macro, {_COUNTS} FROM ({HG})) SELECT kind, plan, search, compress, write, CASE WHEN kind = 'decisions' THEN all_macro ELSE round((plan + search + compress + write) / 4, 4) END AS macro,
+ greatest(n_plan, n_search, n_compress, n_write) AS n, n_plan, n_search, n_compress, n_write, round(1.0 / 3, 6) AS chance FROM p, (VALUES ('decisions'), ('stages')) AS k(kind)""")
 def r062_accuracy_summary(spark: SparkSession, d: str) -> DataFrame:
-    m = matches(spark, d)
+    m = gappy(spark, d)
     a, b = (metrics.accuracy_summary(m, k).withColumn("kind", F.lit(k)) for k in ("decisions", "stages"))
     return a.union(b)
 
@@ -78,8 +117,8 @@ def r065_confusions(spark: SparkSession, d: str) -> DataFrame:
     return metrics.confusions(matches(spark, d))
 
 
-@query(f"""WITH j AS (SELECT m.stage, m.h, s.schema_valid, s.success_criteria_met, s.schema_valid AND len(completeness_errors) = 0 AS complete FROM ({H}) m LEFT JOIN (SELECT * FROM ({SUMMARY}) WHERE taskid <> 3) s USING (run_id)),
-p AS (SELECT 'all_matched' AS policy, stage, h FROM j UNION ALL SELECT 'schema_valid', stage, h FROM j WHERE schema_valid UNION ALL SELECT 'complete', stage, h FROM j WHERE complete UNION ALL SELECT 'success_criteria_met', stage, h FROM j WHERE success_criteria_met)
+@query(f"""WITH j AS (SELECT m.stage, m.h, s.run_id IS NOT NULL AS known, s.success_criteria_met, len(completeness_errors) AS c, len(ledger_errors) AS l FROM ({H}) m LEFT JOIN (SELECT * FROM ({SUMMARY}) WHERE taskid <> 3) s USING (run_id)),
+p AS (SELECT 'all_matched' AS policy, stage, h FROM j UNION ALL SELECT 'success_criteria_met', stage, h FROM j WHERE success_criteria_met UNION ALL SELECT 'no_completeness_errors', stage, h FROM j WHERE known AND c = 0 UNION ALL SELECT 'no_ledger_errors', stage, h FROM j WHERE known AND l = 0)
 SELECT policy, stage, CAST(sum(h) AS BIGINT) AS correct, count(*) AS n, round(avg(h), 6) AS accuracy FROM p GROUP BY policy, stage""")
 def r066_quality_sensitivity(spark: SparkSession, d: str) -> DataFrame:
     return metrics.quality_sensitivity(matches(spark, d), views.view(spark, d, views.SUMMARIES).where("taskid <> 3"))
@@ -147,10 +186,10 @@ def r074_recovery_runs(spark: SparkSession, d: str) -> DataFrame:
     return metrics.recovery_runs(matches(spark, d))
 
 
-@query(f"""SELECT run_id, CASE WHEN plan = 1 AND search = 0 AND write = 1 THEN 'recovered' WHEN plan = 1 AND search = 0 THEN 'non_recovered' WHEN plan = 1 AND search = 1 AND compress = 1 THEN 'all_correct_prefix'
- WHEN write = 1 THEN 'write_correct_other' ELSE 'write_wrong_other' END AS pattern FROM ({PIVOT})""")
+@query(f"""SELECT run_id, CASE WHEN plan = 1 AND search = 0 AND write = 1 THEN 'recovered' WHEN plan = 1 AND search = 0 AND write = 0 THEN 'non_recovered' WHEN plan = 1 AND search = 1 AND write = 1 THEN 'all_correct_prefix'
+ WHEN write = 1 THEN 'write_correct_other' ELSE 'write_wrong_other' END AS pattern FROM ({PIVOT_GAPS})""")
 def r075_outcome_pattern(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.outcome_pattern(matches(spark, d))
+    return metrics.outcome_pattern(gappy(spark, d))
 
 
 @query(f"""WITH p AS (SELECT DISTINCT taskid, gt_userid, (taskid + CAST(substr(gt_userid, 5) AS BIGINT)) % 2 = 0 AS good FROM ({H})), j AS (SELECT m.stage, m.h, p.good FROM ({H}) m JOIN p USING (taskid, gt_userid)),
@@ -161,18 +200,18 @@ def r076_prior_adjusted(spark: SparkSession, d: str) -> DataFrame:
     return metrics.prior_adjusted(m, m.select("taskid", "gt_userid", guess).distinct())
 
 
-_SUBSETS = f"SELECT *, CASE WHEN (taskid + CAST(substr(gt_userid, 5) AS BIGINT)) % 2 = 0 THEN 'prior_right' ELSE 'prior_wrong' END AS part FROM ({PIVOT_GT})"
-_PRIOR_SUMS = f"SELECT subset, taskid AS cluster, count(*) AS n, sum(plan) AS p, sum(search) AS s, sum(compress) AS c, sum(write) AS w, count_if(plan = 1 AND search = 0) AS l, count_if(plan = 1 AND search = 0 AND write = 1) AS r FROM (SELECT *, unnest(['all', part]) AS subset FROM ({_SUBSETS})) GROUP BY subset, taskid"
+_SUBSETS = f"SELECT *, CASE WHEN (taskid + CAST(substr(gt_userid, 5) AS BIGINT)) % 2 = 0 THEN 'prior_right' ELSE 'prior_wrong' END AS part FROM ({PIVOT_GAPS})"
+_PRIOR_SUMS = f"SELECT subset, taskid AS cluster, {SUMS} FROM (SELECT *, unnest(['all', part]) AS subset FROM ({_SUBSETS})) GROUP BY subset, taskid"
 
 
 def _prior_measure(name: str, value: str) -> str:
-    point = "".join(f"sum({x})" if x.isalpha() else x for x in value)
-    return f"SELECT p.subset, '{name}' AS measure, p.value, ci_low, ci_high FROM (SELECT subset, round({point}, 6) AS value FROM ({_PRIOR_SUMS}) GROUP BY subset) p JOIN {bootstrap_sql(_PRIOR_SUMS, 'subset', 'sum n, sum p, sum s, sum c, sum w, sum l, sum r', value, REPS)} b USING (subset)"
+    rows, parts = (f"SELECT * FROM ({_PRIOR_SUMS}) WHERE l > 0", "sum l, sum r") if name == "recovery_rate" else (_PRIOR_SUMS, PARTS)
+    return f"SELECT p.subset, '{name}' AS measure, p.value, ci_low, ci_high FROM (SELECT subset, round({summed(value)}, 6) AS value FROM ({_PRIOR_SUMS}) GROUP BY subset) p JOIN {bootstrap_sql(rows, 'subset', parts, value, REPS)} b USING (subset)"
 
 
-@query(" UNION ALL ".join(_prior_measure(k, v) for k, v in VALUES.items()))
+@query(" UNION ALL ".join(_prior_measure(k, v) for k, v in (VALUES | {"recovery_rate": "r / l"}).items()))
 def r076_prior_trajectory(spark: SparkSession, d: str) -> DataFrame:
-    m = matches(spark, d)
+    m = gappy(spark, d)
     guess = ((F.col("taskid") + F.substring("gt_userid", 5, 9).cast("long")) % 2 == 0).alias("prior_correct")
     return metrics.prior_trajectory(m, m.select("taskid", "gt_userid", guess).distinct(), reps=REPS)
 
@@ -210,13 +249,31 @@ def r078_agreement(spark: SparkSession, d: str) -> DataFrame:
     return metrics.agreement(matches(spark, d), matches(spark, d, 4))
 
 
-JUDGE = "SELECT doc_id, source, quality, n_chars % 5 + 1 AS content_personalization, (n_chars div 7) % 5 + 1 AS presentation_personalization FROM documents JOIN labels USING (doc_id)"
-_JUDGED = "count(*) AS n, round(avg(content_personalization), 6) AS content, round(avg(presentation_personalization), 6) AS presentation, round(avg((content_personalization + presentation_personalization) / 2), 6) AS mean_personalization, round(avg(CAST(content_personalization = presentation_personalization AS INT)), 6) AS identical, round(corr(content_personalization, presentation_personalization), 5) AS pearson"
+JUDGE = """SELECT doc_id, doc_id % 40 AS taskid, doc_id % 2 AS seed, quality = 1 AS write_correct, n_chars % 5 + 1 AS content_personalization, (n_chars div 7) % 5 + 1 AS presentation_personalization,
+  doc_id % 3 > 0 AS plan_correct, CASE WHEN doc_id % 7 > 0 THEN doc_id % 4 > 0 END AS search_correct, doc_id % 5 > 0 AS compress_correct, concat('pattern', doc_id % 3) AS pattern FROM documents JOIN labels USING (doc_id)"""
+_J = f"SELECT *, (content_personalization + presentation_personalization) / 2 AS m, coalesce(write_correct, false) AS w FROM ({duck(JUDGE)})"
+_SIDES = f"SELECT taskid AS cluster, coalesce(sum(m) FILTER (w), 0) AS ma, count(*) FILTER (w) AS ka, coalesce(sum(m) FILTER (NOT w), 0) AS mb, count(*) FILTER (NOT w) AS kb FROM ({_J}) GROUP BY taskid"
 
 
-@query(f"SELECT quality, {_JUDGED} FROM ({duck(JUDGE)}) GROUP BY quality")
+@query(f"""SELECT j.*, round(x.d, 6) AS delta, b.ci_low, b.ci_high FROM (SELECT count(*) AS n, round(avg(content_personalization), 6) AS content, round(avg(presentation_personalization), 6) AS presentation, round(avg(m), 6) AS mean_personalization, count_if(content_personalization = presentation_personalization) AS n_identical,
+ round(avg(CAST(content_personalization = presentation_personalization AS INT)), 6) AS identical, round(corr(m, CAST(w AS INT)), 5) AS pearson FROM ({_J})) j, (SELECT avg(m) FILTER (w) - avg(m) FILTER (NOT w) AS d FROM ({_J})) x, {bootstrap_sql(_SIDES, '', 'sum ma, sum ka, sum mb, sum kb', 'ma / ka - mb / kb', REPS)} b""")
 def r079_judge_summary(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.judge_summary(views.view(spark, d, JUDGE), "quality")
+    return metrics.judge_summary(views.view(spark, d, JUDGE), reps=REPS)
+
+
+@query(f"SELECT 'pattern' AS by, pattern AS value, count(*) AS n, round(avg(m), 6) AS mean_personalization FROM ({_J}) GROUP BY pattern UNION ALL SELECT 'write_correct', CAST(w AS VARCHAR), count(*), round(avg(m), 6) FROM ({_J}) GROUP BY w")
+def r079_judge_means(spark: SparkSession, d: str) -> DataFrame:
+    rows = views.view(spark, d, JUDGE).withColumn("write_correct", F.coalesce("write_correct", F.lit(False)))
+    parts = [metrics.judge_means(rows, by).withColumn("by", F.lit(by)).withColumnRenamed(by, "value").withColumn("value", F.col("value").cast("string")) for by in ("pattern", "write_correct")]
+    return parts[0].unionByName(parts[1])
+
+
+_SCOPED = f"SELECT 'all' AS scope, w AS r, m FROM ({_J}) UNION ALL SELECT 'seed=' || seed, w, m FROM ({_J}) UNION ALL " + " UNION ALL ".join(f"SELECT 'stage={s}', {s}_correct, m FROM ({_J}) WHERE {s}_correct IS NOT NULL" for s in STAGE_SET)
+
+
+@query(f"SELECT scope, count_if(r) AS correct_n, count_if(NOT r) AS wrong_n, round(avg(m) FILTER (r), 6) AS correct_mean, round(avg(m) FILTER (NOT r), 6) AS wrong_mean, round(avg(m) FILTER (r) - avg(m) FILTER (NOT r), 6) AS delta FROM ({_SCOPED}) GROUP BY scope")
+def r079_judge_deltas(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.judge_deltas(views.view(spark, d, JUDGE))
 
 
 @query(f"SELECT content_personalization AS score, count(*) AS n FROM ({duck(JUDGE)}) GROUP BY 1")
@@ -248,27 +305,27 @@ def r085_cluster_bootstrap_contrast(spark: SparkSession, d: str) -> DataFrame:
     return stats.cluster_bootstrap_contrast(matches(spark, d), "taskid", metrics.hit(), F.col("seed") == 1, reps=REPS)
 
 
-_STAGED = f"SELECT taskid AS cluster, count(*) AS n, sum(plan) AS p, sum(search) AS s, sum(compress) AS c, sum(write) AS w, count_if(plan = 1 AND search = 0) AS l, count_if(plan = 1 AND search = 0 AND write = 1) AS r FROM ({PIVOT}) GROUP BY taskid"
+_STAGED = f"SELECT taskid AS cluster, {SUMS} FROM ({PIVOT_GAPS}) GROUP BY taskid"
 
 
 def _staged_ci(value: str) -> str:
-    return bootstrap_sql(_STAGED, "", "sum n, sum p, sum s, sum c, sum w, sum l, sum r", value, REPS)
+    return bootstrap_sql(_STAGED, "", PARTS, value, REPS)
 
 
-@query(f"""SELECT (SELECT sum(s) < sum(p) AND sum(w) > sum(s) FROM ({_STAGED})) AS observed, x.ci_low AS dip_low, x.ci_high AS dip_high, y.ci_low AS recovery_low, y.ci_high AS recovery_high, z.retained
-FROM {_staged_ci('100 * (s - p) / n')} x, {_staged_ci('100 * (w - s) / n')} y, (SELECT round(avg(CAST(s < p AND w > s AS INT)), 6) AS retained FROM (WITH c AS (SELECT *, row_number() OVER (ORDER BY cluster) - 1 AS k FROM ({_STAGED})), t AS (SELECT count(*) AS n FROM c),
- d AS (SELECT rep, ('0x' || substr(md5(concat_ws(':', 0, rep, i)), 1, 8))::BIGINT % n AS k FROM (SELECT n, rep, unnest(range(0, n)) AS i FROM t, range(0, {REPS}) AS q(rep))) SELECT rep, sum(p) AS p, sum(s) AS s, sum(w) AS w FROM d JOIN c USING (k) GROUP BY rep)) z""")
+@query(f"""SELECT (SELECT sum(s) / sum(ns) < sum(p) / sum(np) AND sum(w) / sum(nw) > sum(s) / sum(ns) FROM ({_STAGED})) AS observed, x.ci_low AS dip_low, x.ci_high AS dip_high, y.ci_low AS recovery_low, y.ci_high AS recovery_high, z.retained
+FROM {_staged_ci('100 * (s / ns - p / np)')} x, {_staged_ci('100 * (w / nw - s / ns)')} y, (SELECT round(avg(CAST(coalesce(s / ns < p / np AND w / nw > s / ns, false) AS INT)), 6) AS retained FROM {resample_sql(_STAGED, '', PARTS, REPS)}) z""")
 def r086_trajectory_retention(spark: SparkSession, d: str) -> DataFrame:
-    from stagesignal.operators.trajectory import trajectory_retention
+    return trajectory.trajectory_retention(gappy(spark, d), reps=REPS)
 
-    return trajectory_retention(matches(spark, d), reps=REPS)
 
+def _staged(name: str, value: str) -> str:
+    ends = bootstrap_sql(f"SELECT * FROM ({_STAGED}) WHERE l > 0", "", "sum l, sum r", value, REPS) if name == "recovery_rate" else _staged_ci(value)
+    return f"SELECT '{name}' AS measure, (SELECT round({summed(value)}, 6) FROM ({_STAGED})) AS value, ci_low, ci_high FROM {ends}"
 
-@query(" UNION ALL ".join(f"SELECT '{k}' AS measure, (SELECT round({''.join(f'sum({x})' if x.isalpha() else x for x in v)}, 6) FROM ({_STAGED})) AS value, ci_low, ci_high FROM {_staged_ci(v)}" for k, v in VALUES.items()))
-def r087_trajectory_with_ci(spark: SparkSession, d: str) -> DataFrame:
-    from stagesignal.operators.trajectory import trajectory_with_ci
 
-    return trajectory_with_ci(matches(spark, d), reps=REPS)
+@query(" UNION ALL ".join(_staged(k, v) for k, v in (VALUES | {"recovery_rate": "r / l"}).items()))
+def r087_trajectory_with_ci(spark: SparkSession, d: str) -> DataFrame:
+    return trajectory.trajectory_with_ci(gappy(spark, d), reps=REPS)
 
 
 @query("""WITH v AS (SELECT CAST(l_quantity AS DOUBLE) AS x, row_number() OVER (ORDER BY l_quantity) - 1 AS k, count(*) OVER () AS n FROM lineitem)
@@ -279,10 +336,8 @@ UNION ALL SELECT 'linear', quantile_cont(x, 0.025), quantile_cont(x, 0.975) FROM
 def r088_percentile_ci(spark: SparkSession, d: str) -> DataFrame:
     rows = spark.read.parquet(f"{d}/lineitem.parquet").select("l_quantity")
     out = rows.agg(F.lit("linear").alias("rule"), F.percentile("l_quantity", 0.025).alias("low"), F.percentile("l_quantity", 0.975).alias("high"))
-    for rule in ("floor", "inner", "nearest"):
-        low, high = (stats.percentile_rank(rows, "l_quantity", q, rule) for q in (0.025, 0.975))
-        out = out.union(low.withColumnRenamed("value", "low").crossJoin(high.withColumnRenamed("value", "high")).select(F.lit(rule).alias("rule"), "low", "high"))  # one row each
-    return out
+    ranks = stats.percentile_ranks(rows, "l_quantity", [(q, rule) for rule in ("floor", "inner", "nearest") for q in (0.025, 0.975)])
+    return out.unionByName(ranks.groupBy("rule").agg(F.max(F.when(F.col("q") < 0.5, F.col("value"))).alias("low"), F.max(F.when(F.col("q") > 0.5, F.col("value"))).alias("high")))
 
 
 _BC = f"SELECT taskid, domain, count_if(plan = 1 AND search = 0) AS b, count_if(plan = 0 AND search = 1) AS c FROM ({PIVOT}) GROUP BY ALL"
@@ -356,15 +411,20 @@ def r094_regeneration_changes(spark: SparkSession, d: str) -> DataFrame:
     return pairing.regeneration_changes(matches(spark, d), _regenerated(spark, d))
 
 
-_OTHER = f"SELECT run_id, stage, gt_userid, CASE WHEN taskid % 3 = 0 THEN list_reverse(candidate_userids) WHEN taskid % 7 = 0 THEN candidate_userids[1:2] ELSE candidate_userids END AS c FROM ({M[1]}) WHERE taskid <> 11"
+_SHOWN = "list_transform(list_sort(list_transform(candidate_userids, lambda c: struct_pack(h := sha256('0:' || run_id || ':' || stage || ':' || c), c := c))), lambda x: x.c)"
+_OTHER = f"SELECT run_id, stage, gt_userid, CASE WHEN taskid % 7 = 0 THEN candidate_userids[1:2] ELSE list_reverse(candidate_userids) END AS c, CASE WHEN taskid % 3 = 0 OR stage = 'write' AND taskid % 5 = 0 THEN list_reverse({_SHOWN}) ELSE {_SHOWN} END AS o FROM ({M[1]}) WHERE taskid <> 11"
 
 
-@query(f"""WITH j AS (SELECT coalesce(l.stage, r.stage) AS scope, l.candidate_userids AS a, r.c AS b, l.gt_userid AS ga, r.gt_userid AS gb FROM (SELECT * FROM ({M[0]}) WHERE taskid <> 13) l FULL JOIN ({_OTHER}) r USING (run_id, stage)), x AS (SELECT * FROM j UNION ALL SELECT 'all', a, b, ga, gb FROM j),
-k AS (SELECT scope, count_if(b IS NULL) AS left_only, count_if(a IS NULL) AS right_only, count_if(a IS NOT NULL AND b IS NOT NULL) AS paired, count_if(ga <> gb) AS truth_mismatches, count_if(list_sort(a) = list_sort(b)) AS same_set, count_if(a = b) AS same_order FROM x GROUP BY scope)
-SELECT *, left_only + right_only + truth_mismatches = 0 AND same_order = paired AS comparable FROM k""")
+@query(f"""WITH j AS (SELECT run_id, stage, list_sort(l.candidate_userids) AS a, list_sort(r.c) AS b, l.gt_userid AS ga, r.gt_userid AS gb, l.o AS oa, r.o AS ob, l.run_id IS NOT NULL AS ina, r.run_id IS NOT NULL AS inb FROM (SELECT *, {_SHOWN} AS o FROM ({M[0]}) WHERE taskid <> 13) l FULL JOIN ({_OTHER}) r USING (run_id, stage)),
+x AS (SELECT stage AS scope, * FROM j UNION ALL SELECT 'all', * FROM j),
+k AS (SELECT scope, count_if(NOT inb) AS left_only, count_if(NOT ina) AS right_only, count_if(ina AND inb) AS paired, count_if(ina AND inb AND ga <> gb) AS truth_mismatches, count_if(ina AND inb AND a = b) AS same_set, count_if(ina AND inb AND oa = ob) AS same_order FROM x GROUP BY scope),
+r AS (SELECT count(*) AS runs, count_if(e) AS runs_same_order FROM (SELECT run_id, bool_and(ina AND inb AND coalesce(oa = ob, false)) AS e FROM j GROUP BY run_id))
+SELECT k.*, CASE WHEN scope = 'all' THEN runs END AS runs, CASE WHEN scope = 'all' THEN runs_same_order END AS runs_same_order, left_only + right_only + truth_mismatches = 0 AND same_set = paired AND same_order = paired AS comparable FROM k, r""")
 def r095_comparability(spark: SparkSession, d: str) -> DataFrame:
-    c = F.when(F.col("taskid") % 3 == 0, F.reverse("candidate_userids")).when(F.col("taskid") % 7 == 0, F.slice("candidate_userids", 1, 2)).otherwise(F.col("candidate_userids"))
-    return pairing.comparability(matches(spark, d).where("taskid <> 13"), matches(spark, d, 1).where("taskid <> 11").withColumn("candidate_userids", c))
+    c = F.when(F.col("taskid") % 7 == 0, F.slice("candidate_userids", 1, 2)).otherwise(F.reverse("candidate_userids"))
+    left, right = (candidates.candidate_order(m) for m in (matches(spark, d).where("taskid <> 13"), matches(spark, d, 1).where("taskid <> 11")))
+    turned = F.when(F.expr("taskid % 3 = 0 OR stage = 'write' AND taskid % 5 = 0"), F.reverse("shuffled_order")).otherwise(F.col("shuffled_order"))
+    return pairing.comparability(left, right.withColumns({"candidate_userids": c, "shuffled_order": turned}))
 
 
 _EXPECTED = f"SELECT DISTINCT taskid, gt_userid, CASE WHEN taskid = 5 THEN list_append(candidate_userids[1:2], 'User999') ELSE candidate_userids END AS e FROM ({M[0]}) WHERE taskid <> 9"
@@ -385,8 +445,9 @@ def r097_missing_units(spark: SparkSession, d: str) -> DataFrame:
     return pairing.missing_units(runs.select("run_id"), part(3, "current"), part(2, "saved"), ["run_id"], "state")
 
 
-_QS = f"""SELECT domain, count(*) AS completed, greatest(1600 - count(*), 0) AS missing, count_if(schema_valid) AS schema_valid, count_if(success_criteria_met) AS success_met, count_if(len(completeness_errors) > 0) AS completeness_issues, count_if(len(ledger_errors) > 0) AS ledger_issues,
- count_if(execution_error IS NOT NULL) AS execution_errors, CAST(sum(total_tokens) AS BIGINT) AS total_tokens, CAST(sum(elapsed_sec) AS BIGINT) AS elapsed_sec, CAST(sum(queries_attempted) AS BIGINT) AS queries_attempted, CAST(sum(queries_successful) AS BIGINT) AS queries_successful, CAST(sum(queries_failed) AS BIGINT) AS queries_failed FROM ({SUMMARY}) GROUP BY domain"""
+_DONE = "FILTER (schema_valid IS NOT NULL)"
+_QS = f"""SELECT domain, count(*) {_DONE} AS completed, greatest(1600 - count(*), 0) AS missing, count_if(error <> '') AS error_runs, count_if(schema_valid) AS schema_valid, count_if(success_criteria_met AND schema_valid IS NOT NULL) AS success_met, count_if(len(completeness_errors) > 0 AND schema_valid IS NOT NULL) AS completeness_issues,
+ count_if(len(ledger_errors) > 0 AND schema_valid IS NOT NULL) AS ledger_issues, count_if(execution_error IS NOT NULL AND schema_valid IS NOT NULL) AS execution_errors, {', '.join(f'CAST(coalesce(sum({c}) {_DONE}, 0) AS BIGINT) AS {c}' for c in ('total_tokens', 'elapsed_sec', 'queries_attempted', 'queries_successful', 'queries_failed', 'sources_selected'))} FROM ({SUMMARY}) GROUP BY domain"""
 
 
 @query(_QS)

@@ -3,22 +3,39 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from stagesignal.operators import trace
 from stagesignal.plans import views
 from stagesignal.plans.registry import query
 from stagesignal.plans.texts import _F, _ID, FOUR
 from stagesignal.plans.views import duck
+from stagesignal.sources import io
 from stagesignal.streaming import decisions
 
-EVENTS = """SELECT event_id AS ord, ts, concat('e', event_id) AS id, concat('run', user_id % 20) AS report_run, concat(user_id, '-', regexp_extract(props, '([0-9]+)', 1)) AS call_id,
+#: transformWithState keeps its state in RocksDB.
+STORE, ROCKS = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+EVENTS = """SELECT event_id AS ord, ts, concat('e', event_id) AS id, concat('run', user_id % 20) AS report_run,
+  CASE WHEN event_id % 17 > 0 THEN concat(user_id, '-', CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) % 6) END AS call_id,
   CASE event_type WHEN 'view' THEN 'tool_start' WHEN 'click' THEN 'tool_end' WHEN 'error' THEN 'tool_error' WHEN 'purchase' THEN 'model_end' ELSE 'chain_start' END AS event,
   CASE WHEN event_type NOT IN ('view', 'click', 'error', 'purchase') THEN concat('topic ', CAST(floor(value) AS BIGINT) % 5) END AS topic_text,
-  CASE WHEN CAST(floor(value) AS BIGINT) % 4 > 0 THEN 'found' END AS result, CASE WHEN event_id % 3 > 0 THEN CAST(floor(value * 10) AS BIGINT) END AS total_tokens, CAST(floor(value * 10) AS BIGINT) AS usage_tokens,
+  CASE WHEN event_type = 'view' THEN CASE event_id % 4 WHEN 0 THEN array(concat('tea ', event_id % 7)) WHEN 1 THEN array(concat('tea ', event_id % 7), concat('pot ', event_id % 3))
+    WHEN 2 THEN array(concat('tea ', event_id % 7), concat('tea ', event_id % 7)) ELSE array(concat('pot ', event_id % 3), 'lone', concat('cup ', event_id)) END END AS queries,
+  CASE WHEN event_type = 'click' THEN CASE event_id % 3 WHEN 0 THEN concat(chr(123), '"queries":[', chr(123), '"query":"told","attempted":true,"status":"ok","failure_code":null,"sources":[', chr(123), '"title":"T","link":"https://o.example/","rank":1', chr(125), ']', chr(125), ',', chr(123), '"query":null,"attempted":false,"status":"odd","failure_code":"c"', chr(125), ']', chr(125))
+    WHEN 1 THEN concat(chr(123), '"other":1', chr(125)) ELSE 'plain text' END END AS output,
+  CASE WHEN event_id % 3 = 1 THEN CAST(floor(value * 10) AS BIGINT) WHEN event_id % 3 = 2 AND event_id % 5 = 0 THEN CAST(0 AS BIGINT) END AS input_tokens, CASE WHEN event_id % 3 = 1 THEN event_id % 50 END AS output_tokens,
+  CASE WHEN event_id % 3 = 2 THEN CAST(floor(value * 7) AS BIGINT) END AS prompt_tokens, CASE WHEN event_id % 3 = 2 THEN event_id % 40 END AS completion_tokens,
   array(concat('e', event_id - 40), concat('e', event_id - 20), concat('e', event_id + 1)) AS parent_ids, concat('topic_00', CAST(1 + user_id % 3 AS INT)) AS topic_id, event_id % 3 AS kind, value FROM events"""
+#: What the search adapter logged of those calls, when they began.
+LOG = """SELECT event_id AS ord, event_id * 2 AS query_sequence, concat('run', user_id % 20) AS report_run, ts, concat('tea ', event_id % 7) AS query, event_id % 4 > 0 AS attempted, CASE WHEN event_id % 5 = 0 THEN 'empty' ELSE 'ok' END AS status,
+  CASE WHEN event_id % 5 = 0 THEN 'empty_organic' END AS failure_code, CASE WHEN event_id % 5 > 0 THEN concat('https://s.example/', event_id) END AS link FROM events WHERE event_type = 'view' AND event_id % 4 < 3 AND event_id % 9 > 0
+  UNION ALL SELECT event_id AS ord, event_id * 2 + 1 AS query_sequence, concat('run', user_id % 20) AS report_run, ts, concat('pot ', event_id % 3) AS query, true AS attempted, 'ok' AS status, CAST(NULL AS STRING) AS failure_code, concat('https://p.example/', event_id) AS link
+  FROM events WHERE event_type = 'view' AND event_id % 4 = 1 AND event_id % 11 > 0"""
 E = duck(EVENTS)
 
 
@@ -67,26 +84,53 @@ def r102_assign_topics(spark: SparkSession, d: str) -> DataFrame:
     return trace.assign_topics(events(spark, d))
 
 
-_CALLS = f"""WITH c AS (SELECT report_run, call_id, min(ord) FILTER (event = 'tool_start') AS s, min(ord) FILTER (event = 'tool_end') AS e, min(ord) FILTER (event = 'tool_error') AS x, arg_min(topic_id, ord) FILTER (event = 'tool_start') AS topic_id, arg_min_null(result, ord) FILTER (event = 'tool_end') AS result
- FROM ({E}) WHERE event IN ('tool_start', 'tool_end', 'tool_error') GROUP BY ALL),
-k AS (SELECT *, CASE WHEN x IS NOT NULL THEN 'tool_execution_error' WHEN e IS NULL THEN 'trace_incomplete_tool_call' WHEN result IS NULL THEN 'trace_missing_query_result' END AS failure_code FROM c WHERE s IS NOT NULL)
-SELECT report_run, call_id, topic_id || '_query_' || row_number() OVER (PARTITION BY report_run, topic_id ORDER BY s, call_id) AS query_id, failure_code, CASE WHEN failure_code IS NULL THEN 'ok' ELSE 'failed' END AS status FROM k"""
+#: Uses of a text are walked one after the other, as records are claimed.
+_CALLS = f"""WITH RECURSIVE c AS (SELECT * EXCLUDE (call_id), coalesce(call_id, '') AS call_id, sum(CAST(event = 'tool_start' AS INT)) OVER (PARTITION BY report_run, coalesce(call_id, '') ORDER BY ord) AS call FROM ({E}) WHERE event IN ('tool_start', 'tool_end', 'tool_error')),
+s AS (SELECT report_run, call_id, call, ord AS start, topic_id, unnest(queries) AS query, unnest(range(len(queries))) AS pos FROM c WHERE event = 'tool_start'),
+o AS (SELECT *, topic_id || printf('_query_%03d', row_number() OVER (PARTITION BY report_run, topic_id ORDER BY start, pos)) AS query_id FROM s),
+d AS (SELECT o.*, t.ord AS tm, t.event = 'tool_end' AS ended, t.output FROM o LEFT JOIN (SELECT * FROM c WHERE event <> 'tool_start' AND call > 0) t USING (report_run, call_id, call)),
+l AS (SELECT *, row_number() OVER (PARTITION BY report_run, query ORDER BY query_sequence) AS taken FROM ({duck(LOG)})),
+u AS (SELECT d.report_run, d.query, d.tm, d.pos, row_number() OVER (PARTITION BY d.report_run, d.query ORDER BY d.tm, d.pos) AS i, count(l.ord) AS there FROM d LEFT JOIN l ON l.report_run = d.report_run AND l.query = d.query AND l.ord <= d.tm WHERE ended GROUP BY d.report_run, d.query, d.tm, d.pos),
+w AS (SELECT report_run, query, i, tm, pos, CAST(there > 0 AS INT) AS n, there > 0 AS got FROM u WHERE i = 1 UNION ALL SELECT u.report_run, u.query, u.i, u.tm, u.pos, w.n + CAST(u.there > w.n AS INT), u.there > w.n FROM w JOIN u ON u.report_run = w.report_run AND u.query = w.query AND u.i = w.i + 1),
+m AS (SELECT d.*, l.taken IS NOT NULL AS has, l.attempted AS a, l.status AS st, l.failure_code AS f, l.link FROM d LEFT JOIN (SELECT report_run, query, tm, pos, n AS taken FROM w WHERE got) g USING (report_run, query, tm, pos) LEFT JOIN l USING (report_run, query, taken)),
+z AS (SELECT *, NOT bool_or(has) OVER (PARTITION BY report_run, call_id, call, tm) AND output LIKE '{{"queries"%' AS told, row_number() OVER (PARTITION BY report_run, call_id, call, pos ORDER BY tm DESC NULLS LAST) AS last FROM m)
+SELECT report_run, call_id, query_id, topic_id, CASE WHEN ended AND told AND pos = 0 THEN 'told' ELSE query END AS query, CASE WHEN ended AND told AND pos = 1 THEN false WHEN ended AND has THEN a ELSE true END AS attempted,
+ CASE WHEN ended AND (has AND st = 'ok' OR told AND pos = 0) THEN 'ok' ELSE 'failure' END AS status,
+ CASE WHEN tm IS NULL THEN 'trace_incomplete_tool_call' WHEN NOT ended THEN 'tool_execution_error' WHEN told THEN CASE pos WHEN 0 THEN NULL WHEN 1 THEN 'c' ELSE 'trace_missing_query_result' END WHEN has THEN f ELSE 'trace_missing_query_result' END AS failure_code,
+ CASE WHEN ended AND has AND link IS NOT NULL THEN link WHEN ended AND told AND pos = 0 THEN 'https://o.example/' ELSE '' END AS links FROM z WHERE last = 1"""
+
+
+def _log(spark: SparkSession, d: str) -> DataFrame:
+    source = F.struct(F.lit(None).cast("string").alias("query"), F.lit("t").alias("title"), "link", F.lit("s.example").alias("domain"), F.lit(1).alias("rank"), F.lit("n").alias("snippet"))
+    return views.view(spark, d, LOG).withColumn("sources", F.when(F.col("link").isNull(), F.array().cast("array<struct<query: string, title: string, link: string, domain: string, rank: int, snippet: string>>")).otherwise(F.array(source)))
+
+
+def _linked(calls: DataFrame) -> DataFrame:
+    return calls.select("report_run", "call_id", "query_id", "topic_id", "query", "attempted", "status", "failure_code", F.concat_ws(",", F.transform("sources", lambda s: s["link"])).alias("links"))
 
 
 @query(_CALLS)
 def r103_pair_tool_calls(spark: SparkSession, d: str) -> DataFrame:
-    return trace.pair_tool_calls(events(spark, d))
+    return _linked(trace.pair_tool_calls(events(spark, d), _log(spark, d)))
+
 
+_FIRST_USE = f"""SELECT report_run, call_id, arg_min(coalesce(nullif(input_tokens, 0), prompt_tokens, 0), ord) AS i, arg_min(coalesce(nullif(output_tokens, 0), completion_tokens, 0), ord) AS o FROM ({E})
+ WHERE event = 'model_end' AND call_id IS NOT NULL AND NOT (input_tokens IS NULL AND output_tokens IS NULL AND prompt_tokens IS NULL AND completion_tokens IS NULL) GROUP BY ALL"""
 
-@query(f"SELECT report_run, CAST(sum(t) AS BIGINT) AS total_tokens, count(*) AS token_usage_events FROM (SELECT report_run, call_id, arg_min(coalesce(total_tokens, usage_tokens, 0), ord) AS t FROM ({E}) WHERE event = 'model_end' GROUP BY ALL) GROUP BY report_run")
+
+@query(f"SELECT report_run, CAST(sum(i) AS BIGINT) AS input_tokens, CAST(sum(o) AS BIGINT) AS output_tokens, count(*) AS token_usage_events, CAST(sum(i + o) AS BIGINT) AS total_tokens FROM ({_FIRST_USE}) GROUP BY report_run")
 def r104_token_ledger(spark: SparkSession, d: str) -> DataFrame:
     return trace.token_ledger(events(spark, d))
 
 
-_SLOTS = f"SELECT report_run, ord, CASE kind WHEN 0 THEN 'brief' WHEN 1 THEN concat('compressed ', topic_id) ELSE 'report' END AS slot, CASE WHEN ord % 10 = 0 THEN ' ' WHEN ord % 7 = 0 THEN concat('Error ', ord) ELSE concat('text ', ord) END AS text, ord % 6 = 2 AS is_final FROM ({EVENTS}) WHERE event = 'model_end'"
+_SLOTS = """SELECT report_run, ord, CASE kind WHEN 0 THEN 'brief' WHEN 1 THEN concat('compressed ', topic_id) ELSE 'report' END AS slot, CASE WHEN ord % 10 = 0 THEN ' ' WHEN ord % 7 < 2 THEN concat('Error generating final report: ', ord) WHEN ord % 7 = 2 THEN concat(' Error synthesizing research report: ', ord)
+  WHEN ord % 7 = 3 THEN concat('Error bars ', ord) ELSE concat(' text ', ord, ' ') END AS text, ord % 6 = 2 AND report_run NOT IN ('run3', 'run4') AS is_final FROM (""" + EVENTS + ") AS e WHERE event = 'model_end'"
+_GOOD = f"SELECT *, trim(text) AS t FROM ({duck(_SLOTS)}) WHERE trim(text) <> ''"
 
 
-@query(f"SELECT report_run, slot, arg_max(text, CASE WHEN slot = 'report' AND is_final THEN 1000000000 ELSE 0 END + ord) AS text FROM ({duck(_SLOTS)}) WHERE trim(text) <> '' AND NOT (slot LIKE 'compressed%' AND text LIKE 'Error%') GROUP BY ALL")
+@query(f"""WITH g AS ({_GOOD}), r AS (SELECT * FROM g WHERE slot = 'report' AND NOT starts_with(t, 'Error generating final report:') AND NOT starts_with(t, 'Error synthesizing research report:'))
+SELECT report_run, slot, arg_max(t, ord) AS text FROM g WHERE slot = 'brief' OR slot LIKE 'compressed%' AND NOT starts_with(text, 'Error generating final report:') AND NOT starts_with(text, 'Error synthesizing research report:') GROUP BY ALL
+UNION ALL SELECT report_run, slot, coalesce(arg_max(t, ord) FILTER (is_final), arg_min(t, ord)) AS text FROM r GROUP BY ALL""")
 def r105_capture_latest(spark: SparkSession, d: str) -> DataFrame:
     return trace.capture_latest(views.view(spark, d, _SLOTS))
 
@@ -107,38 +151,48 @@ def r106_trace_ledger(spark: SparkSession, d: str) -> DataFrame:
     return trace.trace_ledger(views.view(spark, d, TRACED), views.view(spark, d, _LOGGED), views.view(spark, d, _USAGE))
 
 
-RESPONSES = """SELECT concat('run', l_orderkey div 4) AS report_run, l_orderkey * 10 + l_linenumber AS query_sequence, collect_list(named_struct('title', p_name, 'link', concat('HTTPS://Shop', l_suppkey % 5, '.Example.COM/p', l_partkey % 9, '/#s'))) AS organic, min(p_name) AS query
+RESPONSES = """SELECT concat('run', l_orderkey div 4) AS report_run, l_orderkey * 10 + l_linenumber AS query_sequence, collect_list(named_struct('title', concat(' ', p_name), 'link', CASE WHEN l_partkey % 13 = 0 THEN 'ftp://x.example/' WHEN l_partkey % 17 = 0 THEN NULL
+    ELSE concat('HTTPS://u@Shop', l_suppkey % 5, '.Example.COM/p', l_partkey % 9, '/#s') END, 'position', CAST(l_partkey % 4 AS INT), 'snippet', concat(p_brand, ' '))) AS organic, min(p_name) AS query
 FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY l_orderkey, l_linenumber"""
 
 
 def _responses(spark: SparkSession, d: str) -> DataFrame:
-    """Results in the order of their links; a query of a single result whose number ends in 1 has none, one in 2 is malformed."""
-    rows = views.view(spark, d, RESPONSES).withColumn("organic", F.array_sort("organic", lambda a, b: F.when(a["link"] < b["link"], -1).when(a["link"] > b["link"], 1).otherwise(0)))
+    """Results in one order; a query of a single result whose number ends in 1 has none, one in 2 no list."""
+    rows = views.view(spark, d, RESPONSES).withColumn("organic", F.sort_array(F.transform("organic", lambda o: F.struct(F.coalesce(o["link"], F.lit("")).alias("l"), o["title"].alias("t"), o["position"].alias("p"), o["snippet"].alias("s"), o.alias("o")))))
+    rows = rows.withColumn("organic", F.transform("organic", lambda x: x["o"]))
     single, end = F.size("organic") == 1, F.col("query_sequence") % 10
     return rows.withColumn("organic", F.when(single & (end == 1), F.slice("organic", 1, 0)).when(single & (end == 2), F.lit(None)).otherwise(F.col("organic")))
 
 
-_LINK = "'HTTPS://Shop' || (l_suppkey % 5) || '.Example.COM/p' || (l_partkey % 9) || '/#s'"
-_ORG = f"""SELECT 'run' || (l_orderkey // 4) AS report_run, l_orderkey * 10 + l_linenumber AS query_sequence, l_linenumber AS e, list({_LINK} ORDER BY {_LINK}) AS o FROM lineitem GROUP BY l_orderkey, l_linenumber"""
-_SELECTED = f"""WITH o AS (SELECT report_run, query_sequence, CASE WHEN len(o) = 1 AND e = 1 THEN [] WHEN len(o) = 1 AND e = 2 THEN NULL ELSE o END AS o FROM ({_ORG})), x AS (SELECT report_run, query_sequence, unnest(o) AS link, unnest(range(0, len(o))) AS pos FROM o),
-u AS (SELECT report_run, query_sequence, pos, lower(regexp_extract(link, '^([^:]+://[^/]*)', 1)) || regexp_extract(link, '^[^:]+://[^/]*([^#]*)', 1) AS url FROM x WHERE pos < 3), f AS (SELECT *, row_number() OVER (PARTITION BY report_run, url ORDER BY query_sequence, pos) AS k FROM u),
+_LINK = "CASE WHEN l_partkey % 13 = 0 THEN 'ftp://x.example/' WHEN l_partkey % 17 = 0 THEN '' ELSE 'HTTPS://u@Shop' || (l_suppkey % 5) || '.Example.COM/p' || (l_partkey % 9) || '/#s' END"
+_ITEM = f"struct_pack(l := {_LINK}, t := ' ' || p_name, p := l_partkey % 4, s := p_brand || ' ')"
+_ORG = f"""SELECT 'run' || (l_orderkey // 4) AS report_run, l_orderkey * 10 + l_linenumber AS query_sequence, l_linenumber AS e, min(p_name) AS query, list({_ITEM} ORDER BY {_ITEM}) AS o FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY l_orderkey, l_linenumber"""
+_SELECTED = f"""WITH o AS (SELECT report_run, query_sequence, query, CASE WHEN len(o) = 1 AND e = 1 THEN [] WHEN len(o) = 1 AND e = 2 THEN NULL ELSE o END AS o FROM ({_ORG})), x AS (SELECT report_run, query_sequence, query, unnest(o) AS i, unnest(range(0, len(o))) AS pos FROM o),
+u AS (SELECT *, 'https://' || lower(regexp_extract(i.l, '@([^/]*)', 1)) || regexp_extract(i.l, '^[^:]+://[^/]*([^#]*)', 1) AS link FROM x WHERE pos < 3 AND starts_with(i.l, 'HTTPS')), f AS (SELECT *, row_number() OVER (PARTITION BY report_run, link ORDER BY query_sequence, pos) AS k FROM u),
 g AS (SELECT *, row_number() OVER (PARTITION BY report_run ORDER BY query_sequence, pos) AS source FROM f WHERE k = 1)"""
 
 
-@query(f"{_SELECTED} SELECT report_run, query_sequence, CAST(pos AS INTEGER) AS pos, url, CAST(source AS INTEGER) AS source FROM g WHERE source <= 15")
+@query(f"{_SELECTED} SELECT report_run, query_sequence, CAST(pos AS INTEGER) AS pos, query, trim(i.t) AS title, link, regexp_extract(link, '//([^/]*)', 1) AS domain, CAST(CASE WHEN i.p >= 1 THEN i.p ELSE pos + 1 END AS INTEGER) AS rank, trim(i.s) AS snippet, CAST(source AS INTEGER) AS source FROM g WHERE source <= 15")
 def r107_select_sources(spark: SparkSession, d: str) -> DataFrame:
     return trace.select_sources(_responses(spark, d))
 
 
-@query(f"{_SELECTED}, n AS (SELECT report_run, query_sequence, count(*) AS n FROM g WHERE source <= 15 GROUP BY ALL) SELECT report_run, query_sequence, coalesce(n, 0) AS sources, CASE WHEN o IS NULL THEN 'malformed_organic' WHEN len(o) = 0 THEN 'empty_organic' WHEN n IS NULL THEN 'no_new_sources' END AS failure_code FROM o LEFT JOIN n USING (report_run, query_sequence)")
+@query(f"""{_SELECTED}, n AS (SELECT report_run, query_sequence, count(*) AS n FROM g WHERE source <= 15 GROUP BY ALL) SELECT report_run, query_sequence, coalesce(n, 0) AS sources,
+ CASE WHEN o IS NULL OR len(o) = 0 THEN 'empty_organic' WHEN len(list_filter(o[1:3], lambda i: starts_with(i.l, 'HTTPS'))) = 0 THEN 'malformed_organic' WHEN n IS NULL THEN 'no_new_sources' END AS failure_code FROM o LEFT JOIN n USING (report_run, query_sequence)""")
 def r107_query_outcomes(spark: SparkSession, d: str) -> DataFrame:
     responses = _responses(spark, d)
     return trace.query_outcomes(responses, trace.select_sources(responses))
 
 
-REQUESTS = "SELECT event_id AS ord, concat('run', event_id div 11 % 900) AS report_run, concat('call', event_id div 3) AS call_id, CASE WHEN event_id % 13 = 0 THEN '  ' ELSE event_type END AS query FROM events"
-_ADMIT = f"""WITH a AS (SELECT *, trim(query) <> '' AS v FROM ({duck(REQUESTS)})), b AS (SELECT *, v AND sum(CAST(v AS INT)) OVER (PARTITION BY report_run, call_id ORDER BY ord) <= 2 AS f FROM a), c AS (SELECT *, f AND sum(CAST(f AS INT)) OVER (PARTITION BY report_run ORDER BY ord) <= 7 AS w FROM b),
-g AS (SELECT *, sum(CAST(w AS INT)) OVER (ORDER BY ord) AS rank FROM c) SELECT ord, report_run, call_id, v AND w AND rank <= 2400 AS attempted, CASE WHEN NOT v THEN 'invalid_query' WHEN NOT w THEN 'report_query_cap_exceeded' WHEN rank > 2400 THEN 'global_query_cap_exceeded' END AS failure_code FROM g"""
+#: Calls of three requests, of which some have one arrival number.
+REQUESTS = "SELECT CASE WHEN event_id % 7 = 2 THEN event_id - 1 ELSE event_id END AS ord, event_id AS pos, concat('run', event_id div 11 % 900) AS report_run, concat('call', event_id div 3) AS call_id, CASE WHEN event_id % 13 = 0 THEN '  ' ELSE event_type END AS query FROM events"
+#: Calls are walked one after the other, with what each run has had so far.
+_ADMIT = f"""WITH RECURSIVE q AS (SELECT *, trim(query) <> '' AS v FROM ({duck(REQUESTS)})), i AS (SELECT *, CASE WHEN v THEN row_number() OVER (PARTITION BY report_run, call_id, v ORDER BY ord, pos) END AS k FROM q),
+c AS (SELECT report_run, call_id, least(count(*), 2) AS few, row_number() OVER (ORDER BY min(ord), call_id, report_run) AS n FROM i WHERE v GROUP BY report_run, call_id),
+w AS (SELECT CAST(0 AS BIGINT) AS n, '' AS report_run, '' AS call_id, CAST(0 AS BIGINT) AS asked, CAST(0 AS BIGINT) AS granted, CAST(0 AS BIGINT) AS total, MAP {{'': CAST(0 AS BIGINT)}} AS had
+ UNION ALL SELECT n, report_run, call_id, asked, granted, total + granted, map_concat(had, MAP {{report_run: coalesce(had[report_run], 0) + granted}}) FROM
+ (SELECT *, least(asked, 2400 - total) AS granted FROM (SELECT c.n, c.report_run, c.call_id, least(c.few, 7 - coalesce(w.had[c.report_run], 0)) AS asked, w.total, w.had FROM w JOIN c ON c.n = w.n + 1)))
+SELECT ord, report_run, call_id, coalesce(v AND k <= granted, false) AS attempted, CASE WHEN NOT v THEN 'invalid_query' WHEN k > asked THEN 'report_query_cap_exceeded' WHEN k > granted THEN 'global_query_cap_exceeded' END AS failure_code FROM i LEFT JOIN (SELECT report_run, call_id, asked, granted FROM w WHERE n > 0) USING (report_run, call_id)"""
 
 
 @query(_ADMIT)
@@ -170,42 +224,59 @@ def r111_run_ledger(spark: SparkSession, d: str) -> DataFrame:
     return trace.run_ledger(views.view(spark, d, SNAPSHOTS))
 
 
-@query("SELECT CASE event_type WHEN 'view' THEN 'plan' WHEN 'click' THEN 'search' WHEN 'error' THEN 'compress' ELSE 'write' END AS stage, count(*) AS n, CAST(sum(CAST(user_id % 3 > 0 AS INT)) AS BIGINT) AS correct FROM (SELECT DISTINCT ON (user_id, s) * FROM (SELECT *, CASE event_type WHEN 'view' THEN 'plan' WHEN 'click' THEN 'search' WHEN 'error' THEN 'compress' ELSE 'write' END AS s FROM events)) GROUP BY 1")
-def r112_stream_decisions(spark: SparkSession, d: str) -> DataFrame:
-    """The events file as a stream of decisions, run to its end; the memory sink holds a row per stage."""
-    schema = spark.read.parquet(f"{d}/events.parquet").schema
-    stage = F.when(F.col("event_type") == "view", "plan").when(F.col("event_type") == "click", "search").when(F.col("event_type") == "error", "compress").otherwise("write")
-    stream = spark.readStream.schema(schema).parquet(f"{d}/event[s].parquet")  # a pattern: the source takes no single file
-    rows = stream.select(F.concat(F.lit("run"), F.col("user_id").cast("string")).alias("run_id"), stage.alias("stage"), (F.col("user_id") % 3 > 0).alias("correct"))
-    name = f"running_accuracy_{uuid.uuid4().hex}"
-    started = decisions.running_accuracy(rows, None).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
-    started.awaitTermination()
-    return spark.table(name)
+_STAGED = "SELECT *, CASE event_type WHEN 'view' THEN 'plan' WHEN 'click' THEN 'search' WHEN 'error' THEN 'compress' ELSE 'write' END AS stage FROM events"
+
 
+def _parts(rows: DataFrame, folder: str, n: int = 3, **last: object) -> Iterator[DataFrame]:
+    """The stream of a table that grows in n steps of time, one for each step; at the end comes a row of a later time, which
+    moves the watermark past all others. Going on with the same folder, a stream starts where it ended."""
+    spark, at = rows.sparkSession, F.unix_seconds("ts")
+    first, end = rows.agg(F.min(at), F.max(at)).first()
+    step = (end - first) // n + 1
+    late = spark.range(1).select(*[F.lit(last.get(c)).cast(t).alias(c) if c != "ts" else F.timestamp_seconds(F.lit(end + 90 * 86_400)).alias(c) for c, t in rows.dtypes])
+    for k in range(n + 1):
+        part = rows.where((at >= first + k * step) & (at < first + (k + 1) * step)) if k < n else late
+        part.write.mode("overwrite").parquet(f"{folder}/step={k}")
+        yield spark.readStream.schema(rows.schema).parquet(f"{folder}/step=*")
 
-def _stream(spark: SparkSession, d: str) -> DataFrame:
-    """The events file as a stream of the run log's events."""
-    schema = spark.read.parquet(f"{d}/events.parquet").schema
-    stream = spark.readStream.schema(schema).parquet(f"{d}/event[s].parquet").withColumn("ts", F.col("ts").cast("timestamp"))
-    return spark.sql(EVENTS.replace("FROM events", "FROM {events}"), events=stream)
 
+def _streamed(spark: SparkSession, rows: DataFrame, build: Callable[[DataFrame], DataFrame], mode: str, **last: object) -> DataFrame:
+    """What a stream over rows gave out, all batches, with a restart after each step."""
+    folder, held = f"{io.shared_folder(spark)}/stream-{uuid.uuid4().hex}", spark.conf.get(STORE)
+    spark.conf.set(STORE, ROCKS)
+    try:
+        for stream in _parts(rows, f"{folder}/in", **last):
+            out = decisions.run_to_files(build(stream), mode, folder)
+    finally:
+        spark.conf.set(STORE, held)
+    return out
 
-def _run(stream: DataFrame, mode: str) -> DataFrame:
-    """A stream's result once it has run to its end."""
-    name = f"stream_{uuid.uuid4().hex}"
-    stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start().awaitTermination()
-    return stream.sparkSession.table(name)
+
+@query(f"SELECT stage, count(*) AS n, CAST(sum(CAST(user_id % 3 > 0 AS INT)) AS BIGINT) AS correct FROM (SELECT DISTINCT ON (user_id, stage) * FROM ({_STAGED})) GROUP BY stage")
+def r112_stream_decisions(spark: SparkSession, d: str) -> DataFrame:
+    """The events as a stream of decisions in three steps; duplicates meet within the watermark."""
+    rows = views.view(spark, d, _STAGED).select(F.concat(F.lit("run"), F.col("user_id").cast("string")).alias("run_id"), "stage", (F.col("user_id") % 3 > 0).alias("correct"), F.col("ts").cast("timestamp").alias("ts"))
+    out = _streamed(spark, rows, lambda s: decisions.running_accuracy(s, "60 days"), "complete", stage="none")
+    return out.where("stage <> 'none'").groupBy("stage").agg(F.max_by("n", "batch").alias("n"), F.max_by("correct", "batch").alias("correct"))
 
 
-@query(f"SELECT report_run, CAST(sum(t) AS BIGINT) AS total_tokens, count(*) AS calls FROM (SELECT report_run, call_id, any_value(ord % 7) AS t FROM (SELECT report_run, ord, concat(call_id, '/', ord) AS call_id FROM ({E}) WHERE event = 'model_end') GROUP BY ALL) GROUP BY report_run")
+@query(f"""SELECT report_run, CAST(sum(i) AS BIGINT) AS input_tokens, CAST(sum(o) AS BIGINT) AS output_tokens, count(*) AS token_usage_events FROM (SELECT report_run, call_id, arg_min(coalesce(input_tokens, 0), ord) AS i, arg_min(coalesce(output_tokens, 0), ord) AS o FROM ({E})
+ WHERE event = 'model_end' AND call_id IS NOT NULL AND NOT (input_tokens IS NULL AND output_tokens IS NULL) GROUP BY ALL) GROUP BY report_run""")
 def r104_stream_model_tokens(spark: SparkSession, d: str) -> DataFrame:
-    rows = _stream(spark, d).withColumn("call_id", F.concat_ws("/", "call_id", F.col("ord").cast("string"))).withColumn("total_tokens", F.col("ord") % 7)
-    return _run(decisions.model_tokens(rows, "1 hour"), "update").groupBy("report_run").agg(F.max("total_tokens").alias("total_tokens"), F.max("calls").alias("calls"))
+    """Calls have several events each: the first with usage counts. Steps keep their order, and so does each in one partition."""
+    rows = events(spark, d).where("event = 'model_end'").select("report_run", "call_id", "event", "ord", F.col("ts").cast("timestamp").alias("ts"), "input_tokens", "output_tokens")
+    first = rows.where("input_tokens is not null or output_tokens is not null").groupBy("report_run", "call_id").agg(F.min("ord").alias("first"))
+    again = rows.join(first, ["report_run", "call_id"]).withColumns({c: F.when(F.col("ord") > F.col("first"), F.first(c).over(Window.partitionBy("report_run", "call_id").orderBy(F.col("ord") != F.col("first")))).otherwise(F.col(c)) for c in ("input_tokens", "output_tokens")})
+    rows = rows.where("call_id is null").unionByName(again.drop("first"))
+    out = _streamed(spark, rows, lambda s: decisions.model_tokens(s, "60 days"), "update", event="none")
+    return out.groupBy("report_run").agg(*[F.max_by(c, "batch").alias(c) for c in ("input_tokens", "output_tokens", "token_usage_events")])
 
 
-@query(f"""WITH e AS (SELECT *, call_id || '/' || report_run AS c FROM ({E}) WHERE event IN ('tool_start', 'tool_end', 'tool_error')), k AS (SELECT report_run, c AS call_id, count_if(event = 'tool_start') AS s, count_if(event = 'tool_end') AS e, count_if(event = 'tool_error') AS x, count(result) FILTER (event = 'tool_end') AS r FROM e GROUP BY ALL)
-SELECT report_run, call_id, CASE WHEN x > 0 THEN 'tool_execution_error' WHEN r = 0 THEN 'trace_missing_query_result' END AS failure_code, CASE WHEN x > 0 OR r = 0 THEN 'failed' ELSE 'ok' END AS status FROM k WHERE s > 0 AND (e > 0 OR x > 0)""")
+@query(_CALLS)
 def r103_stream_tool_calls(spark: SparkSession, d: str) -> DataFrame:
-    """Calls that end; those that only start stay open until a later event moves the watermark past them."""
-    rows = _stream(spark, d).where(F.col("event").isin("tool_start", "tool_end", "tool_error")).withColumn("call_id", F.concat_ws("/", "call_id", "report_run"))
-    return _run(decisions.stream_tool_calls(rows), "append").where("failure_code is null or failure_code <> 'trace_incomplete_tool_call'").select("report_run", "call_id", "failure_code", "status")
+    """The run log and the search log as one stream, in three steps; the rows are those of the batch, open calls included."""
+    kinds = "record struct<query: string, attempted: boolean, status: string, failure_code: string, sources: array<struct<query: string, title: string, link: string, domain: string, rank: int, snippet: string>>>"
+    told = events(spark, d).where(F.col("event").isin("tool_start", "tool_end", "tool_error")).select("report_run", "ord", "ts", "event", "call_id", "topic_id", "queries", "output", F.lit(None).cast(kinds.split(" ", 1)[1]).alias("record"))
+    logged = _log(spark, d).select("report_run", "ord", "ts", F.lit("search_record").alias("event"), F.struct("query", "attempted", "status", "failure_code", "sources").alias("record"))
+    rows = told.unionByName(logged, allowMissingColumns=True).withColumn("ts", F.col("ts").cast("timestamp"))
+    return _linked(decisions.latest_calls(_streamed(spark, rows, lambda s: decisions.stream_tool_calls(s, idle="60 days"), "append", report_run="none", event="none", ord=0)))

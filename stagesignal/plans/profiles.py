@@ -49,7 +49,7 @@ def r012_profile_leaves(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH l AS (SELECT userid, pos, split_part(path, '>', 1) AS s, split_part(path, '>', 2) || ': ' || value AS line FROM ({LEAVES}) WHERE pos > 0), b AS (SELECT userid, s, '=== ' || s || ' ===' || chr(10) || string_agg(line, chr(10) ORDER BY pos) AS t FROM l GROUP BY userid, s)
-SELECT userid, string_agg(t, chr(10) || chr(10) ORDER BY s DESC) AS text FROM b GROUP BY userid""")
+SELECT userid, string_agg(t, chr(10) ORDER BY s DESC) AS text FROM b GROUP BY userid""")
 def r013_profile_text(spark: SparkSession, d: str) -> DataFrame:
     return profiles.profile_text(leaves(spark, d), ["Likes", "Basic"])
 

@@ -148,7 +148,7 @@ _ACT = f"list_filter({_TOK}, lambda t: length(t) > 2 AND NOT list_contains([{_LI
 
 
 @query(f"""SELECT doc_id, CAST(len({_TOK}) AS INTEGER) AS plain, md5(array_to_string({_ACT}, ' ')) AS actionable, CAST(len(list_filter({_TOK}, lambda t: NOT list_contains([{_LISTS['i']}], t))) AS INTEGER) AS item,
- CAST(len(regexp_extract_all(lower(text), '[a-z0-9]+(?:[''-][a-z0-9]+)*')) AS INTEGER) AS words FROM documents""")
+ CAST(len(regexp_extract_all(text, '[A-Za-z0-9]+(?:[''’-][A-Za-z0-9]+)?')) AS INTEGER) AS words FROM documents""")
 def r031_tokens(spark: SparkSession, d: str) -> DataFrame:
     t = F.col("text")
     return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.size(S.tokens(t)).alias("plain"), F.md5(F.concat_ws(" ", S.tokens(t, "actionable"))).alias("actionable"), F.size(S.tokens(t, "item")).alias("item"), F.size(S.tokens(t, "words")).alias("words"))
@@ -193,10 +193,15 @@ _URL = "'^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)(\\?[^#]*)?'"
 _P = lambda k: f"regexp_extract(url, {_URL}, {k})"
 
 
-@query(f"""SELECT page_id, lower({_P(1)}) || '://' || lower({_P(2)}) || regexp_replace({_P(3)}, '/+$', '') || {_P(4)} AS stability,
- lower({_P(1)}) || '://' || lower({_P(2)}) || CASE WHEN {_P(3)} = '' THEN '/' ELSE {_P(3)} END || {_P(4)} AS canonical FROM pages""")
+#: Pages' addresses, with slashes at their ends, without a path, and text that is none.
+_ODD = "SELECT page_id, url FROM pages UNION ALL SELECT -page_id - 1, CASE page_id % 4 WHEN 0 THEN regexp_extract(url, '^[^/]*//[^/]*', 0) WHEN 1 THEN concat(url, '//') WHEN 2 THEN concat('no url ', page_id, '/') ELSE '' END FROM pages"
+_BARE = lambda p: f"coalesce(nullif(regexp_replace({p}, '/+$', ''), ''), '/')"
+
+
+@query(f"""SELECT page_id, CASE WHEN contains(url, '://') THEN lower({_P(1)}) || '://' || lower({_P(2)}) || {_BARE(_P(3))} || {_P(4)} ELSE {_BARE('url')} END AS stability,
+ CASE WHEN contains(url, '://') THEN lower({_P(1)}) || '://' || lower({_P(2)}) || CASE WHEN {_P(3)} = '' THEN '/' ELSE {_P(3)} END || {_P(4)} END AS canonical FROM ({_ODD})""")
 def r036_normalize_url(spark: SparkSession, d: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/pages.parquet").select("page_id", *[S.normalize_url(F.col("url"), s).alias(s) for s in ("stability", "canonical")])
+    return views.view(spark, d, _ODD).select("page_id", *[S.normalize_url(F.col("url"), s).alias(s) for s in ("stability", "canonical")])
 
 
 _HOST = "lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)', 1))"
@@ -236,23 +241,35 @@ def r039_certainty_proxy(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumn("score", F.col("score").cast("double"))
 
 
-_T = "(SELECT doc_id, '# ' || text || chr(10) || chr(10) || '- https://a.example/x' || chr(10) AS t FROM documents)"
+#: Each text with headings and bullets of all kinds around it.
+_FRAME = ("  # ", "\n\n- https://a.example/x\n+ b\n 1. c\n2) d\n    # no\n#no\nit’s a well-known-fact\n")
+_T = f"(SELECT doc_id, '{_FRAME[0]}' || text || '{_FRAME[1]}' AS t FROM documents)"
 
 
-@query(f"""SELECT doc_id, octet_length(encode(t)) AS bytes, length(t) AS chars, len(regexp_extract_all(t, '[A-Za-z0-9]+(?:[''-][A-Za-z0-9]+)*')) AS words, len(list_filter(regexp_split_to_array(t, '\\n[ \\t]*\\n'), lambda p: trim(regexp_replace(p, '\\s+', ' ', 'g')) <> '')) AS paragraphs,
- len(regexp_extract_all(t, '(?m)^#{{1,6}} ')) AS headings, len(regexp_extract_all(t, '(?m)^[ \\t]*[-*] ')) AS bullets, len(regexp_extract_all(t, 'https?://[^\\s)]+')) AS urls FROM {_T}""")
+@query(f"""WITH l AS (SELECT doc_id, t, regexp_split_to_array(t, '\\n') AS lines FROM {_T}) SELECT doc_id, octet_length(encode(t)) AS bytes, length(t) AS chars, len(regexp_extract_all(t, '[A-Za-z0-9]+(?:[''’-][A-Za-z0-9]+)?')) AS words, len(list_filter(regexp_split_to_array(t, '\\n\\s*\\n'), lambda p: trim(regexp_replace(p, '\\s+', ' ', 'g')) <> '')) AS paragraphs,
+ len(list_filter(lines, lambda x: regexp_matches(x, '^\\s{{0,3}}#{{1,6}}\\s'))) AS headings, len(list_filter(lines, lambda x: regexp_matches(x, '^\\s*([-*+]|\\d+[.)])\\s+'))) AS bullets, len(regexp_extract_all(t, 'https?://\\S+')) AS urls FROM l""")
 def r040_text_metrics(spark: SparkSession, d: str) -> DataFrame:
     rows = spark.read.parquet(f"{d}/documents.parquet")
-    return rows.select("doc_id", S.text_metrics(F.concat(F.lit("# "), "text", F.lit("\n\n- https://a.example/x\n"))).alias("m")).select("doc_id", "m.*")
+    return rows.select("doc_id", S.text_metrics(F.concat(F.lit(_FRAME[0]), "text", F.lit(_FRAME[1]))).alias("m")).select("doc_id", "m.*")
+
 
+_ASKED = """SELECT o_orderkey, o_custkey, CASE o_orderkey % 5 WHEN 0 THEN concat('Write 1,', 100 + o_custkey % 900, ' – 2,', 100 + o_custkey % 900, '-word reports.') WHEN 1 THEN concat(1100 + o_custkey % 900, '—', 2100 + o_custkey % 900, ' Words, please')
+  WHEN 2 THEN concat('about ', 1100 + o_custkey % 900, '-', 2100 + o_custkey % 900, 'word text') WHEN 3 THEN concat(1100 + o_custkey % 900, ' to ', 2100, ' words') ELSE concat('1-2 pages, then ', 1100 + o_custkey % 900, ' - ', 2100 + o_custkey % 900, ' WORD') END AS prompt FROM orders"""
 
-@query("SELECT o_orderkey, 1000 + o_custkey AS min_words, 2000 + o_custkey AS max_words, 1500 + o_orderkey BETWEEN 1000 + o_custkey AND 2000 + o_custkey AS inside FROM orders")
+
+@query(f"""WITH r AS (SELECT o_orderkey, CASE WHEN o_orderkey % 5 <> 3 THEN 1100 + o_custkey % 900 END AS lo, CASE WHEN o_orderkey % 5 <> 3 THEN 2100 + o_custkey % 900 END AS hi FROM orders)
+SELECT o_orderkey, lo AS min_words, hi AS max_words, 1500 + o_orderkey BETWEEN lo AND hi AS inside FROM r""")
 def r041_requested_word_range(spark: SparkSession, d: str) -> DataFrame:
-    text = F.concat(F.lit("Write a "), F.format_number(1000 + F.col("o_custkey"), 0), F.lit(" – "), F.format_number(2000 + F.col("o_custkey"), 0), F.lit("-word report."))
-    rows = spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", S.requested_word_range(text).alias("r"))
+    rows = views.view(spark, d, _ASKED).select("o_orderkey", S.requested_word_range(F.col("prompt")).alias("r"))
     return rows.select("o_orderkey", "r.*", S.within_range(1500 + F.col("o_orderkey"), F.col("r")).alias("inside"))
 
 
+@query("""SELECT count(*) AS samples, min(w) AS minimum, max(w) AS maximum, round(avg(w), 1) AS mean, count_if(w BETWEEN 100 AND 400) AS within, count_if(lang IS NULL) = 0 AS all_hashed FROM (SELECT len(regexp_extract_all(text, '[A-Za-z0-9]+(?:[''’-][A-Za-z0-9]+)?')) AS w, lang FROM documents)""")
+def r041_sample_summary(spark: SparkSession, d: str) -> DataFrame:
+    rows = spark.read.parquet(f"{d}/documents.parquet").select("text", F.struct(F.lit(100).cast("long").alias("min_words"), F.lit(400).cast("long").alias("max_words")).alias("bounds"), F.when(F.col("lang").isNotNull(), F.sha2("text", 256)).alias("digest"))
+    return S.sample_summary(rows)
+
+
 @query("SELECT sha256(text) AS digest, count(*) AS files, CAST(sum(octet_length(encode(text))) AS BIGINT) AS bytes FROM documents GROUP BY 1")
 def r042_content_hashes(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{d}/documents.parquet").groupBy(S.content_hash(F.col("text")).alias("digest")).agg(F.count("*").alias("files"), F.sum(F.octet_length("text")).alias("bytes"))

@@ -26,11 +26,11 @@ FROM ({RUNS}) AS r CROSS JOIN {STAGES}"""
 
 
 SUMMARIES = f"""
-SELECT r.run_id, r.taskid, r.userid AS gt_userid, r.domain, r.seed, o_orderstatus <> 'P' AS schema_valid, o_orderpriority <> '1-URGENT' AS success_criteria_met,
+SELECT r.run_id, r.taskid, r.userid AS gt_userid, r.domain, r.seed, CASE WHEN o_orderkey % 89 > 0 THEN o_orderstatus <> 'P' END AS schema_valid, o_orderpriority <> '1-URGENT' AS success_criteria_met,
   CASE WHEN o_orderpriority = '2-HIGH' THEN array('no source') ELSE array() END AS completeness_errors,
   CASE WHEN o_orderstatus = 'P' THEN array('bad key') ELSE array() END AS schema_errors,
   CASE WHEN o_orderkey % 11 = 0 THEN array('sum') ELSE array() END AS ledger_errors,
-  CASE WHEN o_orderkey % 97 = 0 THEN 'timeout' END AS execution_error,
+  CASE WHEN o_orderkey % 97 = 0 THEN 'timeout' END AS execution_error, CASE WHEN o_orderkey % 89 = 0 THEN 'crashed' WHEN o_orderkey % 83 = 0 THEN '' END AS error, coalesce(ok, 0) * 2 AS sources_selected,
   coalesce(n, 0) AS queries_attempted, coalesce(ok, 0) AS queries_successful, coalesce(n, 0) - coalesce(ok, 0) AS queries_failed,
   coalesce(tokens, 0) AS total_tokens, coalesce(secs, 0) AS elapsed_sec
 FROM ({RUNS}) AS r LEFT JOIN (

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -99,3 +100,20 @@ def file_inventory(spark: SparkSession, path: str) -> DataFrame:
     """path, length and SHA-256 of all files below path."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     return files.select("path", "length", F.sha2("content", 256).alias("sha256"))
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder that all machines share (spark.checkpoint.dir). Only a local session gets one of its own where
+    none is named."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    return spark.sparkContext.getCheckpointDir()
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """df by way of the shared checkpoint folder: lineage ends there, so it is computed once and a lost executor loses nothing."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint()

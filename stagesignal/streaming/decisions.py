@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 
 def running_accuracy(stream: DataFrame, watermark: str | None = "1 day", time_col: str = "ts") -> DataFrame:
@@ -19,44 +20,137 @@ def running_accuracy(stream: DataFrame, watermark: str | None = "1 day", time_co
 
 
 def model_tokens(stream: DataFrame, watermark: str, time_col: str = "ts") -> DataFrame:
-    """Tokens per run over a stream of model ends, each call counted once within the watermark."""
-    once = stream.where("event = 'model_end'").withWatermark(time_col, watermark).dropDuplicatesWithinWatermark(["report_run", "call_id"])
-    return once.groupBy("report_run").agg(F.sum("total_tokens").alias("total_tokens"), F.count("*").alias("calls"))
-
-
-def _pair(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """State of a call: (started, ended, failed, has result, latest event in ms). It is emitted when it ends, or as
-    incomplete once the watermark has passed its latest event."""
-    run, call = key
-    if state.hasTimedOut:
-        started, *_ = state.get
-        state.remove()
-        if started:
-            yield pd.DataFrame([(run, call, "failed", "trace_incomplete_tool_call")], columns=["report_run", "call_id", "status", "failure_code"])
-        return
-    started, ended, failed, result, latest = state.get if state.exists else (False, False, False, False, 0)
-    for batch in batches:
-        kinds = set(batch["event"])
-        started, failed = started or "tool_start" in kinds, failed or "tool_error" in kinds
-        ended = ended or "tool_end" in kinds
-        latest = max(latest, int(batch["_time"].max().timestamp() * 1000))
-        result = result or bool(batch.loc[batch["event"] == "tool_end", "result"].notna().any())
-    if started and (ended or failed):
-        state.remove()
-        code = "tool_execution_error" if failed else None if result else "trace_missing_query_result"
-        yield pd.DataFrame([(run, call, "failed" if code else "ok", code)], columns=["report_run", "call_id", "status", "failure_code"])
-    else:
-        state.update((started, ended, failed, result, latest))
-        state.setTimeoutTimestamp(max(latest, state.getCurrentWatermarkMs()) + 1)
-
-
-def stream_tool_calls(events: DataFrame, late: str = "10 minutes", time_col: str = "ts") -> DataFrame:
-    """Tool calls of an event stream (report_run, call_id, event, result, time) paired by call; a start without an end is
-    closed as incomplete once the watermark passes it."""
-    schema = "report_run string, call_id string, status string, failure_code string"
-    rows = events.select("report_run", "call_id", "event", "result", F.col(time_col).alias("_time"))
-    return rows.withWatermark("_time", late).groupBy("report_run", "call_id").applyInPandasWithState(
-        _pair, schema, "started boolean, ended boolean, failed boolean, result boolean, latest long", "append", GroupStateTimeout.EventTimeTimeout)
+    """Tokens per run over a stream of model ends, each call counted once within the watermark: its first event with usage."""
+    used = "event = 'model_end' and coalesce(call_id, '') <> '' and coalesce(input_tokens, output_tokens) is not null"
+    once = stream.where(used).withWatermark(time_col, watermark).dropDuplicatesWithinWatermark(["report_run", "call_id"])
+    total = lambda c: F.sum(F.coalesce(c, F.lit(0)))
+    return once.groupBy("report_run").agg(total("input_tokens").alias("input_tokens"), total("output_tokens").alias("output_tokens"), F.count("*").alias("token_usage_events"))
+
+
+CALL_ROWS = "report_run string, call_id string, query_id string, topic_id string, query string, attempted boolean, status string, failure_code string, sources string, at long"
+_SOURCE = ("query", "title", "link", "domain", "rank", "snippet")
+
+
+class _SearchCalls(StatefulProcessor):
+    """A run's search calls: events wait until the watermark has passed them, so they are taken in the order of time however
+    they arrive. A start opens its queries, a record of the search log waits for the first use of its text, an end claims
+    records, an error fails its queries; once nothing came for idle ms, what is open is closed as incomplete."""
+
+    def __init__(self, idle: int):
+        self.idle = idle
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "ms long, ord long, event string, call_id string, topic_id string, queries string, output string, record string")
+        self.calls = handle.getMapState("calls", "call_id string", "call string")
+        self.log = handle.getMapState("log", "query string", "records string")
+        self.numbers = handle.getMapState("numbers", "topic_id string", "n long")
+        self.last = handle.getValueState("last", "ms long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        latest, new = (self.last.get() or (0,))[0], []
+        for batch in rows:
+            for r in batch.itertuples(index=False):
+                new.append((int(r.ms), int(r.ord), *(None if v is None or v != v else v for v in (r.event, r.call_id, r.topic_id, r.queries, r.output, r.record))))
+        self.waiting.appendList(new)
+        newest = max(r[0] for r in new)
+        if newest > latest:
+            self.last.update((newest,))
+        self.handle.registerTimer(newest)
+        self.handle.registerTimer(newest + self.idle)
+        yield pd.DataFrame()
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now, out = timerValues.getCurrentWatermarkInMs(), []
+        held = list(self.waiting.get())
+        due = sorted((r for r in held if r[0] <= now), key=lambda r: (r[0], r[1], r[2] != "search_record"))
+        if due:
+            rest = [r for r in held if r[0] > now]
+            self.waiting.put(rest) if rest else self.waiting.clear()
+        for _, order, event, call_id, topic, queries, output, record in due:
+            self._take(key[0], order, event, call_id or "", topic or "topic_unmapped", json.loads(queries or "[]"), output, record, out)
+        if self.last.exists() and now >= self.last.get()[0] + self.idle and len(due) == len(held):
+            for call_id, call in list(self.calls.iterator()):
+                opened = json.loads(call[0])
+                out += [] if opened["settled"] else [(key[0], opened["call_id"], i, t, q, True, "failure", "trace_incomplete_tool_call", "[]", None) for i, t, q in opened["queries"]]
+            for state in (self.waiting, self.calls, self.log, self.numbers, self.last):
+                state.clear()
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in CALL_ROWS.split(", ")])
+
+    def _take(self, run: str, order: int, event: str, call_id: str, topic: str, queries: list, output: str | None, record: str | None, out: list) -> None:
+        name = (call_id,)
+        if event == "search_record":
+            text = (json.loads(record)["query"],)
+            held = json.loads(self.log.getValue(text)[0]) if self.log.containsKey(text) else []
+            self.log.updateValue(text, (json.dumps([*held, record]),))
+        elif event == "tool_start":
+            if self.calls.containsKey(name):  # the same id again: the earlier call can no longer end
+                self.calls.updateValue((f"{call_id}\0{order}",), self.calls.getValue(name))
+            n = self.numbers.getValue((topic,))[0] if self.numbers.containsKey((topic,)) else 0
+            ids = [(f"{topic}_query_{n + k:03d}", topic, "None" if q is None else q) for k, q in enumerate(queries, 1)]
+            self.numbers.updateValue((topic,), (n + len(ids),))
+            self.calls.updateValue(name, (json.dumps({"call_id": call_id, "settled": False, "queries": ids}),))
+        elif self.calls.containsKey(name):
+            opened = json.loads(self.calls.getValue(name)[0])
+            self.calls.updateValue(name, (json.dumps(opened | {"settled": True}),))
+            found = [self._claim(q) for _, _, q in opened["queries"]] if event == "tool_end" else []
+            if event == "tool_end" and not any(found):
+                found = _records(output) or found
+            for k, (i, t, q) in enumerate(opened["queries"]):
+                r = found[k] if k < len(found) else None
+                if event == "tool_error" or r is None:
+                    out.append((run, call_id, i, t, q, True, "failure", "tool_execution_error" if event == "tool_error" else "trace_missing_query_result", "[]", order))
+                    continue
+                text = q if r.get("query") is None else r["query"]
+                sources = [{c: s.get(c) if c == "rank" else text if c == "query" and s.get(c) is None else s.get(c) or "" for c in _SOURCE} for s in r.get("sources") or []]
+                out.append((run, call_id, i, t, text, bool(r.get("attempted")), "ok" if r.get("status") == "ok" else "failure", r.get("failure_code"), json.dumps(sources), order))
+
+    def _claim(self, query: str) -> dict | None:
+        held = json.loads(self.log.getValue((query,))[0]) if self.log.containsKey((query,)) else []
+        if held:
+            self.log.updateValue((query,), (json.dumps(held[1:]),))
+        return json.loads(held[0]) if held else None
+
+    def close(self) -> None:
+        pass
+
+
+def _records(output: str | None) -> list:
+    try:
+        found = json.loads(output or "")
+    except ValueError:
+        return []
+    return (found.get("queries") or []) if isinstance(found, dict) else []
+
+
+def stream_tool_calls(events: DataFrame, late: str = "10 minutes", idle: str = "1 hour", time_col: str = "ts") -> DataFrame:
+    """The rows of trace.pair_tool_calls over a stream of a run log: events(report_run, ord, event, call_id, topic_id,
+    queries, output, time) with the search log in it as events search_record (record: struct<query, attempted, status,
+    failure_code, sources>). Events may come late and out of order by `late`; a run without any for `idle` is over, and
+    what it left open is closed as incomplete. A query is given out when its call ends, anew if it ends again: `latest_calls`
+    keeps the last. The session needs the RocksDB state store."""
+    from pyspark.sql.types import StructType
+
+    rows = events.select("report_run", F.unix_millis(F.col(time_col)).alias("ms"), "ord", "event", "call_id", "topic_id", F.to_json("queries").alias("queries"), "output", F.to_json("record").alias("record"), F.col(time_col).alias("_time"))
+    gap = int(pd.Timedelta(idle).total_seconds() * 1000)
+    return rows.withWatermark("_time", late).groupBy("report_run").transformWithStateInPandas(_SearchCalls(gap), StructType.fromDDL(CALL_ROWS), "append", "EventTime")
+
+
+def latest_calls(rows: DataFrame) -> DataFrame:
+    """What stream_tool_calls gave out, a row per query, sources as an array."""
+    columns = [c.split()[0] for c in CALL_ROWS.split(", ")]
+    last = rows.groupBy("report_run", "query_id").agg(F.max_by(F.struct(*columns), F.coalesce("at", F.lit(-1))).alias("r")).select("r.*")
+    return last.withColumn("sources", F.from_json("sources", "array<struct<query: string, title: string, link: string, domain: string, rank: int, snippet: string>>")).drop("at")
+
+
+def run_to_files(stream: DataFrame, mode: str, folder: str) -> DataFrame:
+    """Runs a stream over what its source has now; each batch becomes files of its own below folder, written anew if it is
+    repeated after a failure. Returns all rows written so far with their batch. Going on later, it starts where it ended."""
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
+
+    stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
+    return stream.sparkSession.read.schema(f"{stream.schema.toDDL()}, batch long").parquet(f"{folder}/rows")
 
 
 def ledger_upsert(path: str, parts: int = 64):

@@ -1,10 +1,13 @@
 """Small inputs with known answers."""
 
+import math
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from stagesignal.functions import scalars as S
-from stagesignal.operators import candidates, matchers, metrics, overlap, pairing, profiles, quality, stats, texts, trace, trajectory
+from stagesignal.operators import candidates, matchers, metrics, overlap, pairing, profiles, quality, setjoin, stats, texts, trace, trajectory
 from stagesignal.sources import io
 from stagesignal.streaming import decisions
 
@@ -19,7 +22,7 @@ def matches(spark, runs, order=("U1", "U2", "U3")):
         p = run.split("_")
         task, seed = int(p[1][4:]), int(p[3][4:])
         rows += [(run, task, f"d{task}", seed, "U1", "U1" if f == "T" else "U2", s, f == "T", list(order)) for s, f in zip(STAGES, flags)]
-    return spark.createDataFrame(rows, COLUMNS)
+    return spark.createDataFrame(rows, COLUMNS).withColumn("shuffled_order", F.col("candidate_userids"))
 
 
 def one(df):
@@ -255,9 +258,9 @@ def test_leakage(spark):
 
 
 def test_urls_and_stability(spark):
-    df = spark.createDataFrame([("HTTPS://Example.COM/a/#section",), ("https://example.com/b?x=1",), (None,), ("https://u:p@E.com",), ("ftp://x",)], "u string")
+    df = spark.createDataFrame([("HTTP://Shop.Test/tea//#top",), ("https://shop.test/pot?size=2",), (None,), ("https://u:p@Tea.test",), ("https://tea.test/",), ("ftp://x",), ("no url/",)], "u string")
     assert [tuple(r) for r in df.select(S.normalize_url(F.col("u")), S.normalize_url(F.col("u"), "canonical")).collect()] == [
-        ("https://example.com/a", "https://example.com/a/"), ("https://example.com/b?x=1", "https://example.com/b?x=1"), ("/", None), ("https://u:p@e.com", "https://e.com/"), ("ftp://x", None)]
+        ("http://shop.test/tea", "http://shop.test/tea//"), ("https://shop.test/pot?size=2", "https://shop.test/pot?size=2"), ("/", None), ("https://u:p@tea.test/", "https://tea.test/"), ("https://tea.test/", "https://tea.test/"), ("ftp://x/", None), ("no url", None)]
     rows = [(t, u, s, f"q {u}", f"https://e.com/{u}", True) for t in ("t1", "t2") for u in "abc" for s in (0, 1)]
     log = spark.createDataFrame(rows, "taskid string, userid string, seed long, query string, link string, attempted boolean")
     got = overlap.source_stability(log, log.select("taskid", "userid", "seed"), "urls")
@@ -286,49 +289,6 @@ def test_caps_and_sources(spark):
     assert chosen.count() == 15 and codes[4] is None and codes[5] == "no_new_sources" and codes[6] == "empty_organic"
 
 
-EVENT = "report_run string, ord long, ts timestamp, event string, call_id string, id string, parent_ids array<string>, topic_text string, topic_id string, result string, total_tokens long, usage_tokens long"
-
-
-def event(ord_, name, call=None, **more):
-    import datetime
-
-    row = {"report_run": "r", "ord": ord_, "ts": datetime.datetime(2024, 1, 1, 0, ord_), "event": name, "call_id": call, "id": f"e{ord_}", "parent_ids": [], "topic_text": None, "topic_id": "topic_001", "result": None, "total_tokens": None, "usage_tokens": None} | more
-    return tuple(row.values())
-
-
-def test_events(spark):
-    rows = [event(0, "chain_start", topic_text="A"), event(1, "chain_start", topic_text="B"), event(2, "chain_start", topic_text="A"), event(3, "tool_start", "a", parent_ids=["e0", "e1"]), event(4, "tool_start", "b", parent_ids=["zz"]),
-            event(5, "tool_end", "a", result="x"), event(6, "tool_start", "c"), event(7, "tool_end", "c"), event(8, "tool_error", "b"), event(9, "tool_start", "d"),
-            event(10, "model_end", "m1", total_tokens=15), event(11, "model_end", "m1", total_tokens=15), event(12, "model_end", "m2", usage_tokens=24), event(13, "model_end", "m3", total_tokens=36)]
-    df = spark.createDataFrame(rows, EVENT)
-    topics = {r["ord"]: r["topic_id"] for r in trace.assign_topics(df).collect()}
-    assert [topics[k] for k in range(5)] == ["topic_001", "topic_002", "topic_001", "topic_002", "topic_unmapped"]
-    codes = {r["call_id"]: r["failure_code"] for r in trace.pair_tool_calls(df).collect()}
-    assert codes == {"a": None, "b": "tool_execution_error", "c": "trace_missing_query_result", "d": "trace_incomplete_tool_call"}
-    assert one(trace.token_ledger(df))["total_tokens"] == 75
-
-
-def run_stream(spark, df, tmp_path, build, files=3):
-    source, name = str(tmp_path / "in"), f"t{abs(hash(str(tmp_path)))}"
-    for k in range(files):
-        df.where(F.pmod(F.floor(F.col("ord") / 6), F.lit(files)) == k).coalesce(1).write.mode("append").json(source)
-    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).json(source)
-    query, mode = build(stream)
-    started = query.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    started.awaitTermination()
-    return spark.table(name).collect()
-
-
-def test_streams(spark, tmp_path):
-    rows = [event(k, "model_end", f"m{k % 5}", total_tokens=10) for k in range(12)]
-    df = spark.createDataFrame(rows, EVENT)
-    got = run_stream(spark, df, tmp_path / "a", lambda s: (decisions.model_tokens(s, "1 hour"), "update"))
-    assert max(r["total_tokens"] for r in got) == 50
-    calls = [event(0, "tool_start", "a"), event(1, "tool_end", "a", result="x"), event(2, "tool_start", "b"), event(8, "tool_start", "c"), event(14, "tool_error", "c"), event(53, "tool_start", "late")]  # not closed: the watermark ends at 43
-    got = run_stream(spark, spark.createDataFrame(calls, EVENT), tmp_path / "b", lambda s: (decisions.stream_tool_calls(s), "append"))
-    assert {r["call_id"]: r["failure_code"] for r in got} == {"a": None, "b": "trace_incomplete_tool_call", "c": "tool_execution_error"}
-
-
 def test_ledger_upsert(spark, tmp_path):
     upsert, schema = decisions.ledger_upsert(str(tmp_path)), "run_id string, version long, queries_attempted long, queries_successful long"
     for k, rows in enumerate([[("a", 1, 2, 1), ("b", 1, 7, 7)], [("a", 2, 3, 3)], [("a", 2, 3, 3)]]):
@@ -347,11 +307,12 @@ def test_ledger_upsert_writes_only_the_parts_of_a_batch(spark, tmp_path):
 
 
 def test_quality_gate(spark):
-    rows = [(True, True, [], [], None, 100, 1.0, 7, 6, 1), (True, False, ["no source"], [], None, 90, 2.0, 7, 5, 2)]
-    df = spark.createDataFrame(rows, "schema_valid boolean, success_criteria_met boolean, completeness_errors array<string>, ledger_errors array<string>, execution_error string, total_tokens long, elapsed_sec double, queries_attempted long, queries_successful long, queries_failed long")
-    s = quality.quality_summary(df, expected=3)
+    rows = [(True, True, [], [], None, None, 100, 1.0, 7, 6, 1, 9), (True, False, ["no source"], [], None, "", 90, 2.0, 7, 5, 2, 4), (None, True, ["x"], ["y"], "z", "crashed", 5, 1.0, 1, 1, 1, 1)]
+    df = spark.createDataFrame(rows, "schema_valid boolean, success_criteria_met boolean, completeness_errors array<string>, ledger_errors array<string>, execution_error string, error string, total_tokens long, elapsed_sec double, queries_attempted long, queries_successful long, queries_failed long, sources_selected long")
+    s = quality.quality_summary(df, expected=4)
     got = one(s)
     assert (got["completed"], got["missing"], got["schema_valid"], got["success_met"], got["completeness_issues"], got["total_tokens"], got["queries_attempted"], got["queries_successful"]) == (2, 1, 2, 1, 1, 190, 14, 11)
+    assert (got["error_runs"], got["sources_selected"], got["execution_errors"]) == (1, 13, 0)
     assert one(quality.quality_gate(s, 2))["reasons"] == ["completeness issues"] and one(quality.quality_gate(s, 2, 2))["passed"]
 
 
@@ -443,12 +404,33 @@ def test_leakage_with_a_small_limit_of_what_is_broadcast(spark, monkeypatch):
     test_leakage(spark)
 
 
-def test_hard_negatives_in_blocks(spark):
-    rows = [(f"User{k}", f"d{k % 3}", [f"t{k * j % 17}" for j in range(1, 7)]) for k in range(60)]
-    people = spark.createDataFrame(rows, "userid string, domain string, tokens array<string>").withColumn("tokens", F.array_distinct("tokens"))
-    asked = people.where("userid like '%5'")
-    whole, parts = (sorted(map(tuple, candidates.hard_negatives(asked, people, 3, block_tokens=n).collect())) for n in (10_000, 7))
-    assert whole == parts and len(whole) == 18
+def test_hard_negatives_are_those_of_a_plain_search(spark, monkeypatch):
+    """Ties, empty sets, tokens that all have, domains of one and two, samples and broadcasts of any size."""
+    draw = random.Random(4)
+    tokens = lambda: ["all"] * draw.randint(0, 1) + draw.sample([f"t{j}" for j in range(40)], draw.choice([0, 1, 3, 8, 8, 20]))
+    people = [(f"User{k}", "lone" if k == 7 else "pair" if k in (8, 9) else f"d{k % 3}", tokens()) for k in range(120)]
+    frame = spark.createDataFrame(people, "userid string, domain string, tokens array<string>")
+    asked = [p for p in people if p[0].endswith(("5", "7", "8"))]
+
+    def plain(k):
+        for user, domain, own in asked:
+            crowd = [p for p in people if p[0] != user and p[1] == domain]
+            pool = crowd if len(crowd) >= 2 else [p for p in people if p[0] != user]
+            score = lambda p: math.floor(len(set(own) & set(p[2])) / len(set(own) | set(p[2])) * 1e4 + 0.5) / 1e4 if own or p[2] else 0.0
+            for rank, (j, other) in enumerate(sorted((-score(p), p[0]) for p in pool)[:k], 1):
+                yield user, rank, other, -j + 0.0, len(crowd) < 2
+
+    for k, sample, sent in ((1, 64, 10**6), (3, 4, 10**6), (5, 1, 0)):
+        monkeypatch.setattr(setjoin, "MOST_SENT", sent)
+        got = candidates.hard_negatives(frame.where(F.col("userid").isin([p[0] for p in asked])), frame, k, sample=sample)
+        assert sorted((r["target"], r["rank"], r["userid"], r["jaccard"], r["fallback_pool"]) for r in got.collect()) == sorted(plain(k))
+
+
+def test_set_join_has_one_plan_for_any_number_of_targets(spark):
+    rows = [(f"User{k}", "d", [f"t{k % 5}", f"s{k % 7}", f"r{k}"]) for k in range(400)]
+    people = spark.createDataFrame(rows, "userid string, domain string, tokens array<string>")
+    few, many = (candidates.hard_negatives(people.where(c), people, 2)._jdf.queryExecution().analyzed().toString().count("Join") for c in ("userid = 'User1'", "true"))
+    assert few == many
 
 
 def test_frozen_sets(spark):
@@ -476,5 +458,71 @@ def test_percentile_rank_of_skewed_numbers(spark):
     df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double")
     ordered = sorted(values)
     for q in (0.0, 0.001, 0.3, 0.625, 0.9, 0.999):
-        assert one(stats.percentile_rank(df, "v", q, "floor", 4))["value"] == ordered[min(int(q * len(ordered)), len(ordered) - 1)]
+        assert one(stats.percentile_rank(df, "v", q, "floor"))["value"] == ordered[min(int(q * len(ordered)), len(ordered) - 1)]
     assert one(stats.percentile_rank(df.limit(0), "v", 0.5, "floor"))["value"] is None
+
+
+def test_places_beyond_the_brackets_are_found_by_narrowing(spark, monkeypatch):
+    """A coarse sketch, few parts, and no counts at the driver."""
+    draw = random.Random(8)
+    values = [draw.choice([0.0, 1e9, draw.gauss(0, 1), draw.random() ** 9]) for _ in range(3000)]
+    df, ordered, wanted = spark.createDataFrame([(v,) for v in values], "v double"), sorted(values), [(q, "floor") for q in (0.01, 0.5, 0.7, 0.99)]
+    for held in (65_536, 0):
+        monkeypatch.setattr(stats, "MOST_HELD", held)
+        got = stats.percentile_ranks(df, "v", wanted, k=8, buckets=3).collect()
+        assert [(r["q"], r["value"]) for r in got] == [(q, ordered[int(q * 3000)]) for q, _ in wanted]
+    ranges = [{"low": 1.0, "high": 1.0, "c": 2}, {"low": 2.0, "high": 5.0, "c": 3}, {"low": 6.0, "high": 6.0, "c": 1}]
+    assert [stats._walk(ranges, k) for k in range(6)] == [1.0, 1.0, None, None, None, 6.0]
+    counted = spark.createDataFrame([(1.0, 1.0, 1), (2.0, 5.0, 3), (6.0, 6.0, 1)], "low double, high double, c long")
+    rows = spark.createDataFrame([(v,) for v in (1.0, 2.0, 3.0, 5.0, 6.0)], "v double")
+    assert [stats._place(counted, rows, k, 2) for k in range(5)] == [1.0, 2.0, 3.0, 5.0, 6.0]
+
+
+def test_bootstrap_by_blocks(spark):
+    """Blocks of clusters share each resample's draws: totals hold, intervals agree with those of one block, any partitioning."""
+    sums = spark.range(3000).select(F.col("id").alias("k"), (F.col("id") % 7).cast("double").alias("s"), F.lit(1).alias("c"), F.lit(None).cast("string").alias("g"))
+    one_block, many = (stats.resamples(sums, "k", ["s", "c"], ["g"], 400, 5, block=b) for b in (4096, 100))
+    again = stats.resamples(sums.repartition(7), "k", ["s", "c"], ["g"], 400, 5, block=100)
+    rows = sorted(map(tuple, many.select("_rep", "s", "c").collect()))
+    assert len(rows) == 400 and {c for _, _, c in rows} == {3000.0} and rows == sorted(map(tuple, again.select("_rep", "s", "c").collect()))
+    ends = [one(stats.interval(r, F.col("s") / F.col("c"))) for r in (one_block, many)]
+    assert abs(ends[0]["ci_low"] - ends[1]["ci_low"]) < 0.02 and abs(ends[0]["ci_high"] - ends[1]["ci_high"]) < 0.02
+    assert abs((ends[1]["ci_high"] - ends[1]["ci_low"]) / (2 * 1.96 * 2 / 3000**0.5) - 1) < 0.15  # the spread of 0..6 is 2
+
+
+def test_bootstrap_of_many_clusters(spark):
+    sums = spark.range(100_000).select(F.col("id").alias("k"), F.pmod(F.xxhash64("id"), F.lit(2)).alias("s"), F.lit(1).alias("c"))
+    got = one(stats.interval(stats.resamples(sums, "k", ["s", "c"], (), 200), F.col("s") / F.col("c")))
+    assert 0.49 < got["ci_low"] < got["ci_high"] < 0.51
+
+
+def test_trajectory_with_gaps(spark):
+    """Runs that lack a stage are no wrong ones, and changes are over runs with both stages."""
+    whole, gap = "pilot_task1_A_seed0", "pilot_task1_B_seed0"
+    rows = matches(spark, {whole: "TTTT", gap: "TTTT"}).where(f"not (run_id = '{gap}' and stage = 'plan')")
+    got = {r["measure"]: r["value"] for r in trajectory.trajectory_with_ci(rows, 20).collect()}
+    assert got["plan"] == 1.0 and got["plan_to_search"] == 0.0 and got["recovery_rate"] is None
+    kept = one(trajectory.trajectory_retention(rows, 20))
+    assert (kept["observed"], kept["dip_low"], kept["retained"]) == (False, 0.0, 0.0)
+
+
+def test_outcome_patterns(spark):
+    runs = {"pilot_task1_A_seed0": "TTTF", "pilot_task1_B_seed0": "TTFT", "pilot_task1_C_seed0": "TFTT", "pilot_task1_D_seed0": "TFTF", "pilot_task1_E_seed0": "FTTT"}
+    got = {r["run_id"][12]: r["pattern"] for r in metrics.outcome_pattern(matches(spark, runs)).collect()}
+    assert got == {"A": "write_wrong_other", "B": "all_correct_prefix", "C": "recovered", "D": "non_recovered", "E": "write_correct_other"}
+
+
+def test_judged_runs(spark):
+    rows = [(k % 4, k % 2, k % 3 > 0, 1 + k % 5, 1 + k % 4, True, k % 2 == 0, None) for k in range(40)]
+    df = spark.createDataFrame(rows, "taskid long, seed long, write_correct boolean, content_personalization long, presentation_personalization long, plan_correct boolean, search_correct boolean, compress_correct boolean")
+    mean = lambda keep: sum((r[3] + r[4]) / 2 for r in rows if keep(r)) / sum(map(keep, rows))
+    got, deltas = one(metrics.judge_summary(df, 50)), {r["scope"]: r for r in metrics.judge_deltas(df).collect()}
+    assert abs(got["delta"] - (mean(lambda r: r[2]) - mean(lambda r: not r[2]))) < 1e-5 and got["ci_low"] <= got["delta"] <= got["ci_high"]
+    assert set(deltas) == {"all", "seed=0", "seed=1", "stage=plan", "stage=search", "stage=write"} and deltas["stage=plan"]["delta"] is None and deltas["stage=plan"]["correct_n"] == 40
+
+
+def test_markdown_and_word_ranges(spark):
+    df = spark.createDataFrame([("  # Head\n    # code\n#no\n+ a\n1. b\n2) c\n - d\n\nit\u2019s a well-known-fact", w) for w in ("100\u2014200 Words", "100-200word", "1,000 \u2013 2,000-word", "100 to 200 words", "a 9-10 words list")], "t string, w string")
+    got = df.select(S.text_metrics(F.col("t")).alias("m"), S.requested_word_range(F.col("w")).alias("r")).collect()
+    assert [tuple(r["r"]) for r in got] == [(100, 200), (100, 200), (1000, 2000), (None, None), (9, 10)]
+    assert (got[0]["m"]["headings"], got[0]["m"]["bullets"], got[0]["m"]["words"]) == (1, 4, 13)
