@@ -8,7 +8,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from stagesignal.functions.scalars import hash64
 
@@ -27,30 +26,30 @@ def terms(text: str | F.Column) -> F.Column:
 def match_bm25(decisions: DataFrame, profiles: DataFrame, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
     """Okapi BM25 of the text's terms (repeats count) with the candidate set as the corpus; the first best wins.
 
-    decisions(run_id, stage, text, candidate_userids), profiles(userid, text). Term counts are made once per profile, and a
-    set's terms are dealt once, for their frequencies and for the decisions that ask for them; a negative idf becomes
-    epsilon times the mean idf over the set's terms. Terms travel as 64-bit hashes."""
-    setted = decisions.withColumn("set_id", F.xxhash64(F.concat_ws(",", "candidate_userids"))).withColumn("n", F.size("candidate_userids"))
-    members = setted.select("set_id", "n", F.posexplode("candidate_userids").alias("pos", "userid")).distinct()
+    decisions(run_id, stage, text, candidate_userids), profiles(userid, text). Sets are small: one aggregation gives each
+    term of a set its counts, a column for each place in the set, and so its document frequency; terms that no decision asks for only
+    enter the mean idf, epsilon times which a negative idf becomes. Terms travel as 64-bit hashes."""
+    places = range(decisions.agg(F.max(F.size("candidate_userids"))).first()[0] or 0)
+    setted = decisions.withColumn("set_id", F.xxhash64(F.concat_ws(",", "candidate_userids")))
+    members = setted.select("set_id", F.posexplode("candidate_userids").alias("pos", "userid")).distinct()
     hashed = lambda text: F.transform(terms(text), lambda t: F.xxhash64(t))
-    toks = profiles.select("userid", hashed("text").alias("t")).withColumn("dl", F.size("t"))
-    tf = toks.select("userid", "dl", F.explode("t").alias("term")).groupBy("userid", "dl", "term").agg(F.count("*").alias("tf"))
-    mean = members.join(toks.select("userid", "dl"), "userid").groupBy("set_id").agg(F.avg("dl").alias("avgdl"))
-    df = F.count("*").over(Window.partitionBy("set_id", "term"))  # a candidate each
-    inside = members.join(tf, "userid").select("set_id", "term", "n", "pos", "tf", "dl", df.alias("df"))
-    inside = inside.select("set_id", "term", "pos", "tf", "dl", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"))
-    # The mean over different terms: each of a term's df rows counts 1 / df.
-    low = epsilon * F.sum(F.col("idf") / F.col("df")) / F.sum(1 / F.col("df"))
-    sets = inside.groupBy("set_id").agg(low.alias("low")).join(mean, "set_id")
-    asked = setted.select("run_id", "stage", "set_id", F.explode(hashed("text")).alias("term")).groupBy("run_id", "stage", "set_id", "term").agg(F.count("*").alias("qtf"))
-    met = asked.join(inside, ["set_id", "term"]).join(sets, "set_id")
+    # Texts are shuffled, not their terms, which are more: the counts of a profile and of a text are then made in place.
+    toks = profiles.select("userid", "text").repartition("userid").select("userid", hashed("text").alias("t")).withColumn("dl", F.size("t"))
+    tf = toks.select("userid", F.explode("t").alias("term")).groupBy("userid", "term").agg(F.count("*").alias("tf"))
+    at = lambda c, name: [F.sum(F.when(F.col("pos") == i, F.col(c)).otherwise(0)).alias(f"{name}{i}") for i in places]
+    sets = members.join(toks.select("userid", "dl"), "userid", "left").groupBy("set_id").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *at("dl", "dl"))
+    counts = members.join(tf, "userid").groupBy("set_id", "term").agg(*at("tf", "tf"), F.count("*").alias("df"))
+    log_odds = lambda n: F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+    # The mean over a set's terms: terms of one frequency share one idf.
+    low = counts.groupBy("set_id", "df").agg(F.count("*").alias("c")).join(sets.select("set_id", "n"), "set_id")
+    low = low.groupBy("set_id").agg((epsilon * F.sum(F.col("c") * log_odds(F.col("n"))) / F.sum("c")).alias("low"))
+    asked = setted.select("run_id", "stage", "set_id", "text").repartition("run_id", "stage", "set_id").select("run_id", "stage", "set_id", F.explode(hashed("text")).alias("term")).groupBy("run_id", "stage", "set_id", "term").agg(F.count("*").alias("qtf"))
+    met = counts.join(asked.hint("shuffle_hash"), ["set_id", "term"]).join(sets.join(low, "set_id"), "set_id").withColumn("idf", log_odds(F.col("n")))
     idf = F.when(F.col("idf") < 0, F.col("low")).otherwise(F.col("idf"))
-    weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    per = met.groupBy("run_id", "stage", "pos").agg(F.round(F.sum(F.col("qtf") * weight), 9).alias("score"))
-    scores = per.groupBy("run_id", "stage").agg(F.map_from_entries(F.collect_list(F.struct("pos", "score"))).alias("scores"))  # one per candidate
+    weight = lambda i: idf * F.col(f"tf{i}") * (k1 + 1) / (F.col(f"tf{i}") + k1 * (1 - b + b * F.col(f"dl{i}") / F.col("avgdl")))
+    scores = met.groupBy("run_id", "stage").agg(F.array(*[F.round(F.sum(F.when(F.col(f"tf{i}") > 0, F.col("qtf") * weight(i)).otherwise(0.0)), 9) for i in places]).alias("scores"))
     every = decisions.select("run_id", "stage", "candidate_userids").join(scores, ["run_id", "stage"], "left")
-    known = F.coalesce("scores", F.map_from_arrays(F.array().cast("array<int>"), F.array().cast("array<double>")))
-    ranked = F.transform("candidate_userids", lambda u, i: F.struct(F.coalesce(known[i], F.lit(0.0)).alias("score"), (-i).alias("p"), u.alias("userid")))
+    ranked = F.transform("candidate_userids", lambda u, i: F.struct(F.coalesce(F.try_element_at("scores", i + 1), F.lit(0.0)).alias("score"), (-i).alias("p"), u.alias("userid")))
     best = every.select("run_id", "stage", F.array_max(ranked).alias("best"))
     return best.select("run_id", "stage", F.col("best.userid").alias("predicted_userid"), F.col("best.score").alias("score"))
 
