@@ -8,9 +8,10 @@ that holds all that the page marks as its article, or most of the text of a page
 a path uses its own.
 
 A part whose class or id has the name of boilerplate is left out, unless it is a wrapper (it holds most of the page's
-text and its article, main or headline; or nearly all text of a page without any of these; comments: all of it), or its
-name is a vague one, it lies within the article and it is no list of links. Paragraphs and headings are not left out by
-vague names.
+text and its article, main or headline; or nearly all text of a page without any of these; comments: all of it). The same
+holds for forms, asides, headers, footers, dialogs and objects. Within the article a part also stays that is no list of links, if its
+name is a vague one, or has a word of boilerplate as a part of another name (market-share). Paragraphs and headings are
+not left out by vague names.
 
 Defined cases: null html is empty and gives an empty text; pages with a null or odd url share the host ""; unclosed
 and stray tags are tolerated; text outside any tag belongs to the root; containers nested more than DEEPEST deep share
@@ -22,7 +23,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -36,22 +37,26 @@ from stagesignal.llm.common import cut
 
 #: Comments, declarations, elements whose content is no markup, and tags.
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|textarea|title|svg|iframe)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-z][a-z0-9:-]*)(?P<attrs>(?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>",
+    r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|textarea|title|svg|iframe)\b(?:[^<>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<end>/?)(?P<tag>[a-z][a-z0-9:-]*)(?P<attrs>(?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^<>]*>",
     re.IGNORECASE | re.DOTALL,
 )
 ATTR = re.compile(r"""([a-z-]+)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.IGNORECASE)
 CLOSED = re.compile(r"(?:^|[\s\"'])/$")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rb rt rp s samp small span strike strong sub sup time tt u var wbr img".split())
+HIDDEN = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.IGNORECASE)
+INLINE = frozenset("a abbr acronym b bdi bdo big button cite code data del dfn em font i ins kbd label mark q ruby rb rt rp s samp select small span strike strong sub sup time tt u var wbr img".split())
 CONTAINERS = frozenset("html body main article section div td center".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Opening one of these closes an open one of the same set.
 CLOSES = {t: frozenset(group.split()) for group in ("p h1 h2 h3 h4 h5 h6", "li", "dt dd", "tr", "td th", "option") for t in group.split()}
 BLOCKS_CLOSE_P = frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 #: Parts of a page that are no article.
-NOT_TEXT = frozenset("head nav footer aside form button select option dialog menu object audio video canvas map".split())
-NOT_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
+NOT_TEXT = frozenset("head nav button select option menu audio video canvas map".split())
+NOT_ROLES = frozenset("navigation search alert alertdialog menu menubar".split())
+#: Those that some pages wrap around all they have.
+AROUND = frozenset("form aside footer header dialog object".split())
+AROUND_ROLES = frozenset("banner contentinfo complementary form dialog".split())
 
 
 def _names(words: str) -> re.Pattern:
@@ -59,12 +64,19 @@ def _names(words: str) -> re.Pattern:
 
 
 #: Names of parts that are no article: reader comments, plain names of boilerplate, and names that articles use as well.
-COMMENTS, PLAIN, VAGUE = 3, 2, 1
+ELEMENT, COMMENTS, PLAIN, VAGUE = 4, 3, 2, 1
+PLAIN_WORDS = r"ads?|advert\w*|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|nav|navbar|navigation|breadcrumbs?|sidebar|share|sharing|social|subscribe|newsletter|popup|modal|pagination|pager"
 NAMES = (
     (COMMENTS, _names(r"comments?|commentlist|disqus|replies|respond")),
-    (PLAIN, _names(r"ads?|advert\w*|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|nav|navbar|navigation|breadcrumbs?|sidebar|share|sharing|social|subscribe|newsletter|popup|modal|pagination|pager")),
+    (PLAIN, _names(PLAIN_WORDS)),
     (VAGUE, _names(r"banner|menu|side|footer|header|masthead|related|recommended|overlay|widget|toolbar")),
 )
+#: Words that may stand before and after a plain name without another meaning: post-share and ad-box, not market-share.
+BEFORE, AFTER = (
+    r"article|body|bottom|content|entry|footer|header|in|inline|js|left|main|mobile|page|post|right|section|site|story|top",
+    r"area|banner|bar|block|bottom|box|button|buttons|container|content|footer|form|header|icon|icons|inline|inner|item|items|label|left|link|links|list|message|right|row|section|sign-?up|slot|text|top|unit|widget|wrap|wrapper|\d+",
+)
+OWN = re.compile(rf"(?:^|\s)(?:(?:{BEFORE})[_-])*(?:{PLAIN_WORDS})(?:[_-](?:{AFTER}|{PLAIN_WORDS}))*(?:$|\s)", re.IGNORECASE)
 #: Containers in a path, and parts with names of boilerplate within each other, at most.
 DEEPEST, NESTED = 64, 8
 #: Winning paths kept per host, parts that a large table of hosts is salted into, and hosts whose paths may be broadcast.
@@ -77,16 +89,18 @@ class Part:
 
     kind: int
     inside: bool  # lies in an article or main
+    own: bool = True  # its name means nothing else
     holds: bool = False  # an article, a main or a headline
     size: int = 0
     linked: int = 0
 
     def stays(self, total: int, marked: bool) -> bool:
-        """total: text of the page; marked: whether it has an article, a main or a headline anywhere."""
+        """total: text of the page; marked: whether it has an article, a main or a headline anywhere. Within an article a part
+        needs more than a word in its name to go: a name of its own, or links for most of its text."""
         if self.kind == COMMENTS:
             return self.size == total
         wrapper = 2 * self.size >= total if self.holds else 10 * self.size >= 9 * total and not marked
-        return wrapper or self.kind == VAGUE and self.inside and 2 * self.linked < self.size
+        return wrapper or (self.kind == VAGUE or self.kind == PLAIN and not self.own) and self.inside and 2 * self.linked < self.size
 
 
 def _attrs(text: str) -> dict[str, str]:
@@ -99,14 +113,14 @@ def _step(tag: str, attrs: dict[str, str]) -> str:
     return ".".join([tag, *names])
 
 
-def _named(tag: str, attrs: dict[str, str]) -> int:
-    """The kind of boilerplate that an element's class and id name, or 0."""
+def _named(tag: str, attrs: dict[str, str]) -> tuple[int, bool]:
+    """The kind of boilerplate that an element's class and id name, or 0, and whether a name means nothing else."""
     if not ("class" in attrs or "id" in attrs) or tag in ("html", "body", "article", "main"):
-        return 0
+        return 0, True
     names = f"{attrs.get('class', '')} {attrs.get('id', '')}"
     kind = next((k for k, pattern in NAMES if pattern.search(names)), 0)
     text = tag in HEADINGS or tag in INLINE or tag in ("p", "li", "dt", "dd", "blockquote", "pre", "figure", "figcaption", "tr")
-    return 0 if tag in HEADINGS and kind == PLAIN or text and kind == VAGUE else kind
+    return 0 if tag in HEADINGS and kind == PLAIN or text and kind == VAGUE else kind, bool(OWN.search(names))
 
 
 def blocks(page: str | None) -> list[tuple[str, str, int]]:
@@ -115,12 +129,13 @@ def blocks(page: str | None) -> list[tuple[str, str, int]]:
     raw: list[tuple[str, str, int, tuple[int, ...]]] = []
     parts: list[Part] = []
     stack: list[tuple] = []  # tag, and what it is in: path, depth, whether left out, whether a link, named parts
-    open_: Counter[str] = Counter()
+    places: dict[str, list[int]] = defaultdict(list)  # of each tag's open elements in the stack
+    barriers: list[int] = []  # places of elements beyond which none is closed
+    marks: list[tuple[int, ...]] = []  # named parts around each article, main and headline
     top = ("", 0, False, False, ())
     path, depth, skip, link, names = top
     held: list[str] = []
     linked = at = 0
-    marked = False
 
     def flush() -> None:
         nonlocal linked
@@ -136,8 +151,10 @@ def blocks(page: str | None) -> list[tuple[str, str, int]]:
         if any(t[0] not in INLINE for t in stack[to:]):
             flush()
         for t in stack[to:]:
-            open_[t[0]] -= 1
+            places[t[0]].pop()
         del stack[to:]
+        while barriers and barriers[-1] >= to:
+            barriers.pop()
         path, depth, skip, link, names = stack[-1][1:] if stack else top
 
     for m in TOKEN.finditer(page):
@@ -150,8 +167,8 @@ def blocks(page: str | None) -> list[tuple[str, str, int]]:
         if not tag:
             continue
         if m["end"]:
-            if open_[tag]:
-                pop(next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag))
+            if places[tag]:
+                pop(places[tag][-1])
             continue
         if tag in VOID:
             if tag in ("br", "hr") and not skip:
@@ -161,32 +178,34 @@ def blocks(page: str | None) -> list[tuple[str, str, int]]:
             continue
         same = CLOSES.get(tag)
         if same or tag in BLOCKS_CLOSE_P:
-            for k in range(len(stack) - 1, -1, -1):
-                if same and stack[k][0] in same or stack[k][0] == "p" and tag in BLOCKS_CLOSE_P:
-                    pop(k)
-                    break
-                if stack[k][0] in CONTAINERS or stack[k][0] in ("ul", "ol", "table", "dl"):
-                    break
+            closable = (*(same or ()), *(("p",) if tag in BLOCKS_CLOSE_P else ()))
+            k = max((places[t][-1] for t in closable if places[t]), default=-1)
+            if k >= 0 and (not barriers or k >= barriers[-1]):
+                pop(k)
         if tag not in INLINE:
             flush()
         attrs = _attrs(m["attrs"])
         inside = "/article" in path or "/main" in path
         now = (path, depth, skip, link, names)
         if not skip:
-            skip = tag in NOT_TEXT or tag == "header" and not inside
+            skip = tag in NOT_TEXT
+            around, kind, own = tag in AROUND and not (tag == "header" and inside), 0, True
             if attrs and tag not in ("html", "body", "article", "main"):
-                skip = skip or "hidden" in attrs or attrs.get("role", "").lower() in NOT_ROLES
-                kind = 0 if skip else _named(tag, attrs)
-                if kind and tag in INLINE:
-                    skip = True
-                elif kind and len(names) < NESTED:
-                    flush()
-                    names = (*names, len(parts))
-                    parts.append(Part(kind, inside))
+                role = attrs.get("role", "").lower()
+                skip = skip or "hidden" in attrs or role in NOT_ROLES or bool(HIDDEN.search(attrs.get("style", "")))
+                around = around or role in AROUND_ROLES
+                kind, own = (0, True) if skip else _named(tag, attrs)
+            if around and not skip:
+                skip = len(names) >= NESTED
+                kind = ELEMENT
+            if kind and tag in INLINE:
+                skip = True
+            elif kind and not skip and len(names) < NESTED:
+                flush()
+                names = (*names, len(parts))
+                parts.append(Part(kind, inside, own))
         if not skip and tag in ("article", "main", "h1"):
-            marked = True
-            for k in names:
-                parts[k].holds = True
+            marks.append(names)
         if (tag in CONTAINERS or tag == "h1") and depth < DEEPEST:
             path, depth = f"{path}/{_step(tag, attrs)}", depth + 1
         link = link or tag == "a"
@@ -194,18 +213,31 @@ def blocks(page: str | None) -> list[tuple[str, str, int]]:
         if tag in INLINE and (CLOSED.search(m["attrs"]) or (path, depth, skip, link, names) == now):
             path, depth, skip, link, names = now
         else:
+            places[tag].append(len(stack))
+            if tag in CONTAINERS or tag in ("ul", "ol", "table", "dl"):
+                barriers.append(len(stack))
             stack.append((tag, path, depth, skip, link, names))
-            open_[tag] += 1
     if not skip:
         held.append(page[at:])
     flush()
-    for _, text, n, within in raw:
-        for k in within:
-            parts[k].size += len(text)
-            parts[k].linked += n
-    total = sum(len(text) for _, text, _, _ in raw)
-    out = [not p.stays(total, marked) for p in parts]
-    return [(p, text, n) for p, text, n, within in raw if not any(out[k] for k in within)]
+    # First elements around others: what goes with them counts no more. Then parts by their names.
+    gone: set[int] = set()
+    for kinds in ((ELEMENT,), (COMMENTS, PLAIN, VAGUE)):
+        left = [(len(text), n, within) for _, text, n, within in raw if not gone.intersection(within)]
+        held = [names for names in marks if not gone.intersection(names)]
+        for part in parts:
+            part.size = part.linked = 0
+            part.holds = False
+        for size, n, within in left:
+            for k in within:
+                parts[k].size += size
+                parts[k].linked += n
+        for names in held:
+            for k in names:
+                parts[k].holds = True
+        total = sum(size for size, _, _ in left)
+        gone |= {k for k, part in enumerate(parts) if part.kind in kinds and not part.stays(total, bool(held))}
+    return [(p, text, n) for p, text, n, within in raw if not gone.intersection(within)]
 
 
 Blocks = list[tuple[str, str, int]]
