@@ -68,6 +68,32 @@ def stratified_sample(rows: DataFrame, stratum: str, key: str, total: int, seed:
     return _first(rows, [stratum], hash_order(seed, F.col(key)), largest_remainder(sizes, stratum, "_size", total))
 
 
+def stratified_splits(rows: DataFrame, stratum: str, key: str, splits: Sequence[tuple[str, int]], seed: int, subsets: Sequence[tuple[str, str, int]] = ()) -> DataFrame:
+    """Disjoint samples (name, total) from one order of each stratum, with split; each has quotas by what the ones before it
+    left of the strata. subsets (name, split, total) are samples of a split with quotas by its own: subset, or null. Splits are
+    ranges of ranks, so the rows are ranked once, and only as many as are asked for."""
+    quotas = rows.groupBy(stratum).agg(F.count("*").alias("_left"))
+    for name, total in splits:
+        quota = largest_remainder(quotas.select(stratum, "_left"), stratum, "_left", total).withColumnRenamed("quota", f"_q_{name}")
+        quotas = settle(quotas.join(quota, stratum).withColumn("_left", F.col("_left") - F.col(f"_q_{name}")))  # a row per stratum
+    for name, of, total in subsets:
+        quota = largest_remainder(quotas.select(stratum, f"_q_{of}"), stratum, f"_q_{of}", total).withColumnRenamed("quota", f"_s_{name}")
+        quotas = quotas.join(quota, stratum)
+    quotas = settle(quotas)
+    order = hash_order(seed, F.col(key))
+    taken = _first(rows, [stratum], order, quotas.select(stratum, sum((F.col(f"_q_{name}") for name, _ in splits), F.lit(0)).alias("quota")))
+    place = F.row_number().over(Window.partitionBy(stratum).orderBy(order))
+    ranked = taken.withColumn("_at", place).join(quotas, stratum)
+    start, end, split, subset = {}, F.lit(0), F.lit(None), F.lit(None)
+    for name, _ in splits:
+        start[name] = end
+        end = end + F.col(f"_q_{name}")
+        split = F.coalesce(split, F.when(F.col("_at") <= end, name))
+    for name, of, _ in subsets:
+        subset = F.coalesce(subset, F.when((F.col("_at") > start[of]) & (F.col("_at") <= start[of] + F.col(f"_s_{name}")), name))
+    return ranked.select(*rows.columns, split.alias("split"), subset.alias("subset"))
+
+
 def pick_members(groups: DataFrame, group: str, member: str, k: int, seed: int) -> DataFrame:
     """k members of each group in seeded hash order."""
     place = F.row_number().over(Window.partitionBy(group).orderBy(hash_order(seed, F.col(group), F.col(member))))

@@ -71,6 +71,42 @@ def project_profile(leaves: DataFrame, condition: str, identity_keys: Sequence[s
     return leaves.where(keep)
 
 
+def _projected(value: dict, own: frozenset[str], keep: bool) -> dict:
+    out = {}
+    for key, child in value.items():
+        if isinstance(child, dict):
+            if inner := _projected(child, own, keep):
+                out[key] = inner
+        elif (key in own) == keep:
+            out[key] = child
+    return out
+
+
+def project_bodies(profiles: DataFrame, condition: str, identity_keys: Sequence[str] = IDENTITY_KEYS) -> DataFrame:
+    """profiles(userid, body as JSON) with the nested profile of a projection as body, the id first: `full`,
+    `actionable_only` or `identity_only`. A list is one leaf, kept or left out whole, and branches without leaves vanish. A
+    projection of which nothing is left, or a body that is no JSON object, is an error. No row moves."""
+    own = frozenset(identity_keys)
+
+    @F.pandas_udf("string")
+    def projected(user: pd.Series, body: pd.Series) -> pd.Series:
+        out = []
+        for u, b in zip(user, body):
+            try:
+                value = json.loads(b) if isinstance(b, str) else None
+            except ValueError:
+                value = None
+            if isinstance(value, dict) and condition != "full":
+                value = _projected({k: v for k, v in value.items() if k != "userid"}, own, condition == "identity_only")
+            out.append(json.dumps({"userid": u, **{k: v for k, v in value.items() if k != "userid"}}, ensure_ascii=False, separators=(",", ":")) if isinstance(value, dict) and (value or condition == "full") else None)
+        return pd.Series(out, dtype="object")
+
+    if condition not in ("full", "actionable_only", "identity_only"):
+        raise ValueError(f"unknown condition: {condition}")
+    rows = profiles.withColumn("body", projected("userid", "body"))
+    return rows.withColumn("body", F.coalesce("body", F.raise_error(F.concat(F.lit(f"{condition} is empty: "), F.col("userid"))).cast("string")))
+
+
 def cyclic_donor(groups: DataFrame, group: str, member: str, order: str) -> DataFrame:
     """Adds donor: the next member of the group, the first after the last; null in a group of one."""
     w = Window.partitionBy(group).orderBy(order)

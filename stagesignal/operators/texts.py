@@ -6,22 +6,26 @@ import functools
 import re
 from collections.abc import Callable, Iterator, Sequence
 
+import ahocorasick
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stagesignal.functions.scalars import capped, tokens
+from stagesignal.sources.io import settle
 
 OK = ("success", "ok")
 
 
 def _search_lines(view: str) -> Column:
-    """A search trace as lines: queries, and up to three "title: snippet" lines per successful query."""
+    """A search trace as lines: queries, and up to three "title: snippet" lines per successful query (below a line of their
+    own where the queries are left out)."""
     def part(q: Column) -> Column:
         head = F.concat(F.lit("Query ["), F.coalesce(q["topic_id"], F.lit("")), F.lit("]: "), F.coalesce(q["query"], F.lit("")))
         lines = F.transform(F.slice(F.coalesce(q["sources"], F.array()), 1, 3), lambda s: F.concat(F.lit("  • "), F.coalesce(s["title"], F.lit("")), F.lit(": "), F.substring(F.coalesce(s["snippet"], F.lit("")), 1, 200)))
-        return {"full": F.concat(F.array(head), lines), "queries": F.array(head), "snippets": lines}[view]
+        above = F.concat(F.lit("Retrieved sources ["), F.coalesce(q["topic_id"], F.lit("")), F.lit("]:"))
+        return {"full": F.concat(F.array(head), lines), "queries": F.array(head), "snippets": F.concat(F.array(above), lines)}[view]
 
     good = F.filter("search_trace", lambda q: q["status"].isin(*OK))
     return F.concat_ws("\n", F.flatten(F.transform(good, part)))
@@ -33,8 +37,18 @@ def _stacked(artifacts: DataFrame, texts: dict[str, Column]) -> DataFrame:
 
 
 def findings_text(compressed: str | Column = "compressed_research", name: str = "topic_text") -> Column:
-    """Compressed research as "## topic" blocks."""
-    return F.concat_ws("\n\n", F.transform(compressed, lambda c: F.concat(F.lit("## "), F.coalesce(c[name], F.lit("")), F.lit("\n"), F.coalesce(c["compressed_research"], F.lit("")))))
+    """Compressed research as "## topic" blocks, named by name or else by topic_id."""
+    text = lambda c: F.coalesce(F.nullif(c[name], F.lit("")), c["topic_id"], F.lit(""))
+    return F.concat_ws("\n\n", F.transform(compressed, lambda c: F.concat(F.lit("## "), text(c), F.lit("\n"), F.coalesce(c["compressed_research"], F.lit("")))))
+
+
+def findings_of_artifacts(artifacts: DataFrame) -> DataFrame:
+    """run_id and its findings for rewriting, each block and the whole trimmed; a run without any is an error."""
+    strip = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    name = lambda c: F.coalesce(F.nullif(c["topic_text"], F.lit("")), c["topic_id"], F.lit(""))
+    blocks = F.transform(F.coalesce("compressed_research", F.array()), lambda c: strip(F.concat(F.lit("## "), name(c), F.lit("\n"), F.coalesce(c["compressed_research"], F.lit("")))))
+    whole = strip(F.concat_ws("\n\n", blocks))
+    return artifacts.select("run_id", F.when(whole == "", F.raise_error(F.concat(F.lit("no findings: "), "run_id")).cast("string")).otherwise(whole).alias("text"))
 
 
 def stage_text(artifacts: DataFrame, view: str = "full", budget: int | None = None) -> DataFrame:
@@ -44,10 +58,19 @@ def stage_text(artifacts: DataFrame, view: str = "full", budget: int | None = No
 
 
 def baseline_stage_text(artifacts: DataFrame) -> DataFrame:
-    """The simpler text of the baselines: queries of any status, joined by spaces, no result lines, no caps."""
-    queries = F.concat_ws(" ", F.transform("search_trace", lambda q: q["query"]))
-    notes = F.concat_ws(" ", F.transform("compressed_research", lambda c: c["compressed_research"]))
-    return _stacked(artifacts, {"plan": F.col("research_brief"), "search": queries, "compress": notes, "write": F.col("final_report")})
+    """The simpler text of the baselines, joined by spaces: queries of any status, each with "title snippet" of its first
+    three results where artifacts hold any (results, not sources), compressed texts or else summaries, no caps."""
+    kinds = {c: {f.name for f in artifacts.schema[c].dataType.elementType.fields} for c in ("search_trace", "compressed_research")}
+    text = lambda c: F.coalesce(c, F.lit(""))
+
+    def lines(q: Column) -> Column:
+        if "results" not in kinds["search_trace"]:
+            return F.array(text(q["query"]))
+        return F.concat(F.array(text(q["query"])), F.transform(F.slice(F.coalesce(q["results"], F.array()), 1, 3), lambda s: F.concat(text(s["title"]), F.lit(" "), text(s["snippet"]))))
+
+    note = lambda c: text(F.coalesce(F.nullif(c["compressed_research"], F.lit("")), c["summary"])) if "summary" in kinds["compressed_research"] else text(c["compressed_research"])
+    queries = F.concat_ws(" ", F.flatten(F.transform("search_trace", lines)))
+    return _stacked(artifacts, {"plan": F.col("research_brief"), "search": queries, "compress": F.concat_ws(" ", F.transform("compressed_research", note)), "write": F.col("final_report")})
 
 
 def estimate_prompts(decisions: DataFrame, profiles: DataFrame, fixed: int = 1200) -> DataFrame:
@@ -87,20 +110,46 @@ def _pattern(phrase: str) -> re.Pattern:
     return re.compile(rf"(?<![A-Za-z0-9]){body}(?![A-Za-z0-9])", re.IGNORECASE)
 
 
+#: Letters that the patterns take for others without regard to case.
+_ALIKE = str.maketrans({"\u017f": "s", "\u0131": "i", "\u0130": "i", "\u212a": "k"})
+
+
+def _plain(text: str) -> str:
+    """Lower case and single spaces: what a phrase matches in a text, its plain form holds in the text's plain form."""
+    return " ".join(text.translate(_ALIKE).lower().split())
+
+
+@functools.lru_cache(maxsize=2000)
+def _finder(phrases: tuple[str, ...], token: str) -> tuple[list[str], frozenset[int], ahocorasick.Automaton | None]:
+    """A set's phrases, longest first, those that a mask may complete, and an automaton of all their plain forms."""
+    ordered, own = sorted(phrases, key=lambda p: (-len(p), p.lower())), _plain(token)
+    found = ahocorasick.Automaton()
+    for k, p in enumerate(ordered):
+        if p.split():
+            found.add_word(_plain(p), (*found.get(_plain(p), ()), k))
+    found.make_automaton()
+    near = frozenset(k for k, p in enumerate(ordered) if own and (own in _plain(p) or any(w in own for w in _plain(p).split())))
+    return ordered, near, found if len(found) else None
+
+
+def _masked(text: str, phrases: tuple[str, ...], token: str) -> tuple[str, int]:
+    ordered, near, finder = _finder(phrases, token)
+    if finder is None:
+        return text, 0
+    there, n = {k for _, ks in finder.iter(_plain(text)) for k in ks} | near, 0
+    for k in sorted(there):
+        text, found = _pattern(ordered[k]).subn(token, text)
+        n += found
+    return text, n
+
+
 def mask_phrases(texts: DataFrame, token: str = "[MASKED]") -> DataFrame:
     """texts(.., text, phrases): text with each phrase replaced, longest first, one after the other, and masked: how many.
-    Patterns are compiled once per worker and phrase (the latest 50,000 are kept)."""
+    An automaton of the set's phrases finds those that occur before any pattern runs; automata and patterns are made once per
+    worker and kept (the latest 2,000 and 50,000). Phrases are trimmed of white space; blank ones mask nothing."""
     @F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("masked", T.LongType())]))
     def masked(text: pd.Series, phrases: pd.Series) -> pd.DataFrame:
-        out = []
-        for t, ps in zip(text, phrases):
-            n = 0
-            low = t.lower() if isinstance(t, str) else ""
-            for p in sorted(ps if ps is not None else (), key=lambda p: (-len(p), p.lower())):
-                if low and p.split()[0].lower() in low:
-                    t, k = _pattern(p).subn(token, t)
-                    n += k
-            out.append((t, n))
+        out = [_masked(t, tuple(ps) if ps is not None else (), token) if isinstance(t, str) else (t, 0) for t, ps in zip(text, phrases)]
         return pd.DataFrame(out, columns=["text", "masked"])
 
     rest = [c for c in texts.columns if c not in ("text", "phrases", "masked")]
@@ -138,16 +187,69 @@ def mask_entities(texts: DataFrame, tagger: Tagger, labels: Sequence[str] = ("PE
     return texts.mapInPandas(run, schema)
 
 
-def mask_artifacts(fields: DataFrame, phrases: DataFrame, tagger: Tagger | None = None) -> tuple[DataFrame, DataFrame]:
-    """fields(run_id, set_id, stage, field, text): the masked fields, and per stage the replacements, phrases used and
-    a hash of each run's phrase list. Rows stay where the join leaves them; workers keep the patterns they have compiled."""
-    joined = fields.join(phrases, "set_id", "left")
-    hashes = F.sha2(F.concat_ws("\n", F.coalesce("phrases", F.array())), 256)
-    joined = joined.withColumn("phrase_hash", hashes).withColumn("n_phrases", F.size(F.coalesce("phrases", F.array())))
-    masked = mask_phrases(joined)
-    masked = mask_entities(masked, tagger) if tagger else masked.withColumn("entities", F.lit(0).cast("long"))
-    audit = masked.groupBy("stage").agg(F.sum("masked").alias("masked"), F.sum("entities").alias("entities"), F.count_distinct("run_id").alias("runs"), F.max("n_phrases").alias("most_phrases"), F.count_distinct("phrase_hash").alias("phrase_lists"))
-    return masked, audit
+#: Texts of an artifact by stage: of its own, of the items of a list, and of the items of lists within those.
+PLACES = {
+    "plan": {"research_brief": {}},
+    "search": {"search_trace": {"query": {}, "sources": {"title": {}, "snippet": {}, "query": {}}, "results": {"title": {}, "snippet": {}, "query": {}}}},
+    "compress": {"compressed_research": {"compressed_research": {}, "summary": {}}},
+    "write": {"final_report": {}},
+}
+
+
+def artifact_fields(artifacts: DataFrame) -> DataFrame:
+    """run_id, stage, place, text: every text of nested artifacts that is there, with its address in the artifact, such as
+    search_trace/2/sources/0/title."""
+    def fields(name: str, at: Column, value: Column, kind: T.DataType, inner: dict, stage: str) -> Column | None:
+        if isinstance(kind, T.ArrayType):
+            def item(x: Column, i: Column) -> Column:
+                parts = [fields(k, F.concat_ws("/", at, i.cast("string"), F.lit(k)), x[k], kind.elementType[k].dataType, deeper, stage) for k, deeper in inner.items() if k in kind.elementType.names]
+                return F.concat(*parts)
+
+            return F.flatten(F.transform(F.coalesce(value, F.array()), item))
+        one = F.struct(F.lit(stage).alias("stage"), at.alias("place"), value.cast("string").alias("text"))
+        return F.filter(F.array(one), lambda x: x["text"].isNotNull())
+
+    every = [fields(name, F.lit(name), F.col(name), artifacts.schema[name].dataType, inner, stage) for stage, names in PLACES.items() for name, inner in names.items() if name in artifacts.columns]
+    return artifacts.select("run_id", F.explode(F.concat(*every)).alias("f")).select("run_id", "f.*")
+
+
+def rebuild_artifacts(artifacts: DataFrame, fields: DataFrame) -> DataFrame:
+    """Artifacts with the texts of fields(run_id, place, text) at their places; what fields lacks stays as it was."""
+    def put(at: Column, value: Column, kind: T.DataType, inner: dict) -> Column:
+        if isinstance(kind, T.ArrayType):
+            def item(x: Column, i: Column) -> Column:
+                out = x
+                for k, deeper in inner.items():
+                    if k in kind.elementType.names:
+                        out = out.withField(k, put(F.concat_ws("/", at, i.cast("string"), F.lit(k)), x[k], kind.elementType[k].dataType, deeper))
+                return F.when(x.isNotNull(), out)
+
+            return F.transform(value, item)
+        return F.coalesce(F.try_element_at("_new", at), value)
+
+    new = fields.groupBy("run_id").agg(F.map_from_entries(F.collect_list(F.struct("place", "text"))).alias("_new"))
+    names = {name: inner for places in PLACES.values() for name, inner in places.items() if name in artifacts.columns}
+    joined = artifacts.join(new, "run_id", "left")
+    return joined.withColumns({name: put(F.lit(name), F.col(name), artifacts.schema[name].dataType, inner) for name, inner in names.items()}).drop("_new")
+
+
+def mask_artifacts(artifacts: DataFrame, sets: DataFrame, phrases: DataFrame, tagger: Tagger | None = None) -> tuple[DataFrame, DataFrame]:
+    """Nested artifacts with all their texts masked by the phrases of their candidate set, then by the tagger's entities,
+    and the audit: per run and stage the replacements of both, the set's number of phrases and the hash of its list.
+
+    artifacts(run_id, ..) as read, sets(run_id, set_id), phrases(set_id, phrases). Artifacts are taken apart into fields with
+    their places, each field travels once, and the masked ones are put together again."""
+    known = sets.join(phrases, "set_id", "left").select("run_id", F.coalesce("phrases", F.array().cast("array<string>")).alias("phrases"))
+    known = known.withColumns({"n_phrases": F.size("phrases"), "phrase_hash": F.sha2(F.concat_ws("\n", "phrases"), 256)})
+    masked = mask_phrases(artifact_fields(artifacts).join(known, "run_id", "left"))
+    masked = settle(mask_entities(masked, tagger) if tagger else masked.withColumn("entities", F.lit(0).cast("long")))
+    audit = masked.groupBy("run_id", "stage").agg(F.sum("masked").alias("masked"), F.sum("entities").alias("entities"), F.first("n_phrases").alias("n_phrases"), F.first("phrase_hash").alias("phrase_hash"))
+    return rebuild_artifacts(artifacts, masked), audit
+
+
+def masking_totals(audit: DataFrame) -> DataFrame:
+    """Per stage over all runs: replacements, runs, the most phrases, and how many lists of phrases."""
+    return audit.groupBy("stage").agg(F.sum("masked").alias("masked"), F.sum("entities").alias("entities"), F.count_distinct("run_id").alias("runs"), F.max("n_phrases").alias("most_phrases"), F.count_distinct("phrase_hash").alias("phrase_lists"))
 
 
 #: Rows of one side of a leakage join that may be broadcast, and parts that the other way deals hot keys into.

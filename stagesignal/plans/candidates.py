@@ -47,6 +47,20 @@ def r047_stratified_sample(spark: SparkSession, d: str) -> DataFrame:
     return candidates.stratified_sample(spark.read.parquet(f"{d}/customer.parquet").select("c_nationkey", "c_custkey"), "c_nationkey", "c_custkey", 137, 5)
 
 
+_DEV = _quota(_BY_NATION, "c_nationkey", "n", 20)
+_REST = f"SELECT c_nationkey, n - quota AS n FROM ({_BY_NATION}) JOIN {_DEV} USING (c_nationkey)"
+_CONF = _quota(_REST, "c_nationkey", "n", 60)
+_ABL = _quota(f"SELECT c_nationkey, quota AS n FROM {_CONF}", "c_nationkey", "n", 15)
+
+
+@query(f"""WITH r AS (SELECT c_nationkey, c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY sha256('5|' || c_custkey)) AS k FROM customer),
+q AS (SELECT c_nationkey, d.quota AS d, c.quota AS c, a.quota AS a FROM {_DEV} d JOIN {_CONF} c USING (c_nationkey) JOIN {_ABL} a USING (c_nationkey))
+SELECT c_nationkey, c_custkey, CASE WHEN k <= d THEN 'dev' ELSE 'confirmatory' END AS split, CASE WHEN k > d AND k <= d + a THEN 'ablation' END AS subset FROM r JOIN q USING (c_nationkey) WHERE k <= d + c""")
+def r047_stratified_splits(spark: SparkSession, d: str) -> DataFrame:
+    rows = spark.read.parquet(f"{d}/customer.parquet").select("c_nationkey", "c_custkey")
+    return candidates.stratified_splits(rows, "c_nationkey", "c_custkey", [("dev", 20), ("confirmatory", 60)], 5, [("ablation", "confirmatory", 15)])
+
+
 @query("SELECT c_nationkey, c_custkey, CAST(k AS INTEGER) AS place FROM (SELECT c_nationkey, c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY sha256('5|' || c_nationkey || '|' || c_custkey)) AS k FROM customer) WHERE k <= 3")
 def r048_pick_members(spark: SparkSession, d: str) -> DataFrame:
     return candidates.pick_members(spark.read.parquet(f"{d}/customer.parquet").select("c_nationkey", "c_custkey"), "c_nationkey", "c_custkey", 3, 5)

@@ -61,6 +61,16 @@ def r014_project_profile(spark: SparkSession, d: str) -> DataFrame:
     return parts[0].union(parts[1]).union(parts[2])
 
 
+_NESTED = """CASE k WHEN 'identity_only' THEN '"Basic":{"Name":"' || c_name || '","Nation":"' || n_name || '"}}' ELSE '"Likes":{"Segment":"' || c_mktsegment || '","Budget":"' || CAST(CAST(floor(c_acctbal) AS BIGINT) AS VARCHAR) || '","Tags":["' || n_name || '","' || c_mktsegment || '"]}}' END"""
+
+
+@query(f"""SELECT k AS condition, 'User' || c_custkey AS userid, '{{"userid":"User' || c_custkey || '",' || {_NESTED} AS body FROM customer JOIN nation ON n_nationkey = c_nationkey, (VALUES ('identity_only'), ('actionable_only')) AS v(k)""")
+def r014_project_bodies(spark: SparkSession, d: str) -> DataFrame:
+    rows = views.view(spark, d, BODIES).select("userid", "body")
+    parts = [profiles.project_bodies(rows, c, KEYS).select(F.lit(c).alias("condition"), "userid", "body") for c in ("identity_only", "actionable_only")]
+    return parts[0].union(parts[1])
+
+
 _DONOR = "SELECT c_nationkey, 'User' || c_custkey AS userid, coalesce(lead('User' || c_custkey) OVER w, first_value('User' || c_custkey) OVER w) AS d FROM customer WINDOW w AS (PARTITION BY c_nationkey ORDER BY c_custkey)"
 
 

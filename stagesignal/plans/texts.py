@@ -48,6 +48,16 @@ def r021_baseline_stage_text(spark: SparkSession, d: str) -> DataFrame:
     return _digest(texts.baseline_stage_text(artifacts(spark, d)))
 
 
+@query(f"""SELECT 'run' || doc_id AS run_id, stage, CASE stage WHEN 'search' THEN md5('Retrieved sources [topic_001]:' || chr(10) || '  • ' || substr(t, 11, 50) || ': ' || substr(t, 1, 200) || chr(10) || '  • The: ' || substr(t, 51, 200)) ELSE md5(substr(t, 1, 60) || ' ' || substr(t, 61, 60)) END AS digest
+FROM (SELECT doc_id, regexp_replace(text, '[^A-Za-z0-9 ]', ' ', 'g') AS t FROM documents WHERE text IS NOT NULL), (VALUES ('search'), ('baseline')) AS v(stage)""")
+def r020_search_views(spark: SparkSession, d: str) -> DataFrame:
+    """Result lines without queries, and the baselines' queries without results, of artifacts with one successful query."""
+    rows = views.view(spark, d, _NEST)
+    good = rows.withColumn("search_trace", F.transform("search_trace", lambda q, i: q.withField("status", F.when(i == 0, "ok").otherwise("failed"))))
+    told = texts.stage_text(good, "snippets").where("stage = 'search'").select("run_id", "stage", F.md5("text").alias("digest"))
+    return told.unionByName(texts.baseline_stage_text(rows).where("stage = 'search'").select("run_id", F.lit("baseline").alias("stage"), F.md5("text").alias("digest")))
+
+
 @query("SELECT doc_id, md5(left(text, 500)) AS prefix, md5(CASE WHEN length(text) <= 500 THEN text ELSE left(text, 375) || chr(10) || chr(10) || '[...]' || chr(10) || chr(10) || right(text, 125) END) AS head_tail FROM documents")
 def r022_truncate_text(spark: SparkSession, d: str) -> DataFrame:
     rows = spark.read.parquet(f"{d}/documents.parquet")
@@ -109,11 +119,39 @@ def r027_mask_entities(spark: SparkSession, d: str) -> DataFrame:
     return texts.mask_entities(bodies, texts.phrase_tagger(names)).select("userid", F.md5("text").alias("digest"), "entities")
 
 
-@query(f"""WITH p AS (SELECT set_id, string_split(phrases, '|') AS ps FROM ({_PHRASES})), f AS (SELECT 'set' || (c_custkey % 40) AS set_id, 'User' || c_custkey AS run_id, CASE WHEN c_custkey % 2 = 0 THEN 'plan' ELSE 'write' END AS stage FROM customer JOIN nation ON n_nationkey = c_nationkey)
-SELECT stage, count(*) AS masked, CAST(0 AS BIGINT) AS entities, count(DISTINCT run_id) AS runs, CAST(max(len(ps)) AS INTEGER) AS most_phrases, count(DISTINCT ps) AS phrase_lists FROM f JOIN p USING (set_id) GROUP BY stage""")
+#: Each document as a nested artifact: brief, two queries of two sources, two compressed texts, report.
+_NEST = """SELECT concat('run', doc_id) AS run_id, concat('set', doc_id % 3) AS set_id, t AS research_brief,
+  array(named_struct('topic_id', 'topic_001', 'query', substring(t, 1, 60), 'sources', array(named_struct('query', substring(t, 1, 60), 'title', substring(t, 11, 50), 'link', 'l1', 'snippet', substring(t, 1, 200)), named_struct('query', 'in the end', 'title', 'The', 'link', 'the', 'snippet', substring(t, 51, 200)))),
+    named_struct('topic_id', 'the topic', 'query', substring(t, 61, 60), 'sources', array())) AS search_trace,
+  array(named_struct('topic_id', 'topic_001', 'compressed_research', substring(t, 21, 300)), named_struct('topic_id', 'topic_002', 'compressed_research', CAST(NULL AS STRING))) AS compressed_research, concat(t, ' of  the ', t) AS final_report
+  FROM (SELECT doc_id, regexp_replace(text, '[^A-Za-z0-9 ]', ' ') AS t FROM documents WHERE text IS NOT NULL) AS d"""
+_SETS = {"set0": ("the", "in the", "of the"), "set1": ("an", "the"), "set2": ()}
+_PARTS_OF = [("plan", "t"), ("search", "substr(t, 1, 60)"), ("search", "substr(t, 11, 50)"), ("search", "substr(t, 1, 200)"), ("search", "'in the end'"), ("search", "'The'"), ("search", "substr(t, 51, 200)"), ("search", "substr(t, 61, 60)"), ("compress", "substr(t, 21, 300)"), ("write", "t || ' of  the ' || t")]
+_FIELDS = f"SELECT doc_id, CAST(i AS INT) AS i, stage, doc_id % 3 AS s, x FROM (SELECT doc_id, unnest([{', '.join(f'struct_pack(i := {i}, stage := {chr(39)}{st}{chr(39)}, x := {x})' for i, (st, x) in enumerate(_PARTS_OF))}], recursive := true) FROM {_PLAIN} WHERE t IS NOT NULL)"
+_STEPS = f"""f AS ({_FIELDS}), a AS (SELECT *, CASE s WHEN 0 THEN {_ONE.format('x', 'in +the').replace('[M]', '[MASKED]')} WHEN 1 THEN {_ONE.format('x', 'the').replace('[M]', '[MASKED]')} ELSE x END AS x1, CASE s WHEN 0 THEN {_COUNT.format('x', 'in +the')} WHEN 1 THEN {_COUNT.format('x', 'the')} ELSE 0 END AS n1 FROM f),
+b AS (SELECT *, CASE s WHEN 0 THEN {_ONE.format('x1', 'of +the').replace('[M]', '[MASKED]')} WHEN 1 THEN {_ONE.format('x1', 'an').replace('[M]', '[MASKED]')} ELSE x1 END AS x2, CASE s WHEN 0 THEN {_COUNT.format('x1', 'of +the')} WHEN 1 THEN {_COUNT.format('x1', 'an')} ELSE 0 END AS n2 FROM a),
+c AS (SELECT *, CASE s WHEN 0 THEN {_ONE.format('x2', 'the').replace('[M]', '[MASKED]')} ELSE x2 END AS x3, n1 + n2 + CASE s WHEN 0 THEN {_COUNT.format('x2', 'the')} ELSE 0 END AS n FROM b)"""
+
+
+def _mask_all(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    rows = views.view(spark, d, _NEST)
+    lists = spark.createDataFrame([(k, list(v)) for k, v in _SETS.items()], "set_id string, phrases array<string>")
+    return texts.mask_artifacts(rows.drop("set_id"), rows.select("run_id", "set_id"), lists)
+
+
+@query(f"""WITH {_STEPS}, g AS (SELECT doc_id, list(x3 ORDER BY i) AS m FROM c GROUP BY doc_id) SELECT 'run' || doc_id AS run_id, md5(array_to_string(m, '|')) AS digest, 'l1,the' AS links, 'the topic' AS topic, CAST(2 AS INTEGER) AS notes FROM g""")
 def r028_mask_artifacts(spark: SparkSession, d: str) -> DataFrame:
-    rows = views.view(spark, d, "SELECT concat('set', c_custkey % 40) AS set_id, concat('User', c_custkey) AS run_id, CASE WHEN c_custkey % 2 = 0 THEN 'plan' ELSE 'write' END AS stage, 'brief' AS field, concat('By ', c_name, '.') AS text FROM customer")
-    return texts.mask_artifacts(rows, phrases(spark, d))[1]
+    s, c = F.col("search_trace"), F.col("compressed_research")
+    source = lambda j: [s[0]["sources"][j][x] for x in ("query", "title", "snippet")]
+    told = ["research_brief", *source(0), *source(1), s[1]["query"], c[0]["compressed_research"], "final_report"]
+    same = F.when(s[0]["query"] == s[0]["sources"][0]["query"], F.concat_ws("|", *told))  # both are one text
+    links = F.concat_ws(",", F.transform(s[0]["sources"], lambda x: x["link"]))
+    return _mask_all(spark, d)[0].select("run_id", F.md5(same).alias("digest"), links.alias("links"), s[1]["topic_id"].alias("topic"), F.size(c).alias("notes"))
+
+
+@query(f"""WITH {_STEPS}, u AS (SELECT * FROM c UNION ALL SELECT * FROM c WHERE i = 1) SELECT stage, CAST(sum(n) AS BIGINT) AS masked, CAST(0 AS BIGINT) AS entities, count(DISTINCT doc_id) AS runs, CAST(3 AS INTEGER) AS most_phrases, CAST(3 AS BIGINT) AS phrase_lists FROM u GROUP BY stage""")
+def r028_masking_totals(spark: SparkSession, d: str) -> DataFrame:
+    return texts.masking_totals(_mask_all(spark, d)[1])
 
 
 _GRAMS = """SELECT {0} AS id, i AS pos, array_to_string(t[i:i + 4], ' ') AS g FROM (SELECT {0}, t, unnest(range(1, len(t) - 3)) AS i FROM (SELECT {0}, regexp_extract_all(lower(text), '[a-z0-9]+') AS t FROM {1}) WHERE len(t) >= 5)"""
