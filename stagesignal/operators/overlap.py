@@ -9,34 +9,44 @@ from stagesignal.functions.scalars import URL_RULES, certainty_proxy, is_generic
 from stagesignal.operators.stats import cluster_bootstrap_means
 
 
-def search_mechanism_rows(trace: DataFrame) -> DataFrame:
-    """One wide row per run of trace(run, query, link, attempted): query counts, unique share, characters, entropy and
-    type-token ratio of the query tokens, generic share, hosts, shares of link categories and their entropy. What is
-    counted once is made distinct in narrow tables of its own."""
+def search_mechanism_rows(trace: DataFrame, briefs: DataFrame | None = None) -> DataFrame:
+    """One wide row per run of trace(run, query, link), attempted or not: query counts and those of different queries as
+    written, characters, entropy and type-token ratio of the query tokens, entropy of those of briefs(run, text), generic
+    share, hosts, shares of link categories and their entropy. Blank queries and missing links do not count.
+
+    All that is counted becomes tagged rows (kind, value) of one exchange: queries, tokens, hosts and categories are counted per
+    run by one aggregation, and a second one makes the run's row of their counts."""
     host = url_host(normalize_url(F.col("link")))
-    rows = trace.where("attempted").select("run", "query", normalize_query(F.col("query")).alias("q"), host.alias("host"))
-    rows = rows.withColumn("category", url_category(F.col("host")))  # of a column: as one expression each rule would parse the link anew
-    out = rows.groupBy("run").agg(
-        F.count("*").alias("queries"), F.sum(F.length("query")).alias("chars"), F.round(F.avg(F.length("query")), 6).alias("mean_query_chars"), F.round(F.avg(is_generic(F.col("query")).cast("int")), 6).alias("generic_rate"))
-    once = lambda c, name: rows.groupBy("run", c).agg(F.lit(1)).groupBy("run").agg(F.count(c).alias(name))
-    counts = rows.select("run", F.explode(tokens(F.col("query"), "search")).alias("t")).groupBy("run", "t").agg(F.count("*").alias("n"))
-    # Entropy in bits from the counts: log2 of the total less the mean of log2 n, weighted by n.
-    total = F.sum("n")
-    words = counts.groupBy("run").agg(F.round(F.log2(total) - F.sum(F.col("n") * F.log2("n")) / total, 5).alias("entropy"), F.round(F.count("*") / total, 6).alias("type_token_ratio"), F.count("*").alias("unique_tokens"), total.alias("token_count"))
-    joined = out.join(_category_shares(rows), "run").join(once("q", "unique_queries"), "run").join(once("host", "hosts"), "run").join(words, "run", "left")
-    joined = joined.withColumn("unique_ratio", F.round(F.col("unique_queries") / F.col("queries"), 6))
-    return joined.na.fill(0.0, ["entropy", "type_token_ratio"]).na.fill(0, ["unique_tokens", "token_count"])
-
-
-def _category_shares(rows: DataFrame) -> DataFrame:
-    """Per run the share of each link category, and the entropy of the shares as whole per cents, one at least for each."""
+    rows = trace.select("run", F.trim(F.regexp_replace(F.coalesce("query", F.lit("")), r"^\s+|\s+$", "")).alias("query"), F.when(F.coalesce("link", F.lit("")) != "", host).alias("host"))
+    rows = rows.withColumn("category", F.when(F.col("host").isNotNull(), url_category(F.col("host"))))  # of a column: as one expression each rule would parse the link anew
+    tag = lambda kind, value: F.struct(F.lit(kind).alias("kind"), value.alias("value"))
+    words = lambda kind, text: F.transform(tokens(F.col(text), "search"), lambda t: tag(kind, t))
+    told = F.concat(F.array(tag("query", F.nullif("query", F.lit(""))), tag("host", F.col("host")), tag("category", F.col("category"))), words("token", "query"))
+    tagged = rows.select("run", F.explode(told).alias("x"))
+    if briefs is not None:
+        tagged = tagged.unionByName(briefs.select("run", F.explode(F.concat(F.array(tag("brief", F.lit(None).cast("string"))), words("brief", "text"))).alias("x")))
+    counts = tagged.select("run", "x.*").groupBy("run", "kind", "value").agg(F.count("*").alias("n")).withColumn("kind", F.when(F.col("value").isNotNull(), F.col("kind")))
+
+    def total(kind: str, c: Column | int = 1) -> Column:
+        return F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("n") * c)), F.lit(0))
+
+    def bits(kind: str) -> Column:  # log2 of the total less the mean of log2 n, weighted by n
+        return F.round(F.coalesce(F.log2(F.nullif(total(kind), F.lit(0))) - total(kind, F.log2("n")) / F.nullif(total(kind), F.lit(0)), F.lit(0.0)), 5)
+
+    different = lambda kind: F.count_if(F.col("kind") == kind)
+    share = lambda part, whole: F.round(F.coalesce(F.try_divide(part, whole), F.lit(0.0)), 6)
     names = [*(n for n, _ in URL_RULES), "other_web", "unknown"]
-    counts = rows.groupBy("run", "category").agg(F.count("*").alias("n"))
-    per = counts.groupBy("run").agg(F.sum("n").alias("all"), F.map_from_entries(F.collect_list(F.struct("category", "n"))).alias("of"))  # a category each
-    whole = F.transform(F.map_values("of"), lambda n: F.greatest(F.lit(1.0), F.round(100 * F.round(n / F.col("all"), 6))))
+    of = {c: F.coalesce(F.sum(F.when((F.col("kind") == "category") & (F.col("value") == c), F.col("n"))), F.lit(0)) for c in names}
+    out = counts.groupBy("run").agg(
+        total("query").alias("queries"), different("query").alias("unique_queries"), share(different("query"), total("query")).alias("unique_ratio"), total("query", F.length("value")).alias("chars"),
+        share(total("query", F.length("value")), total("query")).alias("mean_query_chars"), share(total("query", is_generic(F.col("value")).cast("int")), total("query")).alias("generic_rate"),
+        different("host").alias("hosts"), *[share(n, total("category")).alias(f"share_{c}") for c, n in of.items()],
+        bits("token").alias("entropy"), share(different("token"), total("token")).alias("type_token_ratio"), different("token").alias("unique_tokens"), total("token").alias("token_count"), bits("brief").alias("brief_entropy"))
+    # The entropy of the categories' shares as whole per cents, one at least for each.
+    whole = F.filter(F.array(*[F.when(F.col(f"share_{c}") > 0, F.greatest(F.lit(1.0), F.round(100 * F.col(f"share_{c}")))) for c in names]), lambda x: x.isNotNull())
     start = F.struct(F.lit(0.0).alias("sum"), F.lit(0.0).alias("logs"))
-    spread = F.aggregate(whole, start, lambda s, x: F.struct((s["sum"] + x).alias("sum"), (s["logs"] + x * F.log2(x)).alias("logs")), lambda s: F.log2(s["sum"]) - s["logs"] / s["sum"])
-    return per.select("run", *[F.round(F.coalesce(F.col("of")[c], F.lit(0)) / F.col("all"), 6).alias(f"share_{c}") for c in names], F.round(spread, 5).alias("category_entropy"))
+    spread = F.aggregate(whole, start, lambda t, x: F.struct((t["sum"] + x).alias("sum"), (t["logs"] + x * F.log2(x)).alias("logs")), lambda t: F.log2(F.nullif(t["sum"], F.lit(0.0))) - t["logs"] / t["sum"])
+    return out.withColumn("category_entropy", F.round(F.coalesce(spread, F.lit(0.0)), 5))
 
 
 def bucket_retention(queries: DataFrame, briefs: DataFrame, buckets: DataFrame) -> DataFrame:
@@ -98,7 +108,11 @@ def overlap_items(trace: DataFrame, kind: str) -> DataFrame:
 
 def source_stability(trace: DataFrame, units: DataFrame, kind: str) -> DataFrame:
     """Per task: mean Jaccard of one user's items across seeds, and of different users' within a seed, and the difference.
-    units(taskid, userid, seed) is the complete grid; two empty sets overlap by 1. Overlaps are counted through the items."""
+    units(taskid, userid, seed) is the grid: a task in which a user lacks a seed that another has, or with a single user, is an
+    error. Two empty sets overlap by 1. Overlaps are counted through the items."""
+    grid = units.groupBy("taskid").agg(F.count_distinct("userid", "seed").alias("units"), F.count_distinct("userid").alias("users"), F.count_distinct("seed").alias("seeds"))
+    whole = (F.col("users") > 1) & (F.col("units") == F.col("users") * F.col("seeds"))
+    checked = grid.select(F.when(whole, F.col("taskid")).otherwise(F.raise_error(F.concat(F.lit("incomplete task: "), F.col("taskid").cast("string"))).cast(units.schema["taskid"].dataType)).alias("taskid"))
     items = overlap_items(trace, kind)
     sizes = units.join(items.groupBy("taskid", "userid", "seed").agg(F.count("*").alias("n")), ["taskid", "userid", "seed"], "left").na.fill(0, ["n"])
     a, b = (sizes.select("taskid", F.col("userid").alias(f"u{k}"), F.col("seed").alias(f"s{k}"), F.col("n").alias(f"n{k}")) for k in "ab")
@@ -112,10 +126,17 @@ def source_stability(trace: DataFrame, units: DataFrame, kind: str) -> DataFrame
     scored = scored.select("taskid", (F.col("ua") == F.col("ub")).alias("same"), F.when(union > 0, F.col("shared") / union).otherwise(1.0).alias("j"))
     per = scored.groupBy("taskid").agg(F.avg(F.when(F.col("same"), F.col("j"))).alias("within"), F.avg(F.when(~F.col("same"), F.col("j"))).alias("between"),
                                        F.count_if("same").alias("within_pairs"), F.count_if(~F.col("same")).alias("between_pairs"))
-    return per.select("taskid", F.round("within", 6).alias("within"), F.round("between", 6).alias("between"), F.round(F.col("within") - F.col("between"), 6).alias("difference"), "within_pairs", "between_pairs")
+    return checked.join(per, "taskid").select("taskid", F.round("within", 6).alias("within"), F.round("between", 6).alias("between"), F.round(F.col("within") - F.col("between"), 6).alias("difference"), "within_pairs", "between_pairs")
+
+
+def stability_means(per_task: DataFrame) -> DataFrame:
+    """Over all tasks: their number and the means of what they have, each task counting once, and the pairs."""
+    mean = lambda c: F.round(F.avg(c), 6).alias(c)
+    return per_task.agg(F.count("*").alias("tasks"), mean("within"), mean("between"), mean("difference"), F.sum("within_pairs").alias("within_pairs"), F.sum("between_pairs").alias("between_pairs"))
 
 
-def stability_interval(per_task: DataFrame, reps: int = 1000) -> DataFrame:
+def stability_interval(per_task: DataFrame, reps: int = 5000) -> DataFrame:
+    """The mean difference over tasks with its interval."""
     return cluster_bootstrap_means(per_task.where("difference is not null"), "taskid", F.col("difference"), reps=reps)
 
 

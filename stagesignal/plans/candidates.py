@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from stagesignal.functions import scalars as S
 from stagesignal.operators import candidates, matchers, overlap
 from stagesignal.plans import views
-from stagesignal.plans.decisions import M
+from stagesignal.plans.decisions import M, bootstrap_sql
 from stagesignal.plans.registry import query
 from stagesignal.plans.texts import _CATEGORY
 from stagesignal.plans.views import duck, matches
@@ -238,19 +238,31 @@ _U = "regexp_replace(lower(regexp_extract(link, '^([^:]+://[^/]*)', 1)) || regex
 _HOSTS = "lower(regexp_extract(link, '^[^:]+://([^/]*)', 1))"
 _NAMES = ("retail_books", "video", "encyclopedia", "academic", "forum", "course_platform", "gov", "blog", "other_web", "unknown")
 _SHARES = ", ".join(f"round(avg(CAST({_CATEGORY} = '{c}' AS INT)), 6) AS share_{c}" for c in _NAMES)
-_GEN = " OR ".join(f"contains(lower(query), '{p}')" for p in S.GENERIC_PHRASES)
-_STOPS = ", ".join(f"'{w}'" for w in S.SEARCH_STOP)
+_GEN = " OR ".join(f"contains(lower(query), '{p}')" for p in (
+    "best books", "best practices", "how to", "what is", "overview of", "introduction to", "top 10", "isbn", "pdf", "course", "tutorial", "guide to",
+    "list of", "vs ", "versus", "review of", "definition of", "examples of", "methods for", "strategies for", "techniques for", "workbook", "textbook", "syllabus"))
+_STOPS = ", ".join(f"'{w}'" for w in (
+    "a an the and or of in to for is are was were he she they his her their it this that with on at by from as has have had not but also been which who when where what how its be do does did "
+    "i my me we our you your can will would should may into than then so if about more most other").split())
 _PARTS = "list_filter([" + ", ".join(f"CASE WHEN share_{c} > 0 THEN greatest(1.0, round(100 * share_{c})) END" for c in _NAMES) + "], lambda x: x IS NOT NULL)"
-_WORDS = f"SELECT run, w, count(*) AS n FROM (SELECT run, unnest(regexp_extract_all(lower(query), '[a-z0-9]+')) AS w FROM ({TRACE}) WHERE attempted) WHERE length(w) > 2 AND w NOT IN ({_STOPS}) GROUP BY ALL"
-_MECH = f"""SELECT * EXCLUDE (c), round(log2(list_sum(c)) - list_sum(list_transform(c, lambda x: x * log2(x))) / list_sum(c), 5) + 0.0 AS category_entropy FROM (SELECT *, {_PARTS} AS c FROM (WITH x AS (SELECT run, query, {_Q} AS q, {_HOSTS} AS h FROM ({TRACE}) WHERE attempted), c AS ({_WORDS}),
-s AS (SELECT run, sum(n) AS m, count(*) AS k FROM c GROUP BY run), e AS (SELECT run, round(-sum(n / m * log2(n / m)), 5) + 0.0 AS entropy, round(any_value(k) / any_value(m), 6) AS ttr, any_value(k) AS k, CAST(any_value(m) AS BIGINT) AS m FROM c JOIN s USING (run) GROUP BY run)
+# The brief of a run is the comment-like text of its order; its profile's buckets are the names and the brands of its parts.
+_BRIEFS = "SELECT l_orderkey AS run, concat(p_name, ' ', p_type) AS text FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_linenumber = 1"
+_WORDS = f"SELECT run, w, count(*) AS n FROM (SELECT run, unnest(regexp_extract_all(lower(query), '[a-z0-9]+')) AS w FROM ({TRACE})) WHERE length(w) > 2 AND w NOT IN ({_STOPS}) GROUP BY ALL"
+_MECH = f"""SELECT * EXCLUDE (c), round(log2(list_sum(c)) - list_sum(list_transform(c, lambda x: x * log2(x))) / list_sum(c), 5) + 0.0 AS category_entropy FROM (SELECT *, {_PARTS} AS c FROM (WITH x AS (SELECT run, query, trim(query) AS q, {_HOSTS} AS h FROM ({TRACE})), c AS ({_WORDS}),
+s AS (SELECT run, sum(n) AS m, count(*) AS k FROM c GROUP BY run), e AS (SELECT run, round(-sum(n / m * log2(n / m)), 5) + 0.0 AS entropy, round(any_value(k) / any_value(m), 6) AS ttr, any_value(k) AS k, CAST(any_value(m) AS BIGINT) AS m FROM c JOIN s USING (run) GROUP BY run),
+j AS (SELECT run, w, count(*) AS n FROM (SELECT run, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM ({_BRIEFS})) WHERE length(w) > 2 AND w NOT IN ({_STOPS}) GROUP BY ALL),
+g AS (SELECT run, round(log2(sum(n)) - sum(n * log2(n)) / sum(n), 5) + 0.0 AS bits FROM j GROUP BY run)
 SELECT x.run, count(*) AS queries, count(DISTINCT q) AS unique_queries, round(count(DISTINCT q) / count(*), 6) AS unique_ratio, CAST(sum(length(query)) AS BIGINT) AS chars, round(avg(length(query)), 6) AS mean_query_chars, round(avg(CAST({_GEN} AS INT)), 6) AS generic_rate, count(DISTINCT h) AS hosts, {_SHARES},
- coalesce(any_value(entropy), 0.0) AS entropy, coalesce(any_value(ttr), 0.0) AS type_token_ratio, coalesce(any_value(k), 0) AS unique_tokens, coalesce(any_value(m), 0) AS token_count FROM x LEFT JOIN e USING (run) GROUP BY x.run))"""
+ coalesce(any_value(entropy), 0.0) AS entropy, coalesce(any_value(ttr), 0.0) AS type_token_ratio, coalesce(any_value(k), 0) AS unique_tokens, coalesce(any_value(m), 0) AS token_count, coalesce(any_value(bits), 0.0) AS brief_entropy FROM x LEFT JOIN e USING (run) LEFT JOIN g USING (run) GROUP BY x.run))"""
+
+
+def _mechanism(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.search_mechanism_rows(views.view(spark, d, views.TRACE), views.view(spark, d, _BRIEFS))
 
 
 @query(_MECH)
 def r080_search_mechanism_rows(spark: SparkSession, d: str) -> DataFrame:
-    return overlap.search_mechanism_rows(views.view(spark, d, views.TRACE))
+    return _mechanism(spark, d)
 
 
 def _right(spark: SparkSession, d: str) -> DataFrame:
@@ -263,25 +275,23 @@ _LESS = ", ".join(f"round(avg({c}) FILTER (run % 3 = 0) - avg({c}) FILTER (run %
 @query(f"""WITH r AS ({_MECH}), s AS (SELECT 'all' AS scope, * FROM r UNION ALL SELECT CASE WHEN run % 3 = 0 THEN 'search_correct' ELSE 'search_wrong' END, * FROM r)
 SELECT scope, count(*) AS runs, {', '.join(f'round(avg({c}), 4) AS {c}' for c in overlap.SUMMED)} FROM s GROUP BY scope UNION ALL SELECT 'right_less_wrong', count(*), {_LESS} FROM r""")
 def r080_search_mechanism_summary(spark: SparkSession, d: str) -> DataFrame:
-    return overlap.search_mechanism_summary(overlap.search_mechanism_rows(views.view(spark, d, views.TRACE)), _right(spark, d))
+    return overlap.search_mechanism_summary(_mechanism(spark, d), _right(spark, d))
 
 
 @query(f"SELECT run, queries, hosts FROM ({_MECH}) ORDER BY hosts DESC, run LIMIT 5")
 def r080_top_cases(spark: SparkSession, d: str) -> DataFrame:
-    return overlap.top_cases(overlap.search_mechanism_rows(views.view(spark, d, views.TRACE)), "hosts").select("run", "queries", "hosts")
+    return overlap.top_cases(_mechanism(spark, d), "hosts").select("run", "queries", "hosts")
 
 
-# The brief of a run is the comment-like text of its order; its profile's buckets are the names and the brands of its parts.
-_BRIEFS = "SELECT l_orderkey AS run, concat(p_name, ' ', p_type) AS text FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_linenumber = 1"
 _BUCKETS = "SELECT l_orderkey AS run, 'identity' AS bucket, p_name AS value FROM lineitem JOIN part ON p_partkey = l_partkey UNION ALL SELECT l_orderkey, 'interests', concat(p_type, ' ', p_brand) FROM lineitem JOIN part ON p_partkey = l_partkey"
 _SEARCHED = lambda text, rows: f"SELECT DISTINCT run, t FROM (SELECT run, unnest(regexp_extract_all(lower({text}), '[a-z0-9]+')) AS t FROM ({rows})) WHERE length(t) > 2 AND t NOT IN ({_STOPS})"
-_RETENTION = f"""WITH w AS (SELECT DISTINCT run, bucket, unnest(regexp_extract_all(lower(value), '[a-z0-9]+')) AS t FROM ({_BUCKETS})), b AS ({_SEARCHED('text', _BRIEFS)}), q AS ({_SEARCHED('query', f'SELECT run, query FROM ({TRACE}) WHERE attempted')})
+_RETENTION = f"""WITH w AS (SELECT DISTINCT run, bucket, unnest(regexp_extract_all(lower(value), '[a-z0-9]+')) AS t FROM ({_BUCKETS})), b AS ({_SEARCHED('text', _BRIEFS)}), q AS ({_SEARCHED('query', f'SELECT run, query FROM ({TRACE})')})
 SELECT w.run, bucket, count(*) AS tokens, round(count(b.t) / count(*), 6) AS brief, round(count(q.t) / count(*), 6) AS query, round((count(b.t) - count(q.t)) / count(*), 6) AS lost FROM w LEFT JOIN b ON b.run = w.run AND b.t = w.t LEFT JOIN q ON q.run = w.run AND q.t = w.t GROUP BY w.run, bucket"""
 
 
 def _retention(spark: SparkSession, d: str) -> DataFrame:
     buckets = views.view(spark, d, _BUCKETS).groupBy("run", "bucket").agg(F.flatten(F.collect_list(S.tokens(F.col("value")))).alias("tokens"))
-    return overlap.bucket_retention(views.view(spark, d, views.TRACE).where("attempted").select("run", "query"), views.view(spark, d, _BRIEFS), buckets)
+    return overlap.bucket_retention(views.view(spark, d, views.TRACE).select("run", "query"), views.view(spark, d, _BRIEFS), buckets)
 
 
 @query(_RETENTION)
@@ -307,7 +317,7 @@ _OUT = "SELECT o_orderkey AS run, CAST(o_custkey % 3 > 0 AS INT) AS plan, CAST(o
 
 @query(f"SELECT m.run, generic_rate, coalesce(lost, 0.0) AS lost, mean_query_chars FROM ({_MECH}) m JOIN ({_OUT}) o USING (run) LEFT JOIN (SELECT run, lost FROM ({_RETENTION}) WHERE bucket = 'identity') r USING (run) WHERE plan = 1 AND search = 0 AND write = 1 ORDER BY generic_rate DESC, lost DESC, mean_query_chars DESC, m.run LIMIT 5")
 def r080_recovery_cases(spark: SparkSession, d: str) -> DataFrame:
-    rows = overlap.search_mechanism_rows(views.view(spark, d, views.TRACE))
+    rows = _mechanism(spark, d)
     return overlap.recovery_cases(rows, _retention(spark, d), views.view(spark, d, _OUT), "identity")
 
 
@@ -332,6 +342,21 @@ def r081_query_stability(spark: SparkSession, d: str) -> DataFrame:
     return _stability(spark, d, "queries")
 
 
+_PER_TASK = _stable(_U).replace("AS between,", 'AS "between",')
+_GAPS = f"SELECT taskid AS cluster, difference AS s, 1 AS c FROM ({_PER_TASK})"
+
+
+@query(f"""SELECT count(*) AS tasks, round(avg(within), 6) AS within, round(avg("between"), 6) AS "between", round(avg(difference), 6) AS difference, CAST(sum(within_pairs) AS BIGINT) AS within_pairs, CAST(sum(between_pairs) AS BIGINT) AS between_pairs FROM ({_PER_TASK})""")
+def r081_stability_means(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.stability_means(_stability(spark, d, "urls"))
+
+
+@query(f"SELECT p.n, p.mean, b.ci_low, b.ci_high FROM (SELECT count(*) AS n, round(avg(s), 6) AS mean FROM ({_GAPS})) p, {bootstrap_sql(_GAPS, '', 'sum s, sum c', 's / c', 300)} b")
+def r081_stability_interval(spark: SparkSession, d: str) -> DataFrame:
+    """300 resamples: the SQL has a row for each of them and task."""
+    return overlap.stability_interval(_stability(spark, d, "urls"), 300)
+
+
 @query(f"""WITH i AS (SELECT DISTINCT taskid, userid, {_U} AS url FROM ({TRACE}) WHERE attempted), m AS (SELECT taskid, count(DISTINCT userid) AS members, count(*) AS total FROM i GROUP BY taskid), k AS (SELECT taskid, url, count(*) AS k FROM i GROUP BY ALL)
 SELECT taskid, members, count(*) AS "union", count_if(k = 1) AS single, count_if(k = members) AS common, CAST(sum(k * (k - 1) // 2) AS BIGINT) AS pairwise_shared, round(count_if(k = 1) / count(*), 6) AS unique_fraction, round(any_value(total) / any_value(members), 6) AS mean_per_member,
  round(CASE WHEN members > 1 THEN 2 * sum(k * (k - 1) // 2) / ((members - 1) * any_value(total)) END, 6) AS mean_overlap, round(CASE WHEN members > 1 THEN 1 - 2 * sum(k * (k - 1) // 2) / ((members - 1) * any_value(total)) END, 6) AS mean_apart FROM k JOIN m USING (taskid) GROUP BY taskid, members""")

@@ -243,7 +243,9 @@ def r036_normalize_url(spark: SparkSession, d: str) -> DataFrame:
 
 
 _HOST = "lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)', 1))"
-_CATEGORY = "CASE WHEN h = '' THEN 'unknown' " + " ".join(f"WHEN {' OR '.join(f'contains(h, {chr(39)}{p}{chr(39)})' for p in parts)} THEN '{n}'" for n, parts in S.URL_RULES) + " ELSE 'other_web' END"
+_CATEGORY = "CASE WHEN h = '' THEN 'unknown' " + " ".join(f"WHEN {' OR '.join(f'contains(h, {chr(39)}{x}{chr(39)})' for x in parts.split())} THEN '{n}'" for n, parts in (
+    ("retail_books", "amazon dangdang book goodreads isbn"), ("video", "youtube bilibili vimeo"), ("encyclopedia", "wikipedia wiki"), ("academic", "edu ac. arxiv springer ieee acm.org nih.gov pubmed"), ("forum", "reddit zhihu quora stackoverflow"),
+    ("course_platform", "coursera udemy edx skillshare khan"), ("gov", "gov who.int cdc.gov"), ("blog", "medium.com blog substack"))) + " ELSE 'other_web' END"
 
 
 @query(f"SELECT category, count(*) AS pages, round(count(*) / sum(count(*)) OVER (), 6) AS fraction FROM (SELECT {_CATEGORY} AS category FROM (SELECT {_HOST} AS h FROM pages)) GROUP BY category")

@@ -265,6 +265,10 @@ def test_urls_and_stability(spark):
     log = spark.createDataFrame(rows, "taskid string, userid string, seed long, query string, link string, attempted boolean")
     got = overlap.source_stability(log, log.select("taskid", "userid", "seed"), "urls")
     assert {(r["within"], r["between"], r["difference"]) for r in got.collect()} == {(1.0, 0.0, 1.0)}
+    assert one(overlap.stability_means(got)) == {"tasks": 2, "within": 1.0, "between": 0.0, "difference": 1.0, "within_pairs": 6, "between_pairs": 12}
+    for gap in ("taskid = 't1' and userid = 'a' and seed = 1", "taskid = 't1' and userid <> 'a'"):
+        with pytest.raises(Exception, match="incomplete task: t1"):
+            overlap.source_stability(log, log.where(f"not ({gap})").select("taskid", "userid", "seed"), "urls").collect()
     assert (one(overlap.stability_interval(got, 50))["ci_low"], one(overlap.stability_interval(got, 50))["ci_high"]) == (1.0, 1.0)
 
 
@@ -444,7 +448,9 @@ def test_mechanism_of_search(spark):
     log = spark.createDataFrame(trace_rows, "run string, query string, link string, attempted boolean")
     rows = overlap.search_mechanism_rows(log)
     got = {r["run"]: r for r in rows.collect()}
-    assert (got["r1"]["queries"], got["r1"]["unique_queries"], got["r1"]["hosts"], got["r1"]["generic_rate"], got["r1"]["category_entropy"], got["r2"]["category_entropy"]) == (2, 1, 2, 0.5, 1.0, 0.0)
+    assert (got["r1"]["queries"], got["r1"]["unique_queries"], got["r1"]["hosts"], got["r1"]["generic_rate"], got["r1"]["category_entropy"], got["r2"]["category_entropy"]) == (3, 3, 2, 0.333333, 1.0, 0.0)
+    told = {r["run"]: r for r in overlap.search_mechanism_rows(log, spark.createDataFrame([("r1", "tea pot tea pot"), ("r3", None)], "run string, text string")).collect()}
+    assert told["r1"]["brief_entropy"] == 1.0 and (told["r3"]["queries"], told["r3"]["unique_ratio"], told["r3"]["entropy"]) == (0, 0.0, 0.0) and told["r2"]["type_token_ratio"] == 1.0
     buckets = spark.createDataFrame([("r1", "interests", ["tea", "pot", "lid", "cup"]), ("r2", "interests", ["pot"])], "run string, bucket string, tokens array<string>")
     briefs = spark.createDataFrame([("r1", "Tea, a pot and a cup.")], "run string, text string")
     kept = overlap.bucket_retention(log.where("attempted"), briefs, buckets)
