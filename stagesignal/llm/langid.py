@@ -18,7 +18,7 @@ an empty table gives an empty result. Other columns are kept by `accepted_rows`
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -126,6 +126,22 @@ def bounds(values: list[list[float]], rejected: float) -> np.ndarray:
     return np.minimum.accumulate(out[::-1])[::-1]
 
 
+def window_logits(model: Model, raw: bytes) -> Callable[[np.ndarray, int], np.ndarray]:
+    """The logits of a text's windows, from running sums of what its subwords add: (starts, length) -> a row each."""
+    b = np.frombuffer(raw, dtype=np.uint8).astype(np.uint32)
+    code, sums = np.zeros(len(b), dtype=np.uint32), []
+    for n in range(GRAMS):
+        code = code[: len(b) - n] * np.uint32(257) + b[n:] + np.uint32(1)
+        sums.append(np.concatenate([np.zeros((1, len(model.langs))), np.cumsum(model.table[(code * np.uint32(2654435761)) >> np.uint32(18)], axis=0)]))
+
+    def logits(starts: np.ndarray, length: int) -> np.ndarray:
+        ends = [np.minimum(starts + max(0, length - n), len(x) - 1) for n, x in enumerate(sums)]
+        total = sum(e - np.minimum(starts, e) for e in ends)
+        return sum(x[e] - x[np.minimum(starts, e)] for x, e in zip(sums, ends)) / np.maximum(total, 1)[:, None] + model.bias
+
+    return logits
+
+
 def train(texts: list[str], labels: list[str], *, epochs: int = 12, rate: float = 4.0, batch: int = 32, seed: int = 5, rejected: float = 0.001) -> Model:
     """Stochastic gradient descent on embeddings and layer; every eighth text is held out for calibration."""
     langs = sorted(set(labels))
@@ -174,9 +190,9 @@ def train(texts: list[str], labels: list[str], *, epochs: int = 12, rate: float
     model.temperature = float(min(losses, key=lambda t: (losses[t], t)))
     scores, shares = ([[] for _ in range(64)] for _ in range(2))
     for r in check:
+        logits = window_logits(model, raws[r])
         for k, starts, size in spans(len(codes[r]), -(-WINDOWS // len(check))):
-            z = np.array([model.logits(raws[r][i : i + size + 2])[0] for i in starts])
-            scores[k].extend(_softmax(z / model.temperature).max(axis=1))
+            scores[k].extend(_softmax(logits(starts, size + 2) / model.temperature).max(axis=1))
     for c in codes:
         # Seen in two texts besides its own, so that every text is as one held out.
         upto = np.concatenate([[0], np.cumsum(times[c] >= 3)])
