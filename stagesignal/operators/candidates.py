@@ -188,8 +188,11 @@ def centrality_prior(members: DataFrame) -> DataFrame:
 
 def run_plan(sets: DataFrame, profiles: DataFrame, seeds: Sequence[int]) -> DataFrame:
     """Every query with every candidate and seed: run id, position, whether it is the truth, hashes of prompt and profile.
-    sets(id, gt_userid, question, candidates), profiles(userid, items): items are reduced to id, category and text first."""
-    rows = sets.select("id", "gt_userid", "question", F.posexplode("candidates").alias("position", "userid"), F.lit(list(seeds)).alias("seeds"))
+    sets(id, gt_userid, question, candidates), profiles(userid, items): items are reduced to id, category and text first. A set
+    with a candidate twice, or that does not begin with its truth, is an error."""
+    good = (F.size(F.array_distinct("candidates")) == F.size("candidates")) & F.coalesce(F.try_element_at("candidates", F.lit(1)) == F.col("gt_userid"), F.lit(False))
+    checked = F.when(good, F.col("candidates")).otherwise(F.raise_error(F.concat(F.lit("candidates repeat or do not begin with the truth: "), F.col("id").cast("string"))).cast(sets.schema["candidates"].dataType))
+    rows = sets.withColumn("candidates", checked).select("id", "gt_userid", "question", F.posexplode("candidates").alias("position", "userid"), F.lit(list(seeds)).alias("seeds"))
     rows = rows.select("id", "gt_userid", "question", "position", "userid", F.explode("seeds").alias("seed"))
     plain = F.to_json(F.transform("items", lambda i: F.struct(i["id"].alias("id"), i["category"].alias("category"), i["text"].alias("text"))))
     joined = rows.join(profiles.select("userid", F.sha2(plain, 256).alias("profile_hash")), "userid", "left")

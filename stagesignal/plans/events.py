@@ -224,6 +224,17 @@ def r111_run_ledger(spark: SparkSession, d: str) -> DataFrame:
     return trace.run_ledger(views.view(spark, d, SNAPSHOTS))
 
 
+@query(f"SELECT *, queries_successful >= 0 AND queries_successful <= queries_attempted AND queries_attempted <= 7 AS consistent FROM (SELECT run_id, max(version) AS version, arg_max(queries_attempted, version) AS queries_attempted, arg_max(queries_successful, version) AS queries_successful FROM ({SNAPSHOTS}) GROUP BY run_id)")
+def r111_stream_run_ledger(spark: SparkSession, d: str) -> DataFrame:
+    """Snapshots in four steps, each a batch or more, with a restart between them; superseded parts are removed."""
+    rows = views.view(spark, d, SNAPSHOTS)
+    folder, most = f"{io.shared_folder(spark)}/ledger-{uuid.uuid4().hex}", rows.agg(F.max("version")).first()[0]
+    for k in (2, 0, 3, 1):  # later versions may come first
+        rows.where(F.floor(F.col("version") * 4 / (most + 1)) == k).write.parquet(f"{folder}/in/step={k}")
+        last = decisions.run_ledger_stream(spark.readStream.schema(rows.schema).parquet(f"{folder}/in/step=*"), folder, parts=8, keep=2)
+    return trace.run_ledger(decisions.ledger(spark, folder, last).select(*rows.columns))
+
+
 _STAGED = "SELECT *, CASE event_type WHEN 'view' THEN 'plan' WHEN 'click' THEN 'search' WHEN 'error' THEN 'compress' ELSE 'write' END AS stage FROM events"
 
 

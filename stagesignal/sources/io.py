@@ -51,9 +51,10 @@ def read_profile_items(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_matches(spark: SparkSession, path: str, glob: str = "*_match.json") -> DataFrame:
-    """Decisions of a directory of JSON arrays with task and seed from the run id; unknown stages and duplicates are errors."""
+    """Decisions of a directory of JSON arrays with task and seed from the run id; unknown stages, duplicates and run ids that do not parse are errors."""
     rows = spark.read.schema(MATCH).option("pathGlobFilter", glob).json(path, multiLine=True)
     _refuse(rows.where(~F.col("stage").isin(*STAGES)), "Unknown stage")
+    _refuse(rows.where(~F.coalesce(F.col("run_id").rlike(RUN_ID), F.lit(False))).select("run_id"), "Run id does not parse")
     _refuse(rows.groupBy("run_id", "stage").count().where("count > 1"), "Duplicate match records")
     parsed = parse_run_id(F.col("run_id"))
     return rows.withColumn("correct", F.coalesce("correct", F.lit(False))).withColumn("taskid", parsed["taskid"]).withColumn("seed", parsed["seed"])

@@ -153,10 +153,17 @@ def run_to_files(stream: DataFrame, mode: str, folder: str) -> DataFrame:
     return stream.sparkSession.read.schema(f"{stream.schema.toDDL()}, batch long").parquet(f"{folder}/rows")
 
 
-def ledger_upsert(path: str, parts: int = 64):
+def ledger_upsert(path: str, parts: int = 64, keep: int = 3):
     """A foreachBatch function that keeps the latest snapshot of each run below path, by parts of the run ids. A batch writes
     anew only the parts that it has runs of, and then a manifest: for each part, the batch that wrote it last. A batch that
-    is repeated writes the same again, and no reader sees it before its manifest. Batches count from 0."""
+    is repeated writes the same again, and no reader sees it before its manifest. Batches count from 0.
+
+    What no manifest of the last `keep` batches names is removed after the manifest is written, so the disk holds the live
+    rows and those superseded within `keep` batches, and a reader pinned to one of these (`ledger`) is not disturbed. A
+    removal that fails is made up for by the next batch. keep is 2 at least: a repeated batch reads the one before."""
+    if keep < 2:
+        raise ValueError("keep must be 2 at least")
+
     def upsert(batch: DataFrame, batch_id: int) -> None:
         spark, part = batch.sparkSession, F.pmod(F.xxhash64("run_id"), F.lit(parts)).cast("int")
         held = _manifest(spark, path, batch_id - 1) if batch_id else {}
@@ -167,14 +174,39 @@ def ledger_upsert(path: str, parts: int = 64):
         latest.write.mode("overwrite").partitionBy("part").parquet(f"{path}/data/batch={batch_id}")
         now = held | {p: batch_id for p in touched}
         spark.createDataFrame(sorted(now.items()), "part int, batch long").coalesce(1).write.mode("overwrite").json(f"{path}/manifest/batch={batch_id}")
+        if batch_id >= keep:
+            _compact(spark, path, batch_id, keep)
 
     return upsert
 
 
+def _compact(spark: SparkSession, path: str, batch_id: int, keep: int) -> None:
+    """Removes what the manifests of the last keep batches do not name, and the manifests before them."""
+    named = {(b, p) for k in range(batch_id - keep + 1, batch_id + 1) for p, b in _manifest(spark, path, k).items()}
+    folder = spark._jvm.org.apache.hadoop.fs.Path
+    store = folder(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    batches = [int(f.getPath().getName().partition("=")[2]) for f in store.listStatus(folder(f"{path}/manifest"))]
+    for gone in sorted(k for k in batches if k <= batch_id - keep):  # one, if no removal failed
+        for p, b in _manifest(spark, path, gone).items():
+            data = folder(f"{path}/data/batch={b}")
+            if (b, p) not in named and store.exists(data):
+                store.delete(folder(f"{path}/data/batch={b}/part={p}"), True)
+                if not any(f.isDirectory() for f in store.listStatus(data)):
+                    store.delete(data, True)
+        store.delete(folder(f"{path}/manifest/batch={gone}"), True)
+
+
 def _manifest(spark: SparkSession, path: str, batch_id: int) -> dict[int, int]:
     return {r["part"]: r["batch"] for r in spark.read.schema("part int, batch long").json(f"{path}/manifest/batch={batch_id}").collect()}
 
 
 def ledger(spark: SparkSession, path: str, batch_id: int) -> DataFrame:
-    """The ledger as a batch left it."""
+    """The ledger as a batch left it: one of the last that `ledger_upsert` keeps."""
     return spark.read.parquet(*[f"{path}/data/batch={b}/part={p}" for p, b in _manifest(spark, path, batch_id).items()])
+
+
+def run_ledger_stream(snapshots: DataFrame, path: str, parts: int = 64, keep: int = 3) -> int:
+    """Runs a stream of snapshots (run_id, version, ..) over what its source has now into the ledger below path; going on
+    later, it starts where it ended. Returns the last batch."""
+    snapshots.writeStream.option("checkpointLocation", f"{path}/progress").trigger(availableNow=True).foreachBatch(ledger_upsert(path, parts, keep)).start().awaitTermination()
+    return max(r["batch"] for r in snapshots.sparkSession.read.format("binaryFile").option("pathGlobFilter", "*.json").option("recursiveFileLookup", "true").load(f"{path}/manifest").select(F.regexp_extract("path", "batch=([0-9]+)", 1).cast("long").alias("batch")).collect())

@@ -310,6 +310,21 @@ def test_ledger_upsert_writes_only_the_parts_of_a_batch(spark, tmp_path):
     assert got == {f"r{k}": (1, k) for k in range(100)} | {"r5": (2, 500), "new": (1, 7)}
 
 
+def test_ledger_drops_what_no_kept_batch_names(spark, tmp_path):
+    """Disk stays bounded over many batches, and readers of the last ones see what those left."""
+    upsert, schema = decisions.ledger_upsert(str(tmp_path), parts=4, keep=2), "run_id string, version long, n long"
+    state, seen = {}, {}
+    for k in range(12):
+        rows = [(f"r{(k * 3 + j) % 10}", k, k * j) for j in range(3)]
+        upsert(spark.createDataFrame(rows, schema).coalesce(1), k)
+        state |= {r: (v, n) for r, v, n in rows}
+        seen[k] = dict(state)
+        for past in (k, max(0, k - 1)):
+            assert {r["run_id"]: (r["version"], r["n"]) for r in decisions.ledger(spark, str(tmp_path), past).collect()} == seen[past]
+        assert len(list((tmp_path / "data").glob("batch=*/part=*"))) <= 3 * 4
+    assert sorted(int(p.name[6:]) for p in (tmp_path / "manifest").glob("batch=*")) == [10, 11]
+
+
 def test_quality_gate(spark):
     rows = [(True, True, [], [], None, None, 100, 1.0, 7, 6, 1, 9), (True, False, ["no source"], [], None, "", 90, 2.0, 7, 5, 2, 4), (None, True, ["x"], ["y"], "z", "crashed", 5, 1.0, 1, 1, 1, 1)]
     df = spark.createDataFrame(rows, "schema_valid boolean, success_criteria_met boolean, completeness_errors array<string>, ledger_errors array<string>, execution_error string, error string, total_tokens long, elapsed_sec double, queries_attempted long, queries_successful long, queries_failed long, sources_selected long")

@@ -93,3 +93,12 @@ def test_splits_are_disjoint_and_keep_the_shares(spark):
     assert all(r["split"] == "conf" for r in got if r["subset"])
     share = sum(s == "s0" for s, _ in rows) / 600
     assert abs(size(lambda r: r["split"] == "conf" and r["s"] == "s0") - 120 * share) <= 1
+
+
+def test_plans_need_sets_that_begin_with_their_truth(spark):
+    people = spark.createDataFrame([(u, [("1", "c", "t")]) for u in "abc"], "userid string, items array<struct<id: string, category: string, text: string>>")
+    plan = lambda c: candidates.run_plan(spark.createDataFrame([(1, "a", "q", c)], "id long, gt_userid string, question string, candidates array<string>"), people, (0, 1))
+    assert [(r["userid"], r["is_gt"]) for r in plan(["a", "b", "c"]).where("seed = 0").orderBy("position").collect()] == [("a", True), ("b", False), ("c", False)]
+    for bad in (["b", "a", "c"], ["a", "b", "b"]):
+        with pytest.raises(Exception, match="begin with the truth: 1"):
+            plan(bad).collect()
