@@ -4,7 +4,7 @@ import math
 
 import numpy as np
 
-from stagesignal.llm import langid
+from stagesignal.llm import langid, toxicity
 
 TEXTS = [f"{a} {b} {a} the house {k}" for k, (a, b) in enumerate([("über", "straße"), ("the", "garden"), ("mañana", "niño"), ("où", "garçon")] * 12)]
 LANGS = ["de", "en", "es", "fr"] * 12
@@ -36,3 +36,18 @@ def test_language_scores_are_those_of_a_plain_loop():
         windows = langid.window_logits(model, raw)
         for start, length in ((0, len(raw)), (0, 3), (max(0, len(raw) - 3), 3), (len(raw) // 2, min(5, len(raw) - len(raw) // 2))):
             assert np.allclose(windows(np.array([start]), length)[0], plain_logits(model, raw[start : start + length]), atol=1e-9)
+
+
+def test_toxicity_scores_are_those_of_all_pairs():
+    """Each pair of terms one after the other."""
+    draw = np.random.default_rng(1)
+    words = ["you", "fool", "group", "kind", "tea", "pot", "lid", "cup", "red", "blue"]
+    texts = [" ".join(draw.choice(words, 6)) for _ in range(120)]
+    model = toxicity.train(texts, [int("fool" in t and "group" in t) for t in texts], steps=2000)
+    assert len(model.known)
+    for text in [*texts[:50], "", None, "unknown words only", "fool " * 500 + "group"]:
+        on = [int(np.searchsorted(model.known, t)) for t in toxicity.terms(text) if t in set(model.known.tolist())]
+        z = model.w0 + sum(model.w[k] for k in on)
+        z += sum(float(np.dot(model.v[a], model.v[b])) for n, a in enumerate(on) for b in on[n + 1 :])
+        want = 1 / (1 + math.exp(-min(30, max(-30, model.slope * z + model.offset))))
+        assert abs(model.score(text) - want) < 1e-9
