@@ -49,9 +49,9 @@ def r021_baseline_stage_text(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""SELECT 'run' || doc_id AS run_id, stage, CASE stage WHEN 'search' THEN md5('Retrieved sources [topic_001]:' || chr(10) || '  • ' || substr(t, 11, 50) || ': ' || substr(t, 1, 200) || chr(10) || '  • The: ' || substr(t, 51, 200)) ELSE md5(substr(t, 1, 60) || ' ' || substr(t, 61, 60)) END AS digest
-FROM (SELECT doc_id, regexp_replace(text, '[^A-Za-z0-9 ]', ' ', 'g') AS t FROM documents WHERE text IS NOT NULL), (VALUES ('search'), ('baseline')) AS v(stage)""")
+FROM (SELECT doc_id, regexp_replace(text, '[^A-Za-z0-9 ]', ' ', 'g') AS t FROM documents WHERE text IS NOT NULL), (VALUES ('search'), ('baseline')) AS v(stage) WHERE stage = 'search' OR trim(substr(t, 1, 120)) <> ''""")
 def r020_search_views(spark: SparkSession, d: str) -> DataFrame:
-    """Result lines without queries, and the baselines' queries without results, of artifacts with one successful query."""
+    """Result lines without queries, and the baselines' queries without results, of artifacts with one successful query; blank texts are dropped."""
     rows = views.view(spark, d, _NEST)
     good = rows.withColumn("search_trace", F.transform("search_trace", lambda q, i: q.withField("status", F.when(i == 0, "ok").otherwise("failed"))))
     told = texts.stage_text(good, "snippets").where("stage = 'search'").select("run_id", "stage", F.md5("text").alias("digest"))
