@@ -38,7 +38,7 @@ def _digest(df: DataFrame) -> DataFrame:
 _CAPPED = "SELECT run_id, stage, left(text, CASE stage WHEN 'plan' THEN 4000 WHEN 'search' THEN 3500 WHEN 'compress' THEN 6000 ELSE 8000 END) AS text"
 
 
-@query(f"SELECT {_DIGEST} FROM ({_CAPPED} FROM ({_STAGES(_SEARCH, chr(39) + '## topic_001' + chr(39) + ' || chr(10) || c')}) WHERE trim(regexp_replace(text, '\\s+', ' ', 'g')) <> '')")
+@query(f"SELECT {_DIGEST} FROM ({_CAPPED} FROM ({_STAGES(_SEARCH, chr(39) + '## topic_001' + chr(39) + ' || chr(10) || coalesce(c, ' + chr(39) * 2 + ')')}) WHERE trim(regexp_replace(text, '\\s+', ' ', 'g')) <> '')")
 def r020_stage_text(spark: SparkSession, d: str) -> DataFrame:
     return _digest(texts.stage_text(artifacts(spark, d)))
 

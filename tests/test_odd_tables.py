@@ -27,3 +27,8 @@ def documents(spark, folder, texts):
 def test_blank_searches_are_dropped_by_query_and_sql(spark, tmp_path):
     got, want = held(spark, documents(spark, tmp_path, ["one two", " ", "\u00e4\u00f6\u00fc" * 50, "", "a" * 200, "\u4e2d" * 120 + "late"]), "r020_search_views")
     assert got == want and len(got) == 6 + 2
+
+
+def test_a_run_without_compressed_text_has_an_empty_block(spark, tmp_path):
+    got, want = held(spark, documents(spark, tmp_path, [f"text {k}" for k in range(6)]), "r020_stage_text")
+    assert got == want and ("pilot_task1_User1_seed0", "compress", 13) in [r[:3] for r in got]
