@@ -37,7 +37,7 @@ def _stacked(artifacts: DataFrame, texts: dict[str, Column]) -> DataFrame:
 
 
 def findings_text(compressed: str | Column = "compressed_research", name: str = "topic_text") -> Column:
-    """Compressed research as "## topic" blocks, named by name or else by topic_id."""
+    """Compressed research as "## topic" blocks, named by name or else by topic_id; a missing text counts as empty."""
     text = lambda c: F.coalesce(F.nullif(c[name], F.lit("")), c["topic_id"], F.lit(""))
     return F.concat_ws("\n\n", F.transform(compressed, lambda c: F.concat(F.lit("## "), text(c), F.lit("\n"), F.coalesce(c["compressed_research"], F.lit("")))))
 

@@ -74,7 +74,7 @@ def r023_estimate_prompts(spark: SparkSession, d: str) -> DataFrame:
     return texts.estimate_prompts(decisions, leaves(spark, d).groupBy("userid").agg(F.sum(F.length("value")).alias("chars")))
 
 
-@query(f"SELECT {_ID}, md5('## first' || chr(10) || c) AS digest FROM ({_F})")
+@query(f"SELECT {_ID}, md5('## first' || chr(10) || coalesce(c, '')) AS digest FROM ({_F})")
 def r024_findings_text(spark: SparkSession, d: str) -> DataFrame:
     return artifacts(spark, d).select("run_id", F.md5(texts.findings_text()).alias("digest"))
 

@@ -32,3 +32,8 @@ def test_blank_searches_are_dropped_by_query_and_sql(spark, tmp_path):
 def test_a_run_without_compressed_text_has_an_empty_block(spark, tmp_path):
     got, want = held(spark, documents(spark, tmp_path, [f"text {k}" for k in range(6)]), "r020_stage_text")
     assert got == want and ("pilot_task1_User1_seed0", "compress", 13) in [r[:3] for r in got]
+
+
+def test_findings_of_a_run_without_compressed_text(spark, tmp_path):
+    got, want = held(spark, documents(spark, tmp_path, [f"text {k}" for k in range(6)]), "r024_findings_text")
+    assert got == want and all(digest for _, digest in got)
