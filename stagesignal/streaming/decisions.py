@@ -34,7 +34,10 @@ _SOURCE = ("query", "title", "link", "domain", "rank", "snippet")
 class _SearchCalls(StatefulProcessor):
     """A run's search calls: events wait until the watermark has passed them, so they are taken in the order of time however
     they arrive. A start opens its queries, a record of the search log waits for the first use of its text, an end claims
-    records, an error fails its queries; once nothing came for idle ms, what is open is closed as incomplete."""
+    records, an error fails its queries; once nothing came for idle ms, what is open is closed as incomplete.
+
+    A text's records are a queue, an entry of the state for each. What the due events touch is read once, changed in memory and
+    written once, so the work grows with the events, however many records wait."""
 
     def __init__(self, idle: int):
         self.idle = idle
@@ -43,7 +46,8 @@ class _SearchCalls(StatefulProcessor):
         self.handle = handle
         self.waiting = handle.getListState("waiting", "ms long, ord long, event string, call_id string, topic_id string, queries string, output string, record string")
         self.calls = handle.getMapState("calls", "call_id string", "call string")
-        self.log = handle.getMapState("log", "query string", "records string")
+        self.log = handle.getMapState("log", "query string, n long", "record string")
+        self.ends = handle.getMapState("ends", "query string", "first long, next long")
         self.numbers = handle.getMapState("numbers", "topic_id string", "n long")
         self.last = handle.getValueState("last", "ms long")
 
@@ -62,6 +66,7 @@ class _SearchCalls(StatefulProcessor):
 
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
         now, out = timerValues.getCurrentWatermarkInMs(), []
+        self._opened, self._counts, self._queues, self._fresh = {}, {}, {}, {}
         held = list(self.waiting.get())
         due = sorted((r for r in held if r[0] <= now), key=lambda r: (r[0], r[1], r[2] != "search_record"))
         if due:
@@ -69,30 +74,33 @@ class _SearchCalls(StatefulProcessor):
             self.waiting.put(rest) if rest else self.waiting.clear()
         for _, order, event, call_id, topic, queries, output, record in due:
             self._take(key[0], order, event, call_id or "", topic or "topic_unmapped", json.loads(queries or "[]"), output, record, out)
+        self._store()
         if self.last.exists() and now >= self.last.get()[0] + self.idle and len(due) == len(held):
             for call_id, call in list(self.calls.iterator()):
                 opened = json.loads(call[0])
                 out += [] if opened["settled"] else [(key[0], opened["call_id"], i, t, q, True, "failure", "trace_incomplete_tool_call", "[]", None) for i, t, q in opened["queries"]]
-            for state in (self.waiting, self.calls, self.log, self.numbers, self.last):
+            for state in (self.waiting, self.calls, self.log, self.ends, self.numbers, self.last):
                 state.clear()
         yield pd.DataFrame(out, columns=[c.split()[0] for c in CALL_ROWS.split(", ")])
 
     def _take(self, run: str, order: int, event: str, call_id: str, topic: str, queries: list, output: str | None, record: str | None, out: list) -> None:
-        name = (call_id,)
         if event == "search_record":
-            text = (json.loads(record)["query"],)
-            held = json.loads(self.log.getValue(text)[0]) if self.log.containsKey(text) else []
-            self.log.updateValue(text, (json.dumps([*held, record]),))
+            text = json.loads(record)["query"]
+            ends = self._queue(text)
+            self._fresh[text, ends[1]] = record
+            ends[1] += 1
         elif event == "tool_start":
-            if self.calls.containsKey(name):  # the same id again: the earlier call can no longer end
-                self.calls.updateValue((f"{call_id}\0{order}",), self.calls.getValue(name))
-            n = self.numbers.getValue((topic,))[0] if self.numbers.containsKey((topic,)) else 0
+            earlier = self._call(call_id)
+            if earlier and not earlier["settled"]:  # the same id again: the earlier call can no longer end
+                self._opened[f"{call_id}\0{order}"] = earlier
+            if topic not in self._counts:
+                self._counts[topic] = (self.numbers.getValue((topic,)) or (0,))[0]
+            n = self._counts[topic]
             ids = [(f"{topic}_query_{n + k:03d}", topic, "None" if q is None else q) for k, q in enumerate(queries, 1)]
-            self.numbers.updateValue((topic,), (n + len(ids),))
-            self.calls.updateValue(name, (json.dumps({"call_id": call_id, "settled": False, "queries": ids}),))
-        elif self.calls.containsKey(name):
-            opened = json.loads(self.calls.getValue(name)[0])
-            self.calls.updateValue(name, (json.dumps(opened | {"settled": True}),))
+            self._counts[topic] = n + len(ids)
+            self._opened[call_id] = {"call_id": call_id, "settled": False, "queries": ids}
+        elif opened := self._call(call_id):
+            opened["settled"] = True
             found = [self._claim(q) for _, _, q in opened["queries"]] if event == "tool_end" else []
             if event == "tool_end" and not any(found):
                 found = _records(output) or found
@@ -105,11 +113,40 @@ class _SearchCalls(StatefulProcessor):
                 sources = [{c: s.get(c) if c == "rank" else text if c == "query" and s.get(c) is None else s.get(c) or "" for c in _SOURCE} for s in r.get("sources") or []]
                 out.append((run, call_id, i, t, text, bool(r.get("attempted")), "ok" if r.get("status") == "ok" else "failure", r.get("failure_code"), json.dumps(sources), order))
 
+    def _call(self, call_id: str) -> dict | None:
+        if call_id not in self._opened:
+            held = self.calls.getValue((call_id,))
+            self._opened[call_id] = json.loads(held[0]) if held else None
+        return self._opened[call_id]
+
+    def _queue(self, query: str) -> list[int]:
+        """The numbers of a text's first record that waits and of the next to come."""
+        if query not in self._queues:
+            self._queues[query] = list(self.ends.getValue((query,)) or (0, 0))
+        return self._queues[query]
+
     def _claim(self, query: str) -> dict | None:
-        held = json.loads(self.log.getValue((query,))[0]) if self.log.containsKey((query,)) else []
-        if held:
-            self.log.updateValue((query,), (json.dumps(held[1:]),))
-        return json.loads(held[0]) if held else None
+        ends = self._queue(query)
+        if ends[0] == ends[1]:
+            return None
+        at = (query, ends[0])
+        ends[0] += 1
+        record = self._fresh.pop(at, None)
+        if record is None:
+            record = self.log.getValue(at)[0]
+            self.log.removeKey(at)
+        return json.loads(record)
+
+    def _store(self) -> None:
+        for at, record in self._fresh.items():
+            self.log.updateValue(at, (record,))
+        for query, ends in self._queues.items():
+            self.ends.updateValue((query,), tuple(ends))
+        for topic, n in self._counts.items():
+            self.numbers.updateValue((topic,), (n,))
+        for name, call in self._opened.items():
+            if call:
+                self.calls.updateValue((name,), (json.dumps(call),))
 
     def close(self) -> None:
         pass
