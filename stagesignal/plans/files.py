@@ -15,6 +15,9 @@ from stagesignal.plans.texts import artifacts
 from stagesignal.plans.views import duck, matches, matches_sql
 from stagesignal.sources import io
 
+#: Files that a task writes.
+FILES = 500
+
 
 def _folder(spark: SparkSession) -> str:
     """A new folder in the shared checkpoint folder."""
@@ -112,6 +115,8 @@ def r101_run_inventory(spark: SparkSession, d: str) -> DataFrame:
 def r042_file_inventory(spark: SparkSession, d: str) -> DataFrame:
     folder = _folder(spark)
     rows = spark.read.parquet(f"{d}/supplier.parquet").select("s_name", F.concat(F.lit("supplier-"), F.col("s_suppkey").cast("string")).alias("name"))
-    rows.write.partitionBy("name").text(folder)
+    tasks = max(1, -(-rows.count() // FILES))
+    # Each file costs its task some 10 ms whatever it holds: tasks write alike many, and move them in place themselves.
+    rows.repartition(tasks, "name").write.option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy("name").text(folder)
     files = io.file_inventory(spark, folder).where("length > 0")
     return files.select(F.regexp_extract("path", "name=([^/]+)/", 1).alias("name"), "length", "sha256")
