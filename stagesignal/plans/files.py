@@ -17,6 +17,8 @@ from stagesignal.sources import io
 
 #: Files that a task writes.
 FILES = 500
+#: Decisions or items of an array file: about 1 MB.
+ROWS = 5000
 
 
 def _folder(spark: SparkSession) -> str:
@@ -51,14 +53,15 @@ def r002_read_queries(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT CAST(c_custkey AS VARCHAR) AS id, c_name AS question, c_mktsegment AS category, CAST(1 AS INTEGER) AS items FROM customer WHERE c_custkey % 4 <> 0 AND c_custkey % 5 <> 0")
 def r003_read_profile_items(spark: SparkSession, d: str) -> DataFrame:
     rows = views.view(spark, d, "SELECT CAST(c_custkey AS STRING) AS id, CASE WHEN c_custkey % 4 = 0 THEN ' ' ELSE c_name END AS question, c_mktsegment AS category, CASE WHEN c_custkey % 5 > 0 THEN array(named_struct('id', c_name, 'category', 'x', 'text', 'y')) ELSE array() END AS profile FROM customer")
-    return io.read_profile_items(spark, _arrays(rows, _folder(spark))).select("id", "question", "category", F.size("profile").alias("items"))
+    return io.read_profile_items(spark, _arrays(rows, _folder(spark), ROWS)).select("id", "question", "category", F.size("profile").alias("items"))
 
 
-def _arrays(rows: DataFrame, folder: str) -> str:
-    """Files that hold JSON arrays, one per hundred rows or so, as the logs do."""
-    parts = max(1, -(-rows.count() // 100))
-    part = F.pmod(F.xxhash64(*rows.columns[:2]), F.lit(parts))
-    packed = rows.groupBy(part.alias("part")).agg(F.to_json(F.collect_list(F.struct(*rows.columns))).alias("value"))
+def _arrays(rows: DataFrame, folder: str, per_file: int = 100) -> str:
+    """Files that hold JSON arrays, one per per_file rows or so, as the logs do. Each file costs a writer and every reader some
+    10 ms whatever it holds, so small rows go many to a file."""
+    parts = max(1, -(-rows.count() // per_file))
+    dealt = rows.withColumn("_part", F.pmod(F.xxhash64(*rows.columns[:2]), F.lit(parts))).repartition("_part")
+    packed = dealt.groupBy("_part").agg(F.to_json(F.collect_list(F.struct(*rows.columns))).alias("value"))
     packed.select("value").write.option("maxRecordsPerFile", 1).text(folder)
     return folder
 
@@ -66,7 +69,7 @@ def _arrays(rows: DataFrame, folder: str) -> str:
 @query(f"SELECT run_id, stage, correct, taskid, seed, predicted_userid FROM ({duck(matches_sql(0))})")
 def r004_read_matches(spark: SparkSession, d: str) -> DataFrame:
     rows = matches(spark, d).select("run_id", "stage", "gt_userid", "predicted_userid", "correct", "candidate_userids")
-    return io.read_matches(spark, _arrays(rows, _folder(spark)), "*").select("run_id", "stage", "correct", "taskid", "seed", "predicted_userid")
+    return io.read_matches(spark, _arrays(rows, _folder(spark), ROWS), "*").select("run_id", "stage", "correct", "taskid", "seed", "predicted_userid")
 
 
 @query("SELECT 'pilot_task' || (doc_id // 4) || '_User1_seed0' AS run_id, CAST(2 AS INTEGER) AS queries FROM documents GROUP BY doc_id // 4 HAVING max(CASE WHEN doc_id % 4 = 1 THEN text END) IS NOT NULL")
