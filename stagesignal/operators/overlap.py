@@ -5,43 +5,59 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stagesignal.functions.scalars import URL_RULES, certainty_proxy, is_generic, normalize_query, normalize_url, tokens, url_category, url_host
+from stagesignal.functions.scalars import SEARCH_STOP, URL_RULES, certainty_proxy, is_generic, normalize_query, normalize_url, tokens, url_category, url_host
 from stagesignal.operators.stats import cluster_bootstrap_means
 
 
+#: Rows of a task that counts a run's items.
+RUN_ROWS = 200_000
+#: Kinds of what is counted.
+QUERY, HOST, TOKEN, BRIEF = range(4)
+
+
+def _by_run(rows: DataFrame, of: DataFrame) -> DataFrame:
+    """rows with those of a run in one task, in tasks by the number of rows of `of`: what is made of the rows after that needs no
+    further exchange, and a task's counts fit its memory."""
+    return rows.repartition(max(1, -(-of.select("run").count() // RUN_ROWS)), "run")
+
+
 def search_mechanism_rows(trace: DataFrame, briefs: DataFrame | None = None) -> DataFrame:
     """One wide row per run of trace(run, query, link), attempted or not: query counts and those of different queries as
     written, characters, entropy and type-token ratio of the query tokens, entropy of those of briefs(run, text), generic
     share, hosts, shares of link categories and their entropy. Blank queries and missing links do not count.
 
-    All that is counted becomes tagged rows (kind, value) of one exchange: queries, tokens, hosts and categories are counted per
-    run by one aggregation, and a second one makes the run's row of their counts."""
-    host = url_host(normalize_url(F.col("link")))
-    rows = trace.select("run", F.trim(F.regexp_replace(F.coalesce("query", F.lit("")), r"^\s+|\s+$", "")).alias("query"), F.when(F.coalesce("link", F.lit("")) != "", host).alias("host"))
-    rows = rows.withColumn("category", F.when(F.col("host").isNotNull(), url_category(F.col("host"))))  # of a column: as one expression each rule would parse the link anew
-    tag = lambda kind, value: F.struct(F.lit(kind).alias("kind"), value.alias("value"))
-    words = lambda kind, text: F.transform(tokens(F.col(text), "search"), lambda t: tag(kind, t))
-    told = F.concat(F.array(tag("query", F.nullif("query", F.lit(""))), tag("host", F.col("host")), tag("category", F.col("category"))), words("token", "query"))
-    tagged = rows.select("run", F.explode(told).alias("x"))
+    Queries and briefs travel once, as they are. Behind that exchange they become tagged rows (kind, value): queries, hosts and
+    tokens are counted per run by one aggregation, a second one sums the counts of each kind, and a third makes the run's row."""
+    blank = F.lit(None).cast("string")
+    host = F.when(F.coalesce("link", F.lit("")) != "", url_host(F.trim("link")))  # normalising the link would leave its host as it is
+    query = F.nullif(F.btrim("query", F.lit(" \t\n\x0b\f\r")), F.lit(""))
+    rows = trace.select("run", query.alias("query"), host.alias("host"), blank.alias("brief"))
     if briefs is not None:
-        tagged = tagged.unionByName(briefs.select("run", F.explode(F.concat(F.array(tag("brief", F.lit(None).cast("string"))), words("brief", "text"))).alias("x")))
-    counts = tagged.select("run", "x.*").groupBy("run", "kind", "value").agg(F.count("*").alias("n")).withColumn("kind", F.when(F.col("value").isNotNull(), F.col("kind")))
-
-    def total(kind: str, c: Column | int = 1) -> Column:
-        return F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("n") * c)), F.lit(0))
-
-    def bits(kind: str) -> Column:  # log2 of the total less the mean of log2 n, weighted by n
-        return F.round(F.coalesce(F.log2(F.nullif(total(kind), F.lit(0))) - total(kind, F.log2("n")) / F.nullif(total(kind), F.lit(0)), F.lit(0.0)), 5)
-
-    different = lambda kind: F.count_if(F.col("kind") == kind)
+        rows = rows.unionByName(briefs.select("run", blank.alias("query"), blank.alias("host"), F.col("text").alias("brief")))
+    told = F.posexplode(F.concat(F.array("query", "host"), tokens(F.coalesce("query", "brief")))).alias("pos", "value")
+    tagged = _by_run(rows, trace).select("run", F.col("brief").isNotNull().alias("of_brief"), told)
+    tagged = tagged.where((F.col("pos") == 0) | ((F.col("pos") == 1) & F.col("value").isNotNull()) | ((F.col("pos") > 1) & (F.length("value") > 2) & ~F.col("value").isin(*SEARCH_STOP)))
+    kind = F.when(F.col("value").isNull(), None).when(F.col("pos") == 0, QUERY).when(F.col("pos") == 1, HOST).when(F.col("of_brief"), BRIEF).otherwise(TOKEN)
+    counts = tagged.select("run", kind.alias("kind"), "value").groupBy("run", "kind", "value").agg(F.count("*").alias("n"))
+    n, asked = F.col("n"), F.col("kind") == QUERY
+    sums = counts.withColumn("category", F.when(F.col("kind") == HOST, url_category(F.col("value")))).groupBy("run", "kind", "category").agg(
+        F.count("*").alias("different"), F.sum("n").alias("n"), F.sum(n * F.log2("n")).alias("logs"), F.sum(F.when(asked, n * F.length("value"))).alias("chars"), F.sum(F.when(asked & is_generic(F.col("value")), n)).alias("generic"))
+
+    def total(kind: int, c: str = "n") -> Column:
+        return F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col(c))), F.lit(0))
+
+    def bits(kind: int) -> Column:  # log2 of the total less the mean of log2 n, weighted by n
+        return F.round(F.coalesce(F.log2(F.nullif(total(kind), F.lit(0))) - total(kind, "logs") / F.nullif(total(kind), F.lit(0)), F.lit(0.0)), 5)
+
+    different = lambda kind: total(kind, "different")
     share = lambda part, whole: F.round(F.coalesce(F.try_divide(part, whole), F.lit(0.0)), 6)
     names = [*(n for n, _ in URL_RULES), "other_web", "unknown"]
-    of = {c: F.coalesce(F.sum(F.when((F.col("kind") == "category") & (F.col("value") == c), F.col("n"))), F.lit(0)) for c in names}
-    out = counts.groupBy("run").agg(
-        total("query").alias("queries"), different("query").alias("unique_queries"), share(different("query"), total("query")).alias("unique_ratio"), total("query", F.length("value")).alias("chars"),
-        share(total("query", F.length("value")), total("query")).alias("mean_query_chars"), share(total("query", is_generic(F.col("value")).cast("int")), total("query")).alias("generic_rate"),
-        different("host").alias("hosts"), *[share(n, total("category")).alias(f"share_{c}") for c, n in of.items()],
-        bits("token").alias("entropy"), share(different("token"), total("token")).alias("type_token_ratio"), different("token").alias("unique_tokens"), total("token").alias("token_count"), bits("brief").alias("brief_entropy"))
+    of = {c: F.coalesce(F.sum(F.when(F.col("category") == c, F.col("n"))), F.lit(0)) for c in names}
+    out = sums.groupBy("run").agg(
+        total(QUERY).alias("queries"), different(QUERY).alias("unique_queries"), share(different(QUERY), total(QUERY)).alias("unique_ratio"), total(QUERY, "chars").alias("chars"),
+        share(total(QUERY, "chars"), total(QUERY)).alias("mean_query_chars"), share(total(QUERY, "generic"), total(QUERY)).alias("generic_rate"),
+        different(HOST).alias("hosts"), *[share(n, total(HOST)).alias(f"share_{c}") for c, n in of.items()],
+        bits(TOKEN).alias("entropy"), share(different(TOKEN), total(TOKEN)).alias("type_token_ratio"), different(TOKEN).alias("unique_tokens"), total(TOKEN).alias("token_count"), bits(BRIEF).alias("brief_entropy"))
     # The entropy of the categories' shares as whole per cents, one at least for each.
     whole = F.filter(F.array(*[F.when(F.col(f"share_{c}") > 0, F.greatest(F.lit(1.0), F.round(100 * F.col(f"share_{c}")))) for c in names]), lambda x: x.isNotNull())
     start = F.struct(F.lit(0.0).alias("sum"), F.lit(0.0).alias("logs"))
@@ -51,11 +67,17 @@ def search_mechanism_rows(trace: DataFrame, briefs: DataFrame | None = None) ->
 
 def bucket_retention(queries: DataFrame, briefs: DataFrame, buckets: DataFrame) -> DataFrame:
     """Per run and profile bucket: the share of the bucket's tokens that the brief has, that the queries have, and what is
-    lost between the two. queries(run, query), briefs(run, text), buckets(run, bucket, tokens: a set)."""
-    wanted = buckets.select("run", "bucket", F.explode(F.array_distinct("tokens")).alias("t")).groupBy("run", "bucket", "t").agg(F.lit(1))
-    held = lambda df, text, name: df.select("run", F.explode(tokens(F.col(text), "search")).alias("t")).groupBy("run", "t").agg(F.lit(1).alias(name))
-    found = wanted.join(held(briefs, "text", "in_brief"), ["run", "t"], "left").join(held(queries, "query", "in_query"), ["run", "t"], "left")
-    per = found.groupBy("run", "bucket").agg(F.count("*").alias("tokens"), F.count("in_brief").alias("b"), F.count("in_query").alias("q"))
+    lost between the two. queries(run, query), briefs(run, text), buckets(run, bucket, tokens), of one bucket in any number of rows.
+    All travel once; behind that exchange each token of a run is told which buckets, briefs and queries have it."""
+    told = lambda df, kind, text, toks, bucket: df.select("run", F.lit(kind).alias("kind"), text.alias("text"), toks.alias("toks"), bucket.alias("bucket"))
+    none, no_text = F.array().cast("array<string>"), F.lit(None).cast("string")
+    rows = told(buckets, "bucket", no_text, F.array_distinct("tokens"), F.col("bucket"))
+    rows = rows.unionByName(told(briefs, "brief", F.col("text"), none, F.lit(None))).unionByName(told(queries, "query", F.col("query"), none, F.lit(None)))
+    found = _by_run(rows, queries).select("run", "kind", "bucket", F.explode(F.concat("toks", tokens(F.col("text")))).alias("t"))
+    found = found.where((F.col("kind") == "bucket") | ((F.length("t") > 2) & ~F.col("t").isin(*SEARCH_STOP)))
+    has = lambda kind: F.max(F.col("kind") == kind)
+    per = found.groupBy("run", "t").agg(F.collect_set("bucket").alias("buckets"), has("brief").alias("b"), has("query").alias("q"))
+    per = per.select("run", F.explode("buckets").alias("bucket"), "b", "q").groupBy("run", "bucket").agg(F.count("*").alias("tokens"), F.count_if("b").alias("b"), F.count_if("q").alias("q"))
     return per.select("run", "bucket", "tokens", F.round(F.col("b") / F.col("tokens"), 6).alias("brief"), F.round(F.col("q") / F.col("tokens"), 6).alias("query"), F.round((F.col("b") - F.col("q")) / F.col("tokens"), 6).alias("lost"))
 
 
