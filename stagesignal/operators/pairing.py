@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stagesignal.operators.metrics import ADJACENT, hit, pivoted, rate
-from stagesignal.operators.stats import cluster_bootstrap, mcnemar_exact
+from stagesignal.operators.stats import cluster_bootstrap, interval, mcnemar_exact, resamples
+from stagesignal.sources.io import settle
 
 
 def _counts(a: str = "a", b: str = "b") -> list[Column]:
@@ -23,15 +24,23 @@ def _tested(counts: DataFrame) -> DataFrame:
                                "difference": rate(F.col("left_correct") - F.col("right_correct"), n), "p": p})
 
 
-def _compared(rows: DataFrame, keys: list[str], cluster: str, reps: int, seed: int) -> DataFrame:
-    """Counts, exact p and the cluster interval of a - b, per keys."""
-    ends = cluster_bootstrap(rows, cluster, F.col("a") - F.col("b"), keys, reps, seed).select(*keys, "ci_low", "ci_high")
-    return _tested(rows.groupBy(*keys).agg(*_counts())).join(ends, keys)
+def _compared(rows: DataFrame, keys: list[str], cluster: str, reps: int, seed: int, scope: str | None = None) -> DataFrame:
+    """Counts, exact p and the cluster interval of a - b, per keys; their `scope` is each value of the column scope, and all.
+    rows are computed once: what follows needs only their sums per keys and cluster."""
+    gap = F.col("a") - F.col("b")
+    plain = [k for k in keys if k != "scope" or scope is None]
+    sums = settle(rows.groupBy(*dict.fromkeys((*plain, cluster, *([scope] if scope else [])))).agg(*_counts(), F.sum(gap.cast("double")).alias("_s"), F.count(gap).alias("_c")))
+    if scope:
+        sums = sums.withColumn("scope", _scoped(scope))
+    counted = [c for c in sums.columns if c in ("n", "left_correct", "right_correct", "both", "left_only", "right_only")]
+    total = lambda names: [F.sum(c).alias(c) for c in names]
+    ends = interval(resamples(sums.groupBy(*keys, cluster).agg(*total(("_s", "_c"))), cluster, ["_s", "_c"], keys, reps, seed), F.try_divide("_s", "_c"), keys)
+    return _tested(sums.groupBy(*keys).agg(*total(counted))).join(ends, keys)
 
 
 def _scoped(scope: str) -> Column:
     """Each value of scope, and all."""
-    return F.explode(F.array(F.concat(F.lit(scope), F.col(scope).cast("string")), F.lit("all"))).alias("scope")
+    return F.explode(F.array(F.concat(F.lit(scope), F.col(scope).cast("string")), F.lit("all")))
 
 
 def paired_stages(matches: DataFrame, reps: int = 5000, seed: int = 0) -> DataFrame:
@@ -59,7 +68,7 @@ def paired_conditions(left: DataFrame, right: DataFrame, keys: Sequence[str] = (
         raise ValueError("unpaired keys")
     b = right.select(*keys, hit().alias("b"))
     joined = left.select(*dict.fromkeys((*keys, "stage", scope, cluster)), hit().alias("a")).join(b, list(keys))
-    return _compared(joined.select("stage", cluster, _scoped(scope), "a", "b"), ["scope", "stage"], cluster, reps, seed)
+    return _compared(joined, ["scope", "stage"], cluster, reps, seed, scope)
 
 
 def paired_methods(primary: DataFrame, others: dict[str, DataFrame], scope: str = "seed", cluster: str = "taskid", reps: int = 5000, seed: int = 0) -> DataFrame:
@@ -69,7 +78,7 @@ def paired_methods(primary: DataFrame, others: dict[str, DataFrame], scope: str
         part = df.select("run_id", "stage", F.lit(name).alias("method"), hit().alias("b"))
         rest = part if rest is None else rest.union(part)
     joined = primary.select("run_id", "stage", scope, cluster, hit().alias("a")).join(rest, ["run_id", "stage"])
-    return _compared(joined.select("method", "stage", cluster, _scoped(scope), "a", "b"), ["method", "scope", "stage"], cluster, reps, seed)
+    return _compared(joined, ["method", "scope", "stage"], cluster, reps, seed, scope)
 
 
 def paired_seeds(matches: DataFrame, low: int = 0, high: int = 1, cluster: str = "taskid", reps: int = 5000, seed: int = 0) -> DataFrame:
