@@ -122,9 +122,12 @@ def comparability(left: DataFrame, right: DataFrame) -> DataFrame:
     flags = both.select("run_id", "stage", F.col("inb").isNull().alias("l"), F.col("ina").isNull().alias("r"), there.alias("p"), (there & ~F.col("gta").eqNullSafe(F.col("gtb"))).alias("t"),
                         (there & F.col("ca").eqNullSafe(F.col("cb"))).alias("s"), (there & F.col("oa").eqNullSafe(F.col("ob"))).alias("o"))
     names = {"l": "left_only", "r": "right_only", "p": "paired", "t": "truth_mismatches", "s": "same_set", "o": "same_order"}
-    out = flags.select(F.explode(F.array(F.col("stage"), F.lit("all"))).alias("scope"), *names).groupBy("scope").agg(*[F.count_if(F.col(k)).alias(n) for k, n in names.items()])
-    runs = flags.groupBy("run_id").agg(F.every("o").alias("o")).agg(F.count("*").alias("runs"), F.count_if("o").alias("runs_same_order"))
-    out = out.crossJoin(F.broadcast(runs)).withColumns({c: F.when(F.col("scope") == "all", F.col(c)) for c in ("runs", "runs_same_order")})  # one row
+    # A run's few stages meet once: its first row also counts the run, and what holds over all is the sum over stages.
+    run = flags.groupBy("run_id").agg(F.every("o").alias("e"), F.collect_list(F.struct("stage", *names)).alias("x")).select("e", F.posexplode("x").alias("pos", "x")).select("e", "pos", "x.*")
+    first = F.col("pos") == 0
+    per = run.groupBy("stage").agg(*[F.count_if(F.col(k)).alias(n) for k, n in names.items()], F.count_if(first).alias("runs"), F.count_if(first & F.col("e")).alias("runs_same_order"))
+    out = per.withColumn("scope", F.explode(F.array(F.col("stage"), F.lit("all")))).groupBy("scope").agg(*[F.sum(c).alias(c) for c in (*names.values(), "runs", "runs_same_order")])
+    out = out.withColumns({c: F.when(F.col("scope") == "all", F.col(c)) for c in ("runs", "runs_same_order")})
     return out.withColumn("comparable", (F.col("left_only") + F.col("right_only") + F.col("truth_mismatches") == 0) & (F.col("same_set") == F.col("paired")) & (F.col("same_order") == F.col("paired")))
 
 
