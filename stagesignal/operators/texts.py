@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import functools
 import re
+from array import array
 from collections.abc import Callable, Iterator, Sequence
 
 import ahocorasick
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -143,14 +145,22 @@ def _masked(text: str, phrases: tuple[str, ...], token: str) -> tuple[str, int]:
     return text, n
 
 
+#: Texts that are Python strings at a time.
+MASK_ROWS = 100
+
+
 def mask_phrases(texts: DataFrame, token: str = "[MASKED]") -> DataFrame:
     """texts(.., text, phrases): text with each phrase replaced, longest first, one after the other, and masked: how many.
     An automaton of the set's phrases finds those that occur before any pattern runs; automata and patterns are made once per
     worker and kept (the latest 2,000 and 50,000). Phrases are trimmed of white space; blank ones mask nothing."""
-    @F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("masked", T.LongType())]))
-    def masked(text: pd.Series, phrases: pd.Series) -> pd.DataFrame:
-        out = [_masked(t, tuple(ps) if ps is not None else (), token) if isinstance(t, str) else (t, 0) for t, ps in zip(text, phrases)]
-        return pd.DataFrame(out, columns=["text", "masked"])
+    @F.arrow_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("masked", T.LongType())]))
+    def masked(text: pa.Array, phrases: pa.Array) -> pa.Array:
+        out, counts = [], array("q")  # the masked texts in Arrow parts, so that few of a batch's texts are Python strings at a time
+        for at in range(0, len(text), MASK_ROWS):
+            found = [_masked(t, tuple(ps) if ps is not None else (), token) if t is not None else (None, 0) for t, ps in zip(text[at : at + MASK_ROWS].to_pylist(), phrases[at : at + MASK_ROWS].to_pylist())]
+            out.append(pa.array([t for t, _ in found], pa.string()))
+            counts.extend(n for _, n in found)
+        return pa.StructArray.from_arrays([pa.concat_arrays(out) if out else pa.array([], pa.string()), pa.array(counts, pa.int64())], ["text", "masked"])
 
     rest = [c for c in texts.columns if c not in ("text", "phrases", "masked")]
     return texts.withColumn("_m", masked("text", "phrases")).select(*rest, F.col("_m.text").alias("text"), F.col("_m.masked").alias("masked"))

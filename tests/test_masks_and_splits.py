@@ -102,3 +102,11 @@ def test_plans_need_sets_that_begin_with_their_truth(spark):
     for bad in (["b", "a", "c"], ["a", "b", "b"]):
         with pytest.raises(Exception, match="begin with the truth: 1"):
             plan(bad).collect()
+
+
+def test_masks_in_parts_of_a_batch(spark):
+    """More rows than are Python strings at a time; rows without text or phrases among them."""
+    n = 2 * texts.MASK_ROWS + 7
+    rows = spark.range(n).coalesce(1).selectExpr("id", "CASE WHEN id % 11 = 0 THEN NULL ELSE concat('see Ann and ', id) END AS text", "CASE WHEN id % 5 = 0 THEN NULL ELSE array('ann') END AS phrases")
+    got = {r["id"]: (r["text"], r["masked"]) for r in texts.mask_phrases(rows).collect()}
+    assert got == {k: (None, 0) if k % 11 == 0 else (f"see Ann and {k}", 0) if k % 5 == 0 else (f"see [MASKED] and {k}", 1) for k in range(n)}
