@@ -264,7 +264,7 @@ def masking_totals(audit: DataFrame) -> DataFrame:
 
 #: Rows of one side of a leakage join that may be broadcast, and parts that the other way deals hot keys into.
 MOST_SENT, SALTS = 2_000_000, 16
-#: Tokens whose frequency sentence prefixes are ordered by.
+#: Profiles' tokens whose frequency sentence prefixes are ordered by.
 FREQUENT = 500
 
 
@@ -308,33 +308,42 @@ def leakage_spans(texts: DataFrame, profiles: DataFrame, n: int = 5) -> DataFram
 
 
 def leakage_sentences(texts: DataFrame, profiles: DataFrame, least: float = 0.5) -> DataFrame:
-    """Sentence pairs with token Jaccard of at least `least`. Prefix filter: ordered by rarity, two such sets share one of
-    their first |set| - ceil(least * |set|) + 1 tokens, so only those are joined; the overlap is then checked exactly. Of a
-    tokens the FREQUENT most frequent come last, in three tiers: any one order of all tokens will do."""
+    """Sentence pairs with token Jaccard of at least `least`. Prefix filter: in any one order of all tokens two such sets share
+    one of their first |set| - ceil(least * |set|) + 1, so only those are joined; the overlap is then checked exactly. Tokens
+    are ordered by hash, of the profiles' tokens the FREQUENT most frequent last, in three tiers; a hash that two tokens have
+    only adds candidates. While the profiles' side is bounded, it is broadcast and texts are read once and never travel."""
     def sentences(df: DataFrame, key: str) -> DataFrame:
-        s = df.select(key, F.posexplode(F.split("text", r"[.!?\n]+")).alias("s", "sentence")).withColumn("toks", F.array_distinct(tokens(F.col("sentence"))))
-        return s.where(F.size("toks") > 0).select(key, F.col("s").alias(f"{key}_s"), "toks")
+        s = df.select(key, F.posexplode(F.split("text", r"[.!?\n]+")).alias(f"{key}_s", "sentence"))
+        return s.select(key, f"{key}_s", F.array_distinct(tokens(F.col("sentence"))).alias("toks"))
 
     a, b = sentences(texts, "text_id"), sentences(profiles, "profile_id")
-    counts = a.select(F.explode("toks").alias("t")).union(b.select(F.explode("toks").alias("t"))).groupBy("t").count()
+    counts = b.select(F.explode("toks").alias("t")).groupBy("t").count()
     often = [r["t"] for r in counts.orderBy(F.desc("count"), "t").limit(FREQUENT).collect()]
     tiers = [often[: FREQUENT // 100], often[: FREQUENT // 10], often]
 
-    def tier(t: Column) -> Column:
-        out = F.lit(0)
+    def place(t: Column) -> Column:
+        tier = F.lit(0)
         for k, listed in enumerate(reversed(tiers), 1):
-            out = F.when(t.isin(listed or [""]), k).otherwise(out)
-        return out
+            tier = F.when(t.isin(listed or [""]), k).otherwise(tier)
+        return F.shiftleft(tier.cast("long"), 60) + F.shiftrightunsigned(F.xxhash64(t), 4)
 
-    def prefixes(df: DataFrame, keys: list[str]) -> DataFrame:
+    def prefixes(df: DataFrame) -> DataFrame:
         keep = F.size("toks") - F.ceil(least * F.size("toks")).cast("int") + 1
-        ordered = F.array_sort(F.transform("toks", lambda t: F.struct(tier(t).alias("tier"), t.alias("t"))))
-        return df.select(*keys, F.explode(F.slice(ordered, 1, keep)).alias("o")).select(*keys, "o.t")
+        return df.select("*", F.array_distinct(F.slice(F.sort_array(F.transform("toks", place)), 1, keep)).alias("first"))
 
     ka, kb = ["text_id", "text_id_s"], ["profile_id", "profile_id_s"]
-    right = prefixes(b, kb)
-    pairs = _on_key(prefixes(a, ka), right, "t", right.count()).select(*ka, *kb).distinct()
-    full = pairs.join(a, ka).join(b.withColumnRenamed("toks", "other"), kb)
+    b = b.withColumnsRenamed({"toks": "other"})
+    right = prefixes(b.withColumn("toks", F.col("other"))).drop("toks").withColumnRenamed("first", "others")
+    met = right.select(*kb, F.size("other").alias("m"), F.explode("others").alias("t"))
+    rows = met.count()
+    n = F.size("toks")
+    if rows <= MOST_SENT:
+        near = prefixes(a).select("*", F.explode("first").alias("t")).join(F.broadcast(met), "t").where((F.col("m") >= least * n) & (n >= least * F.col("m")))
+        full = near.join(F.broadcast(right), kb).where(F.get(F.array_intersect("first", "others"), F.lit(0)) == F.col("t"))  # each pair once
+    else:
+        left = prefixes(a).select(*ka, n.alias("n"), F.explode("first").alias("t"))
+        pairs = _on_key(left, met, "t", rows).where((F.col("m") >= least * F.col("n")) & (F.col("n") >= least * F.col("m"))).select(*ka, *kb).distinct()
+        full = pairs.join(a, ka).join(b, kb)
     shared = F.size(F.array_intersect("toks", "other"))
     score = shared / (F.size("toks") + F.size("other") - shared)
     return full.withColumn("jaccard", F.round(score, 6)).where(score >= least).select(*ka, *kb, "jaccard")
