@@ -269,10 +269,23 @@ FREQUENT = 500
 
 
 def token_statistics(rows: DataFrame, keys: Sequence[str], toks: Column) -> DataFrame:
-    """Entropy in bits, type-token ratio and number of the tokens of each key, from counts, whatever their number."""
-    counts = rows.select(*keys, F.explode(toks).alias("t")).groupBy(*keys, "t").agg(F.count("*").alias("n"))
-    total = F.sum("n")
-    return counts.groupBy(*keys).agg((F.log2(total) - F.sum(F.col("n") * F.log2("n")) / total).alias("entropy"), (F.count("*") / total).alias("ttr"), total.alias("tokens"))
+    """Entropy in bits, type-token ratio and number of the tokens of each key, whatever their number. A key of one row is
+    counted within the row, so that a task holds the tokens of one row; keys of several rows are counted over them."""
+    from pyspark.sql.window import Window
+
+    one = lambda t: F.transform(t, lambda x: F.struct(x.alias("t"), F.lit(1).cast("long").alias("n"), F.lit(None).cast("double").alias("logs"), F.lit(None).cast("long").alias("k")))
+    told = rows.select(*keys, toks.alias("_t"), F.count("*").over(Window.partitionBy(*keys)).alias("_rows"))
+    # Of a row alone: its tokens in order, where each token's run ends, and the runs' lengths. Its sums have no token.
+    told = told.withColumn("_s", F.when((F.col("_rows") == 1) & (F.size("_t") > 0), F.sort_array("_t")))
+    last = lambda i: (i == F.size("_s")) | ~F.get("_s", i - 1).eqNullSafe(F.get("_s", i))
+    told = told.withColumn("_ends", F.filter(F.sequence(F.lit(1), F.size("_s")), last))
+    told = told.withColumn("_n", F.transform("_ends", lambda e, j: e - F.coalesce(F.get("_ends", j - 1), F.lit(0))))
+    alone = F.struct(F.get("_t", F.lit(-1)).alias("t"), F.size("_t").cast("long").alias("n"), F.aggregate("_n", F.lit(0.0), lambda x, n: x + n * F.log2(n)).alias("logs"), F.size("_n").cast("long").alias("k"))
+    parts = F.when(F.col("_rows") > 1, one(F.col("_t"))).when(F.size("_t") > 0, F.array(alone))
+    counts = told.select(*keys, F.explode(parts).alias("_p")).groupBy(*keys, F.col("_p.t").alias("_t")).agg(F.sum("_p.n").alias("_n"), F.sum("_p.logs").alias("_logs"), F.sum("_p.k").alias("_k"))
+    total = F.sum("_n")
+    logs, distinct = F.sum(F.coalesce("_logs", F.col("_n") * F.log2("_n"))), F.sum(F.coalesce("_k", F.lit(1)))
+    return counts.groupBy(*keys).agg((F.log2(total) - logs / total).alias("entropy"), (distinct / total).alias("ttr"), total.alias("tokens"))
 
 
 def _on_key(large: DataFrame, small: DataFrame, key: str, rows: int) -> DataFrame:

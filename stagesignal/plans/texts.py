@@ -192,6 +192,8 @@ def r031_tokens(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.size(S.tokens(t)).alias("plain"), F.md5(F.concat_ws(" ", S.tokens(t, "actionable"))).alias("actionable"), F.size(S.tokens(t, "item")).alias("item"), F.size(S.tokens(t, "words")).alias("words"))
 
 
+#: FOUR with nothing of the second and fourth text but whether it is there.
+_BRIEFS = "SELECT doc_id div 4 AS r, max(CASE WHEN doc_id % 4 = 0 THEN text END) AS b, max(doc_id % 4 = 1 AND text IS NOT NULL) AS s, max(doc_id % 4 = 3 AND text IS NOT NULL) AS w FROM documents GROUP BY doc_id div 4"
 _AB = f"SELECT r, regexp_extract_all(lower(b), '[a-z0-9]+') AS x, regexp_extract_all(lower(w), '[a-z0-9]+') AS y FROM ({_F}) WHERE w IS NOT NULL"
 _J = "CASE WHEN len(list_distinct(list_concat(x, y))) = 0 THEN {0} ELSE len(list_intersect(list_distinct(x), list_distinct(y))) / len(list_distinct(list_concat(x, y))) END"
 
@@ -205,7 +207,7 @@ def r032_jaccard(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH t AS (SELECT r, unnest(x) AS w FROM ({_AB})), c AS (SELECT r, w, count(*) AS n FROM t GROUP BY ALL), s AS (SELECT r, sum(n) AS m, count(*) AS k FROM c GROUP BY r)
 SELECT r, round(-sum(n / m * log2(n / m)), 5) AS entropy, round(any_value(k) / any_value(m), 6) AS ttr FROM c JOIN s USING (r) GROUP BY r""")
 def r033_token_entropy(spark: SparkSession, d: str) -> DataFrame:
-    rows = views.view(spark, d, FOUR).where("s is not null and w is not null")
+    rows = views.view(spark, d, _BRIEFS).where("s and w")
     return texts.token_statistics(rows, ["r"], S.tokens(F.col("b"))).select("r", F.round("entropy", 5).alias("entropy"), F.round("ttr", 6).alias("ttr"))
 
 
